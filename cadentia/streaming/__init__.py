@@ -1,0 +1 @@
+"""Nothing here yet: no operator of the inventory reads a stream."""
