@@ -6,8 +6,7 @@ step j-1, so a document stops as soon as no slot is above the current step.  Her
 batch of documents take a step together; documents that have stopped leave the batch.
 
 Documents with equal shingle sets form a class and one of them stands for it, so large groups of copies
-never meet in a bucket.  In a bucket, members are first verified against one centre; only what is
-still in different components then meets, until no unverified pair between components is left.
+never meet in a bucket.  What shares a bucket forms a family, whose pairs are all verified on full sets.
 """
 
 from __future__ import annotations
@@ -25,9 +24,10 @@ from cadentia.llm.common import mix, shingles, slices, texts, utf8, words, writt
 SLOTS = 128
 #: 32 bands of 4 slots miss a pair of similarity 0.85 (0.8) with probability 6e-11 (5e-8).
 BAND_ROWS = 4
-#: Pairs between components that are verified at once, per document; with more, another round of centres goes first.
-PAIRS_PER_DOCUMENT = 5
-CENTRE_ROUNDS = 6
+#: A block of a family holds about so many documents, and so many shingles, at most.
+BLOCK_DOCUMENTS, BLOCK_SHINGLES = 1_000, 1_000_000
+#: Elements of up to so many sets of a block are counted pair by pair.
+FEW = 24
 
 
 def superminhash(row: np.ndarray, element: np.ndarray, rows: int, slots: int = SLOTS) -> np.ndarray:
@@ -99,40 +99,88 @@ def signatures(docs: DataFrame, n: int, slots: int = SLOTS, band_rows: int = BAN
     return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id and its sorted shingle hashes."""
+def forest(sizes: np.ndarray, row: np.ndarray, element: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among `len(sizes)` sets, from exact intersections of all of them.
+
+    Elements of few sets add to their pairs; elements of many go through a matrix product."""
+    n = len(sizes)
+    order = np.lexsort((row, element))
+    row, element = row[order], element[order]
+    heads = np.flatnonzero(np.r_[True, element[1:] != element[:-1]])
+    many = np.diff(np.append(heads, len(element)))
+    both = np.zeros(n * n, np.int64)
+    for d in np.unique(many[(many > 1) & (many <= FEW)]).tolist():
+        own = row[heads[many == d][:, None] + np.arange(d)]
+        i, j = np.triu_indices(d, 1)
+        both += np.bincount((own[:, i] * n + own[:, j]).reshape(-1), minlength=n * n)
+    both = both.reshape(n, n)
+    wide = np.flatnonzero(many > FEW)
+    for k in range(0, len(wide), 2_048):
+        part = wide[k : k + 2_048]
+        held = np.zeros((n, len(part)), np.float32)
+        for c, h in enumerate(part):
+            held[row[heads[h] : heads[h] + many[h]], c] = 1
+        both += np.rint(held @ held.T).astype(np.int64)
+    both = np.triu(both, 1)
+    both += both.T
+    linked = (both > 0) & (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both))
+    free, out = np.ones(n, bool), []
+    for first in range(n):
+        if not free[first]:
+            continue
+        free[first], waiting = False, [first]
+        while waiting:
+            near = np.flatnonzero(linked[waiting.pop()] & free)
+            free[near] = False
+            waiting += near.tolist()
+            out += [(first, x) for x in near.tolist()]
+    return out
+
+
+def _linked(percent: int):
+    """Links in each group of rows with one task number; groups come one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(rows: pa.Table) -> pa.RecordBatch:
+            ids = rows.column("doc_id").to_numpy()
+            sets = rows.column("elements").combine_chunks()
+            sizes = np.diff(sets.offsets.to_numpy()).astype(np.int64)
+            found = forest(sizes, np.repeat(np.arange(len(ids)), sizes), sets.flatten().to_numpy().view(np.uint64), percent)
+            a, b = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            at, data = utf8(batch.column("text"))
-            for low, high in slices(at):
-                row, element = shingle_sets(at[low : high + 1], data, n)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=high - low))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.ListArray.from_arrays(pa.array(ends), pa.array(element.view(np.int64)))], ["doc_id", "elements"])
+            tasks = batch.column("task").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, tasks[1:] != tasks[:-1], True]) if len(tasks) else []
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and tasks[low] != last:
+                    yield settle(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(low, high - low))
+                last = tasks[low]
+        if held:
+            yield settle(pa.Table.from_batches(held))
 
-    return docs.mapInArrow(run, "doc_id long, elements array<long>")
+    return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets meet 100 * intersection >= percent * union."""
+def sets_of(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, its other columns, and its sorted shingle hashes instead of the text."""
+    more = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column("x"), batch.column("y")
-            la, ra = left.offsets.to_numpy(), right.offsets.to_numpy()
-            x, y = left.values.to_numpy().view(np.uint64), right.values.to_numpy().view(np.uint64)
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                a, b = x[la[i] : la[i + 1]], y[ra[i] : ra[i + 1]]
-                if 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)):
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    keep[i] = 100 * both >= percent * (len(a) + len(b) - both)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = written(sets_of(texts(docs).join(ids, "doc_id", "left_semi"), n), "minhash-sets")
-    both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+            at, data = utf8(batch.column("text"))
+            for low, high in slices(at):
+                row, element = shingle_sets(at[low : high + 1], data, n)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=high - low))]).astype(np.int32)
+                own = [batch.column(c).slice(low, high - low) for c in more]
+                yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array(ends), pa.array(element.view(np.int64)))], [*more, "elements"])
+
+    schema = ", ".join(f"{c} {dict(docs.dtypes)[c]}" for c in more) + ", elements array<long>"
+    return docs.mapInArrow(run, schema)
 
 
 def local_roots(edges: DataFrame) -> DataFrame:
@@ -178,42 +226,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link_components(points: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """node and component for the class representatives (doc_id, bands) that are linked with another."""
+    """node and component for the class representatives (doc_id, n_shingles, bands) that are linked with another.
+
+    Representatives that share a bucket, directly or through others, form a family; all pairs of a family
+    are verified.  A large family is split into blocks by hash, and each pair of blocks is a task of its own, so
+    no task holds more than two blocks and no pair becomes a row: a task returns a forest of its links."""
     buckets = points.select("doc_id", F.posexplode("bands").alias("band", "hash"))
     full = buckets.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("centre")).filter("n > 1").drop("n")
-    members = written(buckets.join(full, ["band", "hash"]), "minhash-members")
-    labels, tested = None, None
-    for turn in range(CENTRE_ROUNDS + 1):
-        if turn == 0:
-            pairs = members.filter("doc_id != centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
-        else:
-            named = members.join(labels, members["doc_id"] == labels["node"], "left").select("band", "hash", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-            named = written(named, "minhash-named")
-            mixed = named.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("band", "hash")
-            mixed = written(mixed, "minhash-mixed")
-            open_ = written(named.join(mixed, ["band", "hash"], "left_semi"), "minhash-open")
-            sizes = open_.groupBy("band", "hash", "component").agg(F.count("*").alias("n")).groupBy("band", "hash").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
-            left, rows = sizes.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0], points.count()
-            if not left:
-                break
-            whole = left <= PAIRS_PER_DOCUMENT * rows + 100_000 or turn == CENTRE_ROUNDS
-            x = open_.select("band", "hash", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-            if whole:
-                y = open_.select("band", "hash", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-                pairs = x.join(y, ["band", "hash"]).filter("ca < cb")
-            else:  # a new centre in each bucket, another one each round
-                rank = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-                best = written(open_.groupBy("band", "hash").agg(F.min(rank).alias("best")), "minhash-centres")
-                pairs = x.join(best.select("band", "hash", "best.b", "best.cb"), ["band", "hash"]).filter("ca != cb")
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "minhash-pairs")
-        found = written(verified(pairs, docs, n, percent), "minhash-edges")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        old = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = written(components(old), "minhash-components")
-        if turn and whole:
-            break
-    return labels
+    full = written(full, "minhash-buckets")
+    met = buckets.join(full, ["band", "hash"]).filter("doc_id != centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
+    family = written(components(met), "minhash-families").withColumnRenamed("node", "doc_id").withColumnRenamed("component", "family")
+    family = family.join(points.select("doc_id", "n_shingles"), "doc_id")
+    sizes = family.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCUMENTS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sizes = written(sizes, "minhash-family-sizes")
+    named = written(family.select("doc_id", "family").join(sizes, "family"), "minhash-members")
+    held = sets_of(texts(docs).join(named.hint("merge"), "doc_id"), n)  # the members grow with the input: no broadcast
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = held.withColumn("own", own).withColumn("other", other).select("doc_id", F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "elements")
+    links = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_linked(percent), "a long, b long")
+    return components(written(links, "minhash-edges"))
 
 
 def near_dedup(docs: DataFrame, n: int = 5, percent: int = 80, slots: int = SLOTS, band_rows: int = BAND_ROWS) -> DataFrame:
@@ -229,7 +261,7 @@ def near_dedup(docs: DataFrame, n: int = 5, percent: int = 80, slots: int = SLOT
     key = ["n_shingles", "set_a", "set_b"]
     classes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min(F.struct("doc_id", "bands")).alias("least"))
     classes = written(classes.select(*key, F.col("least.doc_id").alias("class_id"), F.col("least.bands").alias("bands")), "minhash-classes")
-    found = link_components(classes.select(F.col("class_id").alias("doc_id"), "bands"), docs, n, percent)
+    found = link_components(classes.select(F.col("class_id").alias("doc_id"), "n_shingles", "bands"), docs, n, percent)
     named = classes.drop("bands").join(found, F.col("class_id") == F.col("node"), "left").select(*key, F.coalesce("component", "class_id").alias("component"))
     named = written(named, "minhash-named")
     out = signed.drop("bands").join(named, key, "left")
