@@ -207,7 +207,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     """The documents without those that hold a test item; columns as they are.  A null doc_id can't be
     named by a pair, so such a row stays."""
     bad = written(leaks(docs, benchmark, **options).select("doc_id").distinct(), "leaks-documents")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(bad.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Equal texts have equal digests, so only digests that occur twice or more need their texts compared.
 Those rows are deduplicated where they lie (Spark's partial aggregation, keyed by digest, salt and the
 full text), the salted groups are merged, and the salts' winners are combined; each of the three steps
-groups by the full text, not the digest alone.  A group of any size costs each task one row per salt.
+groups by the full text, not the digest alone.  A group of any size costs each task one row per salt.  What grows with the input is never broadcast.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     digest = F.sha2(text, 256)
     seen = docs.select(digest.alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
     seen = written(seen, "exact-repeated")
-    rows = docs.select("doc_id", text.alias("content"), digest.alias("digest")).join(seen, "digest", "left_semi")
+    rows = docs.select("doc_id", text.alias("content"), digest.alias("digest")).join(seen.hint("merge"), "digest", "left_semi")
     salt = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(salts))).cast("int")
     salted = rows.groupBy("digest", salt.alias("salt"), "content").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     combined = salted.groupBy("digest", "content").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
@@ -39,7 +39,7 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     by_digest = classes.groupBy("digest").agg(F.count("*").alias("contents"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
     by_digest = written(by_digest, "exact-winners")
     clean = by_digest.filter("contents = 1").drop("contents")
-    out = docs.withColumn("text_sha256", digest).join(clean.withColumnRenamed("digest", "text_sha256"), "text_sha256", "left")
+    out = docs.withColumn("text_sha256", digest).join(clean.withColumnRenamed("digest", "text_sha256").hint("merge"), "text_sha256", "left")
     clash = by_digest.filter("contents > 1").select("digest")
     if clash.take(1):
         other = classes.join(clash, "digest", "left_semi").select(F.col("digest").alias("text_sha256"), F.col("content"), F.col("keep_id").alias("keep_2"), F.col("group_size").alias("size_2"))

@@ -30,7 +30,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = written(near_dedup(docs).filter("NOT kept").select("doc_id").distinct(), "pipeline-near")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per copy in the mix: the columns of docs and copy, from 1."""
     copies = written(mix_sources(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")), "pipeline-mix")
-    drawn = docs.drop("copy", "copies").join(copies, "doc_id")
+    drawn = docs.drop("copy", "copies").join(copies.hint("merge"), "doc_id")
     return drawn.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
 
 
