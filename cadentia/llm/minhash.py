@@ -209,9 +209,10 @@ def local_roots(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and component (least node) for the nodes of the edges (a, b).
 
-    Tasks first contract their own edges by union-find.  Then every node takes the least label
+    Edges are dealt by b and tasks first contract their own by union-find, so about one link for each node
+    is left.  Then every node takes the least label
     among its neighbours' and its label's label, until nothing changes: logarithmically many rounds."""
-    links = local_roots(edges).filter("a != b").distinct()
+    links = local_roots(edges.repartition("b")).filter("a != b").distinct()
     links = written(links.union(links.select("b", "a")), "minhash-links")
     labels = written(links.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "minhash-labels")
     while True:
