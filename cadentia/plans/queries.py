@@ -316,9 +316,9 @@ def curve_peaks(spark, sf_dir):
 
 @query("WITH " + t.CURVES + ", " + POOL + """, c AS (SELECT session_id, lag_idx, round(corr, 9) AS corr, lag(round(corr, 9)) OVER w AS l, lead(round(corr, 9)) OVER w AS r FROM pooled WINDOW w AS (PARTITION BY session_id ORDER BY lag_idx)),
 b AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY corr DESC, lag_idx) AS p FROM c)
-SELECT session_id, lag_idx, round(lag_idx + coalesce(CASE WHEN l - 2 * corr + r < 0 THEN greatest(-0.5, least(0.5, 0.5 * (l - r) / (l - 2 * corr + r))) ELSE 0 END, 0), 3) AS lag, corr FROM b WHERE p = 1""")
+SELECT session_id, lag_idx, round(lag_idx + coalesce(CASE WHEN l - 2 * corr + r < 0 THEN greatest(-0.5, least(0.5, 0.5 * (l - r) / (l - 2 * corr + r))) ELSE 0 END, 0), 4) AS lag, corr FROM b WHERE p = 1""")
 def best_lag(spark, sf_dir):
-    return rounded(alignment.best_lag(rounded(_pooled(spark, sf_dir).select("session_id", "lag_idx", "corr"), 9)), 9).withColumn("lag", F.round("lag", 3))
+    return rounded(alignment.best_lag(rounded(_pooled(spark, sf_dir).select("session_id", "lag_idx", "corr"), 9)), 9)
 
 
 @query(on_signals("AI", """SELECT i.session_id, idx, low_us - (start_sec * 1e6)::BIGINT - 1500000 + CASE WHEN idx % 2 = 0 THEN 250000 ELSE 0 END AS anchor_us, low_us - 1500000 + CASE WHEN idx % 2 = 0 THEN 250000 ELSE 0 END AS start_us,
