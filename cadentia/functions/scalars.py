@@ -47,7 +47,7 @@ def segment_folder(idx: Column, label: Column) -> Column:
 
 def clean_labels(labels: Column) -> Column:
     """Trimmed labels without blanks and repeats, in order."""
-    return F.array_distinct(F.filter(F.transform(labels, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(labels, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def label_color(label: Column, library: Column, palette: Column) -> Column:
