@@ -217,14 +217,15 @@ def variants(window: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[s
 
 
 def sample(docs: DataFrame, documents: int = TRAIN_DOCUMENTS, most: int = TRAIN_WINDOWS) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Training windows with their base spans, from the documents with digits whose hash is least; the
-    windows of one shape are taken in turn, so that rare forms are among them."""
+    """Training windows with their base spans, from about `documents` documents chosen by the hash of
+    doc_id (a filter: no task gathers candidates); the windows of one shape are taken in turn, so that rare forms are among them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame([(w,) for t in batch["text"] for _, w in windows(t) if len(w) <= 200], columns=["w"])
 
-    wordy = docs.filter(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("doc_id", "text")).limit(documents)
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(max(docs.count(), 1))) < documents
+    wordy = docs.filter(F.col("text").rlike("[0-9@]") & chosen)
     shaped = wordy.select("text").mapInPandas(run, "w string").distinct().withColumn("shape", F.regexp_replace(F.regexp_replace("w", "[0-9]", "9"), r"\p{L}+", "a"))
     some = shaped.groupBy("shape").agg(F.min("w").alias("w"), F.max("w").alias("x")).orderBy(F.md5("shape")).limit(most).collect()
     found = {w for r in some for w in (r.w, r.x)}
