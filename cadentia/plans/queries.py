@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadentia.functions import scalars
-from cadentia.operators import alignment, beats, intervals, joins, sync
+from cadentia.operators import alignment, beats, intervals, joins, rates, records, sync
 from cadentia.plans import tables as t
 
 HOURS = 3_600_000_000
@@ -369,3 +369,66 @@ SELECT session_id, camera_index AS segment_idx, win_idx, win_idx * 15.0::DOUBLE
 def analysis_windows(spark, sf_dir):
     rows = t.cameras(spark, sf_dir).filter("duration_sec > 0").select("session_id", F.col("camera_index").alias("segment_idx"), (F.col("duration_sec") / 100).alias("duration_sec"))
     return rounded(intervals.analysis_windows(rows))
+
+
+@query(on_signals("", """, k AS (SELECT * EXCLUDE (k), row_number() OVER w - 1 AS k FROM signals WINDOW w AS (PARTITION BY session_id ORDER BY us, ord))
+SELECT a.session_id, a.k AS start, (a.us + b.us) // 2 AS at_us FROM k a JOIN k b ON a.session_id = b.session_id AND b.k = a.k + 9 WHERE a.k % 2 = 0""").replace(") , k AS", "), k AS"))
+def hr_windows(spark, sf_dir):
+    return rates.hr_windows(rates.sample_index(t.signals(spark, sf_dir)), 1.0, None, 10.0, 2.0)
+
+
+@query(on_signals("", """, n AS (SELECT session_id, count(*) AS n, min(us) AS first_us FROM signals GROUP BY session_id HAVING count(*) >= 10),
+g AS (SELECT DISTINCT session_id, us FROM signals WHERE sensor_id = 'signup')
+SELECT session_id, greatest(0, least(round_even((us - first_us) / 1e6 * (1 / 86400.0::DOUBLE), 0)::BIGINT - 5, n - 10)) AS start, us AS at_us FROM g JOIN n USING (session_id)""").replace(") , n AS", "), n AS"))
+def hr_target_windows(spark, sf_dir):
+    s = t.signals(spark, sf_dir)
+    return rates.hr_windows(rates.sample_index(s), 1 / 86400, s.filter("sensor_id = 'signup'"), 864_000.0, 86_400.0)
+
+
+@query(None)
+def heart_rate(spark, sf_dir):
+    """Ten sessions of events taken as samples at 8 Hz: windows, rates and the harmonic correction."""
+    indexed = rates.sample_index(t.signals(spark, sf_dir).withColumn("session_id", F.col("session_id") % 10))
+    return rates.resolve_harmonics(rates.hr_features(indexed, rates.hr_windows(indexed, 8.0), 8.0))
+
+
+@query(on_signals("", """, b AS (SELECT session_id, us, lead(us) OVER (PARTITION BY session_id ORDER BY us) AS next_us FROM (SELECT DISTINCT session_id, us FROM signals WHERE sensor_id = 'signup')),
+p AS (SELECT s.session_id, (row_number() OVER (PARTITION BY s.session_id ORDER BY s.us, s.ord) - 1) // 5 AS block, 2 * pi() * (s.us - b.us) / (next_us - b.us)::DOUBLE AS turn FROM signals s JOIN b ON s.session_id = b.session_id AND s.us >= b.us AND s.us < next_us WHERE s.sensor_id = 'view'),
+m AS (SELECT session_id, block, CASE WHEN count(*) = 5 THEN atan2(avg(sin(turn)), avg(cos(turn))) END AS angle FROM p GROUP BY ALL),
+d AS (SELECT *, angle - lag(angle) OVER (PARTITION BY session_id ORDER BY block) AS step FROM m),
+w AS (SELECT session_id, CASE WHEN angle IS NOT NULL THEN sum(coalesce(step - 2 * pi() * floor(step / (2 * pi()) + 0.5), 0)) OVER (PARTITION BY session_id ORDER BY block) END AS way FROM d)
+SELECT session_id, count(way) AS blocks, CASE WHEN count(way) >= 2 THEN round((max(way) - min(way)) / (2 * pi()), 6) END AS drift_beats FROM w GROUP BY session_id""").replace(") , b AS", "), b AS"))
+def phase_drift(spark, sf_dir):
+    s = t.signals(spark, sf_dir)
+    return rounded(rates.phase_drift(rates.pulse_phases(s.filter("sensor_id = 'view'"), s.filter("sensor_id = 'signup'")), 5))
+
+
+@query(on_signals("AI", """SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY start_sec, idx) AS index, label, round(start_sec, 6) AS start_sec, round(end_sec, 6) AS end_sec, round(end_sec - start_sec, 6) AS duration_sec,
+printf('%04d', row_number() OVER (PARTITION BY session_id ORDER BY start_sec, idx)) || '_' || label AS folder FROM intervals"""))
+def segment_manifest(spark, sf_dir):
+    return rounded(records.manifest(t.intervals(t.signals(spark, sf_dir))))
+
+
+@query("WITH " + t.CAMERAS + " SELECT session_id, arg_max(offset_sec, camera_index) AS offset_sec, count(*) AS applied FROM cameras GROUP BY session_id")
+def current_offsets(spark, sf_dir):
+    return records.current_offsets(t.cameras(spark, sf_dir).select("session_id", F.col("camera_index").alias("place"), "offset_sec"))
+
+
+@query("""WITH f AS (SELECT p_partkey AS k, p_size AS session_id, p_brand || '/' || p_partkey AS path, p_size * 100 AS size FROM part),
+old AS (SELECT session_id, path, size + (k % 11 = 0)::INT AS size, CASE k % 3 WHEN 0 THEN 'video' WHEN 1 THEN 'alignment' ELSE 'odd' END AS category FROM f WHERE k % 7 <> 0), new AS (SELECT * FROM f WHERE k % 5 <> 0)
+SELECT session_id, path, CASE WHEN o.category IN ('video', 'alignment') THEN o.category WHEN path LIKE 'Brand#1%' THEN 'alignment' END AS category,
+CASE WHEN n.size IS NULL THEN 'missing' WHEN o.size IS NULL THEN 'foreign' WHEN n.size <> o.size THEN 'changed' ELSE 'same' END AS status, coalesce(n.size, o.size)::INT AS size FROM old o FULL JOIN new n USING (session_id, path)""")
+def reconcile_artifacts(spark, sf_dir):
+    k = F.col("p_partkey")
+    files = t.table(spark, sf_dir, "part").select(k.alias("k"), F.col("p_size").cast("int").alias("session_id"), F.concat_ws("/", "p_brand", k.cast("string")).alias("path"), (F.col("p_size") * 100).cast("int").alias("size"))
+    kind = F.when(F.col("k") % 3 == 0, "video").when(F.col("k") % 3 == 1, "alignment").otherwise("odd")
+    old = files.filter("k % 7 <> 0").withColumn("size", (F.col("size") + (F.col("k") % 11 == 0).cast("int"))).withColumn("category", kind)
+    return records.reconcile_artifacts(old, files.filter("k % 5 <> 0"), ["video", "alignment"], F.when(F.col("path").startswith("Brand#1"), "alignment"))
+
+
+@query(on_signals("AI", """, x AS (SELECT s.session_id, round((us - anchor_us) / 1e6, 6) AS video_time_sec, min(us) AS us, arg_min(value, ord) FILTER (sensor_id = 'view') AS "view", arg_min(value, ord) FILTER (sensor_id = 'click') AS click
+  FROM signals s JOIN anchors a ON s.session_id = a.session_id WHERE value IS NOT NULL AND sensor_id IN ('view', 'click') GROUP BY 1, 2)
+SELECT x.*, coalesce((SELECT arg_max(label, idx) FROM intervals i WHERE i.session_id = x.session_id AND x.us BETWEEN low_us AND high_us), '') AS label FROM x""").replace(") , x AS", "), x AS"))
+def plotted_table(spark, sf_dir):
+    s = t.signals(spark, sf_dir)
+    return records.plotted_table(sync.video_time(s, t.anchors(s)), t.intervals(s), ["view", "click"])

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from cadentia.functions import dsp
-from cadentia.operators import alignment, beats, intervals, joins, waveforms
+from cadentia.operators import alignment, beats, intervals, joins, rates, records, waveforms
 from cadentia.plans import queries
 from cadentia.sources import sensors
 
@@ -100,3 +100,37 @@ def test_sensor_files(spark, tmp_path):
     watch = sensors.read_watch(spark, [str(tmp_path / "w.csv")]).collect()
     assert [(r.value, r.aux) for r in strap] == [(70.0, {"BR": "12"})] and [r.value for r in watch] == [70.0]
     assert watch[0].us - strap[0].us == 500_000
+
+
+@pytest.mark.parametrize("seconds,weak", [(30, 0.35), (150, 0.35)])
+def test_heart_rate_is_not_doubled(spark, seconds, weak):
+    fs, t = 40.0, np.arange(0, seconds, 1 / 40)
+    x = weak * np.sin(2 * np.pi * 1.25 * t) + np.sin(2 * np.pi * 2.5 * t)
+    rows = spark.createDataFrame([(1, int(a * 1e6), k, float(v)) for k, (a, v) in enumerate(zip(t, x))], "session_id long, us long, ord long, value double")
+    indexed = rates.sample_index(rows)
+    got = rates.resolve_harmonics(rates.hr_features(indexed, rates.hr_windows(indexed, fs), fs)).collect()
+    assert len(got) == seconds - 9 and all(abs(r.heart_rate_bpm - 75) < 3 for r in got)
+    targets = spark.createDataFrame([(1, 0), (1, 5_500_000), (1, 5_500_000), (2, 0)], "session_id long, us long")
+    assert sorted(r.start for r in rates.hr_windows(indexed, fs, targets).collect()) == [0, 20]
+
+
+def test_pulses_drift_only_when_stretched(spark):
+    rng = np.random.default_rng(3)
+    beat = np.cumsum(rng.uniform(0.7, 0.9, 600))
+    table = lambda t: spark.createDataFrame([(1, int(v * 1e6), k) for k, v in enumerate(t)], "session_id long, us long, ord long")
+    pulse = beat[:-1] + 0.25 * np.diff(beat)
+    drift = lambda p: rates.phase_drift(rates.pulse_phases(table(p), table(beat))).first().drift_beats
+    assert drift(pulse) < 0.01 and abs(drift(pulse * (1 + 0.25 / beat[-1])) - 0.28) < 0.07 and drift(pulse[:100]) is None
+
+
+def test_pulses_of_a_wave(spark):
+    t = np.arange(0, 10, 1 / 40)
+    rows = [(1, int(a * 1e6), float(np.sin(2 * np.pi * a))) for a in t] + [(2, k, 1.0) for k in range(9)] + [(3, 0, None)]
+    got = rates.ppg_pulses(spark.createDataFrame(rows, "session_id long, us long, value double")).collect()
+    assert [r.us for r in sorted(got)] == [250_000 + 1_000_000 * k for k in range(10)]
+
+
+def test_manifest_faults(spark):
+    rows = [(1, "a", "f", 0.0, 1.0), (1, " ", "f", 0.0, 1.0), (1, "a", None, 0.0, 1.0), (1, "a", "f", 1.0, 1.0), (1, "a", "f", None, 1.0)]
+    df = spark.createDataFrame(rows, "session_id long, label string, folder string, start_sec double, end_sec double")
+    assert [r.fault for r in records.manifest_faults(df).collect()] == ["label", "folder", "times", "times"]
