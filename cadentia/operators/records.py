@@ -46,3 +46,40 @@ def plotted_table(samples: DataFrame, intervals: DataFrame, sensors: list[str])
     firsts = [F.min_by("value", F.when(F.col("sensor_id") == s, F.col("ord"))).alias(s) for s in sensors]
     table = rows.filter(F.col("sensor_id").isin(sensors)).groupBy("session_id", "t").agg(F.min("us").alias("us"), F.min("ord").alias("ord"), *firsts)
     return label_samples(table, intervals).drop("ord").withColumnRenamed("t", "video_time_sec")
+
+
+def classify_artifacts(listing: DataFrame, cameras: DataFrame, alignment_folder: str = "ppg_alignment") -> DataFrame:
+    """session_id, path, size and category of the files of a listing that are full or intermediate videos, or alignment files.
+
+    path is relative to the session's folder.  Videos lie in the folder itself and are named by pattern or as
+    cameras (session_id, final_name, intermediate_name) record; alignment files lie anywhere below their folder."""
+    name = F.lower("path")
+    known = [cameras.select("session_id", F.lower(c).alias("name"), F.lit(kind).alias("recorded")) for c, kind in (("final_name", "full"), ("intermediate_name", "intermediate"))]
+    recorded = known[0].union(known[1]).filter("name IS NOT NULL").groupBy("session_id", "name").agg(F.min("recorded").alias("recorded"))
+    rows = listing.select("session_id", "path", "size", name.alias("name")).join(recorded, ["session_id", "name"], "left")
+    video = F.col("name").rlike(r"^[^/]+\.(mp4|mov|mkv|avi|m4v)$")
+    full = (F.col("recorded") == "full") | F.col("name").rlike(r"^cam\d+_[^/]*_final\.[^./]*$")
+    part = (F.col("recorded") == "intermediate") | F.col("name").rlike(r"^cam\d+_[^/]*_(concat|trimstart)\.[^./]*$")
+    category = F.when(F.col("path").startswith(f"{alignment_folder}/"), "alignment").when(video & full, "full").when(video & part, "intermediate")
+    return rows.select("session_id", "path", "size", category.alias("category")).filter("category IS NOT NULL")
+
+
+def valid_traces(traces: DataFrame, videos: DataFrame, settings: dict, version: int) -> DataFrame:
+    """The traces (session_id, segment, camera, version, file, size, mtime, settings, ...) that still fit their video
+    (session_id, camera, file, size, mtime) and the settings.  Settings that are off (None or False) are left out of the comparison; traces keep theirs as a map of strings."""
+    on = {k: str(v) for k, v in settings.items() if v is not None and v is not False}
+    wanted = F.array_sort(F.map_entries(F.create_map(*(F.lit(x) for kv in on.items() for x in kv)).cast("map<string,string>")))
+    fresh = traces.filter((F.col("version") == version) & F.array_sort(F.map_entries("settings")).eqNullSafe(wanted))
+    return fresh.join(videos.select("session_id", "camera", "file", "size", "mtime").distinct(), ["session_id", "camera", "file", "size", "mtime"], "left_semi")
+
+
+def estimate_record(curves: DataFrame, offset_lag: int, lag_sec: float, first_sec: float) -> DataFrame:
+    """One record per session of pooled curves (session_id, segment_idx, window_idx, lag_idx, corr): segments and windows
+    used, the mean correlation at the applied lag, and the best lag's offset and correlation (the least lag of equal ones)."""
+    used = curves.groupBy("session_id").agg(F.array_sort(F.collect_set("segment_idx")).alias("segments"), F.count_distinct("segment_idx", "window_idx").alias("windows"))
+    pooled = curves.groupBy("session_id", "lag_idx").agg(F.round(F.avg("corr"), 9).alias("corr"))
+    top = F.max(F.struct("corr", (-F.col("lag_idx")).alias("back")))
+    best = pooled.groupBy("session_id").agg(F.max(F.when(F.col("lag_idx") == offset_lag, F.col("corr"))).alias("at"), top.alias("top"))
+    return used.join(best, "session_id").select(
+        "session_id", "segments", "windows", F.round("at", 4).alias("correlation"), F.round(first_sec - F.col("top.back") * lag_sec, 6).alias("best_offset_sec"), F.round("top.corr", 4).alias("best_correlation")
+    )

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadentia.functions import scalars
-from cadentia.operators import alignment, beats, intervals, joins, rates, records, sync
+from cadentia.operators import alignment, beats, boxes, intervals, joins, offsets, rates, records, sync
 from cadentia.plans import tables as t
+from cadentia.sources import sessions
 
 HOURS = 3_600_000_000
 QUERIES: dict = {}
@@ -432,3 +433,101 @@ SELECT x.*, coalesce((SELECT arg_max(label, idx) FROM intervals i WHERE i.sessio
 def plotted_table(spark, sf_dir):
     s = t.signals(spark, sf_dir)
     return records.plotted_table(sync.video_time(s, t.anchors(s)), t.intervals(s), ["view", "click"])
+
+
+@query("""WITH f AS (SELECT p_size::BIGINT AS session_id, p_size * 100 AS size, CASE p_partkey % 6 WHEN 0 THEN 'Cam' || p_partkey || '_a_FINAL.mp4' WHEN 1 THEN 'cam2_' || p_partkey || '_concat.MOV' WHEN 2 THEN 'ppg_alignment/' || p_partkey || '/t.json'
+  WHEN 3 THEN 'sub/cam1_' || p_partkey || '_final.mp4' WHEN 4 THEN 'Odd' || p_partkey || '.mkv' ELSE 'cam1_' || p_partkey || '_final.csv' END AS path, p_partkey AS k FROM part)
+SELECT session_id, path, size::BIGINT AS size, CASE WHEN k % 6 = 0 THEN 'full' WHEN k % 6 = 1 THEN 'intermediate' WHEN k % 6 = 2 THEN 'alignment' WHEN k % 12 = 4 THEN 'full' ELSE 'intermediate' END AS category FROM f WHERE k % 6 IN (0, 1, 2, 4)""")
+def classify_artifacts(spark, sf_dir):
+    k = F.col("p_partkey").cast("string")
+    names = [F.concat(F.lit("Cam"), k, F.lit("_a_FINAL.mp4")), F.concat(F.lit("cam2_"), k, F.lit("_concat.MOV")), F.concat(F.lit("ppg_alignment/"), k, F.lit("/t.json")), F.concat(F.lit("sub/cam1_"), k, F.lit("_final.mp4")), F.concat(F.lit("Odd"), k, F.lit(".mkv")), F.concat(F.lit("cam1_"), k, F.lit("_final.csv"))]
+    files = t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("long").alias("session_id"), (F.col("p_size") * 100).cast("long").alias("size"), F.get(F.array(*names), (F.col("p_partkey") % 6).cast("int")).alias("path"))
+    odd = files.filter("k % 6 = 4")
+    cams = odd.select("session_id", F.when(F.col("k") % 12 == 4, F.upper("path")).alias("final_name"), F.when(F.col("k") % 12 == 10, F.col("path")).alias("intermediate_name"))
+    return records.classify_artifacts(files, cams)
+
+
+@query("SELECT o_custkey AS session_id, o_orderkey AS segment FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 3 <> 0")
+def valid_traces(spark, sf_dir):
+    k = F.col("o_orderkey")
+    videos = t.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), k.alias("camera"), k.cast("string").alias("file"), F.floor("o_totalprice").alias("size"), F.col("o_orderdate").alias("mtime"), k.alias("segment"))
+    settings = F.create_map(F.lit("method"), F.when(F.col("segment") % 7 == 0, "CHROM").otherwise("POS"), F.lit("fps"), F.lit("30"))
+    traces = videos.withColumn("size", F.col("size") + (F.col("segment") % 5 == 0).cast("int")).withColumn("settings", settings).withColumn("version", F.when(F.col("segment") % 3 == 0, 1).otherwise(2))
+    return records.valid_traces(traces, videos.drop("segment"), {"fps": 30, "method": "POS", "centred": False}, 2).select("session_id", "segment")
+
+
+@query("WITH " + t.CURVES + """, l AS (SELECT session_id, lag_idx, round(avg(corr), 9) AS corr FROM curves GROUP BY ALL),
+b AS (SELECT session_id, max(corr) AS best, max(corr) FILTER (lag_idx = 20) AS applied FROM l GROUP BY session_id)
+SELECT b.session_id, (SELECT count(DISTINCT (video_hr)) FROM curves c WHERE c.session_id = b.session_id) AS windows, round(applied, 4) AS correlation, round((SELECT min(lag_idx) FROM l WHERE l.session_id = b.session_id AND l.corr = best) * 0.02::DOUBLE - 0.5, 6) AS best_offset_sec, round(best, 4) AS best_correlation FROM b""")
+def estimate_record(spark, sf_dir):
+    c = t.curves(spark, sf_dir).withColumn("segment_idx", F.lit(0)).withColumn("window_idx", F.col("video_hr").cast("long"))
+    return records.estimate_record(c, 20, 0.02, -0.5).drop("segments")
+
+
+@query("SELECT event_id, coalesce((props->>'k')::DOUBLE, 0) AS offset_sec FROM events")
+def read_offset(spark, sf_dir):
+    return t.table(spark, sf_dir, "events").select("event_id", sessions.offset_of("props", "k").alias("offset_sec"))
+
+
+@query("WITH " + t.CAMERAS + " SELECT session_id, camera_index, 'Camera ' || (camera_index + 1) AS label, duration_sec, mode AS time_correction_mode, offset_sec AS time_correction_offset_sec, limits AS limits_common_duration, 0.0::DOUBLE AS fps FROM cameras")
+def session_documents(spark, sf_dir):
+    """Cameras written to session documents and read back."""
+    c = t.cameras(spark, sf_dir)
+    rows = c.select("session_id", "camera_index", "duration_sec", F.col("mode").alias("time_correction_mode"), F.col("offset_sec").alias("time_correction_offset_sec"), F.col("limits").alias("limits_common_duration"))
+    written = sessions.session_documents(c.select("session_id").distinct(), rows)
+    return sessions.parse_sessions(written)[1].select("session_id", F.col("camera_index").cast("long").alias("camera_index"), "label", "duration_sec", "time_correction_mode", "time_correction_offset_sec", "limits_common_duration", "fps")
+
+
+def _relations(spark, sf_dir):
+    """Items of an order as relations of four cameras."""
+    left, right = F.array(*map(F.lit, (0, 0, 0, 1, 1, 2, 2))), F.array(*map(F.lit, (1, 2, 3, 2, 3, 3, 3)))
+    at = (F.col("l_linenumber") - 1).cast("int")
+    return t.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.get(left, at).alias("left"), F.get(right, at).alias("right"), F.col("l_quantity").cast("double").alias("offset_sec"))
+
+
+@query("""WITH c AS (SELECT DISTINCT l_orderkey AS session_id, unnest([0, 1, 2, 3]) AS camera_index FROM lineitem),
+r AS (SELECT l_orderkey AS session_id, l_linenumber AS camera_index, min(l_quantity)::DOUBLE AS o FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL)
+SELECT c.session_id, c.camera_index, CASE WHEN c.camera_index = 0 THEN 0 ELSE o END AS offset_sec FROM c LEFT JOIN r USING (session_id, camera_index)""")
+def reference_offsets(spark, sf_dir):
+    r = _relations(spark, sf_dir)
+    return offsets.reference_offsets(r, r.select("session_id", F.explode(F.array(*map(F.lit, range(4)))).alias("camera_index")))
+
+
+@query(None)
+def reconciled_offsets(spark, sf_dir):
+    r = _relations(spark, sf_dir)
+    whole = r.filter("left = 0").groupBy("session_id").agg(F.count_distinct("right").alias("n")).filter("n = 3")
+    return offsets.reconciled_offsets(r.join(whole, "session_id", "left_semi"))
+
+
+@query(None)
+def envelope_offset(spark, sf_dir):
+    """Pairs of consecutive days of a user, a day's envelope being its values in order of time."""
+    s = t.signals(spark, sf_dir).filter("value IS NOT NULL").withColumn("day", F.floor(F.col("us") / t.DAY))
+    days = s.groupBy("session_id", "day").agg(F.transform(F.sort_array(F.collect_list(F.struct("us", "ord", "value"))), lambda x: x["value"]).alias("env"))
+    after = days.select("session_id", (F.col("day") - 1).alias("day"), F.col("env").alias("right_env"))
+    rows = days.join(after, ["session_id", "day"])
+    return offsets.envelope_offset(rows.select("session_id", F.col("day").alias("left"), (F.col("day") + 1).alias("right"), F.col("env").alias("left_env"), "right_env", F.lit(0.0).alias("left_start_sec"), F.lit(0.0).alias("right_start_sec")))
+
+
+def _detections(spark, sf_dir):
+    """Line items as boxes, suppliers as clips."""
+    k = F.col("l_orderkey")
+    return t.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("clip_id"), (k % 300).alias("frame_idx"), ((k % 300) / 30).alias("t_sec"), (F.col("l_partkey") % 90).alias("x"), (F.floor("l_extendedprice") % 60).alias("y"), (10 + F.col("l_quantity")).alias("w"), (12 + F.col("l_quantity")).alias("h"), F.col("l_discount").alias("score"))
+
+
+@query(None)
+def suppress_boxes(spark, sf_dir):
+    return boxes.suppress(_detections(spark, sf_dir))
+
+
+@query(None)
+def track_boxes(spark, sf_dir):
+    return boxes.track_boxes(_detections(spark, sf_dir))
+
+
+@query(None)
+def roi_mean_rgb(spark, sf_dir):
+    """Sixteen pixels from each order's digests."""
+    digests = F.concat(*(F.md5(F.col(c).cast("string")) for c in ("o_orderkey", "o_totalprice", "o_orderdate")))
+    return t.table(spark, sf_dir, "orders").select("o_orderkey", boxes.roi_mean_rgb(F.unhex(digests)).alias("c")).select("o_orderkey", "c.*")
