@@ -85,6 +85,48 @@ def track_boxes(detections: DataFrame, persistence_sec: float = 0.6) -> DataFram
     return rows.groupBy("clip_id").applyInPandas(run, f"clip_id {kinds['clip_id']}, frame_idx {kinds['frame_idx']}, track_id long, x double, y double, w double, h double, age_sec double")
 
 
+def follow_face(detections: DataFrame, fs: float, every: int = 5, blend: float = 0.35, centred: bool = False, hold_sec: float = 2.0) -> DataFrame:
+    """One box per frame: clip_id, frame_idx, x, y, w, h (null before the first face) and detected (seen in the last `hold_sec`).
+
+    detections are as in track_boxes.  Every `every`-th frame, and each frame while there is no face, the box that overlaps
+    the face most counts if it does by more than 0.1, else the largest.  It is blended into the face; or with `centred`
+    the boxes found are interpolated, then centres averaged over 3 frames and sizes set to the median of 15.  A clip is one task."""
+    rows = detections.select("clip_id", "frame_idx", *(F.col(c).cast("double").alias(c) for c in BOX))
+
+    def run(clip: pd.DataFrame) -> pd.DataFrame:
+        clip = clip.sort_values(["frame_idx", *BOX])
+        frames = clip["frame_idx"].unique()
+        face, at, path = None, [], np.full((len(frames), 4), np.nan)
+        for k, (frame, found) in enumerate(clip.groupby("frame_idx", sort=True)):
+            found = found[BOX].dropna().to_numpy()
+            if len(found) and (face is None or frame % every == 0):
+                share = overlap(face, found) if face is not None else np.zeros(len(found))
+                best = found[share.argmax() if share.max() > 0.1 else found[:, 2:].prod(1).argmax()]
+                face = best if centred or face is None else (1 - blend) * face + blend * best
+                at.append(k)
+            if face is not None:
+                path[k] = face
+        out = pd.DataFrame(path, columns=BOX)
+        seen = np.zeros(len(frames), bool)
+        if at:
+            last = frames[np.array(at)[np.searchsorted(at, np.arange(len(frames)), "right") - 1]]
+            seen = (np.arange(len(frames)) >= at[0]) & (frames - last < int(hold_sec * fs))
+            if centred:
+                whole = np.arange(frames[0], frames[-1] + 1)
+                found = path[at]
+                found[:, :2] += found[:, 2:] / 2
+                middle = pd.DataFrame({c: np.interp(whole, frames[at], found[:, k]) for k, c in enumerate(BOX)})
+                size = middle[["w", "h"]].rolling(15, center=True, min_periods=1).median()
+                centre = middle[["x", "y"]].rolling(3, center=True, min_periods=1).mean()
+                smooth = np.hstack([centre.to_numpy() - size.to_numpy() / 2, size.to_numpy()])[frames - frames[0]]
+                out = pd.DataFrame(np.where(np.isnan(path), np.nan, smooth), columns=BOX)
+        out = out.astype(object).where(out.notna(), None)
+        return out.assign(clip_id=clip["clip_id"].iloc[0], frame_idx=frames, detected=seen)
+
+    kinds = dict(rows.dtypes)
+    return rows.groupBy("clip_id").applyInPandas(run, f"clip_id {kinds['clip_id']}, frame_idx {kinds['frame_idx']}, x double, y double, w double, h double, detected boolean")
+
+
 def roi_mean_rgb(pixels: Column | str, skin_only: bool = True, least: float = 0.15) -> Column:
     """Struct r, g, b: the mean of a region's pixels (binary, three bytes each in the order b, g, r).
 

@@ -526,6 +526,11 @@ def track_boxes(spark, sf_dir):
     return boxes.track_boxes(_detections(spark, sf_dir))
 
 
+@query(None)
+def follow_face(spark, sf_dir):
+    return boxes.follow_face(_detections(spark, sf_dir), 30.0, centred=True)
+
+
 @query(None)
 def roi_mean_rgb(spark, sf_dir):
     """Sixteen pixels from each order's digests."""

@@ -43,6 +43,23 @@ def test_track_goes_on_and_ends(spark):
     assert boxes.track_boxes(none).count() == boxes.suppress(none).count() == 0
 
 
+@pytest.mark.parametrize("centred", [False, True])
+def test_face_is_followed(spark, centred):
+    rows = [(1, 0, 0.0, None, None, None, None, None)]
+    rows += [(1, k, 0.0, float(k), 0.0, 10.0, 10.0, 0.9) for k in range(1, 21)] + [(1, k, 0.0, 200.0, 0.0, 5.0, 5.0, 0.9) for k in range(1, 21)]
+    rows += [(1, k, 0.0, None, None, None, None, None) for k in range(21, 90)] + [(2, 0, 0.0, None, None, None, None, None)]
+    got = boxes.follow_face(spark.createDataFrame(rows, BOXES), 30.0, centred=centred).orderBy("clip_id", "frame_idx").collect()
+    assert len(got) == 91 and got[0].x is None and not got[0].detected and got[-1].x is None
+    assert [r.detected for r in got[1:90]] == [True] * 79 + [False] * 10 and {r.w for r in got[1:90]} == {10.0}
+    if centred:
+        assert np.allclose([r.x for r in got[2:20]], range(2, 20)) and got[50].x == 20
+    else:  # detections in frames 1, 5, 10, 15 and 20
+        x = 1.0
+        for k in (5, 10, 15, 20):
+            x = 0.65 * x + 0.35 * k
+        assert np.isclose(got[60].x, x) and got[4].x == 1
+
+
 def test_mean_colour_prefers_skin(spark):
     skin, blue = bytes([100, 120, 180]), bytes([255, 0, 0])
     rows = spark.createDataFrame([(0, skin * 2 + blue * 2), (1, skin + blue * 9), (2, b""), (3, None)], "k long, p binary")
