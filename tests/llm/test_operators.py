@@ -152,6 +152,25 @@ def test_suffix_dedup_against_brute_force(spark, width):
     assert all(expected[r.doc_id] == (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect())
 
 
+def test_suffix_hot_phrase_is_dealt_further(spark):
+    rng = random.Random(3)
+    words = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    ends = [words(90) for _ in range(8)]
+    # One phrase in other surroundings each time, or in half equal ones; and one of just a window.
+    data = [(i, words(120) + "Licensed under the same terms as the rest." + words(120)) for i in range(60)]
+    data += [(100 + i, words(60) + ends[i % 8][i % 5 :] + "Licensed under the same terms as the rest." + ends[i % 7][: 40 + i]) for i in range(50)]
+    data += [(200 + i, words(150) + "0123456789" * 3 + "x" * 40 + "9876543210" * 3 + words(150)) for i in range(30)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    expected = brute_repeats(data, 100)
+    for hot_rows in (4, 2_000):
+        got = suffix.remove_repeats(docs, hot_rows=hot_rows).collect()
+        assert len(got) == len(data) and all(expected[r.doc_id] == (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got)
+    # The regions of the phrase's bytes from 120 to 152.
+    pieces = spark.createDataFrame([(7, i, 52, 68, 32, text[52:220].encode()) for i, text in data[:60]], suffix.PIECES)
+    several, _ = suffix.deal(pieces, spark.createDataFrame([(7,)], "gram long"), 100, 4)
+    assert pieces.count() == 60 and several.groupBy("gram").count().agg({"count": "max"}).first()[0] <= 4
+
+
 def test_suffix_edges(spark, edges, empty):
     got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix.remove_repeats(edges).collect()}
     assert got[1] == got[2] == (0, 0) and got[3] == (50_000, 49_999) and got[4] == (7, 0) and None in got
