@@ -63,17 +63,22 @@ def reference_offsets(relations: DataFrame, cameras: DataFrame) -> DataFrame:
     return rows.select("session_id", "camera_index", F.when(F.col("camera_index") == 0, 0.0).otherwise(F.col("offset_sec")).alias("offset_sec"))
 
 
-def reconciled_offsets(relations: DataFrame) -> DataFrame:
-    """session_id, camera_index, offset_sec, median_residual, mean_residual, max_residual from relations of all pairs.
+def reconciled_offsets(relations: DataFrame, unconnected: str = "raise") -> DataFrame:
+    """session_id, camera_index, offset_sec, median_residual, mean_residual, max_residual, connected from relations.
 
     Of all spanning trees of a session's cameras 0..n that one counts whose offsets leave the least residuals (median,
-    then mean, then largest).  Sessions whose relations do not connect their cameras fail.  The trees of a session are
-    tried one by one, so this is for the handful of cameras that one session has."""
+    then mean, then largest).  A session whose relations do not connect its cameras fails the job or, if `unconnected`
+    is "null", has a row per camera with nulls and connected = false; cameras are then counted from relations without an
+    offset too.  The trees of a session are tried one by one, so this is for the handful of cameras that one session has."""
+    if unconnected not in ("raise", "null"):
+        raise ValueError(f"unconnected: {unconnected}")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        edges = sorted(zip(rows["left"], rows["right"], rows["offset_sec"], strict=True))
-        size = 1 + max(max(a, b) for a, b, _ in edges)
-        left, right, off = (np.array(c) for c in zip(*edges, strict=True))
+        session = rows["session_id"].iloc[0]
+        size = 1 + int(np.nanmax([rows["left"].max(), rows["right"].max(), 0]))
+        whole = rows.dropna()
+        edges = sorted(zip(whole["left"].astype(int), whole["right"].astype(int), whole["offset_sec"], strict=True))
+        left, right, off = (np.array(c) for c in zip(*edges, strict=True)) if edges else ((), (), ())
         best = None
         for tree in combinations(edges, size - 1):
             found = _solve(list(tree), size)
@@ -83,9 +88,11 @@ def reconciled_offsets(relations: DataFrame) -> DataFrame:
                 score = tuple(np.round([np.median(residual), residual.mean(), residual.max()], 9))
                 if best is None or score < best[0]:
                     best = score, found
-        if best is None:
-            raise ValueError(f"session {rows['session_id'].iloc[0]}: relations do not connect its cameras")
-        return pd.DataFrame({"session_id": rows["session_id"].iloc[0], "camera_index": range(size), "offset_sec": best[1], "median_residual": best[0][0], "mean_residual": best[0][1], "max_residual": best[0][2]})
-
-    rows = relations.select(F.col("session_id").cast("long"), F.col("left").cast("long"), F.col("right").cast("long"), F.col("offset_sec").cast("double")).dropna()
-    return rows.groupBy("session_id").applyInPandas(run, "session_id long, camera_index long, offset_sec double, median_residual double, mean_residual double, max_residual double")
+        if best is None and unconnected == "raise":
+            raise ValueError(f"session {session}: relations do not connect its cameras")
+        (median, mean, most), found = best or ((np.nan,) * 3, [np.nan] * size)
+        return pd.DataFrame({"session_id": session, "camera_index": range(size), "offset_sec": found, "median_residual": median, "mean_residual": mean, "max_residual": most, "connected": best is not None})
+
+    rows = relations.select(F.col("session_id").cast("long"), F.col("left").cast("long"), F.col("right").cast("long"), F.col("offset_sec").cast("double"))
+    rows = rows.dropna() if unconnected == "raise" else rows.dropna(subset=["session_id"])
+    return rows.groupBy("session_id").applyInPandas(run, "session_id long, camera_index long, offset_sec double, median_residual double, mean_residual double, max_residual double, connected boolean")

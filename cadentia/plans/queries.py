@@ -495,9 +495,7 @@ def reference_offsets(spark, sf_dir):
 
 @query(None)
 def reconciled_offsets(spark, sf_dir):
-    r = _relations(spark, sf_dir)
-    whole = r.filter("left = 0").groupBy("session_id").agg(F.count_distinct("right").alias("n")).filter("n = 3")
-    return offsets.reconciled_offsets(r.join(whole, "session_id", "left_semi"))
+    return offsets.reconciled_offsets(_relations(spark, sf_dir), unconnected="null")
 
 
 @query(None)

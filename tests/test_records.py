@@ -89,6 +89,22 @@ def test_reconciled_offsets_drop_the_outlier(spark):
         offsets.reconciled_offsets(spark.createDataFrame([(1, 1, 2, 0.0)], schema)).collect()
 
 
+def test_reconciled_offsets_keep_every_session(spark):
+    schema = "session_id long, left long, right long, offset_sec double"
+    rows = [(1, 0, 1, 2.0), (1, 1, 2, 1.0), (2, 2, 3, 5.0), (2, 0, 1, 1.0), (3, 0, 1, None)]
+    got = offsets.reconciled_offsets(spark.createDataFrame(rows, schema), unconnected="null").orderBy("session_id", "camera_index").collect()
+    assert [(r.session_id, r.camera_index, r.offset_sec, r.connected) for r in got[:3]] == [(1, 0, 0.0, True), (1, 1, 2.0, True), (1, 2, 3.0, True)]
+    assert [(r.session_id, r.camera_index) for r in got[3:]] == [(2, 0), (2, 1), (2, 2), (2, 3), (3, 0), (3, 1)]
+    assert all(r.offset_sec is None and r.max_residual is None and not r.connected for r in got[3:])
+
+
+def test_reconciled_offsets_query_takes_all_orders(spark, tmp_path):
+    items = [(1, 1, 4.0), (1, 2, 5.0), (1, 3, 6.0), (2, 1, 7.0), (3, 1, 1.0), (3, 4, 2.0), (4, 2, 3.0)]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = queries.QUERIES["reconciled_offsets"](spark, str(tmp_path)).groupBy("session_id").agg(F.bool_and("connected").alias("c"), F.count("*").alias("n")).collect()
+    assert {r.session_id: (r.c, r.n) for r in got} == {1: (True, 4), 2: (True, 2), 3: (True, 3), 4: (False, 3)}
+
+
 def test_session_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"cameras": [{"fps": 30.0, "dimensions": [640, 480]}, {"label": "left"}],\n "signal_paths": ["h.csv", "", "h.csv"], "synced_signal_path": "s.csv", "video_signal_offset_sec": null}')
     (tmp_path / "b.json").write_text('{"hr_signal_paths": [], "signal_paths": ["old.csv"]}')
