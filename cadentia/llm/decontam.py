@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment on words.
 
 The n-grams of the test items are counted over the whole corpus.  Seeds are those that occur, except
-the ones far more frequent than the item's median: stock phrases go, while a passage that is itself
-copied very often keeps its seeds, as they are all as frequent.  Documents are joined with the seeds' table; around each group of hits
+the ones far more frequent than the median of the item and of each stretch about them that could be found
+alone: stock phrases go, while a passage that is copied very often, be it a part of the item, keeps its seeds.  Documents are joined with the seeds' table; around each group of hits
 document and item are aligned locally, so edits, insertions and gaps cost little.  The table of seeds
 is sent to the tasks in blocks of a fixed number of benchmark words.
 """
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from cadentia.llm.common import WORD_PATTERN, shingles, slices, texts, utf8, words, written
 
 N = 3
-#: An n-gram that occurs more often than this many times the median of its item is no seed.
+#: An n-gram that occurs more often than this many times the median of its item and of its stretches is no seed.
 RATIO = 16
+#: Words of a stretch at most.
+STRETCH = 50
 #: Score of an alignment: 2 for each equal word, -1 for each other or missing one.
 MATCH, OTHER = 2, -1
 #: A document is contaminated if an alignment has this share of the item's full score, and eight words net.
@@ -104,16 +106,30 @@ def _count(docs: DataFrame, seeds: Seeds, n: int) -> np.ndarray:
     return counts
 
 
-def _rare(seeds: Seeds, counts: np.ndarray, ratio: float) -> Seeds:
-    """The keys that occur, except those over `ratio` times as often as the item's median one."""
-    own = np.repeat(counts, np.diff(seeds.first))
-    order = np.lexsort((own, seeds.item))
-    order = order[own[order] > 0]
-    item, own = seeds.item[order], own[order]
-    heads = np.flatnonzero(np.r_[True, item[1:] != item[:-1]]) if len(item) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(heads, len(item)))
-    keep = own <= ratio * np.repeat(own[heads + sizes // 2], sizes)
-    key = np.repeat(seeds.keys, np.diff(seeds.first))[order]
+def _median(counts: np.ndarray, size: int) -> np.ndarray:
+    """For each n-gram of an item the greatest median of a run of so many n-grams with it; of those that occur."""
+    size = min(size, len(counts))
+    runs = np.sort(np.lib.stride_tricks.sliding_window_view(counts, size), axis=1)
+    none = (runs == 0).sum(1)
+    median = runs[np.arange(len(runs)), np.minimum(none + (size - none) // 2, size - 1)]
+    out = np.zeros(len(counts), np.int64)
+    for k in range(size):
+        np.maximum(out[k : k + len(median)], median, out=out[k : k + len(median)])
+    return out
+
+
+def _rare(seeds: Seeds, counts: np.ndarray, ratio: float, lengths: list[int], n: int, share: float, least: int) -> Seeds:
+    """The keys that occur, except those over `ratio` times as often as the median one of the item and of each
+    stretch with them that reaches the threshold alone."""
+    order = np.lexsort((seeds.place, seeds.item))
+    own = np.repeat(counts, np.diff(seeds.first))[order]
+    item, key = seeds.item[order], np.repeat(seeds.keys, np.diff(seeds.first))[order]
+    keep = np.zeros(len(own), bool)
+    cuts = np.flatnonzero(np.r_[True, item[1:] != item[:-1], True]) if len(item) else np.zeros(1, np.int64)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        stretch = min(STRETCH, math.ceil(threshold(lengths[item[a]], share, least) / MATCH))
+        most = np.maximum(_median(own[a:b], b - a), _median(own[a:b], max(1, stretch - n + 1)))
+        keep[a:b] = (own[a:b] > 0) & (own[a:b] <= ratio * most)
     return Seeds(key[keep], item[keep], seeds.place[order][keep])
 
 
@@ -141,7 +157,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], n: int, ratio: float,
     places = [_grams(np.zeros(len(w), np.int64), w, n) for w in word_lists]
     join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
     every = Seeds(join([h for _, h in places], np.uint64), join([np.full(len(p), k) for k, (p, _) in enumerate(places)], np.int64), join([p for p, _ in places], np.int64))
-    rare = _rare(every, _count(docs, every, n), ratio)
+    rare = _rare(every, _count(docs, every, n), ratio, [len(w) for w in word_lists], n, share, least)
     shared = docs.sparkSession.sparkContext.broadcast((rare, ids, word_lists))
 
     def candidates(item: np.ndarray, diagonal: np.ndarray, word: np.ndarray, low: int, high: int, word_lists) -> Iterator[tuple[int, np.ndarray]]:

@@ -101,6 +101,16 @@ def test_decontamination_against_brute_force(spark, edges, empty):
     assert {(r.doc_id, r.item_id): r.score for r in split.collect()} == got
 
 
+def test_decontamination_finds_a_much_shared_part(spark):
+    """Three copies of an item and 100 documents with its first 15 words only, which are far above its median."""
+    words = [f"w{k}" for k in range(40)]
+    docs = [(i, " ".join([f"a{i}", *words, f"b{i}"]), None, None) for i in range(3)]
+    docs += [(10 + i, " ".join([f"a{i}", *words[:15], f"b{i}"]), None, None) for i in range(100)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontam.leaks(spark.createDataFrame(docs, DOCS), bench).collect()}
+    assert got == {d: 80 if d < 3 else 30 for d, *_ in docs}
+
+
 def test_token_splicing(spark, edges, empty):
     path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
     pieces = tokens.Pieces(path)
