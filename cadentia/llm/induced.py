@@ -1,247 +1,437 @@
-"""Suffix sorting by external induction, for one shard.
-
-Suffixes of type L follow from smaller ones and suffixes of type S from larger ones, so two passes over
-queues order all suffixes once the leftmost S suffixes are ordered.  The queue is a priority queue over
-(symbol, arrival): induction inserts in order of rank, so each symbol needs a first-in first-out list
-only; lists beyond a bound of memory go to a file.  Entries are (position, common prefix with the entry before);
-a new entry's common prefix is one more than the least value passed since the last insertion for its symbol.
-A whole generation of a symbol's list is taken at once, as arrays.
+"""Suffix sorting by external induction, for one shard that may be larger than memory.
+
+Suffixes of type L follow from smaller ones and suffixes of type S from larger ones, so two passes over a
+priority queue order all suffixes once the leftmost S suffixes are ordered.  Those are named by their
+substrings, which the same two passes order, and the string of names is sorted by recursion, whatever its
+alphabet.
+
+Keys never fall behind what was taken, so the priority queue is one of buckets: a block of symbols has a first-in
+first-out list, blocks are kept in groups, and the lists of later groups go to a file beyond a bound of memory.  An entry
+is (symbol, position, common prefix with the entry before it in its symbol); it is one more than the least common prefix
+passed since the last insertion there, which a stack of falling minima answers.  The recursion hands its common
+prefixes up: equal names stand for the text between two leftmost S suffixes, and the first different ones for the
+least common prefix of the names between them.
+
+Whatever is as long as the shard (text, types, names, orders, common prefixes) lies in a Room: in memory up to a
+bound for each array, beyond it in an unnamed file of the task that is mapped and goes when the task does.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 
+#: Stands for a common prefix of any length: of strings that are equal, and of nothing.
 FAR = np.int32(1 << 30)
-#: Entries that a queue keeps in memory; 8 bytes each.
+#: Entries that the queue's lists, and an array of a Room, keep in memory.
 IN_MEMORY = 4_000_000
-#: Reduced strings with more symbols are ordered by doubling; lists would hold one or two entries each.
-MOST_SYMBOLS = 4_096
-
-
-class BucketQueue:
-    """First-in first-out lists of (position, common prefix), one per symbol, spilled to a file."""
-
-    def __init__(self, symbols: int, in_memory: int = IN_MEMORY):
-        self.lists: list[list] = [[] for _ in range(symbols)]
-        self.held, self.in_memory, self.file = 0, in_memory, None
-
-    def push(self, symbol: int, position: np.ndarray, common: np.ndarray) -> None:
-        self.lists[symbol].append((position, common))
-        self.held += len(position)
-        if self.held > self.in_memory:
-            self._spill()
+#: Blocks of symbols in a group.
+GROUP = 32
+
+
+class Room:
+    """Arrays of a shard, in memory or in mapped files."""
+
+    def __init__(self, in_memory: int = IN_MEMORY):
+        self.in_memory = in_memory
+
+    def array(self, n: int, kind) -> np.ndarray:
+        if n <= self.in_memory:
+            return np.zeros(n, kind)
+        return np.memmap(tempfile.TemporaryFile(), kind, "w+", shape=n)
+
+    def chunks(self, n: int) -> Iterator[tuple[int, int]]:
+        step = max(1, min(self.in_memory, 1 << 20))
+        return ((k, min(n, k + step)) for k in range(0, n, step))
+
+
+class BlockQueue:
+    """Lists of (symbol, position, common prefix, symbol that is inserted next) for blocks of symbols, taken in the blocks'
+    order."""
+
+    def __init__(self, cuts: np.ndarray, in_memory: int):
+        self.cuts, self.group_cuts = cuts, np.append(cuts[:-1:GROUP], cuts[-1])
+        self.groups: list[list] = [[] for _ in self.group_cuts[1:]]
+        self.near: dict[int, list] = {}
+        self.group, self.held, self.in_memory, self.file = -1, 0, in_memory, None
+
+    def push(self, entries: tuple[np.ndarray, ...]) -> None:
+        """Entries in order of symbol, then arrival; none before the block that was taken last."""
+        symbol = entries[0]
+        near = int(np.searchsorted(symbol, self.group_cuts[self.group + 1])) if self.group >= 0 else 0
+        if near:
+            self._deal([x[:near] for x in entries])
+        if near < len(symbol):
+            at = near + np.searchsorted(symbol[near:], self.group_cuts)
+            for g in np.flatnonzero(at[1:] > at[:-1]).tolist():
+                self.groups[g].append([x[at[g] : at[g + 1]] for x in entries])
+            self.held += len(symbol) - near
+            if self.held > self.in_memory:
+                self._spill()
+
+    def _deal(self, entries: list[np.ndarray]) -> None:
+        first = self.group * GROUP
+        cuts = self.cuts[first : first + GROUP + 1]
+        at = np.searchsorted(entries[0], cuts)
+        for b in np.flatnonzero(at[1:] > at[:-1]).tolist():
+            self.near.setdefault(first + b, []).append([x[at[b] : at[b + 1]] for x in entries])
 
     def _spill(self) -> None:
         self.file = self.file or tempfile.TemporaryFile()
         self.file.seek(0, 2)
-        for parts in self.lists:
+        for parts in self.groups:
             for k, part in enumerate(parts):
-                if isinstance(part[0], np.ndarray):
-                    at, n = self.file.tell(), len(part[0])
-                    self.file.write(part[0].astype(np.int32).tobytes() + part[1].astype(np.int32).tobytes())
-                    parts[k] = (at, n)
+                if isinstance(part, list):
+                    parts[k] = (self.file.tell(), len(part[0]))
+                    for x in part:
+                        self.file.write(x.astype(np.int64).tobytes())
         self.held = 0
 
-    def take(self, symbol: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """All that the symbol's list holds now."""
-        parts, self.lists[symbol] = self.lists[symbol], []
+    def enter(self, block: int) -> None:
+        """Brings the block's group near; its lists are dealt to their blocks part by part."""
+        while self.group < block // GROUP:
+            self.group += 1
+            parts, self.groups[self.group] = self.groups[self.group], []
+            for part in parts:
+                if isinstance(part, tuple):
+                    at, n = part
+                    self.file.seek(at)
+                    part = np.frombuffer(self.file.read(32 * n), np.int64).reshape(4, n)
+                    part = [part[0], part[1], part[2].astype(np.int32), part[3]]
+                else:
+                    self.held -= len(part[0])
+                self._deal(part)
+
+    def pop(self, block: int) -> list[np.ndarray] | None:
+        """The oldest entries of a block of one symbol: all, or about as many as memory may hold."""
+        parts = self.near.get(block)
         if not parts:
             return None
-        out = []
-        for a, b in parts:
-            if isinstance(a, np.ndarray):
-                self.held -= len(a)
-                out.append((a, b))
-            else:
-                self.file.seek(a)
-                raw = np.frombuffer(self.file.read(8 * b), np.int32)
-                out.append((raw[:b], raw[b:]))
-        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
-
-    def close(self) -> None:
-        if self.file:
-            self.file.close()
-
-
-def kinds(text: np.ndarray) -> np.ndarray:
-    """Whether each suffix is of type S: less than the next one.  The end is less than all symbols."""
-    step = np.sign(np.diff(text.astype(np.int64), append=-1)).astype(np.int8)
-    at = np.where(step != 0, np.arange(len(text)), len(text))
-    return step[np.minimum.accumulate(at[::-1])[::-1]] > 0
+        k, size = 1, len(parts[0][0])
+        while k < len(parts) and size < self.in_memory:
+            size, k = size + len(parts[k][0]), k + 1
+        self.near[block] = parts[k:]
+        return parts[0] if k == 1 else [np.concatenate(x) for x in zip(*parts[:k], strict=True)]
+
+    def take(self, block: int) -> list[np.ndarray] | None:
+        """All entries of the block, in order of symbol, then arrival."""
+        parts = self.near.pop(block, None)
+        if not parts:
+            return None
+        if len(parts) == 1:
+            return parts[0]
+        joined = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        order = np.argsort(joined[0], kind="stable")
+        return [x[order] for x in joined]
 
 
-class _Since:
-    """Least common prefix passed since the last insertion, for each symbol."""
+class Since:
+    """Least common prefix passed since the last insertion for a symbol."""
 
-    def __init__(self, symbols: int):
-        self.least = np.full(symbols, FAR, np.int32)
-        self.begun = np.zeros(symbols, bool)
+    def __init__(self, symbols: int, room: Room):
+        self.last = room.array(symbols, np.int64)  # one more than the rank after which the last insertion came
+        self.rank, self.low = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.passed = 0
 
-    def through(self, symbol: np.ndarray, valid: np.ndarray, common: np.ndarray):
-        """Takes a batch; yields for each symbol in it the indices to insert and their common prefixes."""
-        at = np.flatnonzero(valid)
-        tail = np.minimum.accumulate(common[::-1])[::-1]
-        self.least = np.minimum(self.least, tail[0])
+    def through(self, symbol: np.ndarray, at: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """Takes a batch of common prefixes; after place `at` of it something is inserted for `symbol` (sorted, then by
+        place).  Returns the common prefixes of what is inserted."""
+        got = np.zeros(0, np.int32)
         if len(at):
-            own = symbol[at]
-            order = np.argsort(own, kind="stable")
-            at, own = at[order], own[order]
-            first = np.r_[True, own[1:] != own[:-1]]
-            begin = np.where(first, 0, np.r_[0, at[:-1] + 1])
+            heads = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]])
+            begin = np.empty(len(at), np.int64)
+            begin[1:], begin[heads] = at[:-1] + 1, 0
             bounds = np.stack([begin, at + 1], 1).reshape(-1)
             least = np.minimum.reduceat(np.append(common, FAR), bounds)[::2]
-            cuts = np.append(np.flatnonzero(first), len(at))
-            heads = own[cuts[:-1]]
-            # The batch's own least has been taken into self.least; before it, what was passed earlier counts.
-            least[cuts[:-1]] = np.minimum(least[cuts[:-1]], self.before[heads])
-            got = np.minimum(least, FAR - 1) + 1
-            fresh = ~self.begun[heads]
-            got[cuts[:-1][fresh]] = 0
-            self.begun[heads] = True
-            last = at[cuts[1:] - 1] + 1
-            self.least[heads] = np.append(tail, FAR)[last]
-            for k, s in enumerate(heads):
-                yield int(s), at[cuts[k] : cuts[k + 1]], got[cuts[k] : cuts[k + 1]].astype(np.int32)
-
-    def pass_through(self, symbol, valid, common):
-        self.before = self.least.copy()
-        return self.through(symbol, valid, common)
-
-
-def common_prefix(text: np.ndarray, a: int, b: int) -> int:
-    """By direct comparison; only at the seams between types."""
-    n, step = len(text) - max(a, b), 0
-    while step < n:
-        width = min(256, n - step)
-        bad = np.flatnonzero(text[a + step : a + step + width] != text[b + step : b + step + width])
-        if len(bad):
-            return step + int(bad[0])
-        step += width
-    return n
-
-
-def induce(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, common: np.ndarray, symbols: int, in_memory: int = IN_MEMORY, seams: bool = True):
-    """All suffixes in order with common prefixes, from the ordered leftmost S suffixes `seeds`.
-
-    With unordered seeds (seams=False) it orders the leftmost S substrings instead."""
-    bounds = np.searchsorted(text[seeds], np.arange(symbols + 1))
-    present = np.unique(text).tolist()
-    queue, since = BucketQueue(symbols, in_memory), _Since(symbols)
-    last = len(text) - 1
-    queue.push(int(text[last]), np.array([last], np.int32), np.zeros(1, np.int32))
-    since.begun[text[last]] = True
-    since.least[text[last]] = 0
-    large: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def step(position: np.ndarray, shared: np.ndarray, wanted: bool) -> None:
-        before = np.maximum(position - 1, 0)
-        valid = (position > 0) & (smaller[before] == wanted)
-        for s, at, got in since.pass_through(text[before].astype(np.int64), valid, shared):
-            queue.push(s, before[at].astype(np.int32), got)
-
-    for c in present:
-        parts = []
-        while (batch := queue.take(c)) is not None:
-            parts.append(batch)
-            step(*batch, False)
-        if parts:
-            large[c] = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-        own = seeds[bounds[c] : bounds[c + 1]]
-        if len(own):
-            shared = common[bounds[c] : bounds[c + 1]].copy()
-            shared[0] = common_prefix(text, int(large[c][0][-1]), int(own[0])) if parts and seams else 0
-            step(own, shared, False)
-    queue.close()
-
-    queue, since = BucketQueue(symbols, in_memory), _Since(symbols)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    for c in reversed(present):
-        parts = []
-        while (batch := queue.take(c)) is not None:
-            parts.append(batch)
-            step(*batch, True)
-        seam, small = 0, None
-        if parts:
-            small = tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # descending
-        if c in large:
-            position, shared = large[c]
-            if small and seams:
-                seam = common_prefix(text, int(position[-1]), int(small[0][-1]))
-            step(position[::-1], np.append(shared[1:], seam if small else 0)[::-1].astype(np.int32), True)
-        if small:
-            out.append((small[0][::-1], np.append(seam, small[1][:0:-1]).astype(np.int32)))
-        if c in large:
-            out.append(large[c])
-    queue.close()
-    out.reverse()
-    return np.concatenate([p for p, _ in out]), np.concatenate([s for _, s in out])
-
-
-def by_doubling(symbols: np.ndarray) -> np.ndarray:
-    """Suffixes in order, for a reduced string with many symbols."""
-    n, rank, width = len(symbols), np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1, 1
-    while True:
-        key = rank * (n + 2)
-        key[:-width] += rank[width:]
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.cumsum(np.r_[True, ordered[1:] != ordered[:-1]])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n or width >= n:
-            return order
-        width *= 2
-
-
-def _shared_with_previous(text: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefix of neighbours in `order`, up to cap."""
-    a, b = order[:-1].astype(np.int64), order[1:].astype(np.int64)
-    out, going = np.zeros(len(order), np.int32), np.arange(len(a))
-    for k in range(cap):
-        going = going[np.maximum(a[going], b[going]) + k < len(text)]
+            names = symbol[heads]
+            before = self.last[names]
+            slot = np.searchsorted(self.rank, before)  # what was passed from there to this batch
+            least[heads] = np.minimum(least[heads], np.append(self.low, FAR)[slot])
+            got = np.where(least >= FAR, FAR, least + 1).astype(np.int32)
+            got[heads[before == 0]] = 0
+            self.last[names] = self.passed + at[np.append(heads[1:], len(at)) - 1] + 2
+        tail = np.minimum.accumulate(common[::-1])[::-1]
+        keep = np.flatnonzero(np.append(common[:-1] < tail[1:], True))
+        old = int(np.searchsorted(self.low, tail[0]))
+        self.rank = np.append(self.rank[:old], self.passed + 1 + keep)
+        self.low = np.append(self.low[:old], common[keep])
+        self.passed += len(common)
+        return got
+
+
+class Order:
+    """Positions and common prefixes, written one after the other."""
+
+    def __init__(self, n: int, room: Room, kind):
+        self.position, self.common, self.n = room.array(n, kind), room.array(n, np.int32), 0
+
+    def put(self, position: np.ndarray, common: np.ndarray) -> None:
+        self.position[self.n : self.n + len(position)] = position
+        self.common[self.n : self.n + len(position)] = common
+        self.n += len(position)
+
+
+def kinds(text: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each suffix is of type S, that is less than the next one (the end is less than all symbols), and how
+    often its first symbol stands at its start."""
+    n = len(text)
+    smaller, run = room.array(n, bool), room.array(n, np.int32)
+    after, later, until = -1, False, n
+    for low, high in reversed(list(room.chunks(n))):
+        part = np.append(text[low:high].astype(np.int64), after)
+        step = np.sign(np.diff(part))
+        at = np.where(step != 0, np.arange(low, high), until if after == part[-2] else high - 1)
+        ends = np.minimum.accumulate(at[::-1])[::-1]
+        smaller[low:high] = np.where(ends < high, step[np.minimum(ends, high - 1) - low] > 0, later)
+        run[low:high] = ends + 1 - np.arange(low, high)
+        after, later, until = int(part[0]), bool(smaller[low]), int(ends[0])
+    return smaller, run
+
+
+def blocks_of(text: np.ndarray, symbols: int, room: Room) -> np.ndarray:
+    """Bounds of blocks of symbols: a few times the root of their number in suffixes, or one symbol alone."""
+    counts = room.array(symbols, np.int64)
+    for low, high in room.chunks(len(text)):
+        counts += np.bincount(text[low:high], minlength=symbols)
+    target = max(1, int(16 * len(text) ** 0.5))
+    place = np.cumsum(counts) // target
+    big = np.flatnonzero(counts > target)
+    cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    return np.unique(np.concatenate([cuts, big, big + 1, [0, symbols]]))
+
+
+def _pass(text, run, takes, given, shared, symbols, cuts, up: bool, room: Room, loose: bool, first: int | None, own: Order | None, out: Order | None) -> None:
+    """One way through the symbols, upwards or downwards.  Of a symbol first what was inserted comes, then what is `given`
+    (in this order, with common prefixes `shared`); the suffix before each, if `takes` has it, is inserted.  `own` gets
+    what was inserted, `out` everything."""
+    key = (lambda at: text[at].astype(np.int64)) if up else (lambda at: symbols - 1 - text[at].astype(np.int64))
+    if not up:
+        cuts = symbols - cuts[::-1]
+    queue, since = BlockQueue(cuts, room.in_memory), Since(symbols, room)
+    begin = np.zeros(len(cuts), np.int64)
+    for low, high in room.chunks(len(given)):
+        begin += np.searchsorted(key(given[low:high]), cuts)
+
+    def put(position, common, mine) -> None:
+        if own is not None and mine is not None:
+            own.put(position[mine], common[mine])
+        if out is not None:
+            out.put(position, common)
+
+    def into(position: np.ndarray) -> np.ndarray:
+        """The symbol that the suffix before is inserted for; `symbols` if it isn't."""
+        before = np.maximum(position, 1) - 1
+        return np.where(takes[before] & (position > 0), key(before), symbols)
+
+    nothing = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
+
+    def step(position: np.ndarray, common: np.ndarray, before: np.ndarray, high: int) -> list[np.ndarray]:
+        """Inserts what stands before (for symbols `before`); returns what goes to symbols below `high`."""
+        at = np.flatnonzero(before < symbols)
+        symbol = before[at]
+        order = np.argsort(symbol, kind="stable")
+        at, symbol = at[order], symbol[order]
+        fresh = position[at] - 1
+        entries = [symbol, fresh, since.through(symbol, at, common), into(fresh)]
+        k = int(np.searchsorted(symbol, high))
+        if k < len(symbol):
+            queue.push(tuple(x[k:] for x in entries))
+        return [x[:k] for x in entries]
+
+    def seam(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Common prefix of an inserted suffix and a given one with its symbol: their types differ, so it is their runs'."""
+        return np.zeros(len(b), np.int32) if loose else np.minimum(run[a], run[b])
+
+    if first is not None:
+        last = np.array([first])
+        queue.push((key(last), last, np.zeros(1, np.int32), into(last)))
+        since.last[key(last)] = 1
+    all_, none = slice(None), None
+    for b in range(len(cuts) - 1):
+        low, high = int(cuts[b]), int(cuts[b + 1])
+        queue.enter(b)
+        if high - low == 1:
+            last = None
+            while (part := queue.pop(b)) is not None:
+                put(part[1], part[2], all_)
+                step(part[1], part[2], part[3], low)
+                last = part[1][-1:]
+            for x, y in room.chunks(int(begin[b + 1] - begin[b])):
+                position = np.asarray(given[begin[b] + x : begin[b] + y]).astype(np.int64)
+                common = np.array(shared[begin[b] + x : begin[b] + y])
+                if x == 0:
+                    common[0] = 0 if last is None else seam(last, position[:1])[0]
+                put(position, common, none)
+                step(position, common, into(position), low)
+            continue
+        old = queue.take(b) or nothing
+        g = np.asarray(given[begin[b] : begin[b + 1]]).astype(np.int64)
+        g = [key(g), g, np.array(shared[begin[b] : begin[b + 1]]), into(g)]
+        old_least, g_least = (np.append(np.minimum.accumulate(x[3][::-1])[::-1], high) for x in (old, g))
+        i, j, fresh = 0, 0, nothing  # inserted before this block, given, and inserted from within it
+        while i < len(old[0]) or j < len(g[0]) or len(fresh[0]):
+            least = min(int(x[0][k]) if k < len(x[0]) else high for x, k in ((old, i), (g, j), (fresh, 0)))
+            # Up to the first symbol that something in this block is inserted for, all is known.
+            cut = min(int(old_least[i]), int(g_least[j]), int(fresh[3].min(initial=high)))
+            alone = cut <= least
+            to = least + 1 if alone else cut
+            i_to, j_to, k = int(np.searchsorted(old[0], to)), int(np.searchsorted(g[0], to)), int(np.searchsorted(fresh[0], to))
+            batch = [np.append(x[i:i_to], y[:k]) for x, y in zip(old, fresh, strict=True)] if k else [x[i:i_to] for x in old]
+            more = [[x[k:] for x in fresh]]
+            if alone:
+                last = None
+                while len(batch[0]):
+                    put(batch[1], batch[2], all_)
+                    last = batch[1][-1:]
+                    got = step(*batch[1:], high)
+                    k = int(np.searchsorted(got[0], least, "right"))
+                    batch = [x[:k] for x in got]
+                    more.append([x[k:] for x in got])
+                if j_to > j:
+                    position, common = g[1][j:j_to], g[2][j:j_to]
+                    common[0] = 0 if last is None else seam(last, position[:1])[0]
+                    put(position, common, none)
+                    more.append(step(position, common, g[3][j:j_to], high))
+            else:
+                mine = len(batch[0])
+                batch = [np.append(x, y[j:j_to]) for x, y in zip(batch, g, strict=True)] if j_to > j else batch
+                order = np.argsort(batch[0], kind="stable")
+                symbol, position, common, before = (x[order] for x in batch)
+                mine = order < mine
+                new = np.append(True, symbol[1:] != symbol[:-1])
+                edge = np.flatnonzero(~mine & (new | np.append(True, mine[:-1])))
+                common[edge] = np.where(new[edge], 0, seam(position[edge - 1], position[edge]))
+                put(position, common, mine)
+                more.append(step(position, common, before, high))
+            more = [x for x in more if len(x[0])]
+            fresh = nothing if not more else more[0]
+            if len(more) > 1:
+                fresh = [np.concatenate(x) for x in zip(*more, strict=True)]
+                order = np.argsort(fresh[0], kind="stable")
+                fresh = [x[order] for x in fresh]
+            i, j = i_to, j_to
+    if queue.file:
+        queue.file.close()
+
+
+def induce(text, smaller, run, seeds, shared, symbols: int, cuts, room: Room, loose: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes in order with the common prefix of each with the one before, from the ordered leftmost S suffixes
+    `seeds`.  With loose ones, ordered by their first symbol only, the leftmost S substrings come in order, and those that are
+    equal to the one before have FAR."""
+    n = len(text)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    large = room.array(n, bool)
+    for low, high in room.chunks(n):
+        large[low:high] = ~smaller[low:high]
+    own = Order(int(large.sum()), room, kind)
+    _pass(text, run, large, seeds, shared, symbols, cuts, True, room, loose, n - 1, own, None)
+    down, common = room.array(own.n, kind), room.array(own.n, np.int32)
+    for low, high in room.chunks(own.n):
+        down[own.n - high : own.n - low] = own.position[low:high][::-1]
+        common[own.n - high : own.n - low] = np.append(own.common[low + 1 : high + 1], 0)[: high - low][::-1]
+    del own
+    out = Order(n, room, kind)
+    _pass(text, run, smaller, down, common, symbols, cuts, False, room, loose, None, None, out)
+    del down, common
+    order, common = room.array(n, kind), room.array(n, np.int32)
+    for low, high in room.chunks(n):
+        order[n - high : n - low] = out.position[low:high][::-1]
+        common[n - high : n - low] = np.append(out.common[low + 1 : high + 1], 0)[: high - low][::-1]
+    return order, common
+
+
+def _extend(text: np.ndarray, a: np.ndarray, b: np.ndarray, common: np.ndarray, cap: int, most: np.ndarray | None = None) -> np.ndarray:
+    """common, made longer while the suffixes a and b agree, up to cap and `most`."""
+    most = np.minimum(len(text) - np.maximum(a, b), cap if most is None else np.minimum(most, cap))
+    going = np.flatnonzero(common < most)
+    while len(going):
+        k = common[going]
         going = going[text[a[going] + k] == text[b[going] + k]]
-        if not len(going):
+        common[going] += 1
+        going = going[common[going] < most[going]]
+    return common
+
+
+def least_between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Least of values[low..high], both included, for many ranges at once."""
+    out, span = np.full(len(low), FAR, np.int32), high - low + 1
+    level, step = np.asarray(values), 1
+    while (span > 0).any() and len(level):
+        own = np.flatnonzero((span >= step) & (span < 2 * step))
+        out[own] = np.minimum(level[low[own]], level[high[own] - step + 1])
+        if not (span >= 2 * step).any():
             break
-        out[going + 1] = k + 1
+        level = np.minimum(level[:-step], level[step:])
+        step *= 2
     return out
 
 
-def sort_suffixes(text: np.ndarray, symbols: int, cap: int = 100, in_memory: int = IN_MEMORY, with_common: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def sort_suffixes(text: np.ndarray, symbols: int, cap: int = 100, in_memory: int = IN_MEMORY) -> tuple[np.ndarray, np.ndarray]:
     """Order of all suffixes of `text` (symbols 0 to symbols - 1) and the common prefix of each with the one
     before, exact up to `cap` symbols."""
-    smaller = kinds(text)
-    seeds = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
-    none = np.zeros(0, np.int32)
-    if not len(seeds):
-        return induce(text, smaller, seeds, none, symbols, in_memory)
-    loose = seeds[np.argsort(text[seeds], kind="stable")]
-    order, _ = induce(text, smaller, loose, np.zeros(len(seeds), np.int32), symbols, in_memory, seams=False)
-    star = np.zeros(len(text), bool)
-    star[seeds] = True
-    order = order[star[order]]
-    # Names: neighbours with equal substrings, up to the next seed and including it, share one.
-    power = np.cumprod(np.full(len(text), 0x9E3779B97F4A7C15, np.uint64))
-    with np.errstate(over="ignore"):
-        sums = np.r_[np.uint64(0), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power)]
-        follow = np.append(seeds[1:], len(text) - 1)
-        begin, end = seeds, follow + 1
-        raw = sums[end] - sums[begin]
-    slot = np.searchsorted(seeds, order)
-    length = (end - begin)[slot]
-    with np.errstate(over="ignore"):
-        # (sum_a * B^b == sum_b * B^a) compares two substrings without a division.
-        left = raw[slot[:-1]] * power[order[1:]]
-        right = raw[slot[1:]] * power[order[:-1]]
-    different = (length[1:] != length[:-1]) | (left != right)
-    names = np.r_[0, np.cumsum(different)]
-    if names[-1] + 1 < len(seeds):
-        reduced = np.empty(len(seeds), np.int64)
-        reduced[slot] = names
-        count = int(names[-1]) + 1
-        again = by_doubling(reduced) if count > MOST_SYMBOLS else sort_suffixes(reduced, count, 1, in_memory, False)[0]
-        order = seeds[again]
-    shared = _shared_with_previous(text, order, cap) if with_common else np.zeros(len(order), np.int32)
-    return induce(text, smaller, order.astype(np.int32), shared, symbols, in_memory)
+    room, n = Room(in_memory), len(text)
+    smaller, run = kinds(text, room)
+    cuts = blocks_of(text, symbols, room)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    star = room.array(n, bool)
+    count = 0
+    for low, high in room.chunks(n):
+        star[low:high] = smaller[low:high] & ~np.append(True if low == 0 else smaller[low - 1], smaller[low : high - 1])
+        count += int(star[low:high].sum())
+    if not count:
+        return induce(text, smaller, run, np.zeros(0, kind), np.zeros(0, np.int32), symbols, cuts, room)
+    seeds, at = room.array(count, kind), 0
+    for low, high in room.chunks(n):
+        found = np.flatnonzero(star[low:high]) + low
+        seeds[at : at + len(found)] = found
+        at += len(found)
+    loose, far = room.array(count, kind), room.array(count, np.int32)
+    loose[:] = seeds[np.argsort(text[seeds], kind="stable")]
+    far[:] = FAR
+    order, equal = induce(text, smaller, run, loose, far, symbols, cuts, room, loose=True)
+    del loose, far
+    # The seeds in order of their substrings, and the least value since the seed before.
+    ranked, name, at, least, held = room.array(count, kind), room.array(count, np.int64), 0, FAR, -1
+    for low, high in room.chunks(n):
+        position, value = np.asarray(order[low:high]), np.asarray(equal[low:high]).copy()
+        value[0] = min(value[0], least)
+        found = np.flatnonzero(star[position])
+        if len(found):
+            since = np.minimum.reduceat(value[: found[-1] + 1], np.append(0, found[:-1] + 1))
+            own = held + np.cumsum(since < FAR)
+            if held < 0:
+                own += int(since[0] >= FAR)
+            ranked[at : at + len(found)], name[at : at + len(found)] = position[found], own
+            at, held = at + len(found), int(own[-1])
+            least = value[found[-1] + 1 :].min() if found[-1] + 1 < len(value) else FAR
+        else:
+            least = value.min()
+    del order, equal
+    slot = room.array(count, np.int64)
+    slot[:] = np.searchsorted(seeds, ranked)
+    # Common prefixes of neighbouring names, within their substrings.
+    heads = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+    length = np.append(seeds[1:], n - 1) + 1 - seeds
+    a, b = ranked[heads[:-1]].astype(np.int64), ranked[heads[1:]].astype(np.int64)
+    between = np.zeros(len(heads), np.int32)
+    between[1:] = _extend(text, a, b, np.zeros(len(a), np.int32), cap, np.minimum(length[slot[heads[:-1]]], length[slot[heads[1:]]]))
+    names = int(name[-1]) + 1
+    if names == count:
+        shared = between
+    else:
+        reduced = room.array(count, np.int32 if names < 1 << 31 else np.int64)
+        reduced[slot] = name
+        again, same = sort_suffixes(reduced, names, cap, in_memory)
+        ranked[:] = seeds[again]
+        shared = room.array(count, np.int32)
+        for low, high in room.chunks(count - 1):
+            p, q, k = again[low:high].astype(np.int64), again[low + 1 : high + 1].astype(np.int64), np.minimum(same[low + 1 : high + 1], cap)
+            p_end, q_end = np.minimum(p + k, count - 1), np.minimum(q + k, count - 1)
+            x, y = reduced[p_end].astype(np.int64), reduced[q_end].astype(np.int64)
+            own = seeds[q_end].astype(np.int64) - seeds[q] + np.where(x < y, least_between(between, x + 1, y), 0)
+            shared[low + 1 : high + 1] = np.minimum(own, cap)
+    a, b = ranked[:-1].astype(np.int64), ranked[1:].astype(np.int64)
+    shared[1:] = _extend(text, a, b, np.array(shared[1:]), cap)  # a run that goes on beyond a substring's end
+    return induce(text, smaller, run, ranked, shared, symbols, cuts, room)

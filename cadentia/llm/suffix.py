@@ -27,7 +27,7 @@ from cadentia.llm.induced import sort_suffixes
 
 WIDTH = 100
 #: Bytes that a shard is sorted with at once; a larger group comes whole.
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 4_000_000
 #: A key with more regions than this is dealt further.
 HOT_ROWS = 2_000
 NO_ID = -(1 << 63)
@@ -249,22 +249,28 @@ def deal(pieces: DataFrame, hot: DataFrame | None, width: int, hot_rows: int) ->
     return reduce(DataFrame.unionByName, [*levels, pieces]), reduce(DataFrame.unionByName, repeats)
 
 
-def repeats_in_shard(pieces: list[bytes], doc: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Piece and place in it of each window that also starts earlier, by the shard's suffix array."""
-    sizes = np.array([len(p) for p in pieces])
-    begin = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-    raw = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
-    text = raw.astype(np.int16) + 1
-    text[begin + sizes] = 0  # between pieces, less than every byte
+def repeats_in_shard(data: np.ndarray, at: np.ndarray, doc: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Piece (between the offsets `at` of the bytes) and place in it of each window that also starts earlier, by the
+    shard's suffix array."""
+    # Like pieces come one after the other; mixed, neighbours in text and order differ, so the queue's batches are large.
+    mixed = np.random.default_rng(0).permutation(len(doc))
+    sizes = np.diff(at)[mixed]
+    begin = np.concatenate([[0], np.cumsum(sizes + 1)])
+    text = np.zeros(begin[-1], np.int16)  # 0 between pieces, less than every byte
+    begin, inside = begin[:-1], np.ones(len(text), bool)
+    inside[begin + sizes] = False
+    text[inside] = data[np.repeat(at[:-1][mixed] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())].astype(np.int16) + 1
+    del inside
     order, common = sort_suffixes(text, 257, width)
     head = common < width
+    head[:1] = True
     group = np.cumsum(head) - 1
     piece = np.searchsorted(begin, order, "right") - 1
     place = order - begin[piece]
     fits = place + width <= sizes[piece]
     many = np.bincount(group[fits], minlength=int(group[-1]) + 1 if len(group) else 0) > 1
     use = fits & many[group]
-    piece, place, group = piece[use], place[use], group[use]
+    piece, place, group = mixed[piece[use]], place[use], group[use]
     start = low[piece] + place
     ranked = np.lexsort((start, doc[piece], group))
     piece, place, group, start = piece[ranked], place[ranked], group[ranked], start[ranked]
@@ -277,8 +283,8 @@ def _sort(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _in_groups(batches, "gram", SHARD_BYTES, lambda b: b.num_rows * width):
             doc, low = table.column("doc_id").to_numpy(), table.column("low").to_numpy()
-            pieces = table.column("piece").to_pylist()
-            piece, place = repeats_in_shard(pieces, doc, low, width)
+            at, data = utf8(table.column("piece"))
+            piece, place = repeats_in_shard(data, at, doc, low, width)
             if not len(piece):
                 continue
             order = np.lexsort((place, piece))
