@@ -250,6 +250,21 @@ def test_exact_dedup(spark, edges, empty):
     assert exact.exact_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("digits,hot_share", [(64, 1_000), (64, 3), (1, 1_000), (1, 5)])
+def test_exact_dedup_hot_groups_and_collisions(spark, digits, hot_share):
+    """A third of all rows equal, null and repeated ids; with one digit of the digest nearly all texts collide."""
+    rng = random.Random(9)
+    data = [(i if i % 50 else None, "hot" if i % 3 == 0 else f"t{rng.randint(0, 40)}" if i % 3 == 1 else f"own {i}", None, None) for i in range(600)]
+    data += [(7, "own 7", None, None), (7, "own 7", None, None), (1000, "", None, None), (None, None, None, None)]
+    groups = defaultdict(list)
+    for i, t, *_ in data:
+        groups[t or ""].append(i)
+    best = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    expected = sorted(repr((i, best[t or ""], len(groups[t or ""]), i == best[t or ""], hashlib.sha256((t or "").encode()).hexdigest())) for i, t, *_ in data)
+    out = exact.exact_dedup(spark.createDataFrame(data, DOCS).repartition(8), hot_share=hot_share, digits=digits)
+    assert sorted(repr((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256)) for r in out.collect()) == expected
+
+
 def test_near_dedup_against_brute_force(spark, edges, empty):
     rng = random.Random(7)
     base = [[f"w{rng.randint(0, 5000)}" for _ in range(80)] for _ in range(30)]
