@@ -5,13 +5,16 @@ permutation of its own names j-th; a slot keeps its least offer.  All offers of
 step j-1, so a document stops as soon as no slot is above the current step.  Here all elements of a
 batch of documents take a step together; documents that have stopped leave the batch.
 
-Documents with equal shingle sets form a class and one of them stands for it, so large groups of copies
-never meet in a bucket.  What shares a bucket forms a family, whose pairs are all verified on full sets.
+Documents with equal shingle sets (by the SHA-256 of the sorted set) form a class and one of them stands for it, so large groups
+of copies never meet in a bucket.  Of each bucket first all members are verified against its least one, on full sets; so
+the groups of near copies are found in linear time.  Buckets whose members are then still in several components are
+verified pair by pair, large ones in blocks; no pair becomes a row, and no pair of a bucket is left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,10 +24,10 @@ from pyspark.sql import functions as F
 
 from cadentia.llm.common import mix, shingles, slices, texts, utf8, words, written
 
-SLOTS = 128
-#: 32 bands of 4 slots miss a pair of similarity 0.85 (0.8) with probability 6e-11 (5e-8).
-BAND_ROWS = 4
-#: A block of a family holds about so many documents, and so many shingles, at most.
+SLOTS = 125
+#: 25 bands of 5 slots miss a pair of similarity 0.85 (0.8) with probability 4e-7 (5e-5), and let one of 0.3 meet with 0.06.
+BAND_ROWS = 5
+#: A block of a bucket holds about so many documents, and so many shingles, at most.
 BLOCK_DOCUMENTS, BLOCK_SHINGLES = 1_000, 1_000_000
 #: Elements of up to so many sets of a block are counted pair by pair.
 FEW = 24
@@ -73,7 +76,7 @@ def shingle_sets(at: np.ndarray, data: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def signatures(docs: DataFrame, n: int, slots: int = SLOTS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (a 128-bit digest of the set) and bands (one hash per band)."""
+    """doc_id, n_shingles, set_key (SHA-256 of the sorted set) and bands (one hash per band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,21 +85,21 @@ def signatures(docs: DataFrame, n: int, slots: int = SLOTS, band_rows: int = BAN
                 k = high - low
                 row, element = shingle_sets(at[low : high + 1], data, n)
                 counts = np.bincount(row, minlength=k)
+                ends = np.concatenate([[0], np.cumsum(counts)]) * 8
+                raw = memoryview(element.astype("<u8").tobytes())
+                keys = [hashlib.sha256(raw[x:y]).digest() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 with np.errstate(over="ignore"):
-                    digest = [np.zeros(k, np.uint64), np.zeros(k, np.uint64)]
-                    for part, salt in zip(digest, (0x243F6A8885A308D3, 0x13198A2E03707344), strict=True):
-                        np.add.at(part, row, mix(element ^ np.uint64(salt)))
                     signature = superminhash(row, element, k, slots)
                     band = np.full((k, slots // band_rows), 7, np.uint64)
                     for j in range(band_rows):
                         band = mix(band * np.uint64(0xD6E8FEB86659FD93) + signature[:, j::band_rows][:, : slots // band_rows])
                 bands = pa.FixedSizeListArray.from_arrays(pa.array(band.reshape(-1).view(np.int64)), slots // band_rows).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(low, k), pa.array(counts.astype(np.int64)), *(pa.array(d.view(np.int64)) for d in digest), bands],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                    [batch.column("doc_id").slice(low, k), pa.array(counts.astype(np.int64)), pa.array(keys, pa.binary()), bands],
+                    ["doc_id", "n_shingles", "set_key", "bands"],
                 )
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def forest(sizes: np.ndarray, row: np.ndarray, element: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -137,15 +140,23 @@ def forest(sizes: np.ndarray, row: np.ndarray, element: np.ndarray, percent: int
     return out
 
 
-def _linked(percent: int):
-    """Links in each group of rows with one task number; groups come one after the other."""
+def star(sizes: np.ndarray, row: np.ndarray, element: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """The links of the first set with the others."""
+    own = np.isin(element, element[: sizes[0]], kind="sort")
+    both = np.bincount(row[own], minlength=len(sizes))
+    linked = (both > 0) & (100 * both >= percent * (sizes + sizes[0] - both))
+    return [(0, x) for x in np.flatnonzero(linked[1:]) + 1]
+
+
+def _linked(percent: int, rule: Callable[..., list[tuple[int, int]]]):
+    """Links in each group of rows with one task number, by `forest` or `star`; groups come one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle(rows: pa.Table) -> pa.RecordBatch:
             ids = rows.column("doc_id").to_numpy()
             sets = rows.column("elements").combine_chunks()
             sizes = np.diff(sets.offsets.to_numpy()).astype(np.int64)
-            found = forest(sizes, np.repeat(np.arange(len(ids)), sizes), sets.flatten().to_numpy().view(np.uint64), percent)
+            found = rule(sizes, np.repeat(np.arange(len(ids)), sizes), sets.flatten().to_numpy().view(np.uint64), percent)
             a, b = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
             return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
@@ -226,27 +237,50 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
+def _blocks(sizes: DataFrame, *keys: str) -> DataFrame:
+    """keys and the number of blocks for groups of rows with n_shingles."""
+    return sizes.groupBy(*keys).agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCUMENTS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+
+
 def link_components(points: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """node and component for the class representatives (doc_id, n_shingles, bands) that are linked with another.
 
-    Representatives that share a bucket, directly or through others, form a family; all pairs of a family
-    are verified.  A large family is split into blocks by hash, and each pair of blocks is a task of its own, so
-    no task holds more than two blocks and no pair becomes a row: a task returns a forest of its links."""
+    First each member of a bucket is verified against the bucket's least one, its centre; a pair that meets in several bands
+    once, and the members of a common centre in blocks, each with a copy of the centre.  What a bucket's other members are
+    linked among themselves matters only where they lie in different components; such buckets, once for each set of
+    members, are verified in blocks, and each pair of blocks is a task of its own, so no task holds more than two."""
     buckets = points.select("doc_id", F.posexplode("bands").alias("band", "hash"))
     full = buckets.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("centre")).filter("n > 1").drop("n")
     full = written(full, "minhash-buckets")
-    met = buckets.join(full, ["band", "hash"]).filter("doc_id != centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
-    family = written(components(met), "minhash-families").withColumnRenamed("node", "doc_id").withColumnRenamed("component", "family")
-    family = family.join(points.select("doc_id", "n_shingles"), "doc_id")
-    sizes = family.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCUMENTS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    sizes = written(sizes, "minhash-family-sizes")
-    named = written(family.select("doc_id", "family").join(sizes, "family"), "minhash-members")
-    held = sets_of(texts(docs).join(named.hint("merge"), "doc_id"), n)  # the members grow with the input: no broadcast
+    members = written(buckets.join(full, ["band", "hash"]), "minhash-members")
+    sizes = points.select("doc_id", "n_shingles")
+    met = members.filter("doc_id != centre").select("centre", "doc_id").distinct().join(sizes.hint("merge"), "doc_id")
+    met = written(met, "minhash-met")
+    ends = met.select("doc_id").union(met.select("centre")).distinct()
+    # Members grow with the input: no broadcast.
+    held = written(sets_of(texts(docs).join(ends.hint("merge"), "doc_id"), n), "minhash-sets")
+
+    blocks = written(_blocks(met, "centre"), "minhash-blocks")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    others = met.join(blocks.hint("merge"), "centre").select("doc_id", F.xxhash64("centre", own).alias("task"), F.lit(1).alias("side"))
+    centres = blocks.select(F.col("centre").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    centres = centres.select("doc_id", F.xxhash64("doc_id", "own").alias("task"), F.lit(0).alias("side"))
+    dealt = held.join(centres.union(others).hint("merge"), "doc_id").repartition("task").sortWithinPartitions("task", "side", "doc_id")
+    links = written(dealt.select("doc_id", "task", "elements").mapInArrow(_linked(percent, star), "a long, b long"), "minhash-stars")
+
+    found = components(links)
+    rest = members.filter("doc_id != centre").join(found.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").select("doc_id", "band", "hash", F.coalesce("component", "doc_id").alias("part"))
+    mark = [F.sum(F.xxhash64(F.lit(k), "doc_id").cast("decimal(38,0)")).alias(f"mark_{k}") for k in (1, 2)]
+    open_ = rest.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), *mark).filter("n > 1 AND low != high")
+    once = open_.groupBy("n", "mark_1", "mark_2").agg(F.min(F.struct("band", "hash")).alias("b")).select("b.band", "b.hash")
+    pairs = rest.drop("part").join(once.hint("merge"), ["band", "hash"]).join(sizes.hint("merge"), "doc_id")
+    pairs = written(pairs, "minhash-open")
+    pairs = pairs.join(_blocks(pairs, "band", "hash").hint("merge"), ["band", "hash"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = held.withColumn("own", own).withColumn("other", other).select("doc_id", F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "elements")
-    links = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_linked(percent), "a long, b long")
-    return components(written(links, "minhash-edges"))
+    pairs = pairs.withColumn("own", own).withColumn("other", other).select("doc_id", F.xxhash64("band", "hash", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
+    dealt = held.join(pairs.hint("merge"), "doc_id").select("doc_id", "task", "elements").repartition("task").sortWithinPartitions("task")
+    more = written(dealt.mapInArrow(_linked(percent, forest), "a long, b long"), "minhash-edges")
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
 
 def near_dedup(docs: DataFrame, n: int = 5, percent: int = 80, slots: int = SLOTS, band_rows: int = BAND_ROWS) -> DataFrame:
@@ -259,7 +293,7 @@ def near_dedup(docs: DataFrame, n: int = 5, percent: int = 80, slots: int = SLOT
     are equal share a class, whatever their texts.  A null doc_id gets a null component.  Other columns are not
     read; an empty table gives an empty result."""
     signed = written(signatures(docs, n, slots, band_rows), "minhash-signed")
-    key = ["n_shingles", "set_a", "set_b"]
+    key = ["n_shingles", "set_key"]
     classes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min(F.struct("doc_id", "bands")).alias("least"))
     classes = written(classes.select(*key, F.col("least.doc_id").alias("class_id"), F.col("least.bands").alias("bands")), "minhash-classes")
     found = link_components(classes.select(F.col("class_id").alias("doc_id"), "n_shingles", "bands"), docs, n, percent)

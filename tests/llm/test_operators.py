@@ -301,6 +301,47 @@ def test_near_dedup_against_brute_force(spark, edges, empty):
     assert minhash.near_dedup(empty).count() == 0
 
 
+def test_near_dedup_blocks_and_open_buckets(spark, monkeypatch):
+    """Blocks of a few documents; chains, whose ends are not linked with the bucket's least document."""
+    monkeypatch.setattr(minhash, "BLOCK_DOCUMENTS", 3)
+    rng = random.Random(10)
+    data, k = [], 0
+    for _ in range(12):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(100)]
+        for step in range(9):
+            data.append((k, " ".join(words)))
+            k += 1
+            words[rng.randrange(100)] = f"e{k}"
+            words[rng.randrange(100)] = f"f{k}"
+    rng.shuffle(data)
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(98)} for i, t in data}
+    part = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            both = len(sets[a] & sets[b])
+            if a < b and 100 * both >= 85 * (len(sets[a] | sets[b])) and part[a] != part[b]:
+                low, high = sorted((part[a], part[b]))
+                part = {i: low if p == high else p for i, p in part.items()}
+    got = minhash.near_dedup(spark.createDataFrame(data, "doc_id long, text string"), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == part and len(set(part.values())) == 12
+
+
+@pytest.mark.parametrize("similarity,recall", [(0.85, 0.999), (0.8, 0.999)])
+def test_bands_meet_at_the_threshold(similarity, recall):
+    """Of 4,000 pairs of sets at exactly the threshold, the share that has a band in common."""
+    rng = np.random.default_rng(4)
+    size = 170
+    both = round(2 * size * similarity / (1 + similarity))
+    met = 0
+    for _ in range(8):
+        pool = rng.integers(0, 2**63, (500, 2 * size - both)).astype(np.uint64)
+        x, y = pool[:, :size], np.concatenate([pool[:, :both], pool[:, size:]], 1)
+        signed = minhash.superminhash(np.repeat(np.arange(1000), size), np.concatenate([x, y]).reshape(-1), 1000)
+        same = signed[:500] == signed[500:]
+        met += int(same.reshape(500, -1, minhash.BAND_ROWS).all(2).any(1).sum())
+    assert met >= recall * 4000
+
+
 def test_superminhash_estimates():
     rng = np.random.default_rng(1)
     a, b = (rng.integers(0, 2**63, 900).astype(np.uint64) for _ in range(2))
