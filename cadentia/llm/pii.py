@@ -4,7 +4,7 @@ The field scores whole candidate segments (shape, digit count, check sum, punctu
 sums over all segmentations of a window; an entity has at most MOST_ATOMS atoms, so training and
 decoding take time in proportion to the window.  A window is a run of chunks with a digit or an @; outside
 windows no segment can be an entity, so decoding them alone is exact.  The model is trained here on the base spans of
-a bounded sample and on variants of them that the patterns don't match (no country code, other separators).
+a bounded sample and on variants of them that the patterns don't match (no country code, other separators, bracketed signs).
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from cadentia.llm.common import texts
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the training sample: documents read, and windows taken from them.
 TRAIN_DOCUMENTS, TRAIN_WINDOWS = 2_000, 300
-MOST_ATOMS = 16
+#: Atoms and characters of an added span at most; base spans have no such bound.
+MOST_ATOMS, MOST_CHARS = 16, 320
 EPOCHS, RATE, DECAY = 6, 0.3, 1e-3
 #: A decoded span counts if its log odds against leaving it out are at least this.
 MARGIN = 1.0
@@ -37,6 +38,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WINDOW = re.compile(r"(?<!\S)(?:[^\s0-9@]*[0-9@]\S*)(?:[ \t]{1,2}[^\s0-9@]*[0-9@]\S*)*")
+_WANTED = re.compile("[0-9]{2}|@")
 _ATOM = re.compile(r"[0-9]+|[^\W\d_]+|\s|[^\s]")
 
 
@@ -93,8 +95,8 @@ def _shape(segment: str) -> str:
     return runs if len(runs) <= 40 else runs[:40] + "~"
 
 
-def features(window: str, start: int, end: int, kind: str) -> list[str]:
-    """Features of the whole segment for one kind."""
+def features(window: str, start: int, end: int) -> list[str]:
+    """Features of the whole segment; each has a weight for each kind."""
     segment = window[start:end]
     digits = [c for c in segment if "0" <= c <= "9"]
     before, after = window[start - 1 : start] or "^", window[end : end + 1] or "$"
@@ -115,21 +117,26 @@ def features(window: str, start: int, end: int, kind: str) -> list[str]:
         own.append(f"luhn{luhn(''.join(digits))}")
     if segment.count(".") == 3 and n >= 4 and n + 3 == len(segment):
         own.append(f"bytes{all(p and int(p) <= 255 for p in segment.split('.'))}")
-    return [f"{kind}:{f}" for f in own]
+    return own
 
 
-def candidates(window: str, marks: list[tuple[int, int]]) -> dict[int, list[tuple[int, list[list[str]]]]]:
-    """For each end, the starts of the segments that end there with the features of each kind; only
-    segments with a digit or an @ that begin and end outside white space can be entities."""
-    out: dict[int, list] = defaultdict(list)
-    for i in range(len(marks)):
-        if window[marks[i][0]].isspace():
+def candidates(window: str, marks: list[tuple[int, int]]) -> Iterator[tuple[int, list[tuple[int, list[str]]]]]:
+    """From left to right each end with the starts and features of the segments that end there; only
+    segments with two digits or an @ that begin and end outside white space can be entities.  No more than the features of
+    one end, MOST_ATOMS segments, are alive at once."""
+    for j in range(1, len(marks) + 1):
+        b = marks[j - 1][1]
+        if window[b - 1].isspace():
             continue
-        for j in range(i, min(len(marks), i + MOST_ATOMS)):
-            a, b = marks[i][0], marks[j][1]
-            if not window[b - 1].isspace() and b - a >= 5 and re.search("[0-9]{2}|@", window[a:b]):
-                out[j + 1].append((i, [features(window, a, b, kind) for kind in KINDS]))
-    return out
+        found = []
+        for i in range(j - 1, max(-1, j - 1 - MOST_ATOMS), -1):
+            a = marks[i][0]
+            if b - a > MOST_CHARS:
+                break
+            if b - a >= 5 and not window[a].isspace() and _WANTED.search(window, a, b):
+                found.append((i, features(window, a, b)))
+        if found:
+            yield j, found[::-1]
 
 
 def _sums(x: list[float]) -> float:
@@ -148,7 +155,8 @@ def fit(examples: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = EP
         marks = atoms(window)
         starts, ends = {a: i for i, (a, _) in enumerate(marks)}, {b: i + 1 for i, (_, b) in enumerate(marks)}
         gold = {(starts[a], ends[b], KINDS.index(k)) for k, a, b in spans if a in starts and b in ends and ends[b] - starts[a] <= MOST_ATOMS}
-        ready.append((len(marks), candidates(window, marks), gold))
+        table = {j: [(i, [[f"{kind}:{f}" for f in fs] for kind in KINDS]) for i, fs in segs] for j, segs in candidates(window, marks)}
+        ready.append((len(marks), table, gold))
     for _ in range(epochs):
         for n, table, gold in ready:
             score = {(i, j, y): sum(weights.get(f, 0.0) for f in fs) for j, segs in table.items() for i, kinds in segs for y, fs in enumerate(kinds)}
@@ -176,20 +184,32 @@ def fit(examples: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = EP
     return {f: round(w, 6) for f, w in weights.items() if abs(w) > 1e-3}
 
 
-def decode(window: str, weights: dict[str, float], margin: float = MARGIN) -> list[tuple[str, int, int]]:
-    """The best joint choice of boundaries and kinds."""
+Weights = dict[str, tuple[float, ...]]
+
+
+def by_feature(weights: dict[str, float]) -> Weights:
+    """The weights of a feature for all kinds."""
+    names = {f.partition(":")[2] for f in weights}
+    return {f: tuple(weights.get(f"{kind}:{f}", 0.0) for kind in KINDS) for f in names}
+
+
+def decode(window: str, weights: Weights, margin: float = MARGIN) -> list[tuple[str, int, int]]:
+    """The best joint choice of boundaries and kinds.  Memory besides the window: three words for each of its atoms."""
     marks = atoms(window)
-    table = candidates(window, marks)
-    if not table:
-        return []
     best, back = [0.0] * (len(marks) + 1), [None] * (len(marks) + 1)
-    for j in range(1, len(marks) + 1):
-        best[j] = best[j - 1]
-        for i, kinds in table.get(j, ()):
-            for y, fs in enumerate(kinds):
-                s = sum(weights.get(f, 0.0) for f in fs)
-                if s >= margin and best[i] + s > best[j]:
-                    best[j], back[j] = best[i] + s, (i, KINDS[y])
+    done = 0
+    for j, segments in candidates(window, marks):
+        for k in range(done + 1, j + 1):
+            best[k] = best[k - 1]
+        done = j
+        for i, fs in segments:
+            sums = [0.0] * len(KINDS)
+            for f in fs:
+                if (w := weights.get(f)) is not None:
+                    sums = [a + b for a, b in zip(sums, w, strict=True)]
+            top = max(sums)
+            if top >= margin and best[i] + top > best[j]:
+                best[j], back[j] = best[i] + top, (i, KINDS[sums.index(top)])
     out, j = [], len(marks)
     while j:
         if back[j] is None:
@@ -214,6 +234,9 @@ def variants(window: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[s
     if kind == "card" and window[a:b].isdigit():
         parts = ".".join(window[k : min(k + 4, b)] for k in range(a, b, 4))
         yield window[:a] + parts + window[b:], [(kind, a, a + len(parts))]
+    if kind in ("email", "ip"):
+        other = window[a:b].replace("@", "[@]") if kind == "email" else window[a:b].replace(".", "[.]")
+        yield window[:a] + other + window[b:], [(kind, a, a + len(other))]
 
 
 def sample(docs: DataFrame, documents: int = TRAIN_DOCUMENTS, most: int = TRAIN_WINDOWS) -> list[tuple[str, list[tuple[str, int, int]]]]:
@@ -249,7 +272,7 @@ def find_pii(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFr
     docs = texts(docs)
     if weights is None:
         weights = fit(sample(docs))
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = docs.sparkSession.sparkContext.broadcast(by_feature(weights))
     wanted = re.compile("[0-9@]")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

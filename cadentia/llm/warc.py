@@ -6,7 +6,7 @@ is a response; later ones are revisits that name it and hold only their HTTP hea
 
 Reading: each file is parsed by Content-Length, its entries are sorted by URL key and time, and so each
 file is a sorted run.  Tasks own ranges of keys; a task spools its part of every run and merges the runs by
-a loser tree, a block of each run in memory.
+a loser tree, a block of each run in memory and FAN_IN runs at once; of more runs it makes longer ones first.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import base64
 import hashlib
 import tempfile
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -26,7 +27,12 @@ from pyspark.sql import types as T
 from cadentia.llm.common import shared_folder, written
 
 RECORDS_PER_FILE = 1_000
-BLOCK_ROWS = 4_096
+#: Bytes of payload in a file at most, or one record.
+FILE_BYTES = 256_000_000
+BLOCK_ROWS = 256
+FAN_IN = 64
+#: Seconds from 2024-01-01 to the end of the year 9999; a larger page_id starts again.
+SECONDS = 251_698_233_600
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 ENTRY = "url_key string, capture_ts string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
 
@@ -41,18 +47,21 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], [*batch.schema.names, "digest"])
 
 
-def write_warc(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_warc(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
     """Archives of pages (page_id, url, html), a record per row.
 
     Null html is empty, a null url the empty URI; control characters of a URL are percent-encoded.  Equal
     payloads: the least page_id is the response; rows that repeat it are responses too (one capture
     written twice), and null page_ids are revisits if another page has the payload.  The capture time is
-    the page_id in seconds from 2024-01-01."""
+    the page_id (modulo SECONDS; null: 0) in seconds from 2024-01-01.  A file has as many records as fit file_bytes if all are as long as
+    the longest, and records_per_file at most."""
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
     content = F.sha2("payload", 256)
     firsts = rows.select("page_id", content.alias("content")).groupBy("content").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     firsts = written(firsts, "warc-firsts")
+    longest = rows.agg(F.max(F.octet_length("payload"))).first()[0] or 1
+    records_per_file = max(1, min(records_per_file, file_bytes // longest))
     marked = rows.withColumn("content", content).join(firsts, "content", "left").drop("content")
     schema = T.StructType([*marked.schema, T.StructField("digest", T.StringType())])
     summed = marked.mapInArrow(_digests, schema)
@@ -62,7 +71,7 @@ def write_warc(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_
     head = F.concat(F.lit(HTTP), n.cast("string"), F.lit("\r\n\r\n"))
     block = F.when(again, head).otherwise(F.concat(head, F.col("payload")))
     uri = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), "\t", "%09")
-    when = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce(F.col("page_id"), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    when = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(SECONDS))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(again, "revisit").otherwise("response")),
@@ -80,12 +89,13 @@ def write_warc(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_
 
 
 def url_key(url: str) -> str:
-    """Host labels from the right, then path and query; lower case, without scheme, port, fragment or www."""
-    parts = urlsplit(url if "//" in url else f"//{url}")
+    """Host labels from the right, then path and query; lower case, without scheme, port, fragment or www.  A text that is
+    no URL counts as a path without a host."""
     try:
+        parts = urlsplit(url if "//" in url else f"//{url}")
         host = (parts.hostname or "").removeprefix("www.")
     except ValueError:
-        host = ""
+        return f"){url}".lower()
     return f"{','.join(reversed(host.split('.')))}){parts.path or '/'}{'?' + parts.query if parts.query else ''}".lower()
 
 
@@ -168,7 +178,7 @@ class LoserTree:
             self.winner = at
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
+def merge_runs(runs: DataFrame, block_rows: int = BLOCK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """The entries of all runs in order of URL key, time and page: partition after partition of the result.
 
     Ranges are cut by the whole key, so one URL captured very often is shared by many tasks."""
@@ -179,15 +189,19 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         with tempfile.TemporaryFile() as spool:
             runs_at: dict[str, list[tuple[int, int]]] = {}
             arrow = None
+
+            def put(block: pa.RecordBatch) -> tuple[int, int]:
+                raw, at = block.serialize(), spool.seek(0, 2)
+                spool.write(raw)
+                return at, raw.size
+
             for batch in batches:
                 arrow = batch.schema
                 files = batch.column("file").to_pylist()
                 low = 0
                 for high in range(1, len(files) + 1):
-                    if high == len(files) or files[high] != files[low] or high - low == BLOCK_ROWS:
-                        raw = batch.slice(low, high - low).serialize()
-                        runs_at.setdefault(files[low], []).append((spool.tell(), raw.size))
-                        spool.write(raw)
+                    if high == len(files) or files[high] != files[low] or high - low == block_rows:
+                        runs_at.setdefault(files[low], []).append(put(batch.slice(low, high - low)))
                         low = high
 
             def rows(blocks):
@@ -196,16 +210,18 @@ def merge_runs(runs: DataFrame) -> DataFrame:
                     block = pa.ipc.read_record_batch(pa.py_buffer(spool.read(size)), arrow).to_pydict()
                     columns = [block[c] for c in names]
                     for row in zip(*columns, strict=True):
-                        yield (row[0], row[1], -1 if row[2] is None else row[2], row[9], row)
+                        yield (row[0], row[1], -1 if row[2] is None else row[2], row[8], row[9], row)
 
-            out = []
-            for *_, row in LoserTree([rows(b) for b in runs_at.values()]) if runs_at else ():
-                out.append(row)
-                if len(out) == BLOCK_ROWS:
+            def merged(blocks) -> Iterator[pa.RecordBatch]:
+                tree = iter(LoserTree([rows(b) for b in blocks]))
+                while out := [row[-1] for row in islice(tree, block_rows)]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], names)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], names)
+
+            sorted_runs = list(runs_at.values())
+            while len(sorted_runs) > fan_in:
+                sorted_runs = [[put(b) for b in merged(sorted_runs[k : k + fan_in])] for k in range(0, len(sorted_runs), fan_in)]
+            if sorted_runs:
+                yield from merged(sorted_runs)
 
     ranged = runs.repartitionByRange("url_key", "capture_ts", "page_id", "file", "offset")
     return ranged.sortWithinPartitions("file", "url_key", "capture_ts", "page_id", "offset").mapInArrow(merge, schema)

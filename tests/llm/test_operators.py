@@ -187,6 +187,25 @@ def test_warc_round_trip(spark):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_warc_takes_any_url_and_page_id(spark):
+    data = [(10**15, "http://[x", "a"), (5 * 10**18, "http://a]b/", "b"), (-3, "", None), (3 * 10**11, "http://[::1", "a"), (2**63 - 1, "x" * 20_000, "")]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    out = {r.page_id: r for r in warc.archive(pages).collect()}
+    assert set(out) == {i for i, *_ in data} and all(len(r.capture_ts) == 20 for r in out.values())
+    assert out[10**15].refers_to == 3 * 10**11 and out[2**63 - 1].refers_to == -3
+
+
+def test_warc_files_are_bounded_and_merged_in_passes(spark, tmp_path):
+    data = [(i, f"http://h{i * 7 % 40}.example/{i % 9}", "p" * 1000 if i % 2 else f"q{i}") for i in range(200)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    warc.write_warc(pages.coalesce(1), f"{tmp_path}/w", file_bytes=3_500)
+    files = [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-")]
+    assert len(files) >= 60 and max(p.stat().st_size for p in files) < 3_500 + 3 * 700
+    runs = warc.read_runs(spark, f"{tmp_path}/w")
+    got = [(r.url_key, r.capture_ts, r.page_id) for r in warc.merge_runs(runs, block_rows=2, fan_in=3).collect()]
+    assert got == sorted(got) and len(got) == 200
+
+
 def test_loser_tree():
     rng = random.Random(4)
     for k in range(0, 9):
@@ -223,6 +242,56 @@ def test_pii_base_and_field(spark, edges, empty):
     assert pii.find_pii(edges).count() == len(EDGES) and pii.find_pii(empty).count() == 0
 
 
+def test_pii_decoding_is_the_best_of_all():
+    """Against all choices of segments and kinds that don't overlap."""
+    rng = random.Random(11)
+    for turn in range(60):
+        window = "".join(rng.choice(["12", "7", "ab", "@", ".", "-", " ", "345"]) for _ in range(rng.randint(1, 9)))
+        marks = pii.atoms(window)
+        pool = [(i, j, fs) for j, segs in pii.candidates(window, marks) for i, fs in segs]
+        weights = {f"{k}:{f}": rng.uniform(-1.5, 1.5) for k in pii.KINDS for _, _, fs in pool for f in fs}
+        score = {(i, j): max(sum(weights[f"{k}:{f}"] for f in fs) for k in pii.KINDS) for i, j, fs in pool}
+        fine = {k: v for k, v in score.items() if v >= 0.5}
+
+        def best(at):
+            return max([0.0, *(v + best(j) for (i, j), v in fine.items() if i >= at)])
+
+        got = pii.decode(window, pii.by_feature(weights), 0.5)
+        ends = {(a, b) for _, a, b in got}
+        total = sum(v for (i, j), v in fine.items() if (marks[i][0], marks[j - 1][1]) in ends)
+        assert len(ends) == len(got) and abs(total - best(0)) < 1e-9
+
+
+def test_pii_long_windows_and_added_kinds():
+    """A long unbroken window in bounded time; the share of forms outside the patterns that the field finds, for each kind."""
+    rng = random.Random(12)
+
+    def make(kind):
+        n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+        if kind == "email":
+            return f"{rng.choice('abcdefgh')}{n(2)}@{rng.choice(['mail', 'post', 'web'])}{n(1)}.{rng.choice(['org', 'com', 'net'])}"
+        if kind == "ip":
+            return ".".join(str(rng.randint(10, 255)) for _ in range(4))
+        if kind == "phone":
+            return f"+1 ({rng.randint(200, 999)}) {n(3)}-{n(4)}"
+        head = "4" + n(14)
+        return next(head + d for d in "0123456789" if pii.luhn(head + d))
+
+    def forms(count):
+        return [list(pii.variants(t := make(k), [(k, 0, len(t))])) for k in pii.KINDS for _ in range(count)]
+
+    noise = [(f"{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", []) for _ in range(60)] + [(f"v{rng.randint(10, 99)}.{rng.randint(1, 9)}", []) for _ in range(40)]
+    weights = pii.by_feature(pii.fit([x for own in forms(40) for x in own] + noise))
+    found = defaultdict(list)
+    for own in forms(50):
+        window, spans = own[-1]
+        assert not pii.base_spans(window)
+        found[spans[0][0]].append(pii.decode(window, weights) == spans)
+    assert {k: sum(v) / len(v) >= 0.9 for k, v in found.items()} == dict.fromkeys(pii.KINDS, True)
+    assert sum(bool(pii.decode(w, weights)) for w, _ in noise) <= 2
+    assert isinstance(pii.decode("0f3a9b,17;" * 2_000, weights), list)
+
+
 def test_mixing_targets_and_copies(spark, edges, empty):
     rng = random.Random(6)
     data = [(i, "w " * rng.randint(0, 40), None, rng.choice(["a", "a", "a", "b", "c", None])) for i in range(3000)]
