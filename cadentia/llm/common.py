@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +18,11 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is missing (tests on one machine) is a temporary folder used."""
+    Only where that setting is missing and all runs on one machine is a temporary folder used."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='cadentia-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -34,6 +36,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, find: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """The rows of docs but those that find(doc_id, text) names by doc_id.
+
+    Each row is judged by itself: rows without a doc_id, or with one that other rows have too, are written once with a number of
+    their own, below all ids, which stands for the doc_id.  Columns are as in docs."""
+    ids = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").select("doc_id"), f"{name}-ids")
+    if not ids.head(1):
+        gone = written(find(docs.select("doc_id", "text")).select("doc_id").distinct(), name)
+        return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    named, own = ids.filter("doc_id IS NOT NULL").hint("merge"), next(c for c in map("row{}".format, range(len(docs.columns) + 1)) if c not in docs.columns)
+    odd = docs.filter("doc_id IS NULL").unionByName(docs.join(named, "doc_id", "left_semi").select(docs.columns))
+    odd = written(odd.withColumn(own, F.lit(-(1 << 63)) + F.monotonically_increasing_id()), f"{name}-rows")
+    plain = docs.filter("doc_id IS NOT NULL").join(named, "doc_id", "left_anti")
+    both = plain.select("doc_id", "text").union(odd.select(own, "text"))
+    gone = written(find(both).select("doc_id").distinct(), name)
+    rest = odd.join(gone.withColumnRenamed("doc_id", own).hint("merge"), own, "left_anti")
+    return plain.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns).unionByName(rest.select(docs.columns))
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty) of a table of documents, whatever other columns it has."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
@@ -84,11 +105,24 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def words(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row of each word and its 64-bit hash, A-Z lower-cased, for the rows between the offsets `at`."""
+def words(at: np.ndarray, data: np.ndarray, most: int = 8_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Row of each word and its 64-bit hash, A-Z lower-cased, for the rows between the offsets `at`.
+
+    A text of more than `most` bytes is hashed part by part, cut at white space, so memory besides the result is bounded by
+    that and the longest word."""
     base, end = int(at[0]), int(at[-1])
     if end == base:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if end - base > most and len(at) == 2:
+        parts, low = [], base
+        while low < end:
+            high = min(low + most, end)
+            while high < end and not _SPACE[data[high]]:
+                ahead = np.flatnonzero(_SPACE[data[high : high + most]])
+                high = min(high + (int(ahead[0]) if len(ahead) else most), end)
+            parts.append(words(np.array([low, high]), data, high - low))
+            low = high
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     part = data[base:end]
     solid = ~_SPACE[part]
     edge = np.zeros(len(part) + 1, bool)

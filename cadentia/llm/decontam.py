@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadentia.llm.common import WORD_PATTERN, shingles, slices, texts, utf8, words, written
+from cadentia.llm.common import WORD_PATTERN, shingles, slices, texts, utf8, without, words, written
 
 N = 3
 #: An n-gram that occurs more often than this many times the median of its item and of its stretches is no seed.
@@ -68,8 +68,9 @@ def align(items: list[np.ndarray], parts: list[np.ndarray]) -> np.ndarray:
 
 
 def threshold(length: int, share: float = SHARE, least: int = LEAST) -> float:
-    """Score from which an item of so many words counts as found; short ones need 4 words in 5."""
-    return max(share * MATCH * length, min(least, 0.8 * MATCH * length))
+    """Score from which an item of so many words counts as found; short ones need 4 words in 5, and a run of STRETCH words
+    is enough however long the item is."""
+    return min(max(share * MATCH * length, min(least, 0.8 * MATCH * length)), MATCH * STRETCH)
 
 
 def _table(items: list[tuple[int, str]]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -137,11 +138,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, ratio: float = RATI
     """Pairs doc_id, item_id with score (of the best alignment) and similarity (score over the item's full score).
 
     Words are runs without white space, A-Z lower-cased.  Null or empty texts and items give no pair;
-    items with fewer than n words have no seed and are not searched.  Each pair comes once for each row of docs
+    items with fewer than n words have no seed; they are found in documents that have just the same words.  Each pair comes once for each row of docs
     that has it.  Items that repeat are found each.  Extra columns are not read; with no document or no item the
     result is empty."""
     spark, docs = docs.sparkSession, texts(docs)
-    items = written(benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.regexp_count("text", F.lit(WORD_PATTERN)) >= n), "leaks-items")
+    every = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("length", F.regexp_count("text", F.lit(WORD_PATTERN)))
+    every = written(every.filter("length > 0"), "leaks-items")
+    items, short = every.filter(F.col("length") >= n), every.filter(F.col("length") < n)
     size = items.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(WORD_PATTERN))), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / block_words))
     found = None
@@ -149,7 +152,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, ratio: float = RATI
         rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
         part = _search(docs, [(r.item_id, r.text) for r in rows], n, ratio, share, least)
         found = part if found is None else found.unionByName(part)
-    return found
+    if not short.head(1):
+        return found
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    same = F.concat_ws(" ", F.regexp_extract_all(low, F.lit(WORD_PATTERN), F.lit(0)))
+    own = docs.filter(F.regexp_count("text", F.lit(WORD_PATTERN)).between(1, n - 1)).select("doc_id", same.alias("words"))
+    score = F.col("length").cast("long") * MATCH
+    return found.unionByName(own.join(short.select("item_id", "length", same.alias("words")).hint("merge"), "words").select("doc_id", "item_id", score.alias("score"), F.lit(1.0).alias("similarity")))
 
 
 def _search(docs: DataFrame, items: list[tuple[int, str]], n: int, ratio: float, share: float, least: int) -> DataFrame:
@@ -184,12 +193,14 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], n: int, ratio: float,
 
             def settle(waiting):
                 waiting.sort(key=lambda x: len(x[2]))
-                for k in range(0, len(waiting), 64):
-                    group = waiting[k : k + 64]
+                while waiting:
+                    # The longest last; together about two million words at most, or one pair.
+                    size = max(1, min(64, 2_000_000 // max(1, len(waiting[-1][2]))))
+                    group = waiting[-size:]
+                    del waiting[-size:]
                     for (r, i, _), s in zip(group, align([word_lists[i] for _, i, _ in group], [p for _, _, p in group]), strict=True):
                         if s >= threshold(len(word_lists[i]), share, least):
                             best[r, i] = max(best.get((r, i), 0), int(s))
-                waiting.clear()
 
             waiting: list[tuple[int, int, np.ndarray]] = []
             for low, high in slices(at):
@@ -220,10 +231,9 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], n: int, ratio: float,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without those that hold a test item; columns as they are.  A null doc_id can't be
-    named by a pair, so such a row stays."""
-    bad = written(leaks(docs, benchmark, **options).select("doc_id").distinct(), "leaks-documents")
-    return docs.join(bad.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    """The documents without those that hold a test item; columns as they are.  Rows with a null or repeated doc_id are judged
+    one by one."""
+    return without(docs, lambda rows: leaks(rows, benchmark, **options), "leaks-documents")
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

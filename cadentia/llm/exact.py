@@ -75,6 +75,18 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, hot_share: int = HOT_SHARE,
     )
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """One row of docs for each text; columns as they are.
+
+    Of rows that repeat doc_id and text, the least by its columns stays, in the order of the table's columns (nulls first)."""
+    kept = exact_dedup(docs).filter("kept")
+    if kept.groupBy("text_sha256").agg(F.count("*").alias("n")).filter("n > 1").head(1):
+        # Every text is its digest's only one here, unless two collide: so texts are told apart as well.
+        first = kept.groupBy("text_sha256", F.coalesce("text", F.lit("")).alias("content")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+        return first.select("row.*")
+    return kept.select(docs.columns)
+
+
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

@@ -44,15 +44,18 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataF
     )
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, copies, taken.
+def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, block_rows: int = BLOCK_ROWS, whole: bool = False) -> DataFrame:
+    """One row per document: doc_id, size, source, source_size, target, copies, taken; if `whole`, also document, all of
+    its columns, so that nothing has to be joined to it by doc_id.
 
     Null texts and texts without words have size 0 and never add words.  A null source is a source of its
     own.  A source of size 0 has target 0.  Repeated rows are ranked one after the other, so each gets
     its share; rows that tie in every key are equal, and so is the result whichever comes first.  An empty
     table gives an empty result.  Other columns are not read."""
-    salt_bits = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"))
+    document = [F.struct(*docs.columns).alias("document")] if whole else []
+    name = F.coalesce(F.col("doc_id").cast("string"), F.col("document.text") if whole else F.lit(""), F.lit(""))
+    salt_bits = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long")
+    sized = docs.select("doc_id", "source", *document, F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"))
     sized = written(sized, "mix-sizes")
     goal = written(targets(sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size")), weights, most), "mix-targets")
     salts = F.ceil(F.col("n_docs") / block_rows).cast("long")
@@ -63,12 +66,12 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, block
     blocks = rows.groupBy(*key).agg(F.count("*").alias("n"))
     along = Window.partitionBy("no_source", "s").orderBy("band", "salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = written(blocks.select(*key, F.coalesce(F.sum("n").over(along), F.lit(0)).alias("start")), "mix-blocks")
-    inside = Window.partitionBy(*key).orderBy("size", "doc_id")
+    inside = Window.partitionBy(*key).orderBy("size", "doc_id", *(["document"] if whole else []))
     ranked = rows.join(starts, key).withColumn("rank", F.col("start") + F.row_number().over(inside))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     crossed = F.floor(F.col("offset") + expected * F.col("rank")) - F.floor(F.col("offset") + expected * (F.col("rank") - 1))
     return ranked.withColumn("copies", F.least(crossed, F.lit(most)).cast("long")).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["document"] if whole else [])
     )
 
 

@@ -28,6 +28,8 @@ from cadentia.llm.induced import sort_suffixes
 WIDTH = 100
 #: Bytes that a shard is sorted with at once; a larger group comes whole.
 SHARD_BYTES = 4_000_000
+#: Bytes of a text that are read for anchors at once.
+PART_BYTES = 4_000_000
 #: A key with more regions than this is dealt further.
 HOT_ROWS = 2_000
 NO_ID = -(1 << 63)
@@ -66,8 +68,14 @@ def _find(width: int):
             ids = batch.column("doc_id").to_numpy()
             parts = []
             for lo, hi in slices(at):
-                row, anchor, low, high, gram, content = regions(at[lo : hi + 1], data, width)
-                parts.append((gram.view(np.int64), content.view(np.int64), ids[lo + row], low, high - low + 1, anchor))
+                for begin in range(int(at[lo]), int(at[hi]), PART_BYTES) if hi == lo + 1 else [int(at[lo])]:
+                    # A long text in parts that overlap by a window less a byte, so each window is in one of them.
+                    own = at[lo : hi + 1] if hi > lo + 1 else np.array([begin, min(begin + PART_BYTES + width - 1, at[hi])])
+                    row, anchor, low, high, gram, content = regions(own, data, width)
+                    moved = begin - int(at[lo])
+                    parts.append((gram.view(np.int64), content.view(np.int64), ids[lo + row], low + moved, high - low + 1, anchor + moved))
+            if not parts:
+                continue
             gram, content, doc, low, n, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
             order, later = _first_of_equal([gram, content], doc, low)
             gram = np.where(later, 0, gram[order])

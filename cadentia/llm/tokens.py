@@ -2,14 +2,14 @@
 
 A huge document is cut into chunks that overlap.  Each chunk is encoded alone, and its tokens' offsets
 come from the lengths of the pieces.  Two neighbours are spliced at a boundary that both have inside
-their overlap and that is proven stable: a space after another character, with no piece of the vocabulary
-reaching across such a place.  No merge can then cross it, so what follows it is encoded alike whatever
-came before.  Where an overlap holds no such boundary it is doubled, up to the whole rest of the text.
+their overlap and that is proven stable: two characters that stand side by side in no piece of the vocabulary, as a
+letter and a space, or most pairs of ideographs.  What a merge makes is a piece, so no merge can cross such a place, and what
+follows it is encoded alike whatever came before.  Where an overlap holds no such boundary it is doubled, up to the
+whole rest of the text (one letter repeated without end has none).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +24,7 @@ LIMIT = 4096
 
 
 class Pieces:
-    """A piece model with the lengths of its pieces and the proof that spaces are boundaries."""
+    """A piece model with the lengths of its pieces and the pairs of characters that stand in them."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -35,10 +35,15 @@ class Pieces:
         # In a piece "▁" stands for one space; a byte piece for one byte.
         self.lengths = np.array([1 if self.model.is_byte(i) else len(p.replace("▁", " ").encode()) for i, p in enumerate(names)])
         self.unknown = self.model.unk_id()
-        crossing = any(re.search("[^▁]▁", p) for i, p in enumerate(names) if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i)))
+        ordinary = (p.replace("▁", " ") for i, p in enumerate(names) if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i)))
+        self.pairs = {pair for p in ordinary for pair in zip(p, p[1:])}
         plain = ["a", " a", "a  b ", "\t\n", "ﬁé́"]
-        identity = all(self.model.decode(self.model.encode(x)) == x for x in plain)
-        self.provable = identity and not crossing
+        self.provable = all(self.model.decode(self.model.encode(x)) == x for x in plain)
+
+    def stable(self, data: bytes, at: int) -> bool:
+        """Whether no piece reaches across the start of a character at `at`."""
+        before = _boundary(data, at - 1, -1)
+        return (data[before:at].decode(), data[at : _boundary(data, at + 1, 1)].decode()) not in self.pairs
 
     def encode(self, chunk: bytes, first: bool) -> tuple[np.ndarray, bool]:
         """Offsets in bytes at which tokens begin in a chunk, -1 for the space that is put before it; and
@@ -76,9 +81,10 @@ def spliced_count(pieces: Pieces, data: bytes, chunk: int = CHUNK_BYTES, overlap
             if not fine:
                 return pieces.count([data.decode()])[0]
             common = np.intersect1d(left + low, right + begin)
-            common = [b for b in common if max(begin, since) < b < high and data[b] == 32 and data[b - 1] != 32]
-            if common:
-                spliced = int(common[-1])
+            inside = (int(b) for b in common[::-1] if max(begin, since) < b < high and data[b] & 0xC0 != 0x80)
+            spliced = next((b for b in inside if pieces.stable(data, b)), None)
+            if spliced is not None:
+                pass
             elif begin == low:  # the overlap is the whole chunk: make the chunk itself longer
                 high = _boundary(data, min(len(data), high + chunk), 1)
                 left, fine = pieces.encode(data[low:high], low == 0)

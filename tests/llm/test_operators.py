@@ -65,6 +65,89 @@ def test_language_held_out(spark, edges, empty):
     assert langid.identify(empty).count() == 0
 
 
+def test_language_scores_against_plain_naive_bayes(spark):
+    """Counts, argmax and score of a multinomial naive Bayes written with dictionaries."""
+    rng = random.Random(13)
+    alphabet = {"en": "the and,of 7", "el": "αβγ δέ.ζ", "ja": "これは 文字の🙂"}
+    data = [(i, "".join(rng.choice(alphabet[lang]) for _ in range(rng.randint(0, 25))), lang, None) for i, lang in enumerate([*alphabet] * 30)]
+    data += [(900, "a\u0301 é E", "en", None), (901, "語the", "ja", None), (902, None, "en", None), (903, "x", None, None)]
+    m64 = (1 << 64) - 1
+
+    def bucket(gram):
+        h = len(gram)
+        for c in gram:
+            h = ((h ^ int.from_bytes(c.encode(), "big")) * 0x9E3779B97F4A7C15) & m64
+            h ^= h >> 29
+        h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & m64
+        h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & m64
+        return (h ^ (h >> 31)) % langid.BUCKETS
+
+    def grams(text):
+        chars = re.sub(" +", " ", "".join(c if c >= "\x80" or "a" <= c <= "z" else " " for c in text.lower()))
+        return [bucket(chars[k : k + n]) for n in langid.ORDERS for k in range(len(chars) - n + 1)]
+
+    counts = {lang: defaultdict(int) for lang in alphabet}
+    for _, text, lang, _ in data:
+        if text is not None and lang is not None:
+            for b in grams(text):
+                counts[lang][b] += 1
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    docs = spark.createDataFrame(data, DOCS)
+    names, table = langid.fit(docs)
+    assert names == sorted(alphabet)
+    for r in langid.predict(docs, names, table).collect():
+        odds = [sum(np.log((counts[lang][b] + 0.5) / (total[lang] + 0.5 * langid.BUCKETS)) for b in grams(r.text or "")) for lang in names]
+        p = np.exp(np.array(odds) - max(odds))
+        if re.search(r"[^\W\d_]", r.text or ""):
+            assert r.lang_pred == names[int(p.argmax())] and abs(r.score - p.max() / p.sum()) < 1e-5
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
+def test_chat_null_conversations_and_clashing_columns(spark):
+    rows_ = [(None, 1, "user", "a"), (None, 2, "user", "b"), (None, 1, "user", "a"), (3, 1, "user", "x"), (3, 1, "user", "x")]
+    df = spark.createDataFrame(rows_, "conv_id long, turn long, role string, text string").selectExpr("*", "text AS formatted", "turn AS n_turns")
+    got = chat.read_back(chat.format_chat(df)).collect()
+    assert sorted((r.conv_id or 0, r.n_turns) for r in got) == [(0, 1), (0, 1), (0, 1), (3, 2)]
+
+
+def test_decontamination_short_and_long_items(spark):
+    """Items without a seed by equality; fifty words of an item are enough however long it is."""
+    long_ = [f"w{k}" for k in range(400)]
+    bench = spark.createDataFrame([(1, "Yes"), (2, "new york"), (3, " ".join(long_)), (4, "yes")], "item_id long, text string")
+    docs = [(1, " YES\n", None, None), (2, "yes we can", None, None), (3, "New  York", None, None), (4, " ".join(["a", *long_[100:155], "b"]), None, None), (5, " ".join(long_[100:130]), None, None)]
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.leaks(spark.createDataFrame(docs, DOCS), bench).collect()}
+    assert got == {(1, 1): 2, (1, 4): 2, (3, 2): 4, (4, 3): 110}
+
+
+def test_decontamination_recall_on_edited_copies(spark):
+    """Copies with words changed, put in and left out at random places."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(rng.randint(15, 60)))) for i in range(40)]
+    docs = []
+    for i in range(200):
+        own = items[i % 40][1].split()
+        for _ in range(len(own) // 6):
+            k = rng.randrange(len(own))
+            own[k : k + rng.randint(0, 1)] = [word()] * rng.randint(0, 1)
+        docs.append((i, " ".join([*(word() for _ in range(30)), *own, *(word() for _ in range(30))]), None, None))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(docs, DOCS), bench).collect()}
+    assert got <= {(i, i % 40) for i in range(200)} and len(got) >= 198
+
+
+def test_words_of_long_texts_part_by_part():
+    rng = random.Random(15)
+    text = " ".join("x" * rng.choice([1, 3, 90]) + str(rng.random()) for _ in range(400)).encode()
+    data = np.frombuffer(text, np.uint8)
+    at = np.array([0, len(data)])
+    from cadentia.llm import common
+
+    for most in (7, 50, 1000):
+        assert all((a == b).all() for a, b in zip(common.words(at, data), common.words(at, data, most)))
+
+
 def test_decontamination_against_brute_force(spark, edges, empty):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
@@ -115,6 +198,10 @@ def test_token_splicing(spark, edges, empty):
     path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
     pieces = tokens.Pieces(path)
     rng = random.Random(3)
+    long = "".join(rng.choice("漢字語文言葉本日中国人大学生時間東京水火木金土月年回数学校先") for _ in range(20_000)).encode()
+    calls, own = [], pieces.encode
+    pieces.encode = lambda chunk, first: calls.append(len(chunk)) or own(chunk, first)
+    assert tokens.spliced_count(pieces, long, 3_000, 64) == len(pieces.model.encode(long.decode())) and sum(calls) < 1.2 * len(long) and max(calls) < 3_100
     samples = ["a" * 3000, " " * 500 + "b  c " * 300, "".join(rng.choice("ab é\n▁語🙂 ") for _ in range(4000)), "".join(rng.choice("ab é\n語🙂 ") for _ in range(4000))]
     for text in samples:
         for chunk, overlap in ((64, 4), (300, 16), (1000, 1)):
@@ -166,6 +253,15 @@ def test_suffix_hot_phrase_is_dealt_further(spark):
     assert pieces.count() == 60 and several.groupBy("gram").count().agg({"count": "max"}).first()[0] <= 4
 
 
+def test_suffix_dedup_of_long_texts_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "PART_BYTES", 150)
+    rng = random.Random(16)
+    own = "".join(rng.choice("abc") for _ in range(900))
+    data = [(1, own), (2, "x" + own[200:700] + "y"), (3, "z" * 450), (4, own[:99])]
+    got = suffix.remove_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_repeats(data, 100)
+
+
 def test_suffix_edges(spark, edges, empty):
     got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix.remove_repeats(edges).collect()}
     assert got[1] == got[2] == (0, 0) and got[3] == (50_000, 49_999) and got[4] == (7, 0) and None in got
