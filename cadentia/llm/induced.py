@@ -173,11 +173,11 @@ class Order:
         self.n += len(position)
 
 
-def kinds(text: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each suffix is of type S, that is less than the next one (the end is less than all symbols), and how
-    often its first symbol stands at its start."""
+def kinds(text: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each suffix is of type S, that is less than the next one (the end is less than all symbols), how often its
+    first symbol stands at its start, and how often right before it."""
     n = len(text)
-    smaller, run = room.array(n, bool), room.array(n, np.int32)
+    smaller, run, back = room.array(n, bool), room.array(n, np.int32), room.array(n, np.int32)
     after, later, until = -1, False, n
     for low, high in reversed(list(room.chunks(n))):
         part = np.append(text[low:high].astype(np.int64), after)
@@ -187,7 +187,13 @@ def kinds(text: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
         smaller[low:high] = np.where(ends < high, step[np.minimum(ends, high - 1) - low] > 0, later)
         run[low:high] = ends + 1 - np.arange(low, high)
         after, later, until = int(part[0]), bool(smaller[low]), int(ends[0])
-    return smaller, run
+    before, begun = -1, 0
+    for low, high in room.chunks(n):
+        part = np.append(before, text[low:high])
+        start = np.maximum.accumulate(np.where(part[1:] != part[:-1], np.arange(low, high), begun))
+        back[low:high] = np.arange(low, high) - start
+        before, begun = int(part[-1]), int(start[-1])
+    return smaller, run, back
 
 
 def blocks_of(text: np.ndarray, symbols: int, room: Room) -> np.ndarray:
@@ -202,7 +208,7 @@ def blocks_of(text: np.ndarray, symbols: int, room: Room) -> np.ndarray:
     return np.unique(np.concatenate([cuts, big, big + 1, [0, symbols]]))
 
 
-def _pass(text, run, takes, given, shared, symbols, cuts, up: bool, room: Room, loose: bool, first: int | None, own: Order | None, out: Order | None) -> None:
+def _pass(text, run, back, takes, given, shared, symbols, cuts, up: bool, room: Room, loose: bool, first: int | None, own: Order | None, out: Order | None) -> None:
     """One way through the symbols, upwards or downwards.  Of a symbol first what was inserted comes, then what is `given`
     (in this order, with common prefixes `shared`); the suffix before each, if `takes` has it, is inserted.  `own` gets
     what was inserted, `out` everything."""
@@ -244,6 +250,29 @@ def _pass(text, run, takes, given, shared, symbols, cuts, up: bool, room: Room,
         """Common prefix of an inserted suffix and a given one with its symbol: their types differ, so it is their runs'."""
         return np.zeros(len(b), np.int32) if loose else np.minimum(run[a], run[b])
 
+    def generations(part: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """All that is inserted for one symbol, from what other symbols insert for it: after those come the suffixes one symbol
+        further into the runs that end there, and so on.  Position, common prefix, and symbol that is inserted next."""
+        _, position, common, before = part
+        more = back[position]
+        if not more.any():
+            return position, common, before
+        of = np.repeat(np.arange(len(more)), more + 1)
+        turn = np.arange(len(of)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+        order = np.argsort(turn, kind="stable")
+        of, turn = of[order], turn[order]
+        old = np.append(-1, of[:-1])
+        least = least_between(common, old + 1, of)
+        least = np.where(least >= FAR, FAR, least + turn).astype(np.int32)
+        heads = np.flatnonzero(np.append(True, turn[1:] != turn[:-1]))
+        least[heads[1:]] = turn[heads[1:]]
+        least[0] = common[0]
+        position = position[of] - turn
+        own = turn == more[of]
+        before = np.full(len(of), symbols)
+        before[own] = into(position[own])
+        return position, least, before
+
     if first is not None:
         last = np.array([first])
         queue.push((key(last), last, np.zeros(1, np.int32), into(last)))
@@ -253,11 +282,13 @@ def _pass(text, run, takes, given, shared, symbols, cuts, up: bool, room: Room,
         low, high = int(cuts[b]), int(cuts[b + 1])
         queue.enter(b)
         if high - low == 1:
-            last = None
+            last, whole = None, queue.near.get(b)
+            whole = whole and sum(len(x[0]) for x in whole) <= room.in_memory
             while (part := queue.pop(b)) is not None:
-                put(part[1], part[2], all_)
-                step(part[1], part[2], part[3], low)
-                last = part[1][-1:]
+                part = generations(part) if whole else part[1:]
+                put(part[0], part[1], all_)
+                step(*part, low)
+                last = part[0][-1:]
             for x, y in room.chunks(int(begin[b + 1] - begin[b])):
                 position = np.asarray(given[begin[b] + x : begin[b] + y]).astype(np.int64)
                 common = np.array(shared[begin[b] + x : begin[b] + y])
@@ -282,13 +313,11 @@ def _pass(text, run, takes, given, shared, symbols, cuts, up: bool, room: Room,
             more = [[x[k:] for x in fresh]]
             if alone:
                 last = None
-                while len(batch[0]):
-                    put(batch[1], batch[2], all_)
-                    last = batch[1][-1:]
-                    got = step(*batch[1:], high)
-                    k = int(np.searchsorted(got[0], least, "right"))
-                    batch = [x[:k] for x in got]
-                    more.append([x[k:] for x in got])
+                if len(batch[0]):
+                    batch = generations(batch)
+                    put(batch[0], batch[1], all_)
+                    last = batch[0][-1:]
+                    more.append(step(*batch, high))
                 if j_to > j:
                     position, common = g[1][j:j_to], g[2][j:j_to]
                     common[0] = 0 if last is None else seam(last, position[:1])[0]
@@ -316,7 +345,7 @@ def _pass(text, run, takes, given, shared, symbols, cuts, up: bool, room: Room,
         queue.file.close()
 
 
-def induce(text, smaller, run, seeds, shared, symbols: int, cuts, room: Room, loose: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def induce(text, smaller, run, back, seeds, shared, symbols: int, cuts, room: Room, loose: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes in order with the common prefix of each with the one before, from the ordered leftmost S suffixes
     `seeds`.  With loose ones, ordered by their first symbol only, the leftmost S substrings come in order, and those that are
     equal to the one before have FAR."""
@@ -326,14 +355,14 @@ def induce(text, smaller, run, seeds, shared, symbols: int, cuts, room: Room, lo
     for low, high in room.chunks(n):
         large[low:high] = ~smaller[low:high]
     own = Order(int(large.sum()), room, kind)
-    _pass(text, run, large, seeds, shared, symbols, cuts, True, room, loose, n - 1, own, None)
+    _pass(text, run, back, large, seeds, shared, symbols, cuts, True, room, loose, n - 1, own, None)
     down, common = room.array(own.n, kind), room.array(own.n, np.int32)
     for low, high in room.chunks(own.n):
         down[own.n - high : own.n - low] = own.position[low:high][::-1]
         common[own.n - high : own.n - low] = np.append(own.common[low + 1 : high + 1], 0)[: high - low][::-1]
     del own
     out = Order(n, room, kind)
-    _pass(text, run, smaller, down, common, symbols, cuts, False, room, loose, None, None, out)
+    _pass(text, run, back, smaller, down, common, symbols, cuts, False, room, loose, None, None, out)
     del down, common
     order, common = room.array(n, kind), room.array(n, np.int32)
     for low, high in room.chunks(n):
@@ -372,7 +401,7 @@ def sort_suffixes(text: np.ndarray, symbols: int, cap: int = 100, in_memory: int
     """Order of all suffixes of `text` (symbols 0 to symbols - 1) and the common prefix of each with the one
     before, exact up to `cap` symbols."""
     room, n = Room(in_memory), len(text)
-    smaller, run = kinds(text, room)
+    smaller, run, back = kinds(text, room)
     cuts = blocks_of(text, symbols, room)
     kind = np.int32 if n < 1 << 31 else np.int64
     star = room.array(n, bool)
@@ -381,7 +410,7 @@ def sort_suffixes(text: np.ndarray, symbols: int, cap: int = 100, in_memory: int
         star[low:high] = smaller[low:high] & ~np.append(True if low == 0 else smaller[low - 1], smaller[low : high - 1])
         count += int(star[low:high].sum())
     if not count:
-        return induce(text, smaller, run, np.zeros(0, kind), np.zeros(0, np.int32), symbols, cuts, room)
+        return induce(text, smaller, run, back, np.zeros(0, kind), np.zeros(0, np.int32), symbols, cuts, room)
     seeds, at = room.array(count, kind), 0
     for low, high in room.chunks(n):
         found = np.flatnonzero(star[low:high]) + low
@@ -390,7 +419,7 @@ def sort_suffixes(text: np.ndarray, symbols: int, cap: int = 100, in_memory: int
     loose, far = room.array(count, kind), room.array(count, np.int32)
     loose[:] = seeds[np.argsort(text[seeds], kind="stable")]
     far[:] = FAR
-    order, equal = induce(text, smaller, run, loose, far, symbols, cuts, room, loose=True)
+    order, equal = induce(text, smaller, run, back, loose, far, symbols, cuts, room, loose=True)
     del loose, far
     # The seeds in order of their substrings, and the least value since the seed before.
     ranked, name, at, least, held = room.array(count, kind), room.array(count, np.int64), 0, FAR, -1
@@ -434,4 +463,4 @@ def sort_suffixes(text: np.ndarray, symbols: int, cap: int = 100, in_memory: int
             shared[low + 1 : high + 1] = np.minimum(own, cap)
     a, b = ranked[:-1].astype(np.int64), ranked[1:].astype(np.int64)
     shared[1:] = _extend(text, a, b, np.array(shared[1:]), cap)  # a run that goes on beyond a substring's end
-    return induce(text, smaller, run, ranked, shared, symbols, cuts, room)
+    return induce(text, smaller, run, back, ranked, shared, symbols, cuts, room)
