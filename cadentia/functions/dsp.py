@@ -19,10 +19,15 @@ def band_response(frequency: np.ndarray, fs: float, low: float, high: float, ord
 def bandpass(x: np.ndarray, fs: float, low: float, high: float, order: int) -> np.ndarray:
     """Zero-phase band-pass: the squared magnitude over the signal with odd extensions at both ends.
 
-    Signals of fewer than 10 samples, or bands beyond the Nyquist rate, only lose their mean."""
+    Signals of fewer than 10 samples only lose their mean.  A band at or over the Nyquist rate is an error; that of order 2
+    ends at 0.95 of it instead."""
     x = np.asarray(x, float)
     n = len(x)
-    if n < 10 or high >= fs / 2:
+    if order == 2:
+        high = min(high, 0.95 * fs / 2)
+    if not 0 < low < high < fs / 2:
+        raise ValueError(f"a band of {low} to {high} Hz needs more than {fs} samples a second")
+    if n < 10:
         return x - x.mean() if n else x
     pad = min(n - 1, int(10 * fs / max(low, 0.1)))
     wide = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])

@@ -54,10 +54,13 @@ def validate_new(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def resize(intervals: DataFrame, edits: DataFrame) -> DataFrame:
-    """Applies edits (session_id, idx, new_start, new_end) that keep LEAST_SEC and meet no other interval."""
+    """Applies edits (session_id, idx, new_start, new_end; one an interval) that keep LEAST_SEC, meet no other interval, and meet no
+    edit of an interval with a smaller idx that keeps to these two rules itself (whether that is applied or not)."""
     old = intervals.select(F.col("session_id").alias("s"), F.col("idx").alias("i"), F.col("start_sec").alias("a"), F.col("end_sec").alias("b"))
     clash = (F.col("session_id") == F.col("s")) & (F.col("idx") != F.col("i")) & (F.col("new_start") < F.col("b")) & (F.col("new_end") > F.col("a"))
     good = edits.filter(F.col("new_end") - F.col("new_start") >= LEAST_SEC).join(old, clash, "left_anti")
+    first = good.select(F.col("session_id").alias("s"), F.col("idx").alias("i"), F.col("new_start").alias("a"), F.col("new_end").alias("b"))
+    good = good.join(first, (F.col("session_id") == F.col("s")) & (F.col("idx") > F.col("i")) & (F.col("new_start") < F.col("b")) & (F.col("new_end") > F.col("a")), "left_anti")
     rows = intervals.join(good, ["session_id", "idx"], "left")
     return rows.select("session_id", "idx", "label", F.coalesce("new_start", "start_sec").alias("start_sec"), F.coalesce("new_end", "end_sec").alias("end_sec"))
 

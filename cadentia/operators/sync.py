@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,18 +107,31 @@ def coherence_warnings(cameras: DataFrame, tolerance_us: int) -> DataFrame:
 
 
 def trim_plan(cameras: DataFrame, target_sec: float | None = None) -> DataFrame:
-    """Seconds to trim at the start (over 0.01) and end (over 0.1) so that all cameras of a session agree."""
+    """Seconds to trim at the start (over 0.01) and end (over 0.1) so that all cameras of a session agree.
+
+    The target is the least positive duration left of the cameras that limit it; without one, the longest."""
     session = Window.partitionBy("session_id")
     start = F.max("sync_sec").over(session) - F.col("sync_sec")
     rows = cameras.withColumn("trim_start", F.when(start > 0.01, start).otherwise(0.0))
     left = F.col("duration_sec") - F.col("trim_start")
     rows = rows.withColumn("left_sec", left)
-    target = F.lit(target_sec) if target_sec is not None else F.min("left_sec").over(session)
+    target = F.lit(target_sec) if target_sec is not None else F.coalesce(F.min(F.when(F.col("limits") & (F.col("left_sec") > 0), F.col("left_sec"))).over(session), F.greatest(F.max("left_sec").over(session), F.lit(0.0)))
     return rows.withColumn("target_sec", target).select(
-        "session_id", "camera_index", "trim_start", F.when(F.col("left_sec") - F.col("target_sec") > 0.1, F.col("left_sec") - F.col("target_sec")).otherwise(0.0).alias("trim_end")
+        "session_id", "camera_index", "trim_start", F.when((F.col("target_sec") > 0) & (F.col("left_sec") - F.col("target_sec") > 0.1), F.col("left_sec") - F.col("target_sec")).otherwise(0.0).alias("trim_end")
     )
 
 
+def union_signals(frames: list[DataFrame]) -> DataFrame:
+    """The rows of all frames; a column that a frame lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def dedupe_ts(samples: DataFrame) -> DataFrame:
+    """Of a sensor's samples with one time the first by ord."""
+    order = Window.partitionBy("session_id", "sensor_id", "us").orderBy("ord")
+    return samples.withColumn("place", F.row_number().over(order)).filter("place = 1").drop("place")
+
+
 def stitch_slices(slices: DataFrame) -> DataFrame:
     """Of equal times in a session the sample of the first segment stays."""
     order = Window.partitionBy("session_id", "us").orderBy("idx", "ord")

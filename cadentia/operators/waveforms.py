@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 
 from cadentia.functions import dsp
 
+# Fixed values of the published pulse model (Tang et al. 2020), in radians of the beat's angle.
+PULSE_CENTRE = (-1.6184, 0.8903)
+PULSE_HEIGHT = (0.7482, 0.0444)
+PULSE_WIDTH = (0.9353, 1.9499)
+
 
 def ecg_peaks(ecg: DataFrame) -> DataFrame:
     """Candidate R peaks of (session_id, us, value): session_id, us, ord, prominence; strong_peaks() finishes them.
 
-    Band-pass 5 to 25 Hz, distance 0.35 s, prominence 4 median absolute deviations; flat or short signals have none."""
+    Band-pass 5 to 25 Hz, distance 0.35 s, prominence 4 median absolute deviations; flat or short signals have none.
+    A session sampled at 50 Hz or less, which can't hold the band, fails the job."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.dropna().sort_values("us").drop_duplicates("us")
@@ -24,7 +30,7 @@ def ecg_peaks(ecg: DataFrame) -> DataFrame:
         fs = 1e6 / np.median(np.diff(us))
         x = dsp.bandpass(rows["value"].to_numpy(), fs, 5.0, 25.0, 3)
         scale = np.median(np.abs(x - np.median(x)))
-        peaks, heights = dsp.find_peaks(x, max(1, int(np.ceil(0.35 * fs))), 4 * scale)
+        peaks, heights = dsp.find_peaks(x, max(1, round(0.35 * fs)), 4 * scale)
         return pd.DataFrame({"session_id": rows["session_id"].iloc[0], "us": us[peaks], "ord": peaks, "prominence": heights}) if len(peaks) > 1 else none
 
     kind = dict(ecg.dtypes)["session_id"]
@@ -32,15 +38,16 @@ def ecg_peaks(ecg: DataFrame) -> DataFrame:
 
 
 def synthesize_ppg(beats: DataFrame, fs: float = 125.0) -> DataFrame:
-    """A synthetic pulse wave per beat (session_id, us, rr_ms): samples at fs between the first and last beat, two
-    Gaussians in the phase of the beat less the step at its end, scaled to 0 to 1 in the session."""
+    """A synthetic pulse wave of beats (session_id, us): samples at fs between the first and last beat, the closed form of two
+    Gaussians' primitives in the angle of the beat (-pi at its start), less the step at its end, scaled to 0 to 1 in the session.
+    The pulse's peak lies at 24.7 % of the beat."""
     order = Window.partitionBy("session_id").orderBy("us")
     first = F.min("us").over(Window.partitionBy("session_id"))
     rows = beats.withColumn("t0", (F.col("us") - first) / 1e6).withColumn("next_us", F.lead("us").over(order)).filter("next_us IS NOT NULL").withColumn("t1", F.col("t0") + (F.col("next_us") - F.col("us")) / 1e6).withColumn("origin", F.col("us") - F.round(F.col("t0") * 1_000_000).cast("long"))
     k0, k1 = F.ceil(F.col("t0") * fs - 1e-9), F.ceil(F.col("t1") * fs - 1e-9) - 1
     samples = rows.filter(k1 >= k0).withColumn("k", F.explode(F.sequence(k0, k1)))
     angle = 2 * np.pi * (F.col("k") / fs - F.col("t0")) / (F.col("t1") - F.col("t0")) - np.pi
-    wave = lambda x: F.exp(-F.pow(x + np.pi / 2, 2) / (2 * 0.6**2)) + 0.45 * F.exp(-F.pow(x - 0.35, 2) / (2 * 0.9**2))
+    wave = lambda x: sum(a * w * w / 4 * F.exp(-F.pow((x - c) / w, 2)) for c, a, w in zip(PULSE_CENTRE, PULSE_HEIGHT, PULSE_WIDTH, strict=True))
     step = wave(F.lit(np.pi)) - wave(F.lit(-np.pi))
     raw = samples.select("session_id", (F.col("origin") + F.round(F.col("k") * (1_000_000 / fs)).cast("long")).alias("us"), (wave(angle) - step * (angle + np.pi) / (2 * np.pi)).alias("raw"))
     ends = raw.groupBy("session_id").agg(F.min("raw").alias("low"), F.max("raw").alias("high"))
@@ -74,11 +81,13 @@ def window_correlations(pulses: DataFrame, references: DataFrame, windows: DataF
 
 
 def estimate_pulse(traces: DataFrame, fs: float, method: str = "POS") -> DataFrame:
-    """Pulse of each clip from its mean colours (session_id, segment_idx, frame_idx, r, g, b); gaps are interpolated."""
+    """Pulse of each clip from its mean colours (session_id, segment_idx, frame_idx, r, g, b); frames that lack a colour
+    are interpolated whole."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("frame_idx")
-        rgb = rows[["r", "g", "b"]].interpolate(limit_direction="both").fillna(0.0).to_numpy()
+        rgb = rows[["r", "g", "b"]]
+        rgb = rgb.where(rgb.notna().all(axis=1)).interpolate(limit_direction="both").fillna(0.0).to_numpy()
         return rows[["session_id", "segment_idx", "frame_idx"]].assign(value=dsp.pulse_from_rgb(rgb, fs, method))
 
     return traces.groupBy("session_id", "segment_idx").applyInPandas(run, "session_id long, segment_idx long, frame_idx long, value double")

@@ -148,15 +148,19 @@ def overlapping(spark, sf_dir):
     return joins.overlapping(t.intervals(t.signals(spark, sf_dir)).withColumn("high_us", F.col("high_us") + 24 * HOURS))
 
 
-def _every_third(spark, sf_dir):
+#: Every interval, ended after a third of its length, so that there is room between them.
+ROOMY = ", roomy AS (SELECT session_id, idx, label, start_sec, start_sec + (end_sec - start_sec) / 3 AS end_sec FROM intervals)"
+
+
+def _roomy(spark, sf_dir):
     s = t.signals(spark, sf_dir)
-    return s, t.intervals(s).filter("idx % 3 = 0")
+    return s, t.intervals(s).withColumn("end_sec", F.col("start_sec") + (F.col("end_sec") - F.col("start_sec")) / 3)
 
 
-@query(on_signals("AI", """SELECT session_id, idx, round(coalesce(max(end_sec) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS low_sec,
-  round(coalesce(min(start_sec) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1728000), 6) AS high_sec FROM intervals WHERE idx % 3 = 0 WINDOW w AS (PARTITION BY session_id ORDER BY start_sec, idx)"""))
+@query(on_signals("AI", ROOMY + """ SELECT session_id, idx, round(coalesce(max(end_sec) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS low_sec,
+  round(coalesce(min(start_sec) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1728000), 6) AS high_sec FROM roomy WINDOW w AS (PARTITION BY session_id ORDER BY start_sec, idx)"""))
 def neighbour_limits(spark, sf_dir):
-    s, own = _every_third(spark, sf_dir)
+    s, own = _roomy(spark, sf_dir)
     return rounded(intervals.neighbour_limits(own, t.anchors(s).select("session_id", (F.col("duration_us") / 1e6).alias("duration_sec"))))
 
 
@@ -184,21 +188,22 @@ def split_at(spark, sf_dir):
     return rounded(intervals.split_at(t.intervals(s), cuts))
 
 
-@query(on_signals("AI", """, c AS (SELECT s.session_id, s.ord AS cand, round(least((us - anchor_us) / 1e6, (us - anchor_us) / 1e6 + k * 3600 - 180000), 3) AS start_sec, round(greatest((us - anchor_us) / 1e6, (us - anchor_us) / 1e6 + k * 3600 - 180000), 3) AS end_sec
+@query(on_signals("AI", ROOMY + """, c AS (SELECT s.session_id, s.ord AS cand, round(least((us - anchor_us) / 1e6, (us - anchor_us) / 1e6 + k * 3600 - 180000), 3) AS start_sec, round(greatest((us - anchor_us) / 1e6, (us - anchor_us) / 1e6 + k * 3600 - 180000), 3) AS end_sec
   FROM signals s JOIN anchors USING (session_id) WHERE sensor_id = 'click')
-SELECT session_id, cand, start_sec, end_sec FROM c WHERE end_sec - start_sec >= 0.5 AND NOT EXISTS (SELECT 1 FROM intervals i WHERE i.idx % 3 = 0 AND i.session_id = c.session_id AND c.start_sec < i.end_sec AND c.end_sec > i.start_sec)"""))
+SELECT session_id, cand, start_sec, end_sec FROM c WHERE end_sec - start_sec >= 0.5 AND NOT EXISTS (SELECT 1 FROM roomy i WHERE i.session_id = c.session_id AND c.start_sec < i.end_sec AND c.end_sec > i.start_sec)"""))
 def validate_new(spark, sf_dir):
-    s, own = _every_third(spark, sf_dir)
+    s, own = _roomy(spark, sf_dir)
     at = (F.col("us") - F.col("anchor_us")) / 1e6
     cand = s.filter("sensor_id = 'click'").join(t.anchors(s), "session_id").select("session_id", F.col("ord").alias("cand"), at.alias("a_sec"), (at + F.col("k") * 3600 - 180000).alias("b_sec"))
     return intervals.validate_new(cand, own)
 
 
-@query(on_signals("AI", """, o AS (SELECT * FROM intervals WHERE idx % 3 = 0), e AS (SELECT session_id, idx, start_sec - 40000.0 AS a, end_sec + 20000.0 AS b FROM o WHERE idx % 2 = 0),
-g AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.session_id = e.session_id AND o.idx <> e.idx AND e.a < o.end_sec AND e.b > o.start_sec))
+@query(on_signals("AI", ROOMY + """, o AS (SELECT * FROM roomy), e AS (SELECT session_id, idx, start_sec - 40000.0 AS a, end_sec + 20000.0 AS b FROM o WHERE idx % 2 = 0),
+f AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.session_id = e.session_id AND o.idx <> e.idx AND e.a < o.end_sec AND e.b > o.start_sec)),
+g AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f h WHERE h.session_id = f.session_id AND h.idx < f.idx AND f.a < h.b AND f.b > h.a))
 SELECT o.session_id, o.idx, label, round(coalesce(a, start_sec), 6) AS start_sec, round(coalesce(b, end_sec), 6) AS end_sec FROM o LEFT JOIN g ON g.session_id = o.session_id AND g.idx = o.idx"""))
 def resize(spark, sf_dir):
-    _, own = _every_third(spark, sf_dir)
+    _, own = _roomy(spark, sf_dir)
     edits = own.filter("idx % 2 = 0").select("session_id", "idx", (F.col("start_sec") - 40000).alias("new_start"), (F.col("end_sec") + 20000).alias("new_end"))
     return rounded(intervals.resize(own, edits))
 
@@ -288,7 +293,8 @@ def coherence_warnings(spark, sf_dir):
 
 
 @query("WITH " + t.CAMERAS + """, s AS (SELECT *, max(sync_sec) OVER w - sync_sec AS ts FROM cameras WINDOW w AS (PARTITION BY session_id)), l AS (SELECT *, duration_sec - ts AS left_sec FROM s),
-m AS (SELECT *, left_sec - min(left_sec) OVER (PARTITION BY session_id) AS te FROM l) SELECT session_id, camera_index, CASE WHEN ts > 0.01 THEN ts ELSE 0 END AS trim_start, CASE WHEN te > 0.1 THEN te ELSE 0 END AS trim_end FROM m""")
+g AS (SELECT *, coalesce(min(left_sec) FILTER (limits AND left_sec > 0) OVER (PARTITION BY session_id), greatest(max(left_sec) OVER (PARTITION BY session_id), 0)) AS target FROM l),
+m AS (SELECT *, CASE WHEN target > 0 THEN left_sec - target ELSE 0 END AS te FROM g) SELECT session_id, camera_index, CASE WHEN ts > 0.01 THEN ts ELSE 0 END AS trim_start, CASE WHEN te > 0.1 THEN te ELSE 0 END AS trim_end FROM m""")
 def trim_plan(spark, sf_dir):
     return sync.trim_plan(t.cameras(spark, sf_dir))
 
