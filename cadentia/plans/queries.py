@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadentia.functions import scalars
-from cadentia.operators import alignment, beats, boxes, intervals, joins, offsets, rates, records, sync
+from cadentia.operators import alignment, beats, boxes, intervals, joins, offsets, rates, records, segments, sync
 from cadentia.plans import tables as t
 from cadentia.sources import sessions
 
@@ -484,6 +484,73 @@ def session_documents(spark, sf_dir):
     return sessions.parse_sessions(written)[1].select("session_id", F.col("camera_index").cast("long").alias("camera_index"), "label", "duration_sec", "time_correction_mode", "time_correction_offset_sec", "limits_common_duration", "fps")
 
 
+@query("WITH " + t.SIGNALS + """ SELECT session_id, us, arg_min(value, ord) FILTER (sensor_id = 'view') AS "view", arg_min(value, ord) FILTER (sensor_id = 'click') AS click,
+  arg_min(k, ord) FILTER (sensor_id = 'view') AS aux__view__k, arg_min(k, ord) FILTER (sensor_id = 'click') AS aux__click__k FROM signals WHERE sensor_id IN ('view', 'click') GROUP BY ALL""")
+def merge_sensors(spark, sf_dir):
+    s = t.signals(spark, sf_dir)
+    return segments.merge_sensors(s.withColumn("aux", F.create_map(F.lit("k"), F.col("k"))), ["view", "click"], ["k"])
+
+
+@query("WITH " + t.SIGNALS + """, a AS (SELECT session_id, us // 86400000000 AS us, avg(value) AS reference FROM signals WHERE sensor_id = 'view' GROUP BY ALL),
+b AS (SELECT session_id, us // 86400000000 AS us, avg(value) AS estimate FROM signals WHERE sensor_id = 'click' GROUP BY ALL) SELECT session_id, us, round(reference, 6) AS reference, round(estimate, 6) AS estimate FROM a FULL JOIN b USING (session_id, us)""")
+def comparison_view(spark, sf_dir):
+    """Daily means of two sensors."""
+    s = t.signals(spark, sf_dir).withColumn("us", F.floor(F.col("us") / t.DAY).cast("long"))
+    mean = lambda sensor, name: s.filter(F.col("sensor_id") == sensor).groupBy("session_id", "us").agg(F.avg("value").alias(name))
+    return rounded(segments.comparison_view(mean("view", "reference"), mean("click", "estimate")))
+
+
+@query(on_signals("AI", """, c AS (SELECT l.session_id, l.us, l.ord, r.sensor_id, r.value, row_number() OVER (PARTITION BY l.ord, r.sensor_id ORDER BY abs(r.us - l.us), r.us DESC, r.ord) AS p FROM signals l JOIN signals r USING (session_id) WHERE l.sensor_id = 'signup' AND r.sensor_id IN ('view', 'click'))
+SELECT c.session_id, c.ord, c.sensor_id, c.value, (SELECT arg_min(label, idx) FROM intervals i WHERE i.session_id = c.session_id AND c.us BETWEEN low_us AND high_us) AS label FROM c WHERE p = 1""").replace(") , c AS", "), c AS"))
+def values_at(spark, sf_dir):
+    s = t.signals(spark, sf_dir)
+    times = s.filter("sensor_id = 'signup'").select("session_id", "us", "ord")
+    return segments.values_at(s.filter("sensor_id IN ('view', 'click')"), t.intervals(s), times).select("session_id", "ord", "sensor_id", "value", "label")
+
+
+@query(on_signals("AI", """SELECT s.session_id, idx, ord, round((us - low_us) / 1e6, 6) AS t_sec, value FROM signals s JOIN intervals i ON s.session_id = i.session_id AND us BETWEEN low_us - 7200000000 AND high_us + 7200000000"""))
+def segment_reference(spark, sf_dir):
+    s = t.signals(spark, sf_dir)
+    own = t.intervals(s).select("session_id", "idx", F.col("low_us").alias("start_us"), F.col("high_us").alias("end_us"))
+    return rounded(segments.segment_reference(s.select("session_id", "us", "ord", "value"), own, 7200.0))
+
+
+@query(on_signals("AI", """SELECT s.session_id, idx, ord, value, idx % 3 = 0 AS own FROM signals s JOIN intervals i ON s.session_id = i.session_id AND us BETWEEN low_us AND high_us"""))
+def segment_signal(spark, sf_dir):
+    """Segments with a stored slice, with a start and end, and with seconds only."""
+    s = t.signals(spark, sf_dir)
+    own, third = t.intervals(s).join(t.anchors(s), "session_id"), F.col("idx") % 3
+    stored = joins.within(s.select("session_id", "us", "ord", "value"), t.intervals(s).filter("idx % 3 = 0"))
+    plain = own.select("session_id", "idx", F.when(third != 2, F.col("low_us")).alias("start_us"), F.when(third != 2, F.col("high_us")).alias("end_us"), "start_sec", "end_sec", "anchor_us")
+    return segments.segment_signal(plain, stored, s.select("session_id", "us", "ord", "value")).select("session_id", "idx", "ord", "value", "own")
+
+
+@query("""WITH o AS (SELECT o_custkey AS session_id, o_orderkey AS k FROM orders)
+SELECT session_id, k AS idx, CASE WHEN k % 11 = 0 THEN 'excluded' WHEN k % 7 = 0 THEN 'no time' WHEN k % 5 = 0 THEN 'no trace' WHEN k % 3 = 0 THEN 'no reference' WHEN k % 2 = 0 THEN 'estimated' ELSE 'ready' END AS status FROM o""")
+def pool_candidates(spark, sf_dir):
+    rows = t.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("idx"))
+    timed = rows.withColumn("start_us", F.when(F.col("idx") % 7 != 0, F.col("idx")))
+    return segments.pool_candidates(timed, rows.filter("idx % 5 != 0"), rows.filter("idx % 3 != 0"), rows.filter("idx % 11 = 0"), rows.filter("idx % 2 = 0")).select("session_id", "idx", "status")
+
+
+@query("WITH " + t.CURVES + """, c AS (SELECT session_id, lag_idx, round(avg(corr), 9) AS corr FROM curves GROUP BY ALL), n AS (SELECT *, lead(lag_idx) OVER w AS nl, lead(corr) OVER w AS nc FROM c WINDOW w AS (PARTITION BY session_id ORDER BY lag_idx)),
+a AS (SELECT DISTINCT session_id, 10 + session_id % 7 + 0.25::DOUBLE AS at_lag FROM c)
+SELECT a.session_id, a.at_lag, round(corr + (at_lag - lag_idx) / (nl - lag_idx) * (nc - corr), 6) AS corr FROM a LEFT JOIN n ON n.session_id = a.session_id AND at_lag >= lag_idx AND at_lag < nl""")
+def corr_at(spark, sf_dir):
+    c = rounded(t.curves(spark, sf_dir).groupBy("session_id", "lag_idx").agg(F.avg("corr").alias("corr")), 9)
+    return rounded(segments.corr_at(c, c.select("session_id", (10 + F.col("session_id") % 7 + 0.25).alias("at_lag")).distinct()))
+
+
+@query(on_signals("AI", """, l AS (SELECT DISTINCT session_id, unnest([' L3', 'L1', 'L3', '']) AS label, unnest([0, 1, 2, 3]) AS place FROM signals),
+c AS (SELECT session_id, trim(label) AS label, min(place)::BIGINT AS ord, false AS kept FROM l WHERE trim(label) <> '' GROUP BY 1, 2),
+u AS (SELECT session_id, label, min(idx) AS ord, true AS kept FROM intervals i WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.session_id = i.session_id AND c.label = i.label) GROUP BY 1, 2)
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY kept, ord)::INT AS place, label, kept FROM (FROM c UNION ALL FROM u)""").replace(") , l AS", "), l AS"))
+def apply_labels(spark, sf_dir):
+    s = t.signals(spark, sf_dir)
+    library = s.select("session_id").distinct().select("session_id", F.posexplode(F.array(*map(F.lit, (" L3", "L1", "L3", "")))).alias("place", "label"))
+    return segments.apply_labels(library, t.intervals(s))
+
+
 def _relations(spark, sf_dir):
     """Items of an order as relations of four cameras."""
     left, right = F.array(*map(F.lit, (0, 0, 0, 1, 1, 2, 2))), F.array(*map(F.lit, (1, 2, 3, 2, 3, 3, 3)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,3 +57,66 @@ def write_device_samples(samples: DataFrame, path: str) -> None:
     """Parquet by kind and sensor file name (lower case, `_1` added without a number), sorted by time."""
     name = F.lower(F.when(F.col("sensor_id").rlike("_[0-9]+$"), F.col("sensor_id")).otherwise(F.concat("sensor_id", F.lit("_1"))))
     samples.withColumn("sensor_file", name).sortWithinPartitions("session_id", "us").write.partitionBy("kind", "sensor_file").parquet(path)
+
+
+#: Loaders in the order they are tried: name, test on a header's columns, reader of (spark, paths).
+LOADERS: list[tuple[str, Callable[[list[str]], bool], Callable[[SparkSession, list[str]], DataFrame]]] = []
+
+
+def register_loader(name: str, matches: Callable[[list[str]], bool], read: Callable[[SparkSession, list[str]], DataFrame]) -> None:
+    """Adds a kind of file, tried after those there are; a name that is there is replaced in its place."""
+    at = next((k for k, x in enumerate(LOADERS) if x[0] == name), len(LOADERS))
+    LOADERS[at : at + 1] = [(name, matches, read)]
+
+
+register_loader("ECG", lambda names: {"Time", "EcgWaveform"} <= set(names), read_ecg)
+register_loader("Polar", lambda names: {"Date", "Start time"} <= set(names), read_watch)
+register_loader("Zephyr", lambda names: {"Time", "HR"} <= set(names) and bool({"BR", "SkinTemp", "Posture", "Activity", "HRConfidence"} & set(names)), read_strap)
+
+
+def classify_signal_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, header and kind of each file: the first loader whose test its first line passes, else `Unknown sensor`.
+
+    Only first lines come to the driver, of the files that were named."""
+    first = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace(F.split("value", r"\r?\n", 2)[0], "﻿", "").alias("header"))
+    names = lambda h: [c.strip().strip('"') for c in h.split(",")]
+    rows = [(r.path, r.header, next((n for n, fits, _ in LOADERS if fits(names(r.header))), "Unknown sensor")) for r in first.orderBy("path").collect()]
+    return spark.createDataFrame(rows, "path string, header string, kind string")
+
+
+def load_signals(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, list[str]]:
+    """kind, path, us, value, aux of all known files, and the paths of the unknown ones.
+
+    Files are read together only where their headers are equal, as one read has one header."""
+    groups: dict[tuple[str, str], list[str]] = {}
+    for r in classify_signal_files(spark, paths).collect():
+        groups.setdefault((r.kind, r.header), []).append(r.path)
+    readers, out = {n: read for n, _, read in LOADERS}, None
+    for (kind, _), own in sorted(groups.items()):
+        if kind in readers:
+            part = readers[kind](spark, own).withColumn("kind", F.lit(kind))
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out, sorted(p for (kind, _), own in groups.items() if kind not in readers for p in own)
+
+
+def infer_aux_types(samples: DataFrame, names: list[str]) -> DataFrame:
+    """A column for each name of samples' aux: double where at least one of its values is a number (others null), else text."""
+    numbers = samples.agg(*(F.count(F.col("aux")[n].try_cast("double")).alias(f"n{k}") for k, n in enumerate(names))).first()
+    return samples.select("*", *((F.col("aux")[n].try_cast("double") if numbers[k] else F.col("aux")[n]).alias(n) for k, n in enumerate(names)))
+
+
+def read_synced(spark: SparkSession, path: str, time: str = "timestamp_utc") -> DataFrame:
+    """A synchronised CSV with us (UTC) for its time column.  A missing column or a time that can't be read fails the job."""
+    raw = spark.read.csv(path, header=True)
+    if time not in raw.columns:
+        raise ValueError(f"{path} has no column {time}")
+    at = F.try_to_timestamp(F.col(time))
+    us = F.when(at.isNotNull(), F.unix_micros(at)).otherwise(F.raise_error(F.concat(F.lit("no time: "), F.coalesce(F.col(time), F.lit("null")))).cast("long"))
+    return raw.select(us.alias("us"), *(F.col(c).try_cast("double").alias(c) for c in raw.columns if c != time))
+
+
+def read_combined(spark: SparkSession, path: str, time: str = "timestamp_utc") -> DataFrame:
+    """us, sensor_id, value of a wide CSV with one column for each sensor; averages and aux columns are left out."""
+    wide = read_synced(spark, path, time)
+    sensors = [c for c in wide.columns if c not in ("us", "averaged") and not c.startswith("aux__")]
+    return wide.unpivot(["us"], sensors, "sensor_id", "value").filter("value IS NOT NULL")
