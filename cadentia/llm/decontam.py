@@ -33,7 +33,9 @@ BLOCK_WORDS = 1_000_000
 
 
 class Seeds:
-    """Sorted seed hashes with the places (item, position) of each; and a table of bits before the search."""
+    """Sorted seed hashes with the places (item, position) of each; and a table of bits before the search.
+
+    Broadcast are the three arrays, from which a task makes its own."""
 
     def __init__(self, hashes: np.ndarray, item: np.ndarray, place: np.ndarray):
         order = np.argsort(hashes, kind="stable")
@@ -43,6 +45,9 @@ class Seeds:
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.repeat(self.keys, np.diff(self.first)), self.item, self.place
+
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the hashes are keys, and which key each is."""
         at = np.flatnonzero(self.bits[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)])
@@ -89,10 +94,10 @@ def _grams(row: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 
 def _count(docs: DataFrame, seeds: Seeds, n: int) -> np.ndarray:
     """Occurrences of every key in the corpus; a task sends one number for each key it has seen."""
-    shared = docs.sparkSession.sparkContext.broadcast(seeds)
+    shared = docs.sparkSession.sparkContext.broadcast(seeds.arrays())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = shared.value
+        seeds = Seeds(*shared.value)
         total = np.zeros(len(seeds.keys), np.int64)
         for batch in batches:
             at, data = utf8(batch.column("text"))
@@ -167,7 +172,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], n: int, ratio: float,
     join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
     every = Seeds(join([h for _, h in places], np.uint64), join([np.full(len(p), k) for k, (p, _) in enumerate(places)], np.int64), join([p for p, _ in places], np.int64))
     rare = _rare(every, _count(docs, every, n), ratio, [len(w) for w in word_lists], n, share, least)
-    shared = docs.sparkSession.sparkContext.broadcast((rare, ids, word_lists))
+    shared = docs.sparkSession.sparkContext.broadcast((rare.arrays(), ids, word_lists))
 
     def candidates(item: np.ndarray, diagonal: np.ndarray, word: np.ndarray, low: int, high: int, word_lists) -> Iterator[tuple[int, np.ndarray]]:
         """Item and the stretch of the document's words around hits on near diagonals."""
@@ -185,7 +190,8 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], n: int, ratio: float,
                 start = k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, ids, word_lists = shared.value
+        arrays, ids, word_lists = shared.value
+        seeds = Seeds(*arrays)
         for batch in batches:
             doc = batch.column("doc_id")
             at, data = utf8(batch.column("text"))
