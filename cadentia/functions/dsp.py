@@ -47,10 +47,12 @@ def find_peaks(x: np.ndarray, distance: int = 1, prominence: float = 0.0) -> tup
     top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
     peaks = (edge[top] + end[top]) // 2
     keep = np.ones(len(peaks), bool)
-    for i in np.argsort(x[peaks], kind="stable")[::-1]:
-        if keep[i]:
-            near = (np.abs(peaks - peaks[i]) < distance) & (np.arange(len(peaks)) != i)
-            keep &= ~near
+    if distance > 1:
+        low, high = np.searchsorted(peaks, peaks - distance, "right"), np.searchsorted(peaks, peaks + distance)
+        for i in np.argsort(x[peaks], kind="stable")[::-1]:
+            if keep[i]:
+                keep[low[i] : high[i]] = False
+                keep[i] = True
     peaks = peaks[keep]
     heights = np.empty(len(peaks))
     for k, p in enumerate(peaks):
@@ -102,20 +104,44 @@ def pulse_from_rgb(rgb: np.ndarray, fs: float, method: str = "POS", span: float
     return standardise(bandpass(out, fs, 0.7, 3.5, 2))
 
 
-def lag_scan(pulse: np.ndarray, fs: float, ref_t: np.ndarray, ref: np.ndarray, lags: np.ndarray, least: float = 0.8) -> np.ndarray:
-    """Pearson r of pulse(t) with reference(t - lag) for each lag; NaN where fewer than `least` of the samples meet."""
-    t = np.arange(len(pulse)) / fs
+def lag_scan(pulse: np.ndarray, fs: float, ref_t: np.ndarray, ref: np.ndarray, lags: np.ndarray, least: float = 0.8, block: int = 1_000_000) -> np.ndarray:
+    """Pearson r of pulse(t) with reference(t - lag) for each lag; NaN where fewer than `least` of the samples meet, 8 at least.
+
+    Samples of the pulse that are not finite are left out.  Lags are taken together, about `block` values at a time."""
     out = np.full(len(lags), np.nan)
-    for k, lag in enumerate(lags):
-        at = t - lag
-        inside = (at >= ref_t[0]) & (at <= ref_t[-1]) & np.isfinite(pulse)
-        if inside.sum() >= max(8, least * len(pulse)):
-            a, b = pulse[inside], np.interp(at[inside], ref_t, ref)
-            if a.std() > 0 and b.std() > 0:
-                out[k] = np.corrcoef(a, b)[0, 1]
+    known = np.flatnonzero(np.isfinite(pulse))
+    if len(known) < 8 or len(ref_t) < 2:
+        return out
+    a = np.asarray(pulse, float)[known]
+    rows = max(1, block // len(known))
+    for k in range(0, len(lags), rows):
+        at = known / fs - lags[k : k + rows, None]
+        meets = (at >= ref_t[0]) & (at <= ref_t[-1])
+        count = meets.sum(1, keepdims=True)
+        share = meets / np.maximum(count, 1)
+        b = np.interp(at, ref_t, ref)
+        x = np.where(meets, a - (share * a).sum(1, keepdims=True), 0.0)
+        y = np.where(meets, b - (share * b).sum(1, keepdims=True), 0.0)
+        scale = np.sqrt((x * x).sum(1) * (y * y).sum(1))
+        fine = (count[:, 0] >= max(8, least * len(known))) & (scale > 0)
+        out[k : k + rows][fine] = (x * y).sum(1)[fine] / scale[fine]
     return out
 
 
+def prepare_reference(t: np.ndarray, x: np.ndarray, low: float = 0.7, high: float = 3.5) -> tuple[np.ndarray, np.ndarray]:
+    """Times and values of a reference in order, without what is not finite, on the median step, band-passed and standardised.
+
+    Fewer than 16 samples, or a median step of 0, are standardised only."""
+    fine = np.isfinite(t) & np.isfinite(x)
+    order = np.argsort(t[fine], kind="stable")
+    t, x = t[fine][order], x[fine][order]
+    step = np.median(np.diff(t)) if len(t) >= 16 else 0.0
+    if step <= 0:
+        return t, standardise(x) if len(x) else x
+    even = t[0] + step * np.arange(int(np.floor((t[-1] - t[0]) / step + 0.5 - 1e-9)) + 1)
+    return even, standardise(bandpass(np.interp(even, t, x), 1 / step, low, high, 2))
+
+
 @lru_cache(maxsize=4)
 def _residual_maker(n: int, smoothness: float) -> np.ndarray:
     """The matrix that takes the smoothness-prior trend (Tarvainen 2002) off a window of n samples."""

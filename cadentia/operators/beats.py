@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadentia.operators.joins import asof_backward
-
-ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def rr_intervals(beats: DataFrame) -> DataFrame:
@@ -33,33 +30,42 @@ def hrv(ibi: DataFrame, window: int = 300, least: int = 30) -> DataFrame:
     """SDNN and RMSSD of the last `window` accepted intervals at each whole second from the `least`-th on.
 
     ibi: session_id, ord, us (end of the interval), ibi_ms, accepted.  Pairs for RMSSD are neighbours in the
-    original sequence and inside the window; rejected intervals are those that end in the window's span."""
-    order = Window.partitionBy("session_id").orderBy("us", "ord")
-    rows = ibi.withColumn("place", F.row_number().over(order))
-    rows = rows.withColumn("rejected_so_far", F.sum(F.when(F.col("accepted"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    good = rows.filter("accepted").withColumn("k", F.row_number().over(order))
-    last = F.lag("place").over(order)
-    good = good.withColumn("square", F.when(F.col("place") - last == 1, F.pow(F.col("ibi_ms") - F.lag("ibi_ms").over(order), 2)))
-    frame, pairs = order.rowsBetween(-(window - 1), 0), order.rowsBetween(-(window - 2), 0)
-    good = good.select(
-        "session_id", "us", "ord", "k",
-        F.stddev_samp("ibi_ms").over(frame).alias("sdnn_ms"),
+    original sequence and inside the window; rejected intervals are those that end in the window's span.
+    One pass in the order of the session: the table is read and dealt once."""
+    session = Window.partitionBy("session_id")
+    order = session.orderBy("us", "ord")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    one = lambda c: F.when(c, 1).otherwise(0)
+    rows = ibi.select(
+        "session_id", "us", "ord",
+        F.when(F.col("accepted"), F.col("ibi_ms")).alias("good"),
+        F.when(F.col("accepted") & F.lag("accepted").over(order), F.pow(F.col("ibi_ms") - F.lag("ibi_ms").over(order), 2)).alias("square"),
+        F.sum(one(F.col("accepted"))).over(so_far).alias("k"),
+        F.sum(one(~F.col("accepted"))).over(so_far).alias("rejected"),
+        F.lead("us").over(order).alias("next_us"),
+        F.max(F.when(F.col("accepted"), F.col("us"))).over(session).alias("end_us"),
+    )
+    # A rejected interval has the k of the accepted one before it, and so its figures.
+    along = session.orderBy("k")
+    frame, pairs = along.rangeBetween(-(window - 1), 0), along.rangeBetween(-(window - 2), 0)
+    rows = rows.select(
+        "*",
+        F.stddev_samp("good").over(frame).alias("sdnn_ms"),
         F.sqrt(F.avg("square").over(pairs)).alias("rmssd_ms"),
-        F.count("*").over(frame).alias("accepted_intervals"),
-        F.min(F.col("us") - F.round(F.col("ibi_ms") * 1000).cast("long")).over(frame).alias("from_us"),
+        F.count("good").over(frame).alias("accepted_intervals"),
+        F.min(F.col("us") - F.round(F.col("good") * 1000).cast("long")).over(frame).alias("from_us"),
     )
-    ends = good.groupBy("session_id").agg(F.min(F.when(F.col("k") >= least, F.col("us"))).alias("low"), F.max("us").alias("high")).filter("low IS NOT NULL")
+    # Each row asks how many were rejected up to the start of its window: questions and rows in one order.
+    fields = ["us", "next_us", "end_us", "k", "sdnn_ms", "rmssd_ms", "accepted_intervals", "rejected"]
+    known = F.struct(F.col("us").alias("at"), F.lit(0).alias("asks"), F.col("rejected").alias("up_to"), *(F.lit(None).cast(kind).alias(c) for c, kind in rows.select(*fields).dtypes))
+    asked = F.struct(F.col("from_us").alias("at"), F.lit(1).alias("asks"), F.lit(None).cast("long").alias("up_to"), *fields)
+    lines = rows.select("session_id", F.inline(F.when(F.col("k") >= least, F.array(known, asked)).otherwise(F.array(known))))
+    start = F.max("up_to").over(session.orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    lines = lines.withColumn("before", F.coalesce(start, F.lit(0))).filter("asks = 1")
     second = 1_000_000
-    grid = ends.select("session_id", F.explode(F.sequence(F.ceil(F.col("low") / second), F.floor(F.col("high") / second))).alias("sec")).select("session_id", (F.col("sec") * second).alias("us"), F.col("sec").alias("ord"))
-    at = asof_backward(grid, good.select("session_id", "us", "ord", F.col("k").cast("double").alias("value")))
-    at = at.select("session_id", F.col("us").alias("at_us"), F.col("hit.value").cast("long").alias("k"))
-    out = at.join(good.drop("us", "ord"), ["session_id", "k"])
-    total = rows.select("session_id", "us", "ord", F.col("rejected_so_far").cast("double").alias("value"))
-    high = asof_backward(out.select("session_id", F.col("at_us").alias("us"), F.col("at_us").alias("ord")), total).select("session_id", F.col("us").alias("at_us"), F.col("hit.value").alias("high"))
-    low = asof_backward(out.select("session_id", F.col("from_us").alias("us"), F.col("at_us").alias("ord")), total).select("session_id", F.col("ord").alias("at_us"), F.col("hit.value").alias("low"))
-    rejected = (F.coalesce("high", F.lit(0.0)) - F.coalesce("low", F.lit(0.0))).cast("long")
-    out = out.join(high, ["session_id", "at_us"]).join(low, ["session_id", "at_us"]).withColumn("rejected_intervals", rejected)
-    return out.select("session_id", "at_us", "sdnn_ms", "rmssd_ms", "accepted_intervals", "rejected_intervals", (F.col("accepted_intervals") / (F.col("accepted_intervals") + F.col("rejected_intervals"))).alias("quality_fraction"))
+    first, last = F.ceil(F.col("us") / second), F.floor(F.least(F.col("next_us") - 1, F.col("end_us")) / second)
+    out = lines.filter(first <= last).withColumn("sec", F.explode(F.sequence(first, last))).withColumn("rejected_intervals", F.col("rejected") - F.col("before"))
+    return out.select("session_id", (F.col("sec") * second).alias("at_us"), "sdnn_ms", "rmssd_ms", "accepted_intervals", "rejected_intervals", (F.col("accepted_intervals") / (F.col("accepted_intervals") + F.col("rejected_intervals"))).alias("quality_fraction"))
 
 
 def agreement(pairs: DataFrame) -> DataFrame:

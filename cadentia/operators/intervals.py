@@ -12,7 +12,8 @@ def neighbour_limits(intervals: DataFrame, durations: DataFrame) -> DataFrame:
     """How far each interval may grow: the greatest end before it and the least start after it."""
     order = Window.partitionBy("session_id").orderBy("start_sec", "idx")
     low = F.max("end_sec").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    high = F.min("start_sec").over(order.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy("session_id").orderBy(F.desc("start_sec"), F.desc("idx"))
+    high = F.min("start_sec").over(back.rowsBetween(Window.unboundedPreceding, -1))
     rows = intervals.join(durations, "session_id", "left")
     return rows.select("session_id", "idx", F.coalesce(low, F.lit(0.0)).alias("low_sec"), F.coalesce(high, "duration_sec").alias("high_sec"))
 

@@ -7,51 +7,50 @@ bucket over; an interval join meets rows and intervals bucket by bucket.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY = 86_400_000_000
 
 
-def _carried(rows: DataFrame, keys: list[str], order: list[Column], payload: str, forward: bool, bucket_us: int) -> DataFrame:
-    """rows plus `found`: the last (forward: next) non-null payload in order, across buckets."""
-    rows = rows.withColumn("bucket", F.floor(F.col("us") / F.lit(bucket_us)))
-    inside = Window.partitionBy(*keys, "bucket").orderBy(*order)
-    frame = inside.rowsBetween(0, Window.unboundedFollowing) if forward else inside.rowsBetween(Window.unboundedPreceding, 0)
-    near = (F.first if forward else F.last)(payload, ignorenulls=True).over(frame)
-    rank = F.struct("us", "ord")
-    held = rows.filter(F.col(payload).isNotNull()).groupBy(*keys, "bucket").agg((F.min_by if forward else F.max_by)(F.col(payload), rank).alias("edge"))
-    marks = rows.select(*keys, "bucket").distinct().join(held, [*keys, "bucket"], "left")
-    along = Window.partitionBy(*keys).orderBy("bucket")
-    beyond = along.rowsBetween(1, Window.unboundedFollowing) if forward else along.rowsBetween(Window.unboundedPreceding, -1)
-    marks = marks.select(*keys, "bucket", (F.first if forward else F.last)("edge", ignorenulls=True).over(beyond).alias("beyond"))
-    return rows.withColumn("near", near).join(marks, [*keys, "bucket"]).withColumn("found", F.coalesce("near", "beyond")).drop("near", "beyond", "bucket")
-
-
-def _both(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """left(keys, us, ord) and right(keys, us, ord, value) in one table; side 0 is right."""
-    l = left.select(*keys, "us", "ord", F.lit(1).alias("side"), F.lit(None).cast("struct<us:bigint,ord:bigint,value:double>").alias("hit"))
-    r = right.select(*keys, "us", "ord", F.lit(0).alias("side"), F.struct("us", "ord", F.col("value").cast("double").alias("value")).alias("hit"))
-    return l.unionByName(r)
-
-
-def asof_backward(left: DataFrame, right: DataFrame, keys: list[str] = ["session_id"], bucket_us: int = DAY) -> DataFrame:  # noqa: B006
-    """For each left row (keys, us, ord) the latest right row at or before it: hit.us, hit.ord, hit.value or null.
-
-    Of right rows with one time the last by ord counts."""
-    rows = _carried(_both(left, right, keys), keys, [F.col("us"), F.col("side"), F.col("ord")], "hit", False, bucket_us)
-    return rows.filter("side = 1").select(*keys, "us", "ord", F.col("found").alias("hit"))
-
-
-def asof_nearest(left: DataFrame, right: DataFrame, tolerance_us: int | None = None, keys: list[str] = ["session_id"], bucket_us: int = DAY) -> DataFrame:  # noqa: B006
-    """For each left row the nearest right row; ties go to the earlier one; of equal earlier times the last
-    by ord, of equal later times the first.  Rows without one inside the tolerance are dropped."""
-    rows = _both(left, right, keys)
-    back = _carried(rows, keys, [F.col("us"), F.col("side"), F.col("ord")], "hit", False, bucket_us).withColumnRenamed("found", "back")
-    both = _carried(back, keys, [F.col("us"), F.col("side").desc(), F.col("ord")], "hit", True, bucket_us).filter("side = 1")
-    before, after = F.col("us") - F.col("back.us"), F.col("found.us") - F.col("us")
-    hit = F.when(F.col("back").isNull() | (after < before), F.col("found")).otherwise(F.col("back"))
-    out = both.select(*keys, "us", "ord", hit.alias("hit")).filter("hit IS NOT NULL")
+def _meet(left: DataFrame, right: DataFrame, keys: list[str], payload: list[str], bucket_us: int, ahead: bool) -> DataFrame:
+    """left (keys, us, ord, ...) plus back, the last right row at or before each row, and if `ahead` also ahead, the first one after it.
+
+    Both tables are ordered together in (keys, bucket); the least and greatest right row of each bucket, one row a bucket, are
+    carried to the buckets beside it.  Frames only look back, in one order or the other, so that their cost is linear."""
+    bucket = F.floor(F.col("us") / F.lit(bucket_us)).alias("__bucket")
+    extra = [c for c in left.columns if c not in {*keys, "us", "ord"}]
+    hits = right.select(*keys, "us", "ord", bucket, F.lit(0).alias("__side"), F.struct("us", "ord", *payload).alias("__hit"))
+    rows = left.select(*keys, "us", "ord", bucket, F.lit(1).alias("__side"), F.lit(None).cast(hits.schema["__hit"].dataType).alias("__hit"), F.struct(F.lit(0).alias("__own"), *extra).alias("__left"))
+    rows = rows.unionByName(hits, allowMissingColumns=True)
+    rank = F.when(F.col("__side") == 0, F.struct("us", "ord"))
+    edges = rows.groupBy(*keys, "__bucket").agg(F.max_by("__hit", rank).alias("last"), F.min_by("__hit", rank).alias("first"))
+    beside = Window.partitionBy(*keys)
+    seen = lambda c, order, end: F.last(c, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, end))
+    far = [seen("last", beside.orderBy("__bucket"), -1).alias("__far_back")]
+    near = [seen("__hit", Window.partitionBy(*keys, "__bucket").orderBy("us", "__side", "ord"), 0).alias("__back")]
+    if ahead:
+        far.append(seen("first", beside.orderBy(F.col("__bucket").desc()), -1).alias("__far_ahead"))
+        near.append(seen("__hit", Window.partitionBy(*keys, "__bucket").orderBy(F.desc("us"), F.desc("__side"), F.desc("ord")), 0).alias("__ahead"))
+    both = rows.select("*", *near).filter("__side = 1").join(edges.select(*keys, "__bucket", *far), [*keys, "__bucket"])
+    found = [F.coalesce(f"__{c}", f"__far_{c}").alias(f"__{c}") for c in (["back", "ahead"] if ahead else ["back"])]
+    return both.select(*keys, "us", "ord", *(F.col("__left")[c].alias(c) for c in extra if c != "hit"), *found)
+
+
+def asof_backward(left: DataFrame, right: DataFrame, keys: list[str] = ["session_id"], bucket_us: int = DAY, payload: list[str] = ["value"]) -> DataFrame:  # noqa: B006
+    """left (keys, us, ord, ...) plus hit, the latest right row at or before each row: hit.us, hit.ord and its `payload`, or null.
+
+    Of right rows with one time the last by ord counts.  A column hit of left is replaced."""
+    return _meet(left, right, keys, payload, bucket_us, False).withColumnRenamed("__back", "hit")
+
+
+def asof_nearest(left: DataFrame, right: DataFrame, tolerance_us: int | None = None, keys: list[str] = ["session_id"], bucket_us: int = DAY, payload: list[str] = ["value"]) -> DataFrame:  # noqa: B006
+    """left (keys, us, ord, ...) plus hit, the nearest right row; ties go to the earlier one; of equal earlier times the last
+    by ord, of equal later times the first.  Rows without one inside the tolerance are dropped.  A column hit of left is replaced."""
+    both = _meet(left, right, keys, payload, bucket_us, True)
+    back, ahead = F.col("__back"), F.col("__ahead")
+    hit = F.when(back.isNull() | (ahead["us"] - F.col("us") < F.col("us") - back["us"]), ahead).otherwise(back)
+    out = both.withColumn("hit", hit).drop("__back", "__ahead").filter("hit IS NOT NULL")
     return out if tolerance_us is None else out.filter(F.abs(F.col("hit.us") - F.col("us")) <= tolerance_us)
 
 

@@ -34,7 +34,8 @@ def fill_signals(samples: DataFrame) -> DataFrame:
     wide = grid.join(values, ["session_id", "us", "sensor_id"], "left")
     order = Window.partitionBy("session_id", "sensor_id").orderBy("us")
     back = F.last("value", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("value", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # Backwards, as a frame that ends with the group is summed anew for each row.
+    ahead = F.last("value", ignorenulls=True).over(Window.partitionBy("session_id", "sensor_id").orderBy(F.desc("us")).rowsBetween(Window.unboundedPreceding, 0))
     return wide.select("session_id", "us", "sensor_id", F.coalesce(back, ahead).alias("value"))
 
 
@@ -58,14 +59,15 @@ def native_rows(filled: DataFrame, aux: DataFrame) -> DataFrame:
     """Rows at a sensor's own rate: where its own aux is present; for a sensor without aux, where no sensor has
     aux; where no sensor of the session has aux, where the value is known.  A sensor left without rows
     by that keeps its known values."""
-    own = aux.filter("aux IS NOT NULL").select("session_id", "us", "sensor_id", F.lit(True).alias("own"))
-    rows = filled.join(own, ["session_id", "us", "sensor_id"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
-    sensor, moment, session = (Window.partitionBy(*k) for k in (("session_id", "sensor_id"), ("session_id", "us"), ("session_id",)))
-    rows = rows.withColumn("sensor_aux", F.max("own").over(sensor)).withColumn("any_now", F.max("own").over(moment)).withColumn("any_aux", F.max("own").over(session))
+    own = aux.filter("aux IS NOT NULL")
+    moments = own.groupBy("session_id", "us").agg(F.collect_set("sensor_id").alias("now"))
+    sessions = own.groupBy("session_id").agg(F.collect_set("sensor_id").alias("ever"))
+    has = lambda c: F.coalesce(F.array_contains(c, F.col("sensor_id")), F.lit(False))
+    rows = filled.join(moments, ["session_id", "us"], "left").join(sessions, "session_id", "left")
     known = F.col("value").isNotNull()
-    keep = F.when(F.col("sensor_aux"), F.col("own")).when(F.col("any_aux"), ~F.col("any_now")).otherwise(known)
-    rows = rows.withColumn("keep", keep)
-    return rows.withColumn("some", F.max("keep").over(sensor)).filter(F.when(F.col("some"), F.col("keep")).otherwise(known)).select("session_id", "us", "sensor_id", "value")
+    keep = F.when(has("ever"), has("now")).when(F.col("ever").isNotNull(), F.col("now").isNull()).otherwise(known)
+    rows = rows.withColumn("keep", keep).withColumn("some", F.max("keep").over(Window.partitionBy("session_id", "sensor_id")))
+    return rows.filter(F.when(F.col("some"), F.col("keep")).otherwise(known)).select("session_id", "us", "sensor_id", "value")
 
 
 def common_duration(cameras: DataFrame) -> DataFrame:

@@ -54,30 +54,58 @@ def synthesize_ppg(beats: DataFrame, fs: float = 125.0) -> DataFrame:
     return raw.join(ends, "session_id").select("session_id", "us", F.when(F.col("high") > F.col("low"), (F.col("raw") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0).alias("value"))
 
 
-def window_correlations(pulses: DataFrame, references: DataFrame, windows: DataFrame, fs: float, max_lag: float = 10.0, step: float = 0.02) -> DataFrame:
-    """Lag curves of each window of a clip: pulses (session_id, segment_idx, frame_idx, value) against references
-    (session_id, segment_idx, t_sec, value) for windows (session_id, segment_idx, win_idx, win_start, win_end)."""
+def prepare_reference(references: DataFrame) -> DataFrame:
+    """References (session_id, segment_idx, t_sec, value) on an even grid, band-passed 0.7 to 3.5 Hz and standardised; null and
+    other values that are not finite are left out, and fewer than 16 samples are standardised only.  A clip is a task's work."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        t, x = dsp.prepare_reference(rows["t_sec"].to_numpy(float), rows["value"].to_numpy(float))
+        return pd.DataFrame({"session_id": rows["session_id"].iloc[0], "segment_idx": rows["segment_idx"].iloc[0], "t_sec": t, "value": x})
+
+    return references.select("session_id", "segment_idx", "t_sec", "value").groupBy("session_id", "segment_idx").applyInPandas(run, "session_id long, segment_idx long, t_sec double, value double")
+
+
+def window_correlations(pulses: DataFrame, references: DataFrame, windows: DataFrame, fs: float, max_lag: float = 10.0, step: float = 0.02, margin: float = 2.0) -> DataFrame:
+    """Lag curves of analysis windows: pulses (session_id, segment_idx, frame_idx, value, and detected if known) against
+    references (session_id, segment_idx, t_sec, value) for windows (session_id, segment_idx, win_idx, win_start, win_end).
+
+    A row per lag at which the correlation is known, with the window's heart rates in pulse and reference (null if too short)
+    and its face coverage (1 if `detected` is not given); a window without any has one row with a null lag.  A window is a
+    task's work, however long its clip; it is given the reference up to the greatest lag and `margin` seconds beyond,
+    which must be no less than the reference's step."""
+    keys = ["session_id", "segment_idx", "win_idx"]
+    lags = np.round(np.arange(-round(max_lag / step), round(max_lag / step) + 1) * step, 6)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["session_id", "segment_idx", "win_idx", "lag_idx", "lag", "corr"]
-        if left.empty or len(right) < 2:
+        names = [*keys, "lag_idx", "lag", "corr", "video_hr", "reference_hr", "face_coverage"]
+        if left.empty:
             return pd.DataFrame(columns=names)
-        right = right.sort_values("t_sec")
+        left, right = left.sort_values("frame_idx"), right.dropna().sort_values("t_sec")
         t, ref = right["t_sec"].to_numpy(), right["value"].to_numpy()
-        left = left.sort_values("frame_idx")
-        lags = np.round(np.arange(-round(max_lag / step), round(max_lag / step) + 1) * step, 6)
-        out = []
-        for win, part in left.groupby("win_idx"):
-            at = part["frame_idx"].iloc[0] / fs
-            curve = dsp.lag_scan(part["value"].to_numpy(), fs, t - at, ref, lags)
-            fine = np.isfinite(curve)
-            out.append(pd.DataFrame({"session_id": left["session_id"].iloc[0], "segment_idx": left["segment_idx"].iloc[0], "win_idx": win, "lag_idx": np.flatnonzero(fine), "lag": lags[fine], "corr": curve[fine]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=names)
-
-    keys = ["session_id", "segment_idx"]
-    inside = pulses.join(windows, keys).filter((F.col("frame_idx") / fs >= F.col("win_start")) & (F.col("frame_idx") / fs < F.col("win_end")))
-    left = inside.select(*keys, "win_idx", "frame_idx", "value").groupBy(*keys)
-    return left.cogroup(references.select(*keys, "t_sec", "value").groupBy(*keys)).applyInPandas(run, "session_id long, segment_idx long, win_idx long, lag_idx long, lag double, corr double")
+        frame = left["frame_idx"].to_numpy()
+        pulse = np.full(frame[-1] - frame[0] + 1, np.nan)
+        pulse[frame - frame[0]] = left["value"].to_numpy(float)
+        curve = dsp.lag_scan(pulse, fs, t - frame[0] / fs, ref, lags)
+        at = np.flatnonzero(np.isfinite(curve))
+        inside = (t >= left["win_start"].iloc[0]) & (t <= left["win_end"].iloc[0])
+        rate = 1 / np.median(np.diff(t)) if len(t) > 1 and np.median(np.diff(t)) > 0 else np.inf
+        known = pulse[np.isfinite(pulse)]
+        rates = dsp.dominant_rate(known, fs), dsp.dominant_rate(ref[inside], rate)
+        whole = [left[k].iloc[0] for k in keys]
+        found = (at, lags[at], curve[at]) if len(at) else ([None], [None], [None])
+        out = pd.DataFrame(dict(zip(["lag_idx", "lag", "corr"], found, strict=True)))
+        fixed = dict(zip([*keys, "video_hr", "reference_hr", "face_coverage"], [*whole, *rates, left["detected"].mean()], strict=True))
+        return out.assign(**fixed)[names]
+
+    own = pulses if "detected" in pulses.columns else pulses.withColumn("detected", F.lit(True))
+    second = F.col("frame_idx") / fs
+    inside = own.select("session_id", "segment_idx", "frame_idx", "value", F.coalesce(F.col("detected").cast("double"), F.lit(0.0)).alias("detected")).join(windows.select(*keys, "win_start", "win_end"), keys[:2]).filter((second >= F.col("win_start")) & (second <= F.col("win_end")))
+    reach = max_lag + margin
+    near = references.select("session_id", "segment_idx", "t_sec", "value").join(windows.select(*keys, "win_start", "win_end"), keys[:2]).filter((F.col("t_sec") >= F.col("win_start") - reach) & (F.col("t_sec") <= F.col("win_end") + reach))
+    # New names for its columns, as both sides may come from one table.
+    near = near.select(*(F.col(c).alias(c) for c in (*keys, "t_sec", "value")))
+    out = inside.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInPandas(run, "session_id long, segment_idx long, win_idx long, lag_idx long, lag double, corr double, video_hr double, reference_hr double, face_coverage double")
+    return out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in ("video_hr", "reference_hr")})
 
 
 def estimate_pulse(traces: DataFrame, fs: float, method: str = "POS") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadentia.functions import scalars
-from cadentia.operators import alignment, beats, boxes, intervals, joins, offsets, rates, records, segments, sync
+from cadentia.operators import alignment, applied, beats, boxes, intervals, joins, offsets, rates, records, segments, sync, waveforms
 from cadentia.plans import tables as t
 from cadentia.sources import sessions
 
@@ -114,7 +114,7 @@ pairs AS (SELECT * FROM hits WHERE place = 1)"""
 def _nearest(spark, sf_dir, tolerance=6 * HOURS):
     s = t.signals(spark, sf_dir)
     left, right = s.filter("sensor_id = 'view'"), s.filter("sensor_id = 'click'")
-    return joins.asof_nearest(left, right, tolerance).join(left.select("session_id", "us", "ord", "value"), ["session_id", "us", "ord"])
+    return joins.asof_nearest(left.select("session_id", "us", "ord", "value"), right, tolerance)
 
 
 @query("WITH " + t.SIGNALS + ", " + NEAREST + " SELECT session_id, ord, hit_ord, estimate FROM pairs")
@@ -238,13 +238,13 @@ def value_bounds(spark, sf_dir):
 
 
 def _ibi(spark, sf_dir):
-    """Per event type, intervals from 500 ms on by value; their running sum is the time."""
-    rows = t.table(spark, sf_dir, "events").select(F.col("event_type").alias("session_id"), F.col("event_id").alias("ord"), F.floor(500 + F.col("value") * 4).alias("ibi_ms").cast("double").alias("ibi_ms"))
+    """Per user, intervals from 500 ms on by value; their running sum is the time."""
+    rows = t.table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("ord"), F.floor(500 + F.col("value") * 4).alias("ibi_ms").cast("double").alias("ibi_ms"))
     order = Window.partitionBy("session_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     return beats.accept_intervals(rows.withColumn("us", (F.sum("ibi_ms").over(order) * 1000).cast("long")))
 
 
-IBI = """ibi AS (SELECT event_type AS session_id, event_id AS ord, floor(500 + value * 4)::DOUBLE AS ibi_ms FROM events),
+IBI = """ibi AS (SELECT user_id AS session_id, event_id AS ord, floor(500 + value * 4)::DOUBLE AS ibi_ms FROM events),
 timed AS (SELECT *, sum(ibi_ms) OVER (PARTITION BY session_id ORDER BY ord)::BIGINT * 1000 AS us, quantile_cont(ibi_ms, 0.5) OVER (PARTITION BY session_id ORDER BY ord ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS local_ms FROM ibi),
 acc AS (SELECT *, ibi_ms BETWEEN 300 AND 2000 AND ibi_ms / local_ms BETWEEN 0.6 AND 1.6 AS accepted FROM timed)"""
 
@@ -262,16 +262,16 @@ def strong_peaks(spark, sf_dir):
 
 @query("WITH " + IBI + """, p AS (SELECT *, row_number() OVER w AS place, sum(CASE WHEN accepted THEN 0 ELSE 1 END) OVER w AS rej FROM acc WINDOW w AS (PARTITION BY session_id ORDER BY us, ord)),
 g AS (SELECT *, row_number() OVER w AS k, CASE WHEN place - lag(place) OVER w = 1 THEN (ibi_ms - lag(ibi_ms) OVER w) ** 2 END AS sq FROM p WHERE accepted WINDOW w AS (PARTITION BY session_id ORDER BY us, ord)),
-m AS (SELECT session_id, us, k, stddev_samp(ibi_ms) OVER f AS sdnn_ms, sqrt(avg(sq) OVER (PARTITION BY session_id ORDER BY k ROWS BETWEEN 298 PRECEDING AND CURRENT ROW)) AS rmssd_ms, count(*) OVER f AS accepted_intervals,
-  min(us - (ibi_ms * 1000)::BIGINT) OVER f AS from_us FROM g WINDOW f AS (PARTITION BY session_id ORDER BY k ROWS BETWEEN 299 PRECEDING AND CURRENT ROW)),
-e AS (SELECT session_id, min(us) FILTER (k >= 30) AS low, max(us) AS high FROM m GROUP BY session_id),
+m AS (SELECT session_id, us, k, stddev_samp(ibi_ms) OVER f AS sdnn_ms, sqrt(avg(sq) OVER (PARTITION BY session_id ORDER BY k ROWS BETWEEN 28 PRECEDING AND CURRENT ROW)) AS rmssd_ms, count(*) OVER f AS accepted_intervals,
+  min(us - (ibi_ms * 1000)::BIGINT) OVER f AS from_us FROM g WINDOW f AS (PARTITION BY session_id ORDER BY k ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+e AS (SELECT session_id, min(us) FILTER (k >= 10) AS low, max(us) AS high FROM m GROUP BY session_id),
 t AS (SELECT session_id, unnest(range((ceil(low / 1e6))::BIGINT, (floor(high / 1e6))::BIGINT + 1)) * 1000000 AS at_us FROM e),
 x AS (SELECT t.session_id, t.at_us, m.* EXCLUDE (session_id) FROM t ASOF JOIN m ON t.session_id = m.session_id AND t.at_us >= m.us),
 y AS (SELECT x.*, coalesce(h.rej, 0) AS hi FROM x ASOF LEFT JOIN p h ON x.session_id = h.session_id AND x.at_us >= h.us),
 z AS (SELECT y.*, coalesce(l.rej, 0) AS lo FROM y ASOF LEFT JOIN p l ON y.session_id = l.session_id AND y.from_us >= l.us)
 SELECT session_id, at_us, round(sdnn_ms, 5) AS sdnn_ms, round(rmssd_ms, 5) AS rmssd_ms, accepted_intervals, (hi - lo)::BIGINT AS rejected_intervals, round(accepted_intervals / (accepted_intervals + hi - lo), 5) AS quality_fraction FROM z""")
 def hrv(spark, sf_dir):
-    return rounded(beats.hrv(_ibi(spark, sf_dir)), 5)
+    return rounded(beats.hrv(_ibi(spark, sf_dir), 30, 10), 5)
 
 
 @query("WITH " + t.CAMERAS + " SELECT session_id, coalesce(min(duration_sec) FILTER (limits AND duration_sec > 0), max(duration_sec) FILTER (duration_sec > 0), 0) AS common_sec FROM cameras GROUP BY session_id")
@@ -337,6 +337,63 @@ def apply_offset(spark, sf_dir):
     return alignment.apply_offset(segments, 1.5)
 
 
+def _applied(spark, sf_dir, offset_sec):
+    s = t.signals(spark, sf_dir)
+    own = t.intervals(s).select("session_id", "idx", "start_sec", "end_sec", F.when(F.col("idx") % 3 != 0, F.col("low_us")).alias("start_us"), F.lit(None).cast("long").alias("anchor_us"))
+    own = own.join(t.anchors(s).select("session_id", F.col("anchor_us").alias("session_anchor_us")), "session_id").withColumns({"session_offset_sec": F.lit(0.25), "has_offset": F.lit(False), "offset_sec": F.lit(None).cast("double")})
+    kinds = {k: s.filter(F.col("sensor_id") == k).select("session_id", "us", "ord", "value") for k in ("view", "click")}
+    anchors = t.anchors(s).select("session_id", "anchor_us", F.lit(0.25).alias("offset_sec"))
+    return applied.apply_to_sessions(own, anchors, anchors.select("session_id", F.lit(0).alias("place"), "offset_sec"), kinds, offset_sec)
+
+
+@query(on_signals("AI", """, b AS (SELECT session_id, idx, low_us - 7200000000 + CASE WHEN idx % 3 = 0 THEN 250000 ELSE 0 END AS a, low_us - 7200000000 + CASE WHEN idx % 3 = 0 THEN 250000 ELSE 0 END + round((end_sec - start_sec) * 1e6)::BIGINT AS b FROM intervals)
+SELECT s.session_id, idx, sensor_id AS kind, ord FROM signals s JOIN b ON s.session_id = b.session_id AND us BETWEEN a AND b WHERE sensor_id IN ('view', 'click')"""))
+def applied_slices(spark, sf_dir):
+    """Signals cut anew two hours earlier."""
+    return _applied(spark, sf_dir, 7200.0)["slices"].select("session_id", "idx", "kind", "ord")
+
+
+@query(on_signals("AI", """, n AS (SELECT session_id, count(*) AS updated FROM intervals GROUP BY session_id)
+SELECT a.session_id, anchor_us - 1250000 AS anchor_us, 1.5::DOUBLE AS offset_sec, 2::BIGINT AS applied, updated FROM anchors a JOIN n ON n.session_id = a.session_id"""))
+def applied_sessions(spark, sf_dir):
+    """Anchors, lengths of the histories and reports after an offset."""
+    done = _applied(spark, sf_dir, 1.5)
+    counts = done["history"].groupBy("session_id").agg(F.count("*").alias("applied"))
+    return done["anchors"].join(counts, "session_id").join(done["report"].select("session_id", "updated"), "session_id")
+
+
+SEGMENTED = """sc AS (SELECT l_suppkey AS session_id, l_orderkey % 7 AS segment_idx, l_linenumber AS win_idx, l_quantity::INT AS lag_idx, l_discount AS corr, 1 - l_tax AS face_coverage, (60 + l_linenumber)::DOUBLE AS video_hr FROM lineitem),
+ok AS (SELECT *, face_coverage >= 0.95 AND abs(video_hr - 62) <= 1 AS fine FROM sc)"""
+
+
+@query("WITH " + SEGMENTED + """, w AS (SELECT session_id, segment_idx, count(DISTINCT win_idx) FILTER (fine) AS accepted, count(DISTINCT win_idx) AS windows FROM ok GROUP BY ALL),
+c AS (SELECT session_id, segment_idx, lag_idx, round(avg(corr), 9) AS corr FROM ok WHERE fine GROUP BY ALL),
+r AS (SELECT *, sum(ch) OVER (PARTITION BY session_id, segment_idx ORDER BY lag_idx) AS run FROM (SELECT *, coalesce((corr <> lag(corr) OVER (PARTITION BY session_id, segment_idx ORDER BY lag_idx))::INT, 1) AS ch FROM c)),
+g AS (SELECT session_id, segment_idx, run, min(lag_idx) AS low, max(lag_idx) AS high, first(corr) AS corr FROM r GROUP BY ALL),
+h AS (SELECT *, lag(corr) OVER w AS b, lead(corr) OVER w AS a FROM g WINDOW w AS (PARTITION BY session_id, segment_idx ORDER BY run)),
+p AS (SELECT session_id, segment_idx, (low + high) // 2 AS peak FROM h WHERE corr > b AND corr > a), n AS (SELECT session_id, segment_idx, arg_min(peak, struct_pack(d := abs(peak - 25), p := peak)) AS nearest_peak FROM p GROUP BY ALL),
+m AS (SELECT session_id, segment_idx, max(corr) AS corr FROM c GROUP BY ALL)
+SELECT w.*, CASE WHEN nearest_peak IS NOT NULL THEN m.corr END AS corr, nearest_peak FROM w LEFT JOIN m USING (session_id, segment_idx) LEFT JOIN n USING (session_id, segment_idx)""")
+def pool_report(spark, sf_dir):
+    """Line items as windows of segments; equal window numbers of a segment are one window."""
+    rows = t.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("session_id"), (F.col("l_orderkey") % 7).alias("segment_idx"), F.col("l_linenumber").alias("win_idx"), F.col("l_quantity").cast("int").alias("lag_idx"), F.col("l_discount").alias("corr"), (1 - F.col("l_tax")).alias("face_coverage"), (60 + F.col("l_linenumber")).cast("double").alias("video_hr"), F.lit(62.0).alias("reference_hr"))
+    at = rows.select("session_id", F.lit(25.0).alias("at_lag")).distinct()
+    return rounded(applied.pool_report(rows, at, 1.0, 0.95).drop("best"), 9)
+
+
+@query("""WITH n AS (SELECT user_id // 10 AS session_id, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1)
+SELECT session_id, 16 - 4 * (session_id % 3) AS lag_idx, 1.0::DOUBLE AS corr FROM n WHERE n >= 240""")
+def pooled_window_lag(spark, sf_dir):
+    """Events of ten users each as a pulse at 8 Hz, against itself up to a second later: windows, their curves, the pooled lag."""
+    rows = t.signals(spark, sf_dir).filter("value IS NOT NULL").withColumn("session_id", F.floor(F.col("session_id") / 10))
+    pulses = rates.sample_index(rows).select("session_id", F.lit(0).cast("long").alias("segment_idx"), F.col("k").alias("frame_idx"), "value")
+    references = pulses.select("session_id", "segment_idx", (F.col("frame_idx") / 8 + F.col("session_id") % 3 * 0.5).alias("t_sec"), "value")
+    clips = pulses.groupBy("session_id", "segment_idx").agg((F.count("*") / 8).alias("duration_sec")).filter("duration_sec >= 30")
+    curves = waveforms.window_correlations(pulses, references, intervals.analysis_windows(clips), 8.0, 2.0, 0.125)
+    pooled = alignment.pool_curves(curves, None)
+    return rounded(alignment.best_lag(pooled.select("session_id", "lag_idx", F.round("corr", 9).alias("corr"))).select("session_id", "lag_idx", "corr"), 6)
+
+
 @query("""WITH x AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'f' || o_custkey WHEN 1 THEN (o_custkey % 60) || ':' || (o_orderkey % 60) WHEN 2 THEN (o_custkey % 9) || ':02:03.5' WHEN 3 THEN (o_custkey % 90) || ',25' ELSE o_orderstatus || 'x' END AS s FROM orders)
 SELECT o_orderkey, round(CASE o_orderkey % 5 WHEN 0 THEN substr(s, 2)::DOUBLE / 60 WHEN 1 THEN split_part(s, ':', 1)::DOUBLE * 60 + split_part(s, ':', 2)::DOUBLE WHEN 2 THEN split_part(s, ':', 1)::DOUBLE * 3600 + 123.5 WHEN 3 THEN replace(s, ',', '.')::DOUBLE END, 6) AS sec FROM x""")
 def parse_time_text(spark, sf_dir):
@@ -394,8 +451,8 @@ def hr_target_windows(spark, sf_dir):
 
 @query(None)
 def heart_rate(spark, sf_dir):
-    """Ten sessions of events taken as samples at 8 Hz: windows, rates and the harmonic correction."""
-    indexed = rates.sample_index(t.signals(spark, sf_dir).withColumn("session_id", F.col("session_id") % 10))
+    """Events of ten users each taken as samples at 8 Hz: windows, rates and the harmonic correction."""
+    indexed = rates.sample_index(t.signals(spark, sf_dir).withColumn("session_id", F.floor(F.col("session_id") / 10)))
     return rates.resolve_harmonics(rates.hr_features(indexed, rates.hr_windows(indexed, 8.0), 8.0))
 
 

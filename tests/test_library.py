@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from cadentia.functions import dsp
-from cadentia.operators import alignment, beats, intervals, joins, rates, records, waveforms
+from cadentia.operators import alignment, applied, beats, intervals, joins, rates, records, waveforms
 from cadentia.plans import queries
 from cadentia.sources import sensors
 
@@ -87,6 +87,125 @@ def test_lag_of_irregular_pulse(spark):
     assert windows.count() == 3 and abs((best.lag * 0.02 - 10) - 1.31) < 0.015 and best.corr > 0.95
 
 
+@pytest.mark.parametrize("distance", [1, 2, 7])
+def test_peaks_against_brute_force(distance):
+    x = np.random.default_rng(3).integers(0, 9, 300).astype(float)
+    tops, k = [], 1
+    while k < len(x) - 1:
+        end = k
+        while end + 1 < len(x) and x[end + 1] == x[k]:
+            end += 1
+        if x[k - 1] < x[k] and end + 1 < len(x) and x[end + 1] < x[k]:
+            tops.append((k + end) // 2)
+        k = end + 1
+    kept = []
+    for p in sorted(tops, key=lambda p: (x[p], p), reverse=True):
+        if all(abs(p - q) >= distance for q in kept):
+            kept.append(p)
+    assert dsp.find_peaks(x, distance)[0].tolist() == sorted(kept)
+
+
+def test_lag_scan_against_plain_loop():
+    rng = np.random.default_rng(4)
+    t, ref, pulse = np.arange(0, 40, 0.1), rng.normal(size=400), rng.normal(size=240)
+    pulse[50:60] = np.nan
+    lags = np.arange(-12, 13) * 1.3
+    known = np.isfinite(pulse)
+    expected = []
+    for lag in lags:
+        at = (np.arange(240) / 8)[known] - lag
+        meets = (at >= t[0]) & (at <= t[-1])
+        expected.append(np.corrcoef(pulse[known][meets], np.interp(at[meets], t, ref))[0, 1] if meets.sum() >= 0.8 * known.sum() else np.nan)
+    assert np.isnan(expected).any() and np.allclose(dsp.lag_scan(pulse, 8, t, ref, lags, block=700), expected, equal_nan=True)
+
+
+def test_reference_is_prepared(spark):
+    t = np.arange(0, 60, 0.04)
+    x = 5 + 3 * np.sin(2 * np.pi * 1.2 * t) + 0.1 * t
+    rows = [(1, 0, float(a), float(v)) for a, v in zip(t[::-1], x[::-1])] + [(1, 0, 1.01, None), (1, 0, float("nan"), 1.0), (1, 1, 0.0, 2.0), (1, 1, 1.0, 4.0)]
+    got = waveforms.prepare_reference(spark.createDataFrame(rows, "session_id long, segment_idx long, t_sec double, value double")).orderBy("segment_idx", "t_sec").collect()
+    long, short = [r for r in got if r.segment_idx == 0], [r for r in got if r.segment_idx == 1]
+    y = np.array([r.value for r in long])
+    assert len(long) == len(t) and abs(y.mean()) < 1e-9 and abs(y.std() - 1) < 1e-9 and np.corrcoef(y, np.sin(2 * np.pi * 1.2 * t))[0, 1] > 0.99
+    assert [r.value for r in short] == [-1.0, 1.0]
+
+
+def test_windows_of_two_segments_are_pooled(spark):
+    """Six windows of two segments, of which one window has lost the face; a third segment has no reference."""
+    rng = np.random.default_rng(2)
+    pulses, refs = [], []
+    for seg in range(3):
+        beat = np.cumsum(rng.uniform(0.7, 0.9, 140) + 0.1 * seg) - 20
+        wave = lambda t: np.exp(-((t[:, None] - beat) ** 2) / 0.02).sum(1)  # noqa: E731, B023
+        pulses += [(1, seg, k, float(v), not (seg == 1 and k < 300)) for k, v in enumerate(wave(np.arange(0, 60, 1 / 30) - 1.3))]
+        at = np.arange(-15, 75, 1 / 50)
+        refs += [(1, seg, float(a), float(v)) for a, v in zip(at, wave(at))] if seg < 2 else []
+    pulses = spark.createDataFrame(pulses, "session_id long, segment_idx long, frame_idx long, value double, detected boolean")
+    refs = waveforms.prepare_reference(spark.createDataFrame(refs, "session_id long, segment_idx long, t_sec double, value double"))
+    windows = intervals.analysis_windows(spark.createDataFrame([(1, s, 60.0) for s in range(3)], "session_id long, segment_idx long, duration_sec double"))
+    curves = waveforms.window_correlations(pulses, refs, windows, 30.0).cache()
+    counts = applied.window_counts(curves).first()
+    assert (counts.accepted, counts.windows) == (5, 9)
+    assert curves.filter("segment_idx = 2 AND lag_idx IS NULL AND reference_hr IS NULL").count() == 3
+    best = alignment.best_lag(alignment.pool_curves(curves).select("session_id", "lag_idx", "corr")).first()
+    assert abs(best.lag * 0.02 - 10 - 1.3) < 0.04 and best.corr > 0.9
+    report = {r.segment_idx: r for r in applied.pool_report(curves, spark.createDataFrame([(1, 565.0)], "session_id long, at_lag double")).collect()}
+    assert (report[0].accepted, report[1].accepted, report[2].accepted, report[2].windows, report[2].best) == (3, 2, 0, 3, None)
+    assert all(abs(report[s].nearest_peak - 565) <= 1 for s in (0, 1))
+    curves.unpersist()
+
+
+def test_offsets_applied_in_turn_restore_the_first_state(spark):
+    segs = spark.createDataFrame([(1, 1, 10.0, 20.0, 10_000_000, None, None, 0.0, True, 0.0), (1, 2, 1.0, 2.0, None, None, None, 0.0, False, None)], "session_id long, idx long, start_sec double, end_sec double, start_us long, anchor_us long, session_anchor_us long, session_offset_sec double, has_offset boolean, offset_sec double")
+    anchors = spark.createDataFrame([(1, 0, 0.0), (2, 5, None)], "session_id long, anchor_us long, offset_sec double")
+    history = spark.createDataFrame([], "session_id long, place long, offset_sec double")
+    samples = spark.createDataFrame([(1, k * 1_000_000, k, float(k)) for k in range(40)], "session_id long, us long, ord long, value double")
+    spans = []
+    for offset in (1.5, -0.25, 0.0):
+        done = applied.apply_to_sessions(segs, anchors, history, {"hr": samples, "ecg": samples}, offset, "n")
+        timing = done["timing"].collect()
+        assert [(r.idx, r.note) for r in timing] == [(1, "n")]
+        spans.append((sorted(r.ord for r in done["slices"].filter("kind = 'hr'").collect()), {r.session_id: r.anchor_us for r in done["anchors"].collect()}))
+        segs = spark.createDataFrame([(1, 1, 10.0, 20.0, timing[0].start_us, timing[0].anchor_us, None, 0.0, True, offset)], segs.schema)
+        anchors = spark.createDataFrame(done["anchors"].collect(), anchors.schema)
+        history = spark.createDataFrame(done["history"].collect(), history.schema)
+        report = done["report"].first()
+        assert report.updated == 1 and report.resliced == ["hr", "ecg"]
+    assert [s[0][0] for s in spans] == [9, 11, 10] and [s[1][1] for s in spans] == [-1_500_000, 250_000, 0] and spans[2][1][2] == 5
+    assert sorted((r.place, r.offset_sec) for r in history.filter("session_id = 1").collect()) == [(0, 1.5), (1, -0.25), (2, 0.0)]
+
+
+def test_hrv_against_plain_python(spark):
+    rng = np.random.default_rng(5)
+    rows, us = [], 0
+    for k in range(120):
+        ms = float(rng.integers(600, 1000))
+        us += int(ms * 1000)
+        rows.append((1, k, us, ms, bool(rng.random() > 0.2)))
+    got = {r.at_us: r for r in beats.hrv(spark.createDataFrame(rows, "session_id long, ord long, us long, ibi_ms double, accepted boolean"), 20, 8).collect()}
+    good = [k for k, r in enumerate(rows) if r[4]]
+    low, high = rows[good[7]][2], rows[good[-1]][2]
+    assert sorted(got) == list(range(-(-low // 1_000_000) * 1_000_000, high + 1, 1_000_000))
+    for at, r in got.items():
+        used = [k for k in good if rows[k][2] <= at][-20:]
+        values = np.array([rows[k][3] for k in used])
+        pairs = [(rows[k][3] - rows[k - 1][3]) ** 2 for k in used[1:] if k - 1 in used]
+        start = min(rows[k][2] - int(rows[k][3] * 1000) for k in used)
+        rejected = sum(1 for x in rows if not x[4] and start < x[2] <= at)
+        assert (r.accepted_intervals, r.rejected_intervals) == (len(used), rejected)
+        assert abs(r.sdnn_ms - values.std(ddof=1)) < 1e-9 and abs(r.rmssd_ms - np.mean(pairs) ** 0.5) < 1e-9
+    none = spark.createDataFrame([], "session_id long, ord long, us long, ibi_ms double, accepted boolean")
+    assert beats.hrv(none).count() == 0
+
+
+def test_asof_keeps_columns_and_unmatched_rows(spark):
+    left = spark.createDataFrame([(1, 100, 0, "a", 7.0), (2, 5, 1, "b", 8.0)], "session_id long, us long, ord long, name string, value double")
+    right = spark.createDataFrame([(1, 100, 5, 1.0, "x"), (3, 1, 6, 2.0, "y")], "session_id long, us long, ord long, value double, label string")
+    got = {r.name: (r.value, r.hit and (r.hit.value, r.hit.label)) for r in joins.asof_backward(left, right, payload=["value", "label"]).collect()}
+    assert got == {"a": (7.0, (1.0, "x")), "b": (8.0, None)}
+    assert joins.asof_nearest(left.limit(0), right).count() == joins.asof_nearest(left, right.limit(0)).count() == 0
+
+
 def test_synthetic_pulse(spark):
     rows = spark.createDataFrame([(1, 500_000), (1, 1_500_000), (1, 2_500_000)], "session_id long, us long")
     got = waveforms.synthesize_ppg(rows, 20).orderBy("us").collect()
