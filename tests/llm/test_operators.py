@@ -59,14 +59,16 @@ def test_language_held_out(spark, edges, empty):
     docs = spark.createDataFrame(data, DOCS)
     out = langid.identify(docs).withColumn("held", langid.held_out()).collect()
     assert all(r.lang_pred == r.lang and 0 <= r.score <= 1 for r in out if r.held) and any(r.held for r in out)
-    names, table = langid.fit(docs)
-    got = langid.predict(edges, names, table).select("doc_id", "lang_pred").collect()
+    got = langid.predict(edges, langid.models(docs)).select("doc_id", "lang_pred").collect()
     assert {r.lang_pred for r in got if r.doc_id in (1, 2, 6)} == {"und"} and len(got) == len(EDGES)
     assert langid.identify(empty).count() == 0
 
 
-def test_language_scores_against_plain_naive_bayes(spark):
-    """Counts, argmax and score of a multinomial naive Bayes written with dictionaries."""
+@pytest.mark.parametrize(("block", "most"), [(64, 500_000), (1, 500_000), (2, 5)])
+def test_language_scores_against_plain_naive_bayes(spark, monkeypatch, block, most):
+    """Counts, argmax and score of a multinomial naive Bayes written with dictionaries; languages in blocks, texts in parts."""
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", block)
+    monkeypatch.setattr(langid, "MOST_BYTES", most)
     rng = random.Random(13)
     alphabet = {"en": "the and,of 7", "el": "αβγ δέ.ζ", "ja": "これは 文字の🙂"}
     data = [(i, "".join(rng.choice(alphabet[lang]) for _ in range(rng.randint(0, 25))), lang, None) for i, lang in enumerate([*alphabet] * 30)]
@@ -93,9 +95,10 @@ def test_language_scores_against_plain_naive_bayes(spark):
                 counts[lang][b] += 1
     total = {lang: sum(c.values()) for lang, c in counts.items()}
     docs = spark.createDataFrame(data, DOCS)
-    names, table = langid.fit(docs)
-    assert names == sorted(alphabet)
-    for r in langid.predict(docs, names, table).collect():
+    blocks = list(langid.models(docs))
+    names = [name for block_names, _ in blocks for name in block_names]
+    assert names == sorted(alphabet) and all(len(b) <= block for b, _ in blocks)
+    for r in langid.predict(docs, blocks).collect():
         odds = [sum(np.log((counts[lang][b] + 0.5) / (total[lang] + 0.5 * langid.BUCKETS)) for b in grams(r.text or "")) for lang in names]
         p = np.exp(np.array(odds) - max(odds))
         if re.search(r"[^\W\d_]", r.text or ""):
