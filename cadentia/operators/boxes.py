@@ -10,11 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from cadentia.operators.dealing import dealt
+
 #: Frames of a clip that one call handles.
 BLOCK_FRAMES = 1_024
 BOX = ["x", "y", "w", "h"]
 
 
+def _frames(clip: pd.DataFrame) -> list[tuple[int, int, int]]:
+    """Frame and first and last row (exclusive) of each frame of a clip in order."""
+    frames, first = np.unique(clip["frame_idx"].to_numpy(), return_index=True)
+    return list(zip(frames.tolist(), first.tolist(), [*first[1:].tolist(), len(clip)], strict=True))
+
+
 def overlap(box: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Intersection over union of one box with others (n x 4)."""
     low = np.maximum(box[:2], others[:, :2])
@@ -49,16 +57,18 @@ def track_boxes(detections: DataFrame, persistence_sec: float = 0.6) -> DataFram
     detections: clip_id, frame_idx, t_sec, x, y, w, h, score; a frame without any has one row with nulls.  From the
     highest score down a detection takes the free track it overlaps most, else one whose centre is nearer than 0.75 of
     the larger side, else it starts a track.  An unseen track moves on with its blended speed, grows by up to half, and
-    ends after `persistence_sec`.  A clip is one ordered walk, so one clip is one task."""
-    rows = detections.select("clip_id", "frame_idx", *(F.col(c).cast("double").alias(c) for c in ["t_sec", *BOX, "score"]))
+    ends after `persistence_sec`.  Rows without a frame_idx go.  A clip is one ordered walk, so one clip is one task."""
+    rows = detections.select("clip_id", "frame_idx", *(F.col(c).cast("double").alias(c) for c in ["t_sec", *BOX, "score"])).dropna(subset=["frame_idx"])
 
     def run(clip: pd.DataFrame) -> pd.DataFrame:
         out, made = [], 0
         ids, seen, box, speed = np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 4)), np.zeros((0, 2))
         clip = clip.sort_values(["frame_idx", "score", *BOX], ascending=[True, False, True, True, True, True])
-        for frame_idx, found in clip.groupby("frame_idx", sort=True):
-            t, free = float(found["t_sec"].iloc[0]), np.ones(len(ids), bool)
-            for new in found[BOX].dropna().to_numpy():
+        boxes, times = clip[BOX].to_numpy(), clip["t_sec"].to_numpy()
+        whole = ~np.isnan(boxes).any(1)
+        for frame_idx, low, high in _frames(clip):
+            t, free = float(times[low]), np.ones(len(ids), bool)
+            for new in boxes[low:high][whole[low:high]]:
                 centre = new[:2] + new[2:] / 2
                 rank = overlap(new, box)
                 moved = centre - (box[:, :2] + box[:, 2:] / 2)
@@ -76,13 +86,12 @@ def track_boxes(detections: DataFrame, persistence_sec: float = 0.6) -> DataFram
             age = np.clip(t - seen, 0, None)
             grown = box[:, 2:] * (1 + (0.5 * age / persistence_sec if persistence_sec > 0 else 0 * age))[:, None]
             corner = box[:, :2] + box[:, 2:] / 2 + speed * age[:, None] - grown / 2
-            out.append(pd.DataFrame({"frame_idx": frame_idx, "track_id": ids, "x": corner[:, 0], "y": corner[:, 1], "w": grown[:, 0], "h": grown[:, 1], "age_sec": age}))
-        whole = pd.concat(out, ignore_index=True)
-        whole.insert(0, "clip_id", clip["clip_id"].iloc[0])
-        return whole
+            out.append((np.full(len(ids), frame_idx), ids, *corner.T, *grown.T, age))
+        columns = ["frame_idx", "track_id", *BOX, "age_sec"]
+        return pd.DataFrame({"clip_id": clip["clip_id"].iloc[0]} | dict(zip(columns, map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     kinds = dict(rows.dtypes)
-    return rows.groupBy("clip_id").applyInPandas(run, f"clip_id {kinds['clip_id']}, frame_idx {kinds['frame_idx']}, track_id long, x double, y double, w double, h double, age_sec double")
+    return dealt(rows, "clip_id").groupBy("clip_id").applyInPandas(run, f"clip_id {kinds['clip_id']}, frame_idx {kinds['frame_idx']}, track_id long, x double, y double, w double, h double, age_sec double")
 
 
 def follow_face(detections: DataFrame, fs: float, every: int = 5, blend: float = 0.35, centred: bool = False, hold_sec: float = 2.0) -> DataFrame:
@@ -90,15 +99,17 @@ def follow_face(detections: DataFrame, fs: float, every: int = 5, blend: float =
 
     detections are as in track_boxes.  Every `every`-th frame, and each frame while there is no face, the box that overlaps
     the face most counts if it does by more than 0.1, else the largest.  It is blended into the face; or with `centred`
-    the boxes found are interpolated, then centres averaged over 3 frames and sizes set to the median of 15.  A clip is one task."""
-    rows = detections.select("clip_id", "frame_idx", *(F.col(c).cast("double").alias(c) for c in BOX))
+    the boxes found are interpolated, then centres averaged over 3 frames and sizes set to the median of 15.  Rows without a frame_idx go.  A clip is one task."""
+    rows = detections.select("clip_id", "frame_idx", *(F.col(c).cast("double").alias(c) for c in BOX)).dropna(subset=["frame_idx"])
 
     def run(clip: pd.DataFrame) -> pd.DataFrame:
         clip = clip.sort_values(["frame_idx", *BOX])
         frames = clip["frame_idx"].unique()
         face, at, path = None, [], np.full((len(frames), 4), np.nan)
-        for k, (frame, found) in enumerate(clip.groupby("frame_idx", sort=True)):
-            found = found[BOX].dropna().to_numpy()
+        boxes = clip[BOX].to_numpy()
+        whole = ~np.isnan(boxes).any(1)
+        for k, (frame, low, high) in enumerate(_frames(clip)):
+            found = boxes[low:high][whole[low:high]]
             if len(found) and (face is None or frame % every == 0):
                 share = overlap(face, found) if face is not None else np.zeros(len(found))
                 best = found[share.argmax() if share.max() > 0.1 else found[:, 2:].prod(1).argmax()]
@@ -112,10 +123,10 @@ def follow_face(detections: DataFrame, fs: float, every: int = 5, blend: float =
             last = frames[np.array(at)[np.searchsorted(at, np.arange(len(frames)), "right") - 1]]
             seen = (np.arange(len(frames)) >= at[0]) & (frames - last < int(hold_sec * fs))
             if centred:
-                whole = np.arange(frames[0], frames[-1] + 1)
+                every_frame = np.arange(frames[0], frames[-1] + 1)
                 found = path[at]
                 found[:, :2] += found[:, 2:] / 2
-                middle = pd.DataFrame({c: np.interp(whole, frames[at], found[:, k]) for k, c in enumerate(BOX)})
+                middle = pd.DataFrame({c: np.interp(every_frame, frames[at], found[:, k]) for k, c in enumerate(BOX)})
                 size = middle[["w", "h"]].rolling(15, center=True, min_periods=1).median()
                 centre = middle[["x", "y"]].rolling(3, center=True, min_periods=1).mean()
                 smooth = np.hstack([centre.to_numpy() - size.to_numpy() / 2, size.to_numpy()])[frames - frames[0]]
@@ -124,7 +135,7 @@ def follow_face(detections: DataFrame, fs: float, every: int = 5, blend: float =
         return out.assign(clip_id=clip["clip_id"].iloc[0], frame_idx=frames, detected=seen)
 
     kinds = dict(rows.dtypes)
-    return rows.groupBy("clip_id").applyInPandas(run, f"clip_id {kinds['clip_id']}, frame_idx {kinds['frame_idx']}, x double, y double, w double, h double, detected boolean")
+    return dealt(rows, "clip_id").groupBy("clip_id").applyInPandas(run, f"clip_id {kinds['clip_id']}, frame_idx {kinds['frame_idx']}, x double, y double, w double, h double, detected boolean")
 
 
 def roi_mean_rgb(pixels: Column | str, skin_only: bool = True, least: float = 0.15) -> Column:

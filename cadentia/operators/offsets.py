@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadentia.operators.dealing import dealt
+
 HOP_SEC = 512 / 16_000
+#: Spanning trees whose residuals are taken at once.
+BLOCK_TREES = 4_096
 
 
 def envelope_lag(reference: np.ndarray, target: np.ndarray, most: int) -> int:
@@ -63,36 +67,52 @@ def reference_offsets(relations: DataFrame, cameras: DataFrame) -> DataFrame:
     return rows.select("session_id", "camera_index", F.when(F.col("camera_index") == 0, 0.0).otherwise(F.col("offset_sec")).alias("offset_sec"))
 
 
+def _best_tree(left: np.ndarray, right: np.ndarray, off: np.ndarray, size: int) -> tuple[tuple[float, ...], list[float]] | None:
+    """Residuals (median, mean, largest) and offsets of the spanning tree with the least, the first of equal ones; None if
+    there is no tree.  A camera alone, without relations, is its own tree and has no residuals."""
+    if not len(off):
+        return ((np.nan,) * 3, [0.0]) if size == 1 else None
+    order = np.lexsort((off, right, left))
+    left, right, off = left[order].astype(int), right[order].astype(int), off[order]
+    edges = list(zip(left.tolist(), right.tolist(), off.tolist(), strict=True))
+    solved = (_solve(list(tree), size) for tree in combinations(edges, size - 1))
+    found, best = (offsets for offsets in solved if offsets is not None), None
+    while block := list(islice(found, BLOCK_TREES)):
+        at = np.array(block)
+        residual = np.abs(at[:, right] - at[:, left] - off)
+        scores = np.column_stack([np.median(residual, 1), residual.mean(1), residual.max(1)]).round(9)
+        k = np.lexsort(scores.T[::-1])[0]
+        if best is None or tuple(scores[k]) < best[0]:
+            best = tuple(scores[k]), block[k]
+    return best
+
+
 def reconciled_offsets(relations: DataFrame, unconnected: str = "raise") -> DataFrame:
     """session_id, camera_index, offset_sec, median_residual, mean_residual, max_residual, connected from relations.
 
     Of all spanning trees of a session's cameras 0..n that one counts whose offsets leave the least residuals (median,
     then mean, then largest).  A session whose relations do not connect its cameras fails the job or, if `unconnected`
     is "null", has a row per camera with nulls and connected = false; cameras are then counted from relations without an
-    offset too.  The trees of a session are tried one by one, so this is for the handful of cameras that one session has."""
+    offset too.  The trees of a session are tried one by one, so this is for the handful of cameras that one session has;
+    a session's relations meet in one row."""
     if unconnected not in ("raise", "null"):
         raise ValueError(f"unconnected: {unconnected}")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        session = rows["session_id"].iloc[0]
-        size = 1 + int(np.nanmax([rows["left"].max(), rows["right"].max(), 0]))
-        whole = rows.dropna()
-        edges = sorted(zip(whole["left"].astype(int), whole["right"].astype(int), whole["offset_sec"], strict=True))
-        left, right, off = (np.array(c) for c in zip(*edges, strict=True)) if edges else ((), (), ())
-        best = None
-        for tree in combinations(edges, size - 1):
-            found = _solve(list(tree), size)
-            if found is not None:
-                at = np.array(found)
-                residual = np.abs(at[right] - at[left] - off)
-                score = tuple(np.round([np.median(residual), residual.mean(), residual.max()], 9))
-                if best is None or score < best[0]:
-                    best = score, found
-        if best is None and unconnected == "raise":
-            raise ValueError(f"session {session}: relations do not connect its cameras")
-        (median, mean, most), found = best or ((np.nan,) * 3, [np.nan] * size)
-        return pd.DataFrame({"session_id": session, "camera_index": range(size), "offset_sec": found, "median_residual": median, "mean_residual": mean, "max_residual": most, "connected": best is not None})
+    def run(batches):
+        for sessions in batches:
+            parts = []
+            for session, *own in zip(*(sessions[c] for c in ("session_id", "left", "right", "offset_sec")), strict=True):
+                left, right, off = (np.asarray(c, float) for c in own)
+                size = 1 + int(np.nanmax([0, *left, *right]))
+                whole = ~(np.isnan(left) | np.isnan(right) | np.isnan(off))
+                best = _best_tree(left[whole], right[whole], off[whole], size)
+                if best is None and unconnected == "raise":
+                    raise ValueError(f"session {session}: relations do not connect its cameras")
+                residuals, found = best or ((np.nan,) * 3, [np.nan] * size)
+                parts += [(session, k, offset, *residuals, best is not None) for k, offset in enumerate(found)]
+            yield pd.DataFrame(parts, columns=["session_id", "camera_index", "offset_sec", "median_residual", "mean_residual", "max_residual", "connected"])
 
     rows = relations.select(F.col("session_id").cast("long"), F.col("left").cast("long"), F.col("right").cast("long"), F.col("offset_sec").cast("double"))
     rows = rows.dropna() if unconnected == "raise" else rows.dropna(subset=["session_id"])
-    return rows.groupBy("session_id").applyInPandas(run, "session_id long, camera_index long, offset_sec double, median_residual double, mean_residual double, max_residual double, connected boolean")
+    whole = dealt(rows, "session_id").groupBy("session_id").agg(F.collect_list(F.struct("left", "right", "offset_sec")).alias("r"))
+    return whole.select("session_id", "r.left", "r.right", "r.offset_sec").mapInPandas(run, "session_id long, camera_index long, offset_sec double, median_residual double, mean_residual double, max_residual double, connected boolean")

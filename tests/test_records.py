@@ -123,3 +123,18 @@ def test_offset_must_be_there(spark):
     assert [r.o for r in rows.select(sessions.offset_of("j").alias("o")).collect()] == [1.5, 0.0]
     with pytest.raises(Exception, match="no video_signal_offset_sec"):
         rows.select(sessions.offset_of(F.lit("{}")).alias("o")).collect()
+
+
+def test_camera_alone_and_trees_in_blocks(spark, monkeypatch):
+    schema = "session_id long, left long, right long, offset_sec double"
+    one = offsets.reconciled_offsets(spark.createDataFrame([(1, 0, 0, None)], schema), unconnected="null").collect()
+    assert [(r.camera_index, r.offset_sec, r.median_residual, r.connected) for r in one] == [(0, 0.0, None, True)]
+    edges = [np.array(c) for c in zip(*[(a, b, b - a + (a * 7 + b * 3) % 5 / 10) for a in range(5) for b in range(a + 1, 5)], strict=True)]
+    whole = offsets._best_tree(*edges, 5)
+    monkeypatch.setattr(offsets, "BLOCK_TREES", 3)
+    assert offsets._best_tree(*edges, 5) == whole
+
+
+def test_boxes_without_a_frame_go(spark):
+    rows = spark.createDataFrame([(1, None, 0.0, 1.0, 1.0, 5.0, 5.0, 0.5), (1, 2, 0.1, 1.0, 1.0, 5.0, 5.0, 0.5)], BOXES)
+    assert [r.frame_idx for r in boxes.track_boxes(rows).collect()] == [r.frame_idx for r in boxes.follow_face(rows, 30.0).collect()] == [2]
