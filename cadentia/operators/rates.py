@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadentia.functions import dsp
+from cadentia.operators.dealing import dealt
 from cadentia.operators.joins import asof_backward
 
 
@@ -128,4 +129,4 @@ def ppg_pulses(ppg: DataFrame, share: float = 0.05, apart_sec: float = 0.3) -> D
         return rows.iloc[peaks][["session_id", "us"]].assign(ord=peaks)
 
     kind = dict(ppg.dtypes)["session_id"]
-    return ppg.select("session_id", "us", "value").groupBy("session_id").applyInPandas(run, f"session_id {kind}, us long, ord long")
+    return dealt(ppg.select("session_id", "us", "value"), "session_id").groupBy("session_id").applyInPandas(run, f"session_id {kind}, us long, ord long")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadentia.functions import dsp
+from cadentia.operators.dealing import dealt
 
 # Fixed values of the published pulse model (Tang et al. 2020), in radians of the beat's angle.
 PULSE_CENTRE = (-1.6184, 0.8903)
@@ -34,7 +35,7 @@ def ecg_peaks(ecg: DataFrame) -> DataFrame:
         return pd.DataFrame({"session_id": rows["session_id"].iloc[0], "us": us[peaks], "ord": peaks, "prominence": heights}) if len(peaks) > 1 else none
 
     kind = dict(ecg.dtypes)["session_id"]
-    return ecg.select("session_id", "us", "value").groupBy("session_id").applyInPandas(run, f"session_id {kind}, us long, ord long, prominence double")
+    return dealt(ecg.select("session_id", "us", "value"), "session_id").groupBy("session_id").applyInPandas(run, f"session_id {kind}, us long, ord long, prominence double")
 
 
 def synthesize_ppg(beats: DataFrame, fs: float = 125.0) -> DataFrame:
@@ -62,7 +63,7 @@ def prepare_reference(references: DataFrame) -> DataFrame:
         t, x = dsp.prepare_reference(rows["t_sec"].to_numpy(float), rows["value"].to_numpy(float))
         return pd.DataFrame({"session_id": rows["session_id"].iloc[0], "segment_idx": rows["segment_idx"].iloc[0], "t_sec": t, "value": x})
 
-    return references.select("session_id", "segment_idx", "t_sec", "value").groupBy("session_id", "segment_idx").applyInPandas(run, "session_id long, segment_idx long, t_sec double, value double")
+    return dealt(references.select("session_id", "segment_idx", "t_sec", "value"), "session_id", "segment_idx").groupBy("session_id", "segment_idx").applyInPandas(run, "session_id long, segment_idx long, t_sec double, value double")
 
 
 def window_correlations(pulses: DataFrame, references: DataFrame, windows: DataFrame, fs: float, max_lag: float = 10.0, step: float = 0.02, margin: float = 2.0) -> DataFrame:
@@ -104,7 +105,7 @@ def window_correlations(pulses: DataFrame, references: DataFrame, windows: DataF
     near = references.select("session_id", "segment_idx", "t_sec", "value").join(windows.select(*keys, "win_start", "win_end"), keys[:2]).filter((F.col("t_sec") >= F.col("win_start") - reach) & (F.col("t_sec") <= F.col("win_end") + reach))
     # New names for its columns, as both sides may come from one table.
     near = near.select(*(F.col(c).alias(c) for c in (*keys, "t_sec", "value")))
-    out = inside.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInPandas(run, "session_id long, segment_idx long, win_idx long, lag_idx long, lag double, corr double, video_hr double, reference_hr double, face_coverage double")
+    out = dealt(inside, *keys).groupBy(*keys).cogroup(dealt(near, *keys).groupBy(*keys)).applyInPandas(run, "session_id long, segment_idx long, win_idx long, lag_idx long, lag double, corr double, video_hr double, reference_hr double, face_coverage double")
     return out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in ("video_hr", "reference_hr")})
 
 
@@ -118,4 +119,5 @@ def estimate_pulse(traces: DataFrame, fs: float, method: str = "POS") -> DataFra
         rgb = rgb.where(rgb.notna().all(axis=1)).interpolate(limit_direction="both").fillna(0.0).to_numpy()
         return rows[["session_id", "segment_idx", "frame_idx"]].assign(value=dsp.pulse_from_rgb(rgb, fs, method))
 
-    return traces.groupBy("session_id", "segment_idx").applyInPandas(run, "session_id long, segment_idx long, frame_idx long, value double")
+    traces = traces.select("session_id", "segment_idx", "frame_idx", "r", "g", "b")
+    return dealt(traces, "session_id", "segment_idx").groupBy("session_id", "segment_idx").applyInPandas(run, "session_id long, segment_idx long, frame_idx long, value double")
