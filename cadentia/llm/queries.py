@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadentia.llm import chat, decontam, exact, langid, minhash, mixing, pii, suffix, tokens, warc
+from cadentia.llm import chat, decontam, exact, langid, merkle, minhash, mixing, pii, suffix, tokens, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_near_dedup": minhash.op10_near_dedup,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op8_mixing": mixing.SQL,
     "op9_exact_dedup": exact.SQL,
     "op10_near_dedup": minhash.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
