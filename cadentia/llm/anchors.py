@@ -10,13 +10,25 @@ from __future__ import annotations
 
 import numpy as np
 
-from cadentia.llm.common import _powers, mix
+from cadentia.llm.common import keyed, mix, stretches
 
 GRAM = 32
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    size = 1 << max(20, int(n).bit_length())
+    if size not in _POWERS:
+        _POWERS.clear()
+        with np.errstate(over="ignore"):
+            _POWERS[size] = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return _POWERS[size]
 
 
 def rolling(data: np.ndarray, length: int) -> np.ndarray:
-    """Hash of each stretch of `length` bytes."""
+    """Hash of each stretch of `length` bytes.  It is linear, so texts can be made whose hashes meet; that costs a comparison, as
+    nothing is settled by it."""
     n = len(data) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -58,10 +70,6 @@ def regions(at: np.ndarray, data: np.ndarray, width: int) -> tuple[np.ndarray, .
     ends[:-1] = new[1:] | ~inside[1:]
     high = np.flatnonzero(inside & ends)
     row, place = row[low], anchor[low]
-    power, inverse = _powers(len(part) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)])])
-        content = mix((sums[high + width] - sums[low]) * inverse[low])
-        content = mix(content + np.uint64(0x9E3779B97F4A7C15) * ((place - low).astype(np.uint64) * np.uint64(4096) + (high - low).astype(np.uint64)))
+    content = keyed(stretches(part, low, high + width) ^ (place - low).astype(np.uint64))
     begin = offsets[row]
     return row, place - begin, low - begin, high - begin, h[place], content

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -81,20 +83,12 @@ def slices(at: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(1, 257, dtype=np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] = _LOWER[97:123]
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(20, int(n).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        with np.errstate(over="ignore"):
-            _POWERS[size] = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)])) for b in (_BASE, _INVERSE))
-    return _POWERS[size]
+#: Drawn anew by each driver, and sent to the tasks with the functions that use it: nobody can prepare texts whose hashes meet.
+_KEYS = tuple(np.uint64(secrets.randbits(64) | 1) for _ in range(4))
+#: Bytes from which a word is hashed by BLAKE2b.
+_LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -105,8 +99,36 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def keyed(x: np.ndarray, key: int = 0) -> np.ndarray:
+    """mix() between secret keys; a bijection, too."""
+    with np.errstate(over="ignore"):
+        return mix((mix(x ^ _KEYS[key]) + _KEYS[key + 1]) * _KEYS[key])
+
+
+def stretches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Keyed 64-bit hash of the bytes from each start to its end.
+
+    Eight bytes at a time go through a keyed bijection each, so equal hashes of unequal bytes are a matter of chance (2^-64 a pair);
+    long stretches go through BLAKE2b with the key."""
+    lengths = ends - starts
+    lanes = np.ndarray((len(data) + 1,), np.dtype("<u8"), np.concatenate([data, np.zeros(8, np.uint8)]).data, strides=(1,))
+    h = keyed(lengths.astype(np.uint64), 2)
+    at = np.flatnonzero(lengths <= _LONG)
+    for step in range(0, _LONG, 8):
+        at = at[lengths[at] > step]
+        if not len(at):
+            break
+        left = np.minimum(lengths[at] - step, 8).astype(np.uint64)
+        lane = lanes[starts[at] + step] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+        h[at] = keyed(h[at] ^ lane)
+    key = b"".join(int(k).to_bytes(8, "big") for k in _KEYS)
+    for i in np.flatnonzero(lengths > _LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=key).digest(), "big")
+    return h
+
+
 def words(at: np.ndarray, data: np.ndarray, most: int = 8_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Row of each word and its 64-bit hash, A-Z lower-cased, for the rows between the offsets `at`.
+    """Row of each word and its keyed 64-bit hash, A-Z lower-cased, for the rows between the offsets `at`.
 
     A text of more than `most` bytes is hashed part by part, cut at white space, so memory besides the result is bounded by
     that and the longest word."""
@@ -114,14 +136,7 @@ def words(at: np.ndarray, data: np.ndarray, most: int = 8_000_000) -> tuple[np.n
     if end == base:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if end - base > most and len(at) == 2:
-        parts, low = [], base
-        while low < end:
-            high = min(low + most, end)
-            while high < end and not _SPACE[data[high]]:
-                ahead = np.flatnonzero(_SPACE[data[high : high + most]])
-                high = min(high + (int(ahead[0]) if len(ahead) else most), end)
-            parts.append(words(np.array([low, high]), data, high - low))
-            low = high
+        parts = [words(np.array([low, high]), data, high - low) for low, high in pieces(data, base, end, most)]
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     part = data[base:end]
     solid = ~_SPACE[part]
@@ -132,11 +147,19 @@ def words(at: np.ndarray, data: np.ndarray, most: int = 8_000_000) -> tuple[np.n
     last = solid.copy()
     last[:-1] &= ~solid[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, inverse = _powers(len(part) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_LOWER[part] * power[: len(part)])])
-        hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
-    return np.searchsorted(at - base, starts, "right") - 1, hashes
+    return np.searchsorted(at - base, starts, "right") - 1, stretches(_LOWER[part], starts, ends)
+
+
+def pieces(data: np.ndarray, base: int, end: int, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of about `most` bytes that end where a word does."""
+    low = base
+    while low < end:
+        high = min(low + most, end)
+        while high < end and not _SPACE[data[high]]:
+            ahead = np.flatnonzero(_SPACE[data[high : high + most]])
+            high = min(high + (int(ahead[0]) if len(ahead) else most), end)
+        yield low, high
+        low = high
 
 
 def shingles(row: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,3 +182,10 @@ def shingles(row: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.
             out_row.append(row[i])
             out_hash.append(h)
     return np.concatenate(out_row), np.concatenate(out_hash)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB's expression for the unsigned CRC-32 of a text, with its table made from the polynomial."""
+    table = "[list_reduce(list_prepend(b, range(8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) FOR b IN range(256)]"
+    octets = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda k: ('0x' || substr(hex(encode({text})), 2 * k - 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(c // 256, {table}[xor(c, b) % 256 + 1])), 4294967295)"

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadentia.llm.common import written
+from cadentia.llm.common import crc32_sql, written
 from cadentia.llm.ranking import ranked
 
 FANOUT = 8
@@ -84,7 +84,7 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     rows = docs.select(
         F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("tree"), F.col("doc_id"), leaf().alias("digest"), (leaf() if tampered is None else leaf(tampered)).alias("now")
     )
-    placed = ranked(rows, "tree", ["doc_id", "digest"], "merkle")
+    placed = ranked(written(rows, "merkle-rows"), "tree", ["doc_id", "digest"], "merkle")
     nodes = placed.select("tree", "rank", "n", F.struct("digest", "doc_id", "now").alias("node"))
     nodes = written(nodes, "merkle-leaves")
     pivots, roots = grow(nodes, "merkle")
@@ -110,13 +110,6 @@ def op11_merkle_manifest(spark, sf_dir: str) -> DataFrame:
     return manifest(docs, lowered).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-def crc32_sql(text: str) -> str:
-    """DuckDB's expression for the unsigned CRC-32 of a text, with its table made from the polynomial."""
-    table = "[list_reduce(list_prepend(b, range(8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) FOR b IN range(256)]"
-    octets = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda k: ('0x' || substr(hex(encode({text})), 2 * k - 1, 2))::BIGINT)"
-    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(c // 256, {table}[xor(c, b) % 256 + 1])), 4294967295)"
-
-
 _FIELDS_SQL = " || ".join(f"coalesce(octet_length(encode({{{c}}}::VARCHAR)) || ':' || {{{c}}}::VARCHAR, '-')" for c in FIELDS)
 _LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadentia.llm import chat, decontam, exact, langid, merkle, minhash, mixing, pii, suffix, tokens, warc
+from cadentia.llm import chat, decontam, exact, kneser, langid, merkle, minhash, mixing, pii, repair, suffix, tokens, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_near_dedup": minhash.op10_near_dedup,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_conversation_repair": repair.op12_conversation_repair,
+    "op13_language_model": kneser.op13_language_model,
 }
 
 ORACLE_SQL = {
@@ -25,4 +27,5 @@ ORACLE_SQL = {
     "op9_exact_dedup": exact.SQL,
     "op10_near_dedup": minhash.SQL,
     "op11_merkle_manifest": merkle.SQL,
+    "op12_conversation_repair": repair.SQL,
 }
