@@ -16,19 +16,18 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadentia.llm.common import keyed, pieces, shared_folder, slices, texts, utf8, words, written
+from cadentia.llm.common import keyed, pieces, shared_folder, slices, texts, utf8, words
 
 #: Words of an n-gram.
 ORDER = 2
 #: Bytes of text that fill a shard, that a task counts before it deals, and that it reads or scores at once.
-SHARD_BYTES, COUNT_BYTES, PART_BYTES = 32_000_000, 16_000_000, 4_000_000
+SHARD_BYTES, COUNT_BYTES, PART_BYTES = 16_000_000, 16_000_000, 2_000_000
 BEGIN, END = np.uint64(0x6265_6769_6E00_0001), np.uint64(0x656E_6400_0000_0001)
 #: Discounts where a corpus is too small to tell them.
 DISCOUNTS = (0.5, 1.0, 1.5)
@@ -116,9 +115,9 @@ def _count(order: int, bits: int):
                 for level, parts in held.items():
                     if parts:
                         columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                        parts.clear()
                         one = np.ones(len(columns[0]), np.uint64)
                         yield from dealt("gram", level, columns, [one] if level == order else [one, one], bits)
-                        parts.clear()
 
             for batch in batches:
                 at, data = utf8(batch.column("text"))
@@ -191,9 +190,9 @@ class Store:
         return out
 
 
-def _unpack(columns: int, parts: list[tuple[int, bytes]]) -> list[np.ndarray]:
+def _unpack(columns: int, parts: list[tuple[int, pa.Buffer]]) -> list[np.ndarray]:
     arrays = [np.frombuffer(data, "<u8").reshape(columns, n) for n, data in parts]
-    return list(np.concatenate(arrays, axis=1)) if arrays else [np.zeros(0, np.uint64)] * columns
+    return [np.concatenate([a[k] for a in arrays]) for k in range(columns)]
 
 
 def _merge(store: Store, order: int, bits: int, now: int):
@@ -202,10 +201,11 @@ def _merge(store: Store, order: int, bits: int, now: int):
 
     def finish(kind, level, shard, parts):
         if level < now:
-            yield from ((kind, level, shard, n, data, None) for n, data in parts)
+            yield from ((kind, level, shard, n, bytes(data), None) for n, data in parts)
             return
         given = level + (4 if kind == "context" else 1 if level == order else 2)
         columns = _unpack(given, parts)
+        parts.clear()
         key, grams, counts = summed(hashed(columns[:level]), columns[:level], columns[level:])
         store.write(f"{kind}-{level}-{shard}", key, counts)
         if kind == "context":
@@ -223,12 +223,16 @@ def _merge(store: Store, order: int, bits: int, now: int):
         def rows():
             held, parts = None, []
             for batch in batches:
-                for kind, level, shard, n, data in zip(*(batch.column(c).to_pylist() for c in ("kind", "level", "shard", "n", "data")), strict=True):
+                data = batch.column("data")
+                for k, (kind, level, shard, n, totals) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("kind", "level", "shard", "n", "totals")), strict=True)):
+                    if kind == "total":
+                        yield kind, level, shard, n, b"", totals
+                        continue
                     if parts and (kind, level, shard) != held:
                         yield from finish(*held, parts)
                         parts = []
                     held = kind, level, shard
-                    parts.append((n, data))
+                    parts.append((n, data[k].as_buffer()))
             if parts:
                 yield from finish(*held, parts)
 
@@ -295,15 +299,13 @@ def train(docs: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES) -
     size = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     bits = max(0, int(size // shard_bytes)).bit_length()
     store = Store(shared_folder(docs.sparkSession, "ngrams"))
-    left, totals = docs.select("text").mapInArrow(_count(order, bits), DEALT), []
+    left = docs.select("text").mapInArrow(_count(order, bits), DEALT)
     key = ["kind", "level", "shard"]
+    # One job: what a level hands on goes through a shuffle to the next; the totals, a row per shard and level, pass to the end.
     for level in range(order, 0, -1):
-        merged = left.repartition(2 << bits, *key).sortWithinPartitions(*key).mapInArrow(_merge(store, order, bits, level), DEALT)
-        merged = written(merged, "ngrams-merged")
-        totals.append(merged.filter("kind = 'total'"))
-        left = merged.filter("kind <> 'total'")
+        left = left.repartition(4 << bits, *key).sortWithinPartitions(*key).mapInArrow(_merge(store, order, bits, level), DEALT)
     found = {level: [0] * len(TOTALS) for level in range(1, order + 1)}
-    sums = reduce(DataFrame.unionByName, totals).groupBy("level").agg(*(F.sum(F.col("totals")[k]).alias(c) for k, c in enumerate(TOTALS)))
+    sums = left.filter("kind = 'total'").groupBy("level").agg(*(F.sum(F.col("totals")[k]).alias(c) for k, c in enumerate(TOTALS)))
     for r in sums.collect():
         found[r.level] = [r[c] for c in TOTALS]
     return Model(store, order, bits, found)
