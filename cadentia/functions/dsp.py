@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 
 
 def band_response(frequency: np.ndarray, fs: float, low: float, high: float, order: int) -> np.ndarray:
@@ -36,34 +37,66 @@ def bandpass(x: np.ndarray, fs: float, low: float, high: float, order: int) -> n
     return np.fft.irfft(np.fft.rfft(wide - wide.mean(), size) * gain, size)[pad : pad + n]
 
 
-def find_peaks(x: np.ndarray, distance: int = 1, prominence: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Local maxima (plateaus at their middle), thinned to a distance with the higher first, then by prominence."""
+def turning_points(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last place and value of each run of equal values that is higher or lower than both neighbours, or at an end."""
     x = np.asarray(x, float)
-    if len(x) < 3:
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, int)
+    last, level = np.append(first[1:], len(x)) - 1, x[first]
+    rises = level[1:] > level[:-1]
+    turns = np.ones(len(level), bool)
+    turns[1:-1] = rises[1:] != rises[:-1]
+    return first[turns], last[turns], level[turns]
+
+
+def _bases(level: np.ndarray) -> np.ndarray:
+    """The least value from each place back to the last higher one (or the beginning); a stack holds what is not yet surpassed."""
+    out = np.empty(len(level))
+    tops: list[tuple[float, float]] = []
+    for k, height in enumerate(level.tolist()):
+        least = height
+        while tops and tops[-1][0] <= height:
+            least = min(least, tops.pop()[1])
+        tops.append((height, least))
+        out[k] = least
+    return out
+
+
+def choose_peaks(first: np.ndarray, last: np.ndarray, level: np.ndarray, distance: int = 1, prominence: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """The peaks of a signal's turning points, thinned to a distance with the higher first, then by prominence; in linear time but for
+    one sort."""
+    if len(level) < 3:
         return np.zeros(0, int), np.zeros(0)
-    edge = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-    end = np.append(edge[1:], len(x)) - 1
-    level = x[edge]
     top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
-    peaks = (edge[top] + end[top]) // 2
+    peaks = (first[top] + last[top]) // 2
     keep = np.ones(len(peaks), bool)
     if distance > 1:
         low, high = np.searchsorted(peaks, peaks - distance, "right"), np.searchsorted(peaks, peaks + distance)
-        for i in np.argsort(x[peaks], kind="stable")[::-1]:
+        for i in np.argsort(level[top], kind="stable")[::-1]:
             if keep[i]:
                 keep[low[i] : high[i]] = False
                 keep[i] = True
-    peaks = peaks[keep]
-    heights = np.empty(len(peaks))
-    for k, p in enumerate(peaks):
-        left, right = x[:p][::-1] > x[p], x[p + 1 :] > x[p]
-        a = p - (left.argmax() if left.any() else p)
-        b = p + 1 + (right.argmax() if right.any() else len(x) - p - 1)
-        heights[k] = x[p] - max(x[a : p + 1].min(), x[p:b].min())
-    keep = heights >= prominence
+    heights = level[top] - np.maximum(_bases(level)[top], _bases(level[::-1])[::-1][top])
+    keep &= heights >= prominence
     return peaks[keep], heights[keep]
 
 
+def find_peaks(x: np.ndarray, distance: int = 1, prominence: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Local maxima (plateaus at their middle), thinned to a distance with the higher first, then by prominence."""
+    return choose_peaks(*turning_points(x), distance, prominence)
+
+
+class _Frames(pd.api.indexers.BaseIndexer):
+    def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
+        return self.low, self.high
+
+
+def sliding_quantile(x: np.ndarray, low: np.ndarray, high: np.ndarray, q: float) -> np.ndarray:
+    """Quantile of x[low[k] : high[k]] for each k, between ranks by interpolation; low and high ascend.  Values enter and leave an
+    ordered list, so a step costs the logarithm of the frame."""
+    frames = _Frames(low=np.asarray(low, np.int64), high=np.asarray(high, np.int64))
+    return pd.Series(x).rolling(frames, min_periods=1).quantile(q).to_numpy()
+
+
 def standardise(x: np.ndarray) -> np.ndarray:
     spread = x.std()
     return (x - x.mean()) / spread if spread > 0 else x - x.mean()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadentia.operators.joins import _meet, overlap
+
 LEAST_SEC = 0.5
 
 
@@ -37,7 +39,9 @@ def subdivide(intervals: DataFrame, count: int | None = None, seconds: float | N
 
 def split_at(intervals: DataFrame, cuts: DataFrame) -> DataFrame:
     """Intervals cut at cuts (session_id, at_sec), at most one cut an interval, if both parts last LEAST_SEC."""
-    hit = intervals.join(cuts, "session_id").filter((F.col("at_sec") - F.col("start_sec") >= LEAST_SEC) & (F.col("end_sec") - F.col("at_sec") >= LEAST_SEC))
+    points = cuts.select("session_id", "at_sec", F.col("at_sec").alias("same_sec"))
+    met = overlap(intervals.select("session_id", "idx", "start_sec", "end_sec"), points, ["session_id"], ("start_sec", "at_sec"), ("end_sec", "same_sec"))
+    hit = met.filter((F.col("at_sec") - F.col("start_sec") >= LEAST_SEC) & (F.col("end_sec") - F.col("at_sec") >= LEAST_SEC))
     one = hit.groupBy("session_id", "idx").agg(F.min("at_sec").alias("at_sec"))
     rows = intervals.join(one, ["session_id", "idx"], "left")
     cut = F.col("at_sec").isNotNull()
@@ -49,19 +53,24 @@ def split_at(intervals: DataFrame, cuts: DataFrame) -> DataFrame:
 def validate_new(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """Candidates with ordered ends, rounded to 3 decimals, of LEAST_SEC or more and without a strict overlap."""
     ordered = candidates.select("session_id", "cand", F.round(F.least("a_sec", "b_sec"), 3).alias("start_sec"), F.round(F.greatest("a_sec", "b_sec"), 3).alias("end_sec")).filter(F.col("end_sec") - F.col("start_sec") >= LEAST_SEC)
-    old = existing.select(F.col("session_id").alias("s"), F.col("start_sec").alias("a"), F.col("end_sec").alias("b"))
-    clash = (F.col("session_id") == F.col("s")) & (F.col("start_sec") < F.col("b")) & (F.col("end_sec") > F.col("a"))
-    return ordered.join(old, clash, "left_anti")
+    met = overlap(ordered, existing.select("session_id", F.col("start_sec").alias("a"), F.col("end_sec").alias("b")), ["session_id"], ("start_sec", "a"), ("end_sec", "b"))
+    clash = met.filter("start_sec < b AND end_sec > a").select("session_id", "cand", "start_sec", "end_sec").distinct()
+    return ordered.join(clash, ["session_id", "cand", "start_sec", "end_sec"], "left_anti")
 
 
 def resize(intervals: DataFrame, edits: DataFrame) -> DataFrame:
     """Applies edits (session_id, idx, new_start, new_end; one an interval) that keep LEAST_SEC, meet no other interval, and meet no
     edit of an interval with a smaller idx that keeps to these two rules itself (whether that is applied or not)."""
-    old = intervals.select(F.col("session_id").alias("s"), F.col("idx").alias("i"), F.col("start_sec").alias("a"), F.col("end_sec").alias("b"))
-    clash = (F.col("session_id") == F.col("s")) & (F.col("idx") != F.col("i")) & (F.col("new_start") < F.col("b")) & (F.col("new_end") > F.col("a"))
-    good = edits.filter(F.col("new_end") - F.col("new_start") >= LEAST_SEC).join(old, clash, "left_anti")
-    first = good.select(F.col("session_id").alias("s"), F.col("idx").alias("i"), F.col("new_start").alias("a"), F.col("new_end").alias("b"))
-    good = good.join(first, (F.col("session_id") == F.col("s")) & (F.col("idx") > F.col("i")) & (F.col("new_start") < F.col("b")) & (F.col("new_end") > F.col("a")), "left_anti")
+    mine = ("new_start", "new_end")
+
+    def free(rows, others, rule):
+        met = overlap(rows.select("session_id", "idx", *mine), others, ["session_id"], (mine[0], "a"), (mine[1], "b"))
+        clash = met.filter(rule).filter("new_start < b AND new_end > a").select("session_id", "idx").distinct()
+        return rows.join(clash, ["session_id", "idx"], "left_anti")
+
+    asked = edits.filter(F.col("new_end") - F.col("new_start") >= LEAST_SEC)
+    good = free(asked, intervals.select("session_id", F.col("idx").alias("i"), F.col("start_sec").alias("a"), F.col("end_sec").alias("b")), "idx <> i")
+    good = free(good, good.select("session_id", F.col("idx").alias("i"), F.col("new_start").alias("a"), F.col("new_end").alias("b")), "idx > i")
     rows = intervals.join(good, ["session_id", "idx"], "left")
     return rows.select("session_id", "idx", "label", F.coalesce("new_start", "start_sec").alias("start_sec"), F.coalesce("new_end", "end_sec").alias("end_sec"))
 
@@ -78,11 +87,18 @@ def label_library(intervals: DataFrame) -> DataFrame:
 
 
 def next_interval(intervals: DataFrame, times: DataFrame) -> DataFrame:
-    """For each time the interval that starts next after it and the one before it, by more than 1 ms."""
-    rows = times.join(intervals, "session_id", "left")
-    after = F.when(F.col("start_sec") > F.col("at_sec") + 1e-3, F.col("start_sec"))
-    before = F.when(F.col("start_sec") < F.col("at_sec") - 1e-3, F.col("start_sec"))
-    return rows.groupBy("session_id", "at_sec").agg(F.min(after).alias("next_sec"), F.max(before).alias("previous_sec"))
+    """For each different time the start that comes next after it and the one before it, by more than 1 ms.
+
+    Two as-of joins look ahead from 1 ms after the time, and, with all times negated, from 1 ms before it."""
+    day = 86_400
+
+    def beyond(sign: int, name: str) -> DataFrame:
+        starts = intervals.filter("start_sec IS NOT NULL").select("session_id", (sign * F.col("start_sec")).alias("us"), F.lit(0).alias("ord"))
+        asked = times.select("session_id", (sign * F.col("at_sec") + 1e-3).alias("us"), F.lit(0).alias("ord"), "at_sec").distinct()
+        met = _meet(asked, starts, ["session_id"], [], day, True)
+        return met.select("session_id", "at_sec", (sign * F.col("__ahead.us")).alias(name))
+
+    return beyond(1, "next_sec").join(beyond(-1, "previous_sec"), ["session_id", "at_sec"])
 
 
 def analysis_windows(segments: DataFrame, length: float = 30.0, hop: float = 15.0) -> DataFrame:

@@ -71,8 +71,54 @@ def label_samples(samples: DataFrame, intervals: DataFrame, keys: list[str] = ["
     return samples.join(named, [*keys, "ord"], "left").withColumn("label", F.coalesce("label", F.lit("")))
 
 
+def overlap(left: DataFrame, right: DataFrame, keys: list[str], low: tuple[str, str], high: tuple[str, str]) -> DataFrame:
+    """left joined with right where the spans [low[0], high[0]] and [low[1], high[1]] have a point in common, ends included; names must differ.
+
+    Spans meet in buckets whose width is, for each key, the mean length of its spans or their mean distance, if that is more: so
+    a span lies in few of them, and a bucket has few spans that do not overlap.  A pair is reported by the bucket in which the
+    later of its spans begins.  Spans that end before they begin meet nothing."""
+    sides = []
+    for rows, a, b in ((left, low[0], high[0]), (right, low[1], high[1])):
+        sides.append(rows.filter(F.col(b) >= F.col(a)).select(*(F.col(k).alias(f"__{k}") for k in keys), F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b")))
+    named = [f"__{k}" for k in keys]
+    wide = sides[0].unionByName(sides[1]).groupBy(*named).agg(F.greatest(F.avg(F.col("__b") - F.col("__a")), (F.max("__b") - F.min("__a")) / F.count("*"), F.lit(1e-6)).alias("__width"))
+    bucket = lambda x: F.floor(F.col(x) / F.col("__width"))
+    spread = []
+    for rows, a, b, name in ((left, low[0], high[0], "__left"), (right, low[1], high[1], "__right")):
+        at = rows.filter(F.col(b) >= F.col(a)).join(wide, [rows[k] == wide[f"__{k}"] for k in keys]).withColumn(name, F.explode(F.sequence(bucket(a), bucket(b))))
+        spread.append(at.drop(*named))
+    a, b = spread[0], spread[1].drop("__width").withColumnsRenamed({k: f"__{k}" for k in keys})
+    met = a.join(b, [*(a[k] == b[f"__{k}"] for k in keys), F.col("__left") == F.col("__right")])
+    both = (F.col(low[0]) <= F.col(high[1])) & (F.col(high[0]) >= F.col(low[1]))
+    owner = F.floor(F.greatest(low[0], low[1]) / F.col("__width")) == F.col("__left")
+    return met.filter(both & owner).drop(*named, "__left", "__right", "__width")
+
+
+def held(points: DataFrame, spans: DataFrame, keys: list[str], at: str, low: str, high: str) -> DataFrame:
+    """points joined with the spans (keys, low, high, ...) that hold the number `at`, both ends included.
+
+    For each key, time is cut into buckets of the spans' mean length; a span is copied into the few it touches and a point
+    lies in one, so points meet no span of their key but those beside them.  The table of spans alone tells the width."""
+    named = [f"__{k}" for k in keys]
+    wide = spans.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.greatest(F.avg(F.col(high) - F.col(low)), F.lit(1e-6)).alias("__width"))
+    bucket = lambda x: F.floor(F.col(x) / F.col("__width"))
+    spread = spans.filter(F.col(high) >= F.col(low)).join(wide, [spans[k] == wide[f"__{k}"] for k in keys]).drop(*named)
+    spread = spread.withColumn("__bucket", F.explode(F.sequence(bucket(low), bucket(high)))).drop("__width").withColumnsRenamed({k: f"__{k}" for k in keys})
+    own = points.join(wide, [points[k] == wide[f"__{k}"] for k in keys]).withColumn("__place", bucket(at)).drop(*named, "__width")
+    met = own.join(spread, [*(own[k] == spread[f"__{k}"] for k in keys), F.col("__place") == F.col("__bucket"), F.col(at).between(F.col(low), F.col(high))])
+    return met.drop(*named, "__place", "__bucket")
+
+
+def visible(intervals: DataFrame, views: DataFrame) -> DataFrame:
+    """intervals joined with the views (session_id, view_idx, from_us, to_us) that show some of them: begun before the view ends, and
+    ended after it begins."""
+    met = overlap(intervals, views.select("session_id", "view_idx", "from_us", "to_us"), ["session_id"], ("low_us", "from_us"), ("high_us", "to_us"))
+    return met.filter("low_us < to_us AND high_us > from_us")
+
+
 def overlapping(intervals: DataFrame) -> DataFrame:
     """Pairs a_idx < b_idx of a session's intervals that overlap strictly."""
     a = intervals.select("session_id", F.col("idx").alias("a_idx"), F.col("low_us").alias("a_low"), F.col("high_us").alias("a_high"))
     b = intervals.select("session_id", F.col("idx").alias("b_idx"), F.col("low_us").alias("b_low"), F.col("high_us").alias("b_high"))
-    return a.join(b, "session_id").filter("a_idx < b_idx AND a_low < b_high AND a_high > b_low").select("session_id", "a_idx", "b_idx")
+    met = overlap(a, b, ["session_id"], ("a_low", "b_low"), ("a_high", "b_high"))
+    return met.filter("a_idx < b_idx AND a_low < b_high AND a_high > b_low").select("session_id", "a_idx", "b_idx")

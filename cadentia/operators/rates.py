@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadentia.functions import dsp
-from cadentia.operators.dealing import dealt
 from cadentia.operators.joins import asof_backward
+from cadentia.operators.running import along
 
 
 def sample_index(samples: DataFrame) -> DataFrame:
     """samples (session_id, us, ord, value) plus k, the place in the session from 0."""
-    return samples.withColumn("k", F.row_number().over(Window.partitionBy("session_id").orderBy("us", "ord")).cast("long") - 1)
+    return along(samples, ["session_id"], ["us", "ord"], sums={"k": F.lit(1)}).withColumn("k", F.col("k") - 1)
 
 
 def hr_windows(indexed: DataFrame, fs: float, targets: DataFrame | None = None, seconds: float = 10.0, step_sec: float = 1.0) -> DataFrame:
@@ -113,20 +113,3 @@ def phase_drift(phases: DataFrame, block: int = 60) -> DataFrame:
     means = means.withColumn("step", F.coalesce(step - 2 * math.pi * F.floor(step / (2 * math.pi) + 0.5), F.lit(0.0)))
     way = means.withColumn("way", F.when(F.col("angle").isNotNull(), F.sum("step").over(along)))
     return way.groupBy("session_id").agg(F.count("way").alias("blocks"), ((F.max("way") - F.min("way")) / (2 * math.pi)).alias("range")).select("session_id", "blocks", F.when(F.col("blocks") >= 2, F.col("range")).alias("drift_beats"))
-
-
-def ppg_pulses(ppg: DataFrame, share: float = 0.05, apart_sec: float = 0.3) -> DataFrame:
-    """(session_id, us, ord) of the pulses of (session_id, us, value): peaks `apart_sec` apart whose prominence is `share` of the
-    session's range.  Null values are left out; flat signals and those of fewer than three samples have none."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna().sort_values("us").drop_duplicates("us")
-        x, us = rows["value"].to_numpy(), rows["us"].to_numpy()
-        if len(x) < 3 or np.ptp(x) == 0:
-            return rows.iloc[:0][["session_id", "us"]].assign(ord=pd.Series(dtype="int64"))
-        fs = 1e6 / np.median(np.diff(us))
-        peaks, _ = dsp.find_peaks(x, max(1, round(apart_sec * fs)), share * np.ptp(x))
-        return rows.iloc[peaks][["session_id", "us"]].assign(ord=peaks)
-
-    kind = dict(ppg.dtypes)["session_id"]
-    return dealt(ppg.select("session_id", "us", "value"), "session_id").groupBy("session_id").applyInPandas(run, f"session_id {kind}, us long, ord long")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadentia.operators.running import along
+
 
 def clip_to_session(samples: DataFrame, anchors: DataFrame) -> DataFrame:
     """Samples in [anchor, anchor + duration], both ends included; sessions without an anchor are not clipped."""
@@ -32,11 +34,8 @@ def fill_signals(samples: DataFrame) -> DataFrame:
     values = first_values(samples)
     grid = samples.select("session_id", "us").distinct().join(values.select("session_id", "sensor_id").distinct(), "session_id")
     wide = grid.join(values, ["session_id", "us", "sensor_id"], "left")
-    order = Window.partitionBy("session_id", "sensor_id").orderBy("us")
-    back = F.last("value", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    # Backwards, as a frame that ends with the group is summed anew for each row.
-    ahead = F.last("value", ignorenulls=True).over(Window.partitionBy("session_id", "sensor_id").orderBy(F.desc("us")).rowsBetween(Window.unboundedPreceding, 0))
-    return wide.select("session_id", "us", "sensor_id", F.coalesce(back, ahead).alias("value"))
+    filled = along(wide, ["session_id", "sensor_id"], ["us"], back={"back": "value"}, ahead={"ahead": "value"})
+    return filled.select("session_id", "us", "sensor_id", F.coalesce("back", "ahead").alias("value"))
 
 
 def with_average(filled: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cadentia.functions import dsp
 from cadentia.operators.dealing import dealt
+from cadentia.operators.joins import held
 
 # Fixed values of the published pulse model (Tang et al. 2020), in radians of the beat's angle.
 PULSE_CENTRE = (-1.6184, 0.8903)
@@ -16,28 +17,6 @@ PULSE_HEIGHT = (0.7482, 0.0444)
 PULSE_WIDTH = (0.9353, 1.9499)
 
 
-def ecg_peaks(ecg: DataFrame) -> DataFrame:
-    """Candidate R peaks of (session_id, us, value): session_id, us, ord, prominence; strong_peaks() finishes them.
-
-    Band-pass 5 to 25 Hz, distance 0.35 s, prominence 4 median absolute deviations; flat or short signals have none.
-    A session sampled at 50 Hz or less, which can't hold the band, fails the job."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna().sort_values("us").drop_duplicates("us")
-        none = pd.DataFrame({"session_id": pd.Series([], dtype=rows["session_id"].dtype), "us": [], "ord": [], "prominence": []})
-        if len(rows) < 10 or rows["value"].max() == rows["value"].min():
-            return none
-        us = rows["us"].to_numpy()
-        fs = 1e6 / np.median(np.diff(us))
-        x = dsp.bandpass(rows["value"].to_numpy(), fs, 5.0, 25.0, 3)
-        scale = np.median(np.abs(x - np.median(x)))
-        peaks, heights = dsp.find_peaks(x, max(1, round(0.35 * fs)), 4 * scale)
-        return pd.DataFrame({"session_id": rows["session_id"].iloc[0], "us": us[peaks], "ord": peaks, "prominence": heights}) if len(peaks) > 1 else none
-
-    kind = dict(ecg.dtypes)["session_id"]
-    return dealt(ecg.select("session_id", "us", "value"), "session_id").groupBy("session_id").applyInPandas(run, f"session_id {kind}, us long, ord long, prominence double")
-
-
 def synthesize_ppg(beats: DataFrame, fs: float = 125.0) -> DataFrame:
     """A synthetic pulse wave of beats (session_id, us): samples at fs between the first and last beat, the closed form of two
     Gaussians' primitives in the angle of the beat (-pi at its start), less the step at its end, scaled to 0 to 1 in the session.
@@ -99,10 +78,13 @@ def window_correlations(pulses: DataFrame, references: DataFrame, windows: DataF
         return out.assign(**fixed)[names]
 
     own = pulses if "detected" in pulses.columns else pulses.withColumn("detected", F.lit(True))
-    second = F.col("frame_idx") / fs
-    inside = own.select("session_id", "segment_idx", "frame_idx", "value", F.coalesce(F.col("detected").cast("double"), F.lit(0.0)).alias("detected")).join(windows.select(*keys, "win_start", "win_end"), keys[:2]).filter((second >= F.col("win_start")) & (second <= F.col("win_end")))
+    second = (F.col("frame_idx") / fs).alias("second")
+    frames = own.select("session_id", "segment_idx", "frame_idx", "value", F.coalesce(F.col("detected").cast("double"), F.lit(0.0)).alias("detected"), second)
+    spans = windows.select(*keys, "win_start", "win_end")
+    inside = held(frames, spans, keys[:2], "second", "win_start", "win_end")
     reach = max_lag + margin
-    near = references.select("session_id", "segment_idx", "t_sec", "value").join(windows.select(*keys, "win_start", "win_end"), keys[:2]).filter((F.col("t_sec") >= F.col("win_start") - reach) & (F.col("t_sec") <= F.col("win_end") + reach))
+    wider = windows.select(*keys, (F.col("win_start") - reach).alias("near_start"), (F.col("win_end") + reach).alias("near_end"))
+    near = held(references.select("session_id", "segment_idx", "t_sec", "value"), wider, keys[:2], "t_sec", "near_start", "near_end")
     # New names for its columns, as both sides may come from one table.
     near = near.select(*(F.col(c).alias(c) for c in (*keys, "t_sec", "value")))
     out = dealt(inside, *keys).groupBy(*keys).cogroup(dealt(near, *keys).groupBy(*keys)).applyInPandas(run, "session_id long, segment_idx long, win_idx long, lag_idx long, lag double, corr double, video_hr double, reference_hr double, face_coverage double")

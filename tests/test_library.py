@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from cadentia.functions import dsp
-from cadentia.operators import alignment, applied, beats, intervals, joins, rates, records, waveforms
+from cadentia.operators import alignment, applied, beats, intervals, joins, peaks, rates, records, waveforms
 from cadentia.plans import queries
 from cadentia.sources import sensors
 
@@ -59,7 +59,7 @@ def test_ecg_peaks(spark):
     t = np.arange(0, 10, 1 / fs)
     ecg = sum(np.exp(-((t - b) ** 2) / (2 * 0.015**2)) for b in beat)
     df = spark.createDataFrame([(1, int(a * 1e6), float(v)) for a, v in zip(t, ecg)], "session_id long, us long, value double")
-    got = sorted(r.us / 1e6 for r in beats.strong_peaks(waveforms.ecg_peaks(df)).collect())
+    got = sorted(r.us / 1e6 for r in beats.strong_peaks(peaks.ecg_peaks(df)).collect())
     assert len(got) == 9 and np.abs(np.array(got) - beat).max() < 0.02
 
 
@@ -245,7 +245,7 @@ def test_pulses_drift_only_when_stretched(spark):
 def test_pulses_of_a_wave(spark):
     t = np.arange(0, 10, 1 / 40)
     rows = [(1, int(a * 1e6), float(np.sin(2 * np.pi * a))) for a in t] + [(2, k, 1.0) for k in range(9)] + [(3, 0, None)]
-    got = rates.ppg_pulses(spark.createDataFrame(rows, "session_id long, us long, value double")).collect()
+    got = peaks.ppg_pulses(spark.createDataFrame(rows, "session_id long, us long, value double")).collect()
     assert [r.us for r in sorted(got)] == [250_000 + 1_000_000 * k for k in range(10)]
 
 
