@@ -150,13 +150,14 @@ def _cut(width: int):
             wanted = batch.column("wanted")
             offsets, rows = wanted.offsets.to_numpy(), wanted.values
             low, n, gram, anchor = (rows.field(c).to_numpy() for c in ("low", "windows", "gram", "anchor"))
+            hot = rows.field("hot").to_numpy(zero_copy_only=False)
             ids = batch.column("doc_id").to_numpy()
             for i in range(batch.num_rows):
                 own = data[at[i] : at[i + 1]]
                 use = [k for k in range(offsets[i], offsets[i + 1]) if low[k] + n[k] + width - 1 <= len(own)]
                 if use:
                     pieces = [own[low[k] : low[k] + n[k] + width - 1].tobytes() for k in use]
-                    yield _pieces(gram[use], np.full(len(use), ids[i]), low[use], anchor[use] - low[use], np.full(len(use), size), pieces)
+                    yield _pieces(gram[use], np.full(len(use), ids[i]), low[use], anchor[use] - low[use], np.full(len(use), size), pieces).append_column("hot", pa.array(hot[use]))
 
     return run
 
@@ -232,28 +233,37 @@ def _merge(width: int):
 
 
 def _hot(rows: DataFrame, most: int) -> DataFrame | None:
-    """Keys of more rows than `most`, at most one for so many rows; None if there are none."""
+    """Keys of more rows than `most`; None if there are none."""
     hot = written(rows.groupBy("gram").count().filter(F.col("count") > most).select("gram"), "repeats-hot")
     return hot if hot.head(1) else None
 
 
+def marked(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """rows plus hot: whether their key is one of the hot ones.  Tables are merged, as the hot keys grow with the input; there, adaptive
+    execution splits what one key has."""
+    if not hot:
+        return rows.withColumn("hot", F.lit(False))
+    return rows.join(hot.withColumn("hot", F.lit(True)).hint("merge"), "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+
+
 def deal(pieces: DataFrame, hot: DataFrame | None, width: int, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """The pieces, split until no key has more than hot_rows of them, and the repeats that this shows.
+    """The pieces (PIECES and hot), split until no key has more than hot_rows of them, and the repeats that this shows.
 
     A split adds at least half of what a window has beside its key, and equal parts are merged, so at the last one
     each piece is one window and no two are equal."""
     if not hot:
-        return pieces, None
+        return pieces.drop("hot"), None
     pieces, levels, repeats = written(pieces, "repeats-pieces"), [], []
     while hot:
-        levels.append(pieces.join(F.broadcast(hot), "gram", "left_anti"))
-        parts = pieces.join(F.broadcast(hot), "gram", "left_semi").mapInArrow(_split(width), SPLIT)
+        levels.append(pieces.filter("NOT hot").drop("hot"))
+        parts = pieces.filter("hot").drop("hot").mapInArrow(_split(width), SPLIT)
         dealt = F.when(F.col("repeat"), F.xxhash64("doc_id", "low")).otherwise(F.xxhash64("gram", "at", "piece"))
         dealt = parts.withColumn("deal", dealt).repartition("deal").drop("deal").sortWithinPartitions("gram", "at", "piece", "doc_id", "low")
         parts = written(dealt.mapInArrow(_merge(width), SPLIT), "repeats-split")
         repeats.append(parts.filter("repeat").select("doc_id", "low", "windows", F.lit(0).cast("long").alias("gram"), F.lit(0).alias("anchor")))
         pieces = parts.filter((~F.col("repeat")) & (F.col("size") < width)).drop("windows", "repeat")
         hot = _hot(pieces, hot_rows)
+        pieces = written(marked(pieces, hot), "repeats-pieces") if hot else pieces
     return reduce(DataFrame.unionByName, [*levels, pieces]), reduce(DataFrame.unionByName, repeats)
 
 
@@ -347,9 +357,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, hot_rows: int = HOT_ROWS
     dealt = F.when(F.col("gram") == 0, F.xxhash64("doc_id", "low")).otherwise(F.col("gram"))
     dealt = found.withColumn("deal", dealt).repartition("deal").drop("deal").sortWithinPartitions("gram", "content", "doc_id", "low")
     grouped = written(dealt.mapInArrow(_group, REPEAT), "repeats-grouped")
-    lists = grouped.filter("gram != 0").groupBy("doc_id").agg(F.collect_list(F.struct("low", "windows", "gram", "anchor")).alias("wanted"))
-    pieces = named.join(lists, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut(width), PIECES)
-    several, repeats = deal(pieces, _hot(grouped.filter("gram != 0"), hot_rows), width, hot_rows)
+    hot = _hot(grouped.filter("gram != 0"), hot_rows)
+    lists = marked(grouped.filter("gram != 0"), hot).groupBy("doc_id").agg(F.collect_list(F.struct("low", "windows", "gram", "anchor", "hot")).alias("wanted"))
+    pieces = named.join(lists, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut(width), PIECES + ", hot boolean")
+    several, repeats = deal(pieces, hot, width, hot_rows)
     every = grouped.filter("gram = 0").unionByName(several.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort(width), REPEAT))
     if repeats is not None:
         every = every.unionByName(repeats)

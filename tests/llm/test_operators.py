@@ -252,7 +252,8 @@ def test_suffix_hot_phrase_is_dealt_further(spark):
         assert len(got) == len(data) and all(expected[r.doc_id] == (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got)
     # The regions of the phrase's bytes from 120 to 152.
     pieces = spark.createDataFrame([(7, i, 52, 68, 32, text[52:220].encode()) for i, text in data[:60]], suffix.PIECES)
-    several, _ = suffix.deal(pieces, spark.createDataFrame([(7,)], "gram long"), 100, 4)
+    hot = spark.createDataFrame([(7,)], "gram long")
+    several, _ = suffix.deal(suffix.marked(pieces, hot), hot, 100, 4)
     assert pieces.count() == 60 and several.groupBy("gram").count().agg({"count": "max"}).first()[0] <= 4
 
 
