@@ -56,9 +56,10 @@ def peak_ratio(curve: DataFrame, apart: int = 13) -> DataFrame:
 
 def reference_start(segments: DataFrame) -> DataFrame:
     """segments plus reference_us, the start without any offset: from the stored start, else the stored anchor,
-    else the session's anchor."""
+    else the session's anchor; and applied_us, the offset they were cut with: the stored one, 0 for a segment with a stored time from
+    before offsets existed, else the session's."""
     plain = lambda c: F.round(F.col(c) * 1_000_000).cast("long")
-    used = F.when(F.col("has_offset"), F.coalesce(plain("offset_sec"), F.lit(0))).when(F.col("start_us").isNotNull(), F.lit(0)).otherwise(plain("session_offset_sec"))
+    used = F.when(F.col("has_offset"), F.coalesce(plain("offset_sec"), F.lit(0))).when(F.col("start_us").isNotNull() | F.col("anchor_us").isNotNull(), F.lit(0)).otherwise(plain("session_offset_sec"))
     return segments.withColumn("applied_us", used).withColumn(
         "reference_us", F.coalesce(F.col("start_us") + F.col("applied_us"), F.col("anchor_us") + plain("start_sec") + F.col("applied_us"), F.col("session_anchor_us") + plain("start_sec") + plain("session_offset_sec"))
     )

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadentia.operators.dealing import dealt
+from cadentia.operators.running import with_halo
 
 HOP_SEC = 512 / 16_000
 #: Spanning trees whose residuals are taken at once.
@@ -42,6 +43,41 @@ def envelope_offset(pairs: DataFrame, max_offset_sec: float = 60.0, hop_sec: flo
     return rows.mapInPandas(run, "session_id long, left long, right long, offset_sec double")
 
 
+def envelope_offset_rows(envelopes: DataFrame, pairs: DataFrame, max_offset_sec: float = 60.0, hop_sec: float = HOP_SEC, block: int = 16_384) -> DataFrame:
+    """As envelope_offset for envelopes of any length, given as rows (session_id, camera, hop, value), hop from 0 without gaps, and
+    pairs (session_id, left, right, left_start_sec, right_start_sec).
+
+    Overlap-save: the right envelope is cut into blocks, and each meets the part of the left one that it can overlap within the
+    greatest lag; the blocks' sums over products are added up by lag.  No array is longer than a block and two greatest lags."""
+    most = int(max_offset_sec / hop_sec)
+    named = pairs.select("session_id", "left", "right", F.coalesce("left_start_sec", F.lit(0.0)).alias("a"), F.coalesce("right_start_sec", F.lit(0.0)).alias("b"))
+    side = lambda c: envelopes.select("session_id", F.col("camera").alias(c), F.col("hop").cast("long").alias("hop"), F.col("value").cast("double").alias("value"))
+    target = with_halo(side("right"), F.col("hop"), block, 0, 0).join(named.select("session_id", "left", "right"), ["session_id", "right"])
+    reference = with_halo(side("left"), F.col("hop"), block, most, most).join(named.select("session_id", "left", "right"), ["session_id", "left"])
+    keys = ["session_id", "left", "right", "__block"]
+
+    def run(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or other.empty:
+            return pd.DataFrame({"session_id": [], "left": [], "right": [], "lag": [], "product": []})
+        first = int(own["__block"].iloc[0]) * block
+        y, x = np.zeros(block), np.zeros(block + 2 * most)
+        y[own["hop"].to_numpy() - first] = own["value"].fillna(0.0)
+        x[other["hop"].to_numpy() - first + most] = other["value"].fillna(0.0)
+        size = 1 << (len(x) + len(y) - 1).bit_length()
+        sums = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(y, size)), size)[: 2 * most + 1]
+        whole = {k: np.repeat(own[k].iloc[0], 2 * most + 1) for k in keys[:3]}
+        return pd.DataFrame({**whole, "lag": np.arange(-most, most + 1), "product": sums})
+
+    parts = dealt(target.select(*keys, "hop", "value"), *keys).groupBy(*keys).cogroup(dealt(reference.select(*(F.col(c).alias(c) for c in (*keys, "hop", "value"))), *keys).groupBy(*keys))
+    added = parts.applyInPandas(run, "session_id long, left long, right long, lag long, product double").groupBy("session_id", "left", "right", "lag").agg(F.sum("product").alias("product"))
+    sizes = envelopes.groupBy("session_id", "camera").agg(F.count("*").alias("n"))
+    size = lambda c: sizes.select("session_id", F.col("camera").alias(c), F.col("n").alias(f"n_{c}"))
+    known = added.join(size("left"), ["session_id", "left"]).join(size("right"), ["session_id", "right"]).filter((F.col("lag") > -F.col("n_right")) & (F.col("lag") < F.col("n_left")))
+    best = known.groupBy("session_id", "left", "right").agg(F.max(F.struct(F.round("product", 9).alias("p"), (-F.col("lag")).alias("back"))).alias("best"))
+    lag = F.coalesce(-F.col("best.back"), F.lit(0))
+    return named.join(best, ["session_id", "left", "right"], "left").select("session_id", "left", "right", (lag * hop_sec - (F.col("b") - F.col("a"))).alias("offset_sec"))
+
+
 def _solve(edges: list[tuple[int, int, float]], size: int) -> list[float] | None:
     """Each camera's offset from camera 0 along the edges; None if they do not reach all of them."""
     known, open_ = {0: 0.0}, list(edges)

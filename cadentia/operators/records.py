@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadentia.functions.scalars import segment_folder
 from cadentia.operators.joins import label_samples
 
 
+#: Faults that an error names.
+SHOWN = 20
+
+
 def manifest(segments: DataFrame) -> DataFrame:
     """index, label, start_sec, end_sec, duration_sec and folder of each segment, numbered by start from 1."""
     place = F.row_number().over(Window.partitionBy("session_id").orderBy("start_sec", "idx"))
@@ -23,6 +27,28 @@ def manifest_faults(manifests: DataFrame) -> DataFrame:
     return manifests.withColumn("fault", fault).filter("fault IS NOT NULL")
 
 
+def read_manifests(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """session_id (the file's path), idx (by start, from 1), label, start_sec, end_sec and folder of the segments of manifest CSVs.
+
+    Labels and folders are trimmed.  A ValueError names the first faulty rows: a missing column, a blank label or folder, times that
+    are no numbers or not in order; or the files without a row.  What comes to the driver is no more than SHOWN of these."""
+    raw = spark.read.csv(paths, header=True)
+    raw = raw.toDF(*(c.lstrip("\ufeff").strip() for c in raw.columns))
+    missing = {"label", "start_sec", "end_sec", "folder"} - set(raw.columns)
+    if missing:
+        raise ValueError(f"no column {', '.join(sorted(missing))}")
+    rows = raw.select(F.col("_metadata.file_path").alias("session_id"), F.trim("label").alias("label"), F.trim("folder").alias("folder"), *(F.trim(c).try_cast("double").alias(c) for c in ("start_sec", "end_sec")))
+    faults = manifest_faults(rows).limit(SHOWN).collect()
+    if faults:
+        raise ValueError("; ".join(f"{r.fault} of '{r.label}' in {r.session_id}: {r.start_sec} to {r.end_sec}, folder '{r.folder}'" for r in faults))
+    files = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("session_id"))
+    empty = files.join(rows.select("session_id").distinct(), "session_id", "left_anti").limit(SHOWN).collect()
+    if empty:
+        raise ValueError("no segments in " + ", ".join(r.session_id for r in empty))
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("start_sec", "end_sec", "label", "folder"))
+    return rows.select("session_id", place.cast("long").alias("idx"), "label", "start_sec", "end_sec", "folder")
+
+
 def current_offsets(history: DataFrame) -> DataFrame:
     """The offset applied last in each session of a history (session_id, place, offset_sec), and how many there were."""
     return history.groupBy("session_id").agg(F.max_by("offset_sec", "place").alias("offset_sec"), F.count("*").alias("applied"))

@@ -99,6 +99,32 @@ def signal_anchor(cameras: DataFrame, offsets: DataFrame | None = None) -> DataF
     return out.join(offsets.select("session_id", "offset_sec"), "session_id", "left").select("session_id", shifted.alias("anchor_us"))
 
 
+def effective_anchor(cameras: DataFrame, stored: DataFrame, offsets: DataFrame | None = None) -> DataFrame:
+    """The anchor that a session's signals were last synchronised with (stored: session_id, stored_us), else that of its cameras;
+    both with the session's offset."""
+    own = signal_anchor(cameras, offsets)
+    rows = own.join(stored.select("session_id", "stored_us"), "session_id", "full")
+    return rows.select("session_id", F.coalesce("stored_us", "anchor_us").alias("anchor_us"))
+
+
+def clock_entries(cameras: DataFrame) -> DataFrame:
+    """cameras (start_us, clock_ms: a time of day as typed, in milliseconds) plus true_us: that time on the day (UTC) of the camera's
+    start; null without either."""
+    day = F.lit(86_400_000_000)
+    return cameras.withColumn("true_us", F.floor(F.col("start_us") / day) * day + F.col("clock_ms") * 1000)
+
+
+def frame_counts(cameras: DataFrame) -> DataFrame:
+    """session_id, cameras, least and most frames, and differ: whether a session's videos still differ in length after trimming."""
+    rows = cameras.groupBy("session_id").agg(F.count("*").alias("cameras"), F.min("frame_count").alias("least"), F.max("frame_count").alias("most"), F.max(F.col("frame_count").isNull()).alias("unknown"))
+    return rows.select("session_id", "cameras", "least", "most", F.coalesce((F.col("least") != F.col("most")) | (F.col("unknown") & F.col("least").isNotNull()), F.lit(False)).alias("differ"))
+
+
+def in_time_order(samples: DataFrame) -> DataFrame:
+    """samples in the order of session, sensor, time and ord, over all partitions: dealt by ranges, so a long session is many parts."""
+    return samples.orderBy("session_id", "sensor_id", "us", "ord")
+
+
 def coherence_warnings(cameras: DataFrame, tolerance_us: int) -> DataFrame:
     """Sessions whose corrected starts differ by more than the tolerance, with the extreme cameras."""
     ends = cameras.filter("corrected_us IS NOT NULL").groupBy("session_id").agg(F.min("corrected_us").alias("low"), F.max("corrected_us").alias("high"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cadentia.functions import scalars
 from cadentia.operators import alignment, applied, beats, boxes, intervals, joins, offsets, rates, records, segments, sync, waveforms
 from cadentia.plans import tables as t
-from cadentia.sources import sessions
+from cadentia.sources import sensors, sessions
 
 HOURS = 3_600_000_000
 QUERIES: dict = {}
@@ -328,19 +328,33 @@ def best_lag(spark, sf_dir):
     return rounded(alignment.best_lag(rounded(_pooled(spark, sf_dir).select("session_id", "lag_idx", "corr"), 9)), 9)
 
 
-@query(on_signals("AI", """SELECT i.session_id, idx, low_us - (start_sec * 1e6)::BIGINT - 1500000 + CASE WHEN idx % 2 = 0 THEN 250000 ELSE 0 END AS anchor_us, low_us - 1500000 + CASE WHEN idx % 2 = 0 THEN 250000 ELSE 0 END AS start_us,
-  low_us - 1500000 + CASE WHEN idx % 2 = 0 THEN 250000 ELSE 0 END + round((end_sec - start_sec) * 1e6)::BIGINT AS end_us, 1.5::DOUBLE AS offset_sec, true AS was_stale FROM intervals i"""))
+#: By idx modulo 6: a stored start with and without an offset key, a stored anchor with and without one, a null offset under the key,
+#: and no time at all, so that the session's anchor and offset count.
+STORED = """, stored AS (SELECT i.session_id, idx, start_sec, end_sec, CASE WHEN idx % 6 IN (0, 1, 4) THEN low_us END AS start_us, CASE WHEN idx % 6 IN (1, 2, 3) THEN a.anchor_us + 7000000 END AS own_anchor,
+  a.anchor_us AS session_anchor, idx % 6 IN (0, 2, 4) AS has_key, CASE WHEN idx % 6 IN (0, 2) THEN 0.25 END AS key_sec FROM intervals i JOIN anchors a USING (session_id)),
+timed AS (SELECT *, CASE WHEN has_key THEN coalesce(key_sec, 0) WHEN start_us IS NOT NULL OR own_anchor IS NOT NULL THEN 0 ELSE 3 END AS applied,
+  CASE WHEN start_us IS NOT NULL THEN start_us + CASE WHEN has_key THEN coalesce(key_sec, 0) ELSE 0 END * 1000000
+    WHEN own_anchor IS NOT NULL THEN own_anchor + round(start_sec * 1e6) + CASE WHEN has_key THEN coalesce(key_sec, 0) ELSE 0 END * 1000000
+    ELSE session_anchor + round(start_sec * 1e6) + 3000000 END::BIGINT AS reference FROM stored)"""
+
+
+@query(on_signals("AI", STORED + """ SELECT session_id, idx, reference - 1500000 - round(start_sec * 1e6)::BIGINT AS anchor_us, reference - 1500000 AS start_us,
+  reference - 1500000 + round((end_sec - start_sec) * 1e6)::BIGINT AS end_us, 1.5::DOUBLE AS offset_sec, abs(applied - 1.5) > 0.0001 AS was_stale FROM timed""").replace(") , stored AS", "), stored AS"))
 def apply_offset(spark, sf_dir):
-    own = t.intervals(t.signals(spark, sf_dir))
-    even = F.col("idx") % 2 == 0
-    segments = own.select("session_id", "idx", "start_sec", "end_sec", F.col("low_us").alias("start_us"), F.lit(None).cast("long").alias("anchor_us"), F.lit(None).cast("long").alias("session_anchor_us"), F.lit(0.0).alias("session_offset_sec"), even.alias("has_offset"), F.when(even, F.lit(0.25)).alias("offset_sec"))
+    s = t.signals(spark, sf_dir)
+    own, at = t.intervals(s).join(t.anchors(s), "session_id"), F.col("idx") % 6
+    segments = own.select(
+        "session_id", "idx", "start_sec", "end_sec", F.when(at.isin(0, 1, 4), F.col("low_us")).alias("start_us"), F.when(at.isin(1, 2, 3), F.col("anchor_us") + 7_000_000).alias("anchor_us"),
+        F.col("anchor_us").alias("session_anchor_us"), F.lit(3.0).alias("session_offset_sec"), at.isin(0, 2, 4).alias("has_offset"), F.when(at.isin(0, 2), F.lit(0.25)).alias("offset_sec"),
+    )
     return alignment.apply_offset(segments, 1.5)
 
 
 def _applied(spark, sf_dir, offset_sec):
     s = t.signals(spark, sf_dir)
-    own = t.intervals(s).select("session_id", "idx", "start_sec", "end_sec", F.when(F.col("idx") % 3 != 0, F.col("low_us")).alias("start_us"), F.lit(None).cast("long").alias("anchor_us"))
-    own = own.join(t.anchors(s).select("session_id", F.col("anchor_us").alias("session_anchor_us")), "session_id").withColumns({"session_offset_sec": F.lit(0.25), "has_offset": F.lit(False), "offset_sec": F.lit(None).cast("double")})
+    third = F.col("idx") % 3
+    own = t.intervals(s).join(t.anchors(s).select("session_id", F.col("anchor_us").alias("session_anchor_us")), "session_id")
+    own = own.select("session_id", "idx", "start_sec", "end_sec", F.when(third == 1, F.col("low_us")).alias("start_us"), F.when(third == 2, F.col("session_anchor_us")).alias("anchor_us"), "session_anchor_us").withColumns({"session_offset_sec": F.lit(0.25), "has_offset": F.lit(False), "offset_sec": F.lit(None).cast("double")})
     kinds = {k: s.filter(F.col("sensor_id") == k).select("session_id", "us", "ord", "value") for k in ("view", "click")}
     anchors = t.anchors(s).select("session_id", "anchor_us", F.lit(0.25).alias("offset_sec"))
     return applied.apply_to_sessions(own, anchors, anchors.select("session_id", F.lit(0).alias("place"), "offset_sec"), kinds, offset_sec)
@@ -372,13 +386,17 @@ r AS (SELECT *, sum(ch) OVER (PARTITION BY session_id, segment_idx ORDER BY lag_
 g AS (SELECT session_id, segment_idx, run, min(lag_idx) AS low, max(lag_idx) AS high, first(corr) AS corr FROM r GROUP BY ALL),
 h AS (SELECT *, lag(corr) OVER w AS b, lead(corr) OVER w AS a FROM g WINDOW w AS (PARTITION BY session_id, segment_idx ORDER BY run)),
 p AS (SELECT session_id, segment_idx, (low + high) // 2 AS peak FROM h WHERE corr > b AND corr > a), n AS (SELECT session_id, segment_idx, arg_min(peak, struct_pack(d := abs(peak - 25), p := peak)) AS nearest_peak FROM p GROUP BY ALL),
-m AS (SELECT session_id, segment_idx, max(corr) AS corr FROM c GROUP BY ALL)
-SELECT w.*, CASE WHEN nearest_peak IS NOT NULL THEN m.corr END AS corr, nearest_peak FROM w LEFT JOIN m USING (session_id, segment_idx) LEFT JOIN n USING (session_id, segment_idx)""")
+m AS (SELECT session_id, segment_idx, max(corr) AS corr FROM c GROUP BY ALL),
+bl AS (SELECT session_id, segment_idx, lag_idx, corr, lag(corr) OVER w AS l, lead(corr) OVER w AS r FROM c WINDOW w AS (PARTITION BY session_id, segment_idx ORDER BY lag_idx)),
+bb AS (SELECT session_id, segment_idx, round(lag_idx + coalesce(CASE WHEN l - 2 * corr + r < 0 THEN greatest(-0.5, least(0.5, 0.5 * (l - r) / (l - 2 * corr + r))) ELSE 0 END, 0), 4) AS best,
+  row_number() OVER (PARTITION BY session_id, segment_idx ORDER BY corr DESC, lag_idx) AS place FROM bl)
+SELECT w.*, CASE WHEN nearest_peak IS NOT NULL THEN m.corr END AS corr, nearest_peak, CASE WHEN nearest_peak IS NOT NULL THEN bb.best END AS best
+FROM w LEFT JOIN m USING (session_id, segment_idx) LEFT JOIN n USING (session_id, segment_idx) LEFT JOIN bb ON bb.session_id = w.session_id AND bb.segment_idx = w.segment_idx AND place = 1""")
 def pool_report(spark, sf_dir):
     """Line items as windows of segments; equal window numbers of a segment are one window."""
     rows = t.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("session_id"), (F.col("l_orderkey") % 7).alias("segment_idx"), F.col("l_linenumber").alias("win_idx"), F.col("l_quantity").cast("int").alias("lag_idx"), F.col("l_discount").alias("corr"), (1 - F.col("l_tax")).alias("face_coverage"), (60 + F.col("l_linenumber")).cast("double").alias("video_hr"), F.lit(62.0).alias("reference_hr"))
     at = rows.select("session_id", F.lit(25.0).alias("at_lag")).distinct()
-    return rounded(applied.pool_report(rows, at, 1.0, 0.95).drop("best"), 9)
+    return rounded(applied.pool_report(rows, at, 1.0, 0.95), 9)
 
 
 @query("""WITH n AS (SELECT user_id // 10 AS session_id, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1)
@@ -628,14 +646,31 @@ def reconciled_offsets(spark, sf_dir):
     return offsets.reconciled_offsets(_relations(spark, sf_dir), unconnected="null")
 
 
-@query(None)
+ENVELOPES = "WITH " + t.SIGNALS + f""", e AS (SELECT session_id, us // {t.DAY} AS day, value, row_number() OVER (PARTITION BY session_id, us // {t.DAY} ORDER BY us, ord) - 1 AS k FROM signals WHERE value IS NOT NULL),
+c AS (SELECT a.session_id, a.day, a.k - b.k AS lag, round(sum(a.value * b.value), 9) AS p FROM e a JOIN e b ON a.session_id = b.session_id AND b.day = a.day + 1 GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY session_id, day ORDER BY p DESC, lag) AS place FROM c)
+SELECT session_id, day AS \"left\", day + 1 AS \"right\", round(lag * {offsets.HOP_SEC}::DOUBLE, 6) AS offset_sec FROM b WHERE place = 1"""
+
+
+@query(ENVELOPES)
+def envelope_offset_rows(spark, sf_dir):
+    """As envelope_offset, from rows in blocks."""
+    s = t.signals(spark, sf_dir).filter("value IS NOT NULL").withColumn("camera", F.floor(F.col("us") / t.DAY))
+    hop = F.row_number().over(Window.partitionBy("session_id", "camera").orderBy("us", "ord")) - 1
+    rows = s.select("session_id", "camera", hop.alias("hop"), "value")
+    days = rows.select("session_id", F.col("camera").alias("left")).distinct()
+    pairs = days.join(days.select("session_id", (F.col("left") - 1).alias("left")), ["session_id", "left"])
+    return rounded(offsets.envelope_offset_rows(rows, pairs.select("session_id", "left", (F.col("left") + 1).alias("right"), F.lit(0.0).alias("left_start_sec"), F.lit(0.0).alias("right_start_sec")), block=4_096))
+
+
+@query(ENVELOPES)
 def envelope_offset(spark, sf_dir):
     """Pairs of consecutive days of a user, a day's envelope being its values in order of time."""
     s = t.signals(spark, sf_dir).filter("value IS NOT NULL").withColumn("day", F.floor(F.col("us") / t.DAY))
     days = s.groupBy("session_id", "day").agg(F.transform(F.sort_array(F.collect_list(F.struct("us", "ord", "value"))), lambda x: x["value"]).alias("env"))
     after = days.select("session_id", (F.col("day") - 1).alias("day"), F.col("env").alias("right_env"))
     rows = days.join(after, ["session_id", "day"])
-    return offsets.envelope_offset(rows.select("session_id", F.col("day").alias("left"), (F.col("day") + 1).alias("right"), F.col("env").alias("left_env"), "right_env", F.lit(0.0).alias("left_start_sec"), F.lit(0.0).alias("right_start_sec")))
+    return rounded(offsets.envelope_offset(rows.select("session_id", F.col("day").alias("left"), (F.col("day") + 1).alias("right"), F.col("env").alias("left_env"), "right_env", F.lit(0.0).alias("left_start_sec"), F.lit(0.0).alias("right_start_sec"))))
 
 
 def _detections(spark, sf_dir):
@@ -664,3 +699,131 @@ def roi_mean_rgb(spark, sf_dir):
     """Sixteen pixels from each order's digests."""
     digests = F.concat(*(F.md5(F.col(c).cast("string")) for c in ("o_orderkey", "o_totalprice", "o_orderdate")))
     return t.table(spark, sf_dir, "orders").select("o_orderkey", boxes.roi_mean_rgb(F.unhex(digests)).alias("c")).select("o_orderkey", "c.*")
+
+
+@query("WITH " + t.SIGNALS + " SELECT session_id, ord, (us - lag(us) OVER (PARTITION BY session_id ORDER BY us, ord)) / 1000 AS rr_ms FROM signals WHERE sensor_id <> 'error'")
+def rr_intervals(spark, sf_dir):
+    return beats.rr_intervals(t.signals(spark, sf_dir).filter("sensor_id <> 'error'").select("session_id", "us", "ord")).drop("us")
+
+
+@query("WITH " + t.SIGNALS + " SELECT session_id, ord, value * 10 AS value FROM signals WHERE value * 10 BETWEEN 1 AND 1000")
+def reference_hrv(spark, sf_dir):
+    return beats.reference_hrv(t.signals(spark, sf_dir).select("session_id", "ord", (F.col("value") * 10).alias("value")))
+
+
+@query(on_signals("AI", """, q AS (SELECT DISTINCT s.session_id, (us - anchor_us) / 1e6 AS at_sec FROM signals s JOIN anchors a USING (session_id))
+SELECT q.session_id, at_sec, min(start_sec) FILTER (start_sec > at_sec + 1e-3) AS next_sec, max(start_sec) FILTER (start_sec < at_sec - 1e-3) AS previous_sec
+FROM q LEFT JOIN intervals i ON i.session_id = q.session_id GROUP BY ALL""").replace(") , q AS", "), q AS"))
+def next_interval(spark, sf_dir):
+    s = t.signals(spark, sf_dir)
+    times = s.join(t.anchors(s), "session_id").select("session_id", ((F.col("us") - F.col("anchor_us")) / 1e6).alias("at_sec"))
+    return intervals.next_interval(t.intervals(s), times)
+
+
+@query(on_signals("AI", f""", v AS (SELECT session_id, unnest(range(20)) AS view_idx, anchor_us FROM anchors)
+SELECT i.session_id, view_idx, idx FROM v JOIN intervals i ON i.session_id = v.session_id AND high_us > anchor_us + view_idx * {t.DAY} AND low_us < anchor_us + (view_idx + 1) * {t.DAY}""").replace(") , v AS", "), v AS"))
+def visible(spark, sf_dir):
+    """Intervals that each day of a session shows."""
+    s = t.signals(spark, sf_dir)
+    days = t.anchors(s).select("session_id", "anchor_us", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("view_idx"))
+    views = days.select("session_id", "view_idx", (F.col("anchor_us") + F.col("view_idx") * t.DAY).alias("from_us"), (F.col("anchor_us") + (F.col("view_idx") + 1) * t.DAY).alias("to_us"))
+    return joins.visible(t.intervals(s), views).select("session_id", "view_idx", "idx")
+
+
+@query(on_signals("A", f"""SELECT s.session_id, sensor_id, round(min(value) - CASE WHEN max(value) > min(value) THEN 0.05 * (max(value) - min(value)) ELSE greatest(0.05 * abs(max(value)), 0.5) END, 6) AS low,
+  round(max(value) + CASE WHEN max(value) > min(value) THEN 0.05 * (max(value) - min(value)) ELSE greatest(0.05 * abs(max(value)), 0.5) END, 6) AS high
+  FROM signals s JOIN anchors a ON a.session_id = s.session_id AND us BETWEEN anchor_us AND anchor_us + {5 * t.DAY} WHERE value IS NOT NULL GROUP BY ALL"""))
+def visible_bounds(spark, sf_dir):
+    """Bounds of what five days of each session show."""
+    s = t.signals(spark, sf_dir)
+    return rounded(beats.value_bounds(s.join(t.anchors(s), "session_id"), F.col("anchor_us"), F.col("anchor_us") + 5 * t.DAY))
+
+
+@query("WITH " + t.SIGNALS + " SELECT session_id, sensor_id, us, ord, value, CASE WHEN sensor_id = 'view' THEN aux END AS aux FROM signals WHERE sensor_id IN ('view', 'click', 'error')")
+def union_signals(spark, sf_dir):
+    """Frames of which one alone has aux."""
+    s = t.signals(spark, sf_dir)
+    of = lambda k, *more: s.filter(F.col("sensor_id") == k).select("session_id", "sensor_id", "us", "ord", "value", *more)
+    return sync.union_signals([of("click"), of("view", "aux"), of("error")])
+
+
+@query("WITH " + t.SIGNALS + f" SELECT session_id, sensor_id, us // {HOURS} AS us, min(ord) AS ord, arg_min(k, ord) AS k FROM signals GROUP BY ALL")
+def dedupe_ts(spark, sf_dir):
+    """Samples of one hour as samples of one time."""
+    return sync.dedupe_ts(t.signals(spark, sf_dir).select("session_id", "sensor_id", F.floor(F.col("us") / HOURS).alias("us"), "ord", "k"))
+
+
+@query(on_signals("AI", f""", c AS (SELECT s.session_id, us, idx, ord, row_number() OVER (PARTITION BY s.session_id, us ORDER BY idx, ord) AS place
+  FROM signals s JOIN intervals i ON s.session_id = i.session_id AND us BETWEEN low_us AND high_us + {24 * HOURS}) SELECT session_id, us, idx, ord FROM c WHERE place = 1""").replace(") , c AS", "), c AS"))
+def stitch_slices(spark, sf_dir):
+    """Slices that reach a day into the next segment."""
+    s = t.signals(spark, sf_dir)
+    return sync.stitch_slices(joins.within(s.select("session_id", "us", "ord"), t.intervals(s).withColumn("high_us", F.col("high_us") + 24 * HOURS)).select("session_id", "us", "idx", "ord"))
+
+
+@query("WITH " + t.CURVES + ", " + POOL + """, c AS (SELECT session_id, lag_idx, round(corr, 9) AS corr FROM pooled),
+top AS (SELECT session_id, arg_max(lag_idx, struct_pack(c := corr, l := -lag_idx)) AS best, max(corr) AS corr FROM c GROUP BY session_id),
+r AS (SELECT *, sum(ch) OVER (PARTITION BY session_id ORDER BY lag_idx) AS run FROM (SELECT *, coalesce((corr <> lag(corr) OVER (PARTITION BY session_id ORDER BY lag_idx))::INT, 1) AS ch FROM c)),
+g AS (SELECT session_id, run, min(lag_idx) AS low, max(lag_idx) AS high, first(corr) AS corr FROM r GROUP BY ALL),
+h AS (SELECT *, lag(corr) OVER w AS b, lead(corr) OVER w AS a FROM g WINDOW w AS (PARTITION BY session_id ORDER BY run)),
+o AS (SELECT top.session_id, max(h.corr) AS other FROM top JOIN h ON h.session_id = top.session_id AND h.corr > b AND h.corr > a AND abs((low + high) // 2 - best) > 5 GROUP BY ALL)
+SELECT top.session_id, round(CASE WHEN other > 0 THEN corr / other ELSE -1 END, 6) AS ratio FROM top LEFT JOIN o USING (session_id)""")
+def peak_ratio(spark, sf_dir):
+    """-1 stands for an infinite ratio."""
+    ratio = alignment.peak_ratio(rounded(_pooled(spark, sf_dir).select("session_id", "lag_idx", "corr"), 9), 5)
+    return rounded(ratio.withColumn("ratio", F.when(F.col("ratio") == float("inf"), -1.0).otherwise(F.col("ratio"))))
+
+
+@query("SELECT o_custkey AS session_id, o_orderkey AS src_ord, o_orderstatus || '_' || row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS sensor_id FROM orders")
+def sensor_ids(spark, sf_dir):
+    files = t.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderstatus").alias("kind"), F.col("o_orderkey").alias("src_ord"))
+    return sensors.assign_sensor_ids(files).select("session_id", "src_ord", "sensor_id")
+
+
+@query(f"""WITH x AS (SELECT o_orderkey, o_orderpriority AS label FROM orders),
+d AS (SELECT DISTINCT label, CASE label WHEN '1-URGENT' THEN 0 WHEN '5-LOW' THEN 1 ELSE {t.crc32_sql("label")} END AS place FROM x)
+SELECT o_orderkey, (['red', 'green', 'blue', 'black'])[place % 4 + 1] AS color FROM x JOIN d USING (label)""")
+def label_colors(spark, sf_dir):
+    library, palette = F.array(*map(F.lit, ("1-URGENT", "5-LOW"))), F.array(*map(F.lit, ("red", "green", "blue", "black")))
+    return t.table(spark, sf_dir, "orders").select("o_orderkey", scalars.label_color(F.col("o_orderpriority"), library, palette).alias("color"))
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, (l_partkey % 90)::DOUBLE AS x, (floor(l_extendedprice)::BIGINT % 60)::DOUBLE AS y, (10 + l_quantity)::DOUBLE AS w, (12 + l_quantity)::DOUBLE AS h FROM lineitem),
+e AS (SELECT *, greatest(0, round_even(x - w * 0.25, 0)) AS l, greatest(0, round_even(y - h * 0.25 * 1.3, 0)) AS o, least(120, round_even(x + w + w * 0.25, 0)) AS r, least(90, round_even(y + h + h * 0.25, 0)) AS u FROM b)
+SELECT l_orderkey, l_linenumber, l::INT AS x, o::INT AS y, (r - l)::INT AS w, (u - o)::INT AS h FROM e""")
+def expanded_regions(spark, sf_dir):
+    d = t.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 90).cast("double").alias("x"), (F.floor("l_extendedprice") % 60).cast("double").alias("y"), (10 + F.col("l_quantity")).cast("double").alias("w"), (12 + F.col("l_quantity")).cast("double").alias("h"))
+    return d.select("l_orderkey", "l_linenumber", scalars.expanded_region(F.col("x"), F.col("y"), F.col("w"), F.col("h"), 120, 90, 0.25).alias("r")).select("l_orderkey", "l_linenumber", "r.*")
+
+
+@query("WITH " + t.CAMERAS + """, d AS (SELECT session_id, coalesce(arg_min(corrected_us, camera_index) FILTER (corrected_us IS NOT NULL), arg_min(start_us, camera_index)) - 1250000 AS own FROM corrected GROUP BY session_id)
+SELECT session_id, CASE WHEN session_id % 3 = 0 THEN session_id * 1000000 ELSE own END AS anchor_us FROM d""")
+def effective_anchor(spark, sf_dir):
+    cameras = sync.correct_camera_start(t.cameras(spark, sf_dir))
+    sessions = cameras.select("session_id").distinct()
+    stored = sessions.select("session_id", F.when(F.col("session_id") % 3 == 0, F.col("session_id") * 1_000_000).alias("stored_us"))
+    return sync.effective_anchor(cameras, stored, sessions.withColumn("offset_sec", F.lit(1.25)))
+
+
+@query("WITH " + t.CAMERAS + """ SELECT session_id, camera_index, CASE mode WHEN 'true' THEN clock WHEN 'reference' THEN clock - (reference_sec * 1000000)::BIGINT WHEN 'offset' THEN start_us + (offset_sec * 1000000)::BIGINT END AS corrected_us
+FROM (SELECT *, start_us // 86400000000 * 86400000000 + (camera_index * 7919 % 86400) * 1000000 AS clock FROM cameras)""")
+def clock_entries(spark, sf_dir):
+    """Corrected starts from times of day as typed."""
+    typed = t.cameras(spark, sf_dir).withColumn("clock_ms", F.col("camera_index").cast("long") * 7919 % 86400 * 1000)
+    return sync.correct_camera_start(sync.clock_entries(typed)).select("session_id", "camera_index", "corrected_us")
+
+
+@query("""SELECT o_custkey AS session_id, count(*) AS cameras, min(f) AS least, max(f) AS most, coalesce(min(f) <> max(f) OR (count(f) < count(*) AND count(f) > 0), false) AS differ
+FROM (SELECT o_custkey, CASE WHEN o_orderkey % 13 <> 0 THEN 100 + o_orderkey % 2 END AS f FROM orders) GROUP BY ALL""")
+def frame_counts(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return sync.frame_counts(t.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), F.when(k % 13 != 0, 100 + k % 2).alias("frame_count")))
+
+
+@query("WITH " + t.SIGNALS + " SELECT ord, row_number() OVER (ORDER BY session_id, sensor_id, us, ord) AS place FROM signals")
+def in_time_order(spark, sf_dir):
+    """Places from the order of the parts and the rows in them."""
+    rows = sync.in_time_order(t.signals(spark, sf_dir)).select("ord", F.monotonically_increasing_id().alias("at"))
+    parts = rows.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    starts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n") - F.col("first") + 1).alias("shift"))
+    return rows.withColumn("part", F.shiftright("at", 33)).join(starts, "part").select("ord", (F.col("at") + F.col("shift")).alias("place"))

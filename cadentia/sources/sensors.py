@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +58,9 @@ def assign_sensor_ids(files: DataFrame) -> DataFrame:
 def write_device_samples(samples: DataFrame, path: str) -> None:
     """Parquet by kind and sensor file name (lower case, `_1` added without a number), sorted by time."""
     name = F.lower(F.when(F.col("sensor_id").rlike("_[0-9]+$"), F.col("sensor_id")).otherwise(F.concat("sensor_id", F.lit("_1"))))
-    samples.withColumn("sensor_file", name).sortWithinPartitions("session_id", "us").write.partitionBy("kind", "sensor_file").parquet(path)
+    rows = samples.withColumn("sensor_file", name).sortWithinPartitions("session_id", "us")
+    # Sensors that samples has are replaced whole, in one commit; others stay as they are.
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "sensor_file").parquet(path)
 
 
 #: Loaders in the order they are tried: name, test on a header's columns, reader of (spark, paths).
@@ -74,14 +78,37 @@ register_loader("Polar", lambda names: {"Date", "Start time"} <= set(names), rea
 register_loader("Zephyr", lambda names: {"Time", "HR"} <= set(names) and bool({"BR", "SkinTemp", "Posture", "Activity", "HRConfidence"} & set(names)), read_strap)
 
 
+def first_lines(spark: SparkSession, paths: list[str], most: int = 1 << 20) -> DataFrame:
+    """path (a URI) and header, the first line (of `most` bytes at most) without a byte order mark, of each file.
+
+    Spark lists the files, those of no byte left out; a task opens each and reads block by block up to the line's end, however long the file is."""
+    files = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path"))
+
+    def run(batches):
+        from pyarrow.fs import FileSystem
+
+        for batch in batches:
+            lines = []
+            for path in batch.column("path").to_pylist():
+                fs, name = FileSystem.from_uri(path)
+                head = b""
+                with fs.open_input_file(name) as source:
+                    while b"\n" not in head and len(head) < most and (more := source.read(4096)):
+                        head += more
+                lines.append(head.split(b"\n", 1)[0].decode("utf-8", "replace").rstrip("\r").replace("\ufeff", ""))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(lines, pa.string())], ["path", "header"])
+
+    return files.mapInArrow(run, "path string, header string")
+
+
 def classify_signal_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """path, header and kind of each file: the first loader whose test its first line passes, else `Unknown sensor`.
 
-    Only first lines come to the driver, of the files that were named."""
-    first = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace(F.split("value", r"\r?\n", 2)[0], "﻿", "").alias("header"))
+    Tasks read the beginning of each file only; what comes to the driver is each different header once."""
+    heads = first_lines(spark, paths)
     names = lambda h: [c.strip().strip('"') for c in h.split(",")]
-    rows = [(r.path, r.header, next((n for n, fits, _ in LOADERS if fits(names(r.header))), "Unknown sensor")) for r in first.orderBy("path").collect()]
-    return spark.createDataFrame(rows, "path string, header string, kind string")
+    kinds = [(r.header, next((n for n, fits, _ in LOADERS if fits(names(r.header))), "Unknown sensor")) for r in heads.select("header").distinct().collect()]
+    return heads.join(spark.createDataFrame(kinds, "header string, kind string"), "header").select("path", "header", "kind").orderBy("path")
 
 
 def load_signals(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, list[str]]:
@@ -94,7 +121,7 @@ def load_signals(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | Non
     readers, out = {n: read for n, _, read in LOADERS}, None
     for (kind, _), own in sorted(groups.items()):
         if kind in readers:
-            part = readers[kind](spark, own).withColumn("kind", F.lit(kind))
+            part = readers[kind](spark, [unquote(p) for p in own]).withColumn("kind", F.lit(kind))
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out, sorted(p for (kind, _), own in groups.items() if kind not in readers for p in own)
 
