@@ -1,6 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment on words.
 
-The n-grams of the test items are counted over the whole corpus.  Seeds are those that occur, except
+A seed is three words within five places, in order: any of six shapes, the same or another in item and document.  So words that were
+changed, put in or left out between them do not hide a copy: where words are changed, an alignment that reaches the threshold
+keeps more than 8 words of 15, and so three within some five places.  The seeds of the test items are counted over the whole corpus.  Those are used that occur, except
 the ones far more frequent than the median of the item and of each stretch about them that could be found
 alone: stock phrases go, while a passage that is copied very often, be it a part of the item, keeps its seeds.  Documents are joined with the seeds' table; around each group of hits
 document and item are aligned locally, so edits, insertions and gaps cost little.  The table of seeds
@@ -17,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadentia.llm.common import WORD_PATTERN, shingles, slices, texts, utf8, without, words, written
+from cadentia.llm.common import WORD_PATTERN, keyed, slices, texts, utf8, without, words, written
 
 N = 3
-#: An n-gram that occurs more often than this many times the median of its item and of its stretches is no seed.
+#: Places of a seed's second and third word, counted from its first.
+SHAPES = ((1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4))
+#: A seed that occurs more often than this many times the median of its item and of its stretches is no seed.
 RATIO = 16
 #: Words of a stretch at most.
 STRETCH = 50
@@ -28,8 +32,8 @@ STRETCH = 50
 MATCH, OTHER = 2, -1
 #: A document is contaminated if an alignment has this share of the item's full score, and eight words net.
 SHARE, LEAST = 0.3, 16
-#: Benchmark words in one block; a block's table takes about 40 bytes a word.
-BLOCK_WORDS = 1_000_000
+#: Benchmark words in one block; a block's table takes about 200 bytes a word.
+BLOCK_WORDS = 200_000
 
 
 class Seeds:
@@ -86,13 +90,21 @@ def _table(items: list[tuple[int, str]]) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.array([i for i, _ in items]), [word[ends[k] : ends[k + 1]] for k in range(len(items))]
 
 
-def _grams(row: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the first word and hash of each run of n words in one row."""
-    at = np.flatnonzero(row[: len(row) - n + 1] == row[n - 1 :]) if len(row) >= n else np.zeros(0, np.int64)
-    return at, shingles(np.zeros(len(row), np.int64), word, n)[1][at] if len(at) else np.zeros(0, np.uint64)
+def _triples(row: np.ndarray, word: np.ndarray, second: int, third: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the first word and hash of the words at 0, second and third from each place, all in one row."""
+    at = np.flatnonzero(row[: len(row) - third] == row[third:]) if len(row) > third else np.zeros(0, np.int64)
+    return at, keyed(keyed(keyed(word[at]) ^ word[at + second]) ^ word[at + third], 1)
 
 
-def _count(docs: DataFrame, seeds: Seeds, n: int) -> np.ndarray:
+def _hits(seeds: Seeds, row: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and keys of the seeds that a document's words hold, in order of place."""
+    found = [(at[hit], key) for at, (hit, key) in ((at, seeds.find(h)) for at, h in (_triples(row, word, *shape) for shape in SHAPES))]
+    place, key = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(place, kind="stable")
+    return place[order], key[order]
+
+
+def _count(docs: DataFrame, seeds: Seeds) -> np.ndarray:
     """Occurrences of every key in the corpus; a task sends one number for each key it has seen."""
     shared = docs.sparkSession.sparkContext.broadcast(seeds.arrays())
 
@@ -102,7 +114,7 @@ def _count(docs: DataFrame, seeds: Seeds, n: int) -> np.ndarray:
         for batch in batches:
             at, data = utf8(batch.column("text"))
             for low, high in slices(at):
-                total += np.bincount(seeds.find(_grams(*words(at[low : high + 1], data), n)[1])[1], minlength=len(total))
+                total += np.bincount(_hits(seeds, *words(at[low : high + 1], data))[1], minlength=len(total))
         key = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total[key])], ["key", "n"])
 
@@ -124,54 +136,55 @@ def _median(counts: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _rare(seeds: Seeds, counts: np.ndarray, ratio: float, lengths: list[int], n: int, share: float, least: int) -> Seeds:
-    """The keys that occur, except those over `ratio` times as often as the median one of the item and of each
-    stretch with them that reaches the threshold alone."""
+def _rare(seeds: Seeds, counts: np.ndarray, ratio: float, lengths: list[int], share: float, least: int) -> Seeds:
+    """The keys that occur, except those over `ratio` times as often as the median one, of their shape, of the item and of each
+    stretch with them that reaches the threshold alone.  `seeds` has item * len(SHAPES) + shape for its items."""
     order = np.lexsort((seeds.place, seeds.item))
     own = np.repeat(counts, np.diff(seeds.first))[order]
     item, key = seeds.item[order], np.repeat(seeds.keys, np.diff(seeds.first))[order]
     keep = np.zeros(len(own), bool)
     cuts = np.flatnonzero(np.r_[True, item[1:] != item[:-1], True]) if len(item) else np.zeros(1, np.int64)
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        stretch = min(STRETCH, math.ceil(threshold(lengths[item[a]], share, least) / MATCH))
-        most = np.maximum(_median(own[a:b], b - a), _median(own[a:b], max(1, stretch - n + 1)))
+        of, shape = divmod(int(item[a]), len(SHAPES))
+        stretch = min(STRETCH, math.ceil(threshold(lengths[of], share, least) / MATCH))
+        most = np.maximum(_median(own[a:b], b - a), _median(own[a:b], max(1, stretch - SHAPES[shape][1])))
         keep[a:b] = (own[a:b] > 0) & (own[a:b] <= ratio * most)
-    return Seeds(key[keep], item[keep], seeds.place[order][keep])
+    return Seeds(key[keep], item[keep] // len(SHAPES), seeds.place[order][keep])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, ratio: float = RATIO, share: float = SHARE, least: int = LEAST, block_words: int = BLOCK_WORDS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO, share: float = SHARE, least: int = LEAST, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Pairs doc_id, item_id with score (of the best alignment) and similarity (score over the item's full score).
 
     Words are runs without white space, A-Z lower-cased.  Null or empty texts and items give no pair;
-    items with fewer than n words have no seed; they are found in documents that have just the same words.  Each pair comes once for each row of docs
+    items with fewer than N words have no seed; they are found in documents that have just the same words.  Each pair comes once for each row of docs
     that has it.  Items that repeat are found each.  Extra columns are not read; with no document or no item the
     result is empty."""
     spark, docs = docs.sparkSession, texts(docs)
     every = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("length", F.regexp_count("text", F.lit(WORD_PATTERN)))
     every = written(every.filter("length > 0"), "leaks-items")
-    items, short = every.filter(F.col("length") >= n), every.filter(F.col("length") < n)
+    items, short = every.filter(F.col("length") >= N), every.filter(F.col("length") < N)
     size = items.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(WORD_PATTERN))), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / block_words))
     found = None
     for block in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
-        part = _search(docs, [(r.item_id, r.text) for r in rows], n, ratio, share, least)
+        part = _search(docs, [(r.item_id, r.text) for r in rows], ratio, share, least)
         found = part if found is None else found.unionByName(part)
     if not short.head(1):
         return found
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     same = F.concat_ws(" ", F.regexp_extract_all(low, F.lit(WORD_PATTERN), F.lit(0)))
-    own = docs.filter(F.regexp_count("text", F.lit(WORD_PATTERN)).between(1, n - 1)).select("doc_id", same.alias("words"))
+    own = docs.filter(F.regexp_count("text", F.lit(WORD_PATTERN)).between(1, N - 1)).select("doc_id", same.alias("words"))
     score = F.col("length").cast("long") * MATCH
     return found.unionByName(own.join(short.select("item_id", "length", same.alias("words")).hint("merge"), "words").select("doc_id", "item_id", score.alias("score"), F.lit(1.0).alias("similarity")))
 
 
-def _search(docs: DataFrame, items: list[tuple[int, str]], n: int, ratio: float, share: float, least: int) -> DataFrame:
+def _search(docs: DataFrame, items: list[tuple[int, str]], ratio: float, share: float, least: int) -> DataFrame:
     ids, word_lists = _table(items)
-    places = [_grams(np.zeros(len(w), np.int64), w, n) for w in word_lists]
+    places = [(k * len(SHAPES) + j, *_triples(np.zeros(len(w), np.int64), w, *shape)) for k, w in enumerate(word_lists) for j, shape in enumerate(SHAPES)]
     join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-    every = Seeds(join([h for _, h in places], np.uint64), join([np.full(len(p), k) for k, (p, _) in enumerate(places)], np.int64), join([p for p, _ in places], np.int64))
-    rare = _rare(every, _count(docs, every, n), ratio, [len(w) for w in word_lists], n, share, least)
+    every = Seeds(join([h for *_, h in places], np.uint64), join([np.full(len(p), k) for k, p, _ in places], np.int64), join([p for _, p, _ in places], np.int64))
+    rare = _rare(every, _count(docs, every), ratio, [len(w) for w in word_lists], share, least)
     shared = docs.sparkSession.sparkContext.broadcast((rare.arrays(), ids, word_lists))
 
     def candidates(item: np.ndarray, diagonal: np.ndarray, word: np.ndarray, low: int, high: int, word_lists) -> Iterator[tuple[int, np.ndarray]]:
@@ -211,13 +224,12 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], n: int, ratio: float,
             waiting: list[tuple[int, int, np.ndarray]] = []
             for low, high in slices(at):
                 row, word = words(at[low : high + 1], data)
-                where, grams = _grams(row, word, n)
-                hit, key = seeds.find(grams)
-                if not len(hit):
+                where, key = _hits(seeds, row, word)
+                if not len(where):
                     continue
                 many = seeds.first[key + 1] - seeds.first[key]
                 place = np.repeat(seeds.first[key], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                position = np.repeat(where[hit], many)
+                position = np.repeat(where, many)
                 item, diagonal, of = seeds.item[place], position - seeds.place[place], row[position]
                 cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):

@@ -5,7 +5,8 @@ source are laid out by size class, then by a salt, then by document; the expecte
 document (target / size of its source) are summed along that order, one random offset per source is
 added, and a document comes out once per integer crossed.  The running sum never needs a whole source
 in one task: rows are ranked inside a block (source, size class, salt), and the blocks' starts come from
-a running sum over their counts.  The number of salts follows the source's row count.
+running sums over their counts: over a source's size classes, over a class's groups of GROUP salts, and over the salts of a
+group.  The number of salts follows the source's row count.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 #: Documents that a block of the prefix sum holds on average at most.
 BLOCK_ROWS = 2_000
+#: Salts that are summed in a row.
+GROUP = 1_000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -44,6 +47,22 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataF
     )
 
 
+def block_starts(blocks: DataFrame, group: int = GROUP) -> DataFrame:
+    """no_source, s, band, salt and start of blocks with n rows each: the rows of the source's blocks before, by band and salt.
+
+    No window orders more than the bands of a source (a size doubles in four), the groups of a band, or the salts of a group."""
+    own, band = ["no_source", "s"], ["no_source", "s", "band"]
+    blocks = written(blocks.withColumn("group", F.floor(F.col("salt") / group)), "mix-blocks")
+    groups = blocks.groupBy(*band, "group").agg(F.sum("n").alias("n"))
+    bands = groups.groupBy(*band).agg(F.sum("n").alias("n"))
+    before = lambda keys, order: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of_bands = bands.select(*band, before(own, "band").alias("of_band"))
+    of_groups = groups.select(*band, "group", before(band, "group").alias("of_group"))
+    of_salts = blocks.select(*band, "group", "salt", before([*band, "group"], "salt").alias("of_salt"))
+    whole = of_salts.join(of_groups, [*band, "group"]).join(of_bands, band)
+    return whole.select(*band, "salt", (F.col("of_band") + F.col("of_group") + F.col("of_salt")).alias("start"))
+
+
 def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, block_rows: int = BLOCK_ROWS, whole: bool = False) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, copies, taken; if `whole`, also document, all of
     its columns, so that nothing has to be joined to it by doc_id.
@@ -63,9 +82,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, block
     rows = rows.withColumn("band", F.when(F.col("size") > 0, F.floor(F.log2(F.col("size")) * 4) + 1).otherwise(0).cast("int")).withColumn("salt", salt_bits % salts)
     rows = rows.select("*", F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("no_source"))
     key = ["no_source", "s", "band", "salt"]
-    blocks = rows.groupBy(*key).agg(F.count("*").alias("n"))
-    along = Window.partitionBy("no_source", "s").orderBy("band", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = written(blocks.select(*key, F.coalesce(F.sum("n").over(along), F.lit(0)).alias("start")), "mix-blocks")
+    starts = written(block_starts(rows.groupBy(*key).agg(F.count("*").alias("n"))), "mix-starts")
     inside = Window.partitionBy(*key).orderBy("size", "doc_id", *(["document"] if whole else []))
     ranked = rows.join(starts, key).withColumn("rank", F.col("start") + F.row_number().over(inside))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

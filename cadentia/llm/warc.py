@@ -53,16 +53,26 @@ def write_warc(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_
     Null html is empty, a null url the empty URI; control characters of a URL are percent-encoded.  Equal
     payloads: the least page_id is the response; rows that repeat it are responses too (one capture
     written twice), and null page_ids are revisits if another page has the payload.  The capture time is
-    the page_id (modulo SECONDS; null: 0) in seconds from 2024-01-01.  A file has as many records as fit file_bytes if all are as long as
-    the longest, and records_per_file at most."""
+    the page_id (modulo SECONDS; null: 0) in seconds from 2024-01-01.
+
+    A file has records_per_file records at most, and file_bytes of payload or one record.  So that a long page decides for none but
+    those of its size, payloads longer than file_bytes / records_per_file are written apart, in folders by size (each twice that
+    of the one before): a task writes one file more than its bytes ask, for each size that it has."""
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
     content = F.sha2("payload", 256)
     firsts = rows.select("page_id", content.alias("content")).groupBy("content").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     firsts = written(firsts, "warc-firsts")
-    longest = rows.agg(F.max(F.octet_length("payload"))).first()[0] or 1
-    records_per_file = max(1, min(records_per_file, file_bytes // longest))
+    usual = max(1, file_bytes // records_per_file)
+    size = F.ceil(F.log2(F.greatest(F.octet_length("payload") / usual, F.lit(1.0)))).cast("int")
+    sizes = sorted(r.size for r in rows.groupBy(size.alias("size")).count().collect())
     marked = rows.withColumn("content", content).join(firsts, "content", "left").drop("content")
+    for k in sizes or [0]:
+        own = marked if len(sizes) < 2 else marked.filter(size == k)
+        _write(own, path if k == 0 else f"{path}/long-{k}", max(1, min(records_per_file, file_bytes // (usual * 2**k))))
+
+
+def _write(marked: DataFrame, path: str, records: int) -> None:
     schema = T.StructType([*marked.schema, T.StructField("digest", T.StringType())])
     summed = marked.mapInArrow(_digests, schema)
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
@@ -85,7 +95,7 @@ def write_warc(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
     record = F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), block)
-    summed.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+    summed.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records).text(path)
 
 
 def url_key(url: str) -> str:
@@ -141,7 +151,7 @@ def read_runs(spark, path: str) -> DataFrame:
                 out = pd.DataFrame(rows, columns=[c.split()[0] for c in ENTRY.split(", ")])
                 yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInPandas(run, ENTRY)
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -140,6 +141,45 @@ def test_decontamination_recall_on_edited_copies(spark):
     assert got <= {(i, i % 40) for i in range(200)} and len(got) >= 198
 
 
+EDITS = {
+    "every third changed": lambda own, word: [word() if k % 3 == 2 else w for k, w in enumerate(own)],
+    "two of five changed": lambda own, word: [word() if k % 5 in (1, 3) else w for k, w in enumerate(own)],
+    "three of seven changed": lambda own, word: [word() if k % 7 in (1, 3, 5) else w for k, w in enumerate(own)],
+    "bursts of six": lambda own, word: [word() if k // 6 % 2 else w for k, w in enumerate(own)],
+    "one put in after each": lambda own, word: [x for w in own for x in (w, word())],
+    "two put in after two": lambda own, word: [x for k, w in enumerate(own) for x in ((w, word(), word()) if k % 2 else (w,))],
+    "every third left out": lambda own, word: [w for k, w in enumerate(own) if k % 3 != 2],
+    "changed at random": lambda own, word: [word() if zlib.crc32(f"{k}{w}".encode()) % 5 < 2 else w for k, w in enumerate(own)],
+}
+
+
+@pytest.mark.parametrize("edit", EDITS)
+def test_decontamination_recall_by_kind_of_edit(spark, edit):
+    """Wherever plain Smith-Waterman reaches the threshold, at least nine copies of ten are found, and nothing else."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(6))
+    items = {i: [word() for _ in range(rng.randint(15, 60))] for i in range(40)}
+    docs, due = [], set()
+    for i in range(120):
+        text = [*(word() for _ in range(25)), *EDITS[edit](items[i % 40], word), *(word() for _ in range(25))]
+        docs.append((i, " ".join(text), None, None))
+        if smith_waterman(items[i % 40], text) >= decontam.threshold(len(items[i % 40])):
+            due.add((i, i % 40))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(docs, DOCS), bench).collect()}
+    assert len(due) >= 50 and got <= due and len(got) >= 0.9 * len(due)
+
+
+def smith_waterman(a, b):
+    row, best = [0] * (len(b) + 1), 0
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(0, row[j] + (2 if x == y else -1), row[j + 1] - 1, new[j] - 1))
+        row, best = new, max(best, *new)
+    return best
+
+
 def test_words_of_long_texts_part_by_part():
     rng = random.Random(15)
     text = " ".join("x" * rng.choice([1, 3, 90]) + str(rng.random()) for _ in range(400)).encode()
@@ -299,13 +339,24 @@ def test_warc_files_are_bounded_and_merged_in_passes(spark, tmp_path):
     data = [(i, f"http://h{i * 7 % 40}.example/{i % 9}", "p" * 1000 if i % 2 else f"q{i}") for i in range(200)]
     pages = spark.createDataFrame(data, "page_id long, url string, html string")
     warc.write_warc(pages.coalesce(1), f"{tmp_path}/w", file_bytes=3_500)
-    files = [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-")]
-    assert len(files) >= 60 and max(p.stat().st_size for p in files) < 3_500 + 3 * 700
+    files = list((tmp_path / "w").rglob("part-*.txt"))
+    assert len(files) >= 50 and max(p.stat().st_size for p in files) < 3_500 + 3 * 700
     runs = warc.read_runs(spark, f"{tmp_path}/w")
     got = [(r.url_key, r.capture_ts, r.page_id) for r in warc.merge_runs(runs, block_rows=2, fan_in=3).collect()]
     assert got == sorted(got) and len(got) == 200
 
 
+def test_a_long_page_decides_for_its_own_file_only(spark, tmp_path):
+    data = [(i, f"http://h{i}.example/", f"{i} " + "p" * 990) for i in range(2_000)]
+    kind = "page_id long, url string, html string"
+    counts = []
+    for name, more in (("short", []), ("long", [(-1, "http://long.example/", "x" * 1_000_000)]), ("longest", [(-1, "u", "x" * 1_000_000), (-2, "u", "y" * 3_000_000)])):
+        warc.write_warc(spark.createDataFrame(data + more, kind).coalesce(1), f"{tmp_path}/{name}", file_bytes=2_000_000)
+        counts.append(len(list((tmp_path / name).rglob("part-*.txt"))))
+        assert warc.read_runs(spark, f"{tmp_path}/{name}").count() == 2_000 + len(more)
+    assert counts == [2, 3, 4]
+
+
 def test_loser_tree():
     rng = random.Random(4)
     for k in range(0, 9):
@@ -411,6 +462,15 @@ def test_mixing_targets_and_copies(spark, edges, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_starts_of_blocks_in_groups(spark):
+    rng = random.Random(21)
+    blocks = [(s == "", s, band, salt, rng.randint(1, 9)) for s in ("", "a") for band in range(7) for salt in range(45) if rng.random() < 0.9]
+    df = spark.createDataFrame(blocks, "no_source boolean, s string, band int, salt long, n long")
+    for group in (1, 10, 1_000):
+        got = {tuple(r)[:4]: r.start for r in mixing.block_starts(df, group).collect()}
+        assert got == {b[:4]: sum(x[4] for x in blocks if x[:2] == b[:2] and x[2:4] < b[2:4]) for b in blocks}
+
+
 def test_exact_dedup(spark, edges, empty):
     out = exact.exact_dedup(edges).collect()
     got = {(r.doc_id, r.text): (r.keep_id, r.group_size, r.kept) for r in out}
