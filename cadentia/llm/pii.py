@@ -20,11 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadentia.llm.common import texts
+from cadentia.llm.common import texts, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Bounds of the training sample: documents read, and windows taken from them.
-TRAIN_DOCUMENTS, TRAIN_WINDOWS = 2_000, 300
+#: Bounds of the training sample: documents read, and windows of each kind taken from them.
+TRAIN_DOCUMENTS, TRAIN_WINDOWS = 2_000, 20
 #: Atoms and characters of an added span at most; base spans have no such bound.
 MOST_ATOMS, MOST_CHARS = 16, 320
 EPOCHS, RATE, DECAY = 6, 0.3, 1e-3
@@ -39,6 +39,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WINDOW = re.compile(r"(?<!\S)(?:[^\s0-9@]*[0-9@]\S*)(?:[ \t]{1,2}[^\s0-9@]*[0-9@]\S*)*")
 _WANTED = re.compile("[0-9]{2}|@")
+_BRACKETED = re.compile(r"[\[({]([@.])[\])}]")
+_MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _ATOM = re.compile(r"[0-9]+|[^\W\d_]+|\s|[^\s]")
 
 
@@ -113,10 +115,16 @@ def features(window: str, start: int, end: int) -> list[str]:
         f"end{side(after)}",
         f"plus{segment[0] == '+'}",
     ]
-    if 12 <= n <= 19 and len(digits) + segment.count(" ") + segment.count("-") == len(segment):
+    opened = _BRACKETED.sub(r"\1", segment)
+    if "@" in opened:
+        own.append(f"mail{bool(_MAIL.fullmatch(opened))}")
+    elif n >= 4 and not any(c.isalpha() for c in segment):
+        own.append(f"groups{'-'.join(str(len(g)) for g in re.findall('[0-9]+', segment)[:8])}")
+    if 12 <= n <= 19 and not any(c.isalpha() for c in segment):
         own.append(f"luhn{luhn(''.join(digits))}")
-    if segment.count(".") == 3 and n >= 4 and n + 3 == len(segment):
-        own.append(f"bytes{all(p and int(p) <= 255 for p in segment.split('.'))}")
+    if segment.count(".") == 3 and n >= 4 and not any(c.isalpha() for c in segment):
+        parts = [re.sub("[^0-9]", "", p) for p in segment.split(".")]
+        own.append(f"bytes{all(p and len(p) <= 3 and int(p) <= 255 for p in parts)}")
     return own
 
 
@@ -221,37 +229,67 @@ def decode(window: str, weights: Weights, margin: float = MARGIN) -> list[tuple[
     return out[::-1]
 
 
+def other_forms(kind: str, span: str) -> list[str]:
+    """A base span as people also write it, so that the patterns don't match it."""
+    digits = re.sub("[^0-9]", "", span)
+    if kind == "email":
+        return [span.replace("@", at) for at in ("[@]", "(@)", "{@}")]
+    if kind == "ip":
+        return [span.replace(".", dot) for dot in ("[.]", "(.)")]
+    if kind == "card":
+        return [sign.join(digits[k : k + 4] for k in range(0, len(digits), 4)) for sign in (".", "_", " - ", "/")]
+    if len(digits) < 10:
+        return []
+    area, office, line = digits[-10:-7], digits[-7:-4], digits[-4:]
+    return [f"({area}) {office}-{line}", *(sign.join((area, office, line)) for sign in ("-", ".", " ", "/"))]
+
+
+def near_miss(kind: str, span: str) -> list[str]:
+    """Texts like those of other_forms() that are no such entity: with a broken check sum, a part too large, a digit short."""
+    if kind == "card":
+        return [form[:-1] + str((int(form[-1]) + 1) % 10) for form in other_forms(kind, span) if form[-1].isdigit()]
+    if kind == "ip":
+        return [form.replace(span.split(".")[1], "777", 1) for form in other_forms(kind, span)]
+    if kind == "phone":
+        return [form[:-2] for form in other_forms(kind, span)]
+    return [form.replace("@", "", 1) for form in other_forms(kind, span)]
+
+
+#: Numbers that are no personal data, each form with digits of its own.
+PLAIN = ("9999-99-99", "99/99/9999", "99:99:99", "9.9.9", "9,999.99", "999-9-99-999999-9", "9999-9999", "99999", "9999999", "99 999 999", "#9999", "v9.99", "9e-9", "99.9%", "@9", "9@99")
+
+
 def variants(window: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    """The window, and copies in which a span has a form that the patterns don't match."""
+    """The window; and for each of its spans other forms and near misses of it, in its place, alone, and beside a sign."""
     yield window, spans
-    if len(spans) != 1:
-        return
-    kind, a, b = spans[0]
-    if kind == "phone":
-        bare = re.sub(r"^\+[0-9]+ ", "", window[a:b])
-        if bare != window[a:b]:
-            yield window[:a] + bare + window[b:], [(kind, a, a + len(bare))]
-    if kind == "card" and window[a:b].isdigit():
-        parts = ".".join(window[k : min(k + 4, b)] for k in range(a, b, 4))
-        yield window[:a] + parts + window[b:], [(kind, a, a + len(parts))]
-    if kind in ("email", "ip"):
-        other = window[a:b].replace("@", "[@]") if kind == "email" else window[a:b].replace(".", "[.]")
-        yield window[:a] + other + window[b:], [(kind, a, a + len(other))]
+    for kind, a, b in spans:
+        apart = [(k, x, y) for k, x, y in spans if (x, y) != (a, b)]
+        for texts_, found in ((other_forms(kind, window[a:b]), True), (near_miss(kind, window[a:b]), False)):
+            for n, form in enumerate(texts_):
+                moved = [(k, x + len(form) - (b - a), y + len(form) - (b - a)) if x >= b else (k, x, y) for k, x, y in apart]
+                yield window[:a] + form + window[b:], [*moved, *([(kind, a, a + len(form))] if found else [])]
+                before, after = (("", ""), ("", ","), ("", "."), ('"', '"'), ("(", ")"), (":", ";"))[n % 6]
+                yield before + form + after, [(kind, len(before), len(before) + len(form))] if found else []
 
 
 def sample(docs: DataFrame, documents: int = TRAIN_DOCUMENTS, most: int = TRAIN_WINDOWS) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Training windows with their base spans, from about `documents` documents chosen by the hash of
-    doc_id (a filter: no task gathers candidates); the windows of one shape are taken in turn, so that rare forms are among them."""
+    """Training windows with their base spans, and variants of them: `most` windows of each kind of span, of several kinds and of none,
+    from about `documents` documents chosen by the hash of doc_id (a filter: no task gathers candidates).  Each window has a shape of
+    its own, so that rare forms are among them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(w,) for t in batch["text"] for _, w in windows(t) if len(w) <= 200], columns=["w"])
+            found = {w: "+".join(sorted({k for k, *_ in base_spans(w)})) for t in batch["text"] for _, w in windows(t) if len(w) <= 200}
+            yield pd.DataFrame(found.items(), columns=["w", "kind"])
 
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(max(docs.count(), 1))) < documents
     wordy = docs.filter(F.col("text").rlike("[0-9@]") & chosen)
-    shaped = wordy.select("text").mapInPandas(run, "w string").distinct().withColumn("shape", F.regexp_replace(F.regexp_replace("w", "[0-9]", "9"), r"\p{L}+", "a"))
-    some = shaped.groupBy("shape").agg(F.min("w").alias("w"), F.max("w").alias("x")).orderBy(F.md5("shape")).limit(most).collect()
-    found = {w for r in some for w in (r.w, r.x)}
+    shape = F.regexp_replace(F.regexp_replace("w", "[0-9]", "9"), r"\p{L}+", "a")
+    shaped = wordy.select("text").mapInPandas(run, "w string, kind string").groupBy("kind", shape.alias("shape")).agg(F.min("w").alias("w"))
+    shaped = written(shaped, "pii-windows")
+    found = set()
+    for stratum in (*(F.col("kind") == k for k in KINDS), F.col("kind") == "", F.col("kind").contains("+")):
+        found.update(r.w for r in shaped.filter(stratum).orderBy(F.md5("shape")).limit(most).collect())
     out = []
     for w in sorted(found):
         spans: list[tuple[str, int, int]] = []
@@ -259,7 +297,9 @@ def sample(docs: DataFrame, documents: int = TRAIN_DOCUMENTS, most: int = TRAIN_
             if all(s[2] <= a or s[1] >= b for _, a, b in spans):
                 spans.append(s)
         out += variants(w, spans)
-    return out
+    digits = "".join(c for w in sorted(found) for c in w if c.isdigit()) or "0"
+    fill = iter(digits[k % len(digits)] for k in range(10_000))
+    return out + [(re.sub("9", lambda _: next(fill), form), []) for form in PLAIN for _ in range(4) if found]
 
 
 def find_pii(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
