@@ -104,12 +104,12 @@ def pulse_phases(pulses: DataFrame, beats: DataFrame) -> DataFrame:
 def phase_drift(phases: DataFrame, block: int = 60) -> DataFrame:
     """drift_beats of each session: range of the unwrapped circular mean phase over whole blocks of `block` pulses; null with
     fewer than two."""
-    order = Window.partitionBy("session_id").orderBy("us", "ord")
-    rows = phases.withColumn("block", F.floor((F.row_number().over(order) - 1) / block))
+    placed = along(phases, ["session_id"], ["us", "ord"], sums={"k": F.lit(1)})
+    rows = placed.withColumn("block", F.floor((F.col("k") - 1) / block))
     turn = F.col("phase") * (2 * math.pi)
     means = rows.groupBy("session_id", "block").agg(F.count("*").alias("n"), F.atan2(F.avg(F.sin(turn)), F.avg(F.cos(turn))).alias("angle")).withColumn("angle", F.when(F.col("n") == block, F.col("angle")))
-    along = Window.partitionBy("session_id").orderBy("block")
-    step = F.col("angle") - F.lag("angle").over(along)
+    ahead = Window.partitionBy("session_id").orderBy("block")
+    step = F.col("angle") - F.lag("angle").over(ahead)
     means = means.withColumn("step", F.coalesce(step - 2 * math.pi * F.floor(step / (2 * math.pi) + 0.5), F.lit(0.0)))
-    way = means.withColumn("way", F.when(F.col("angle").isNotNull(), F.sum("step").over(along)))
+    way = means.withColumn("way", F.when(F.col("angle").isNotNull(), F.sum("step").over(ahead)))
     return way.groupBy("session_id").agg(F.count("way").alias("blocks"), ((F.max("way") - F.min("way")) / (2 * math.pi)).alias("range")).select("session_id", "blocks", F.when(F.col("blocks") >= 2, F.col("range")).alias("drift_beats"))

@@ -18,9 +18,10 @@ def clip_to_session(samples: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def video_time(samples: DataFrame, anchors: DataFrame) -> DataFrame:
     """samples plus video_sec: seconds from the anchor, or from the sensor's first sample without one."""
-    first = F.min("us").over(Window.partitionBy("session_id", "sensor_id"))
-    joined = samples.join(anchors.select("session_id", "anchor_us"), "session_id", "left")
-    return joined.withColumn("video_sec", (F.col("us") - F.coalesce("anchor_us", first)) / 1e6).drop("anchor_us")
+    keys = ["session_id", "sensor_id"]
+    starts = samples.select(*keys, "us").groupBy(*keys).agg(F.min("us").alias("__first")).join(anchors.select("session_id", "anchor_us"), "session_id", "left")
+    starts = starts.select(*keys, F.coalesce("anchor_us", "__first").alias("__start"))
+    return samples.join(starts, keys).withColumn("video_sec", (F.col("us") - F.col("__start")) / 1e6).drop("__start")
 
 
 def first_values(samples: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadentia.functions import dsp
-from cadentia.operators import beats, intervals, joins, peaks, rates, running, sync
+from cadentia.operators import beats, intervals, joins, peaks, rates, running, sync, waveforms
 
 
 def rows(df):
@@ -197,3 +197,50 @@ def test_neighbours_of_beats_and_places_of_samples(samples):
         .withColumn("v", F.coalesce(F.last("value", True).over(Window.partitionBy("session_id").orderBy("us").rowsBetween(Window.unboundedPreceding, 0)), F.first("value", True).over(Window.partitionBy("session_id").orderBy("us").rowsBetween(0, Window.unboundedFollowing))))
         .select("session_id", "us", "sensor_id", "v").join(samples.filter("value IS NOT NULL").select("session_id").distinct(), "session_id", "left_semi")
     )
+
+
+def test_lag_curves_of_a_noisy_pulse_against_plain_numpy(spark):
+    """Correlations below one, missing frames, and windows of unequal length: each window by the definition."""
+    rng = np.random.default_rng(11)
+    fs, n = 10.0, 600
+    t = np.arange(-200, n + 200) / fs
+    ref = np.sin(2 * np.pi * 1.1 * t) + 0.5 * rng.normal(size=len(t))
+    pulse = np.interp(np.arange(n) / fs - 0.7, t, ref) + 0.8 * rng.normal(size=n)
+    pulse[100:130] = np.nan
+    pulses = [(s, 0, k, None if np.isnan(v) else float(v), bool(k % 3)) for s in (1, 2) for k, v in enumerate(pulse)]
+    references = [(s, 0, float(a), float(b)) for s in (1, 2) for a, b in zip(t, ref)]
+    wins = [(1, 0, 0, 0.0, 30.0), (1, 0, 1, 15.0, 45.0), (1, 0, 2, 59.0, 59.5), (2, 0, 0, 5.0, 25.0), (2, 0, 1, 0.0, 59.9), (3, 0, 0, 0.0, 30.0)]
+    got = waveforms.window_correlations(
+        spark.createDataFrame(pulses, "session_id long, segment_idx long, frame_idx long, value double, detected boolean"),
+        spark.createDataFrame(references, "session_id long, segment_idx long, t_sec double, value double"),
+        spark.createDataFrame(wins, "session_id long, segment_idx long, win_idx long, win_start double, win_end double"),
+        fs, 2.0, 0.1,
+    ).collect()
+    found = {(r.session_id, r.win_idx, r.lag_idx): r["corr"] for r in got if r.lag_idx is not None}
+    for s, _, w, low, high in wins[:5]:
+        at = np.array([k for k in range(n) if low <= k / fs <= high and not np.isnan(pulse[k])])
+        for i, lag in enumerate(np.round(np.arange(-20, 21) * 0.1, 6)):
+            want = np.corrcoef(pulse[at], np.interp(at / fs - lag, t, ref))[0, 1] if len(at) >= 8 else None
+            assert found.get((s, w, i)) == (pytest.approx(want, abs=1e-9) if want is not None else None)
+        frames = [k for k in range(n) if low <= k / fs <= high]
+        assert all(r.face_coverage == pytest.approx(np.mean([bool(k % 3) for k in frames])) for r in got if (r.session_id, r.win_idx) == (s, w))
+    assert max(v for (s, w, _), v in found.items() if (s, w) == (1, 0)) < 0.95
+    assert all(abs(max((v, i) for (a, b, i), v in found.items() if (a, b) == key)[1] - 27) <= 1 for key in ((1, 0), (1, 1), (2, 1)))
+
+
+@pytest.mark.parametrize("method", ["GREEN", "CHROM", "POS"])
+def test_pulses_of_clips_against_whole_arrays(spark, method):
+    rng = np.random.default_rng(12)
+    fs, n = 30.0, 300
+    k = np.arange(n)
+    rgb = np.array([180.0, 120.0, 100.0]) * (1 - 0.01 * np.sin(2 * np.pi * 1.2 * k / fs)[:, None] * np.array([0.3, 1.0, 0.5])) + 0.05 * rng.normal(size=(n, 3))
+    rows = [(s, 0, int(i), *((None,) * 3 if 100 <= i < 110 else map(float, rgb[i]))) for s in (1, 2) for i in rng.permutation(n)] + [(3, 0, i, None, None, None) for i in range(60)]
+    got = waveforms.estimate_pulse(spark.createDataFrame(rows, "session_id long, segment_idx long, frame_idx long, r double, g double, b double").repartition(4), fs, method).collect()
+    filled = rgb.copy()
+    for c in range(3):
+        filled[100:110, c] = np.interp(np.arange(100, 110), [99, 110], rgb[[99, 110], c])
+    want = dsp.pulse_from_rgb(filled, fs, method)
+    for s in (1, 2):
+        own = [r.value for r in sorted((r for r in got if r.session_id == s), key=lambda r: r.frame_idx)]
+        assert own == pytest.approx(want.tolist(), abs=1e-9) and abs(dsp.dominant_rate(np.array(own), fs) - 72) < 1.5
+    assert all(r.value == 0 for r in got if r.session_id == 3)
