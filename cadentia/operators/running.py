@@ -81,12 +81,13 @@ def quantile(rows: DataFrame, keys: list[str], value: str, q: float, name: str,
     percentile() holds all distinct values of a group at once.  Here a sketch of bounded size finds two values that the
     quantile lies between for certain; the second pass counts what is below, and orders only the values between them, about
     6 / accuracy of the group; groups of no more than `accuracy` values are ordered whole."""
-    some = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    some = rows.select(*keys, F.col(value).cast("double").alias("__v"))
     near = [max(q - 3 / accuracy, 0.0), min(q + 3 / accuracy, 1.0)]
-    ends = some.groupBy(*keys).agg(F.percentile_approx("__v", near, accuracy).alias("__ends"), F.count("*").alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    ends = some.groupBy(*keys).agg(F.percentile_approx("__v", near, accuracy).alias("__ends"), F.count("__v").alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
     few = F.col("__n") <= accuracy  # a share of 1 / accuracy is less than one value
     low = F.when(few | F.lit(near[0] == 0.0), F.col("__low")).otherwise(F.col("__ends")[0])
     high = F.when(few | F.lit(near[1] == 1.0), F.col("__high")).otherwise(F.col("__ends")[1])
+    every = ends.select(*keys)
     ends = ends.select(*keys, low.alias("__from"), high.alias("__to"), ((F.col("__n") - 1) * q).alias("__rank"))
     placed = some.join(ends, keys).filter(F.col("__v") <= F.col("__to"))
     # All that is below is one value, null, which comes first.
@@ -98,4 +99,4 @@ def quantile(rows: DataFrame, keys: list[str], value: str, q: float, name: str,
     both = ranked.groupBy(*keys).agg(holds(below).alias("__a"), holds(above).alias("__b"), F.first("__rank").alias("__rank"))
     share = F.col("__rank") - F.floor("__rank")
     found = both.select(*keys, F.when(share == 0, F.col("__a")).otherwise(F.col("__a") * (1 - share) + F.col("__b") * share).alias(name))
-    return rows.select(*keys).distinct().join(found, keys, "left")
+    return every.join(found, keys, "left")

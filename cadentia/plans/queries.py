@@ -679,7 +679,13 @@ def _detections(spark, sf_dir):
     return t.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("clip_id"), (k % 300).alias("frame_idx"), ((k % 300) / 30).alias("t_sec"), (F.col("l_partkey") % 90).alias("x"), (F.floor("l_extendedprice") % 60).alias("y"), (10 + F.col("l_quantity")).alias("w"), (12 + F.col("l_quantity")).alias("h"), F.col("l_discount").alias("score"))
 
 
-@query(None)
+@query("""WITH d AS (SELECT l_suppkey AS clip_id, l_orderkey % 300 AS frame_idx, (l_partkey % 90)::DOUBLE AS x, (floor(l_extendedprice)::BIGINT % 60)::DOUBLE AS y, (10 + l_quantity)::DOUBLE AS w, (12 + l_quantity)::DOUBLE AS h, l_discount::DOUBLE AS score FROM lineitem),
+g AS (SELECT clip_id, frame_idx, list([{'x': x, 'y': y, 'w': w, 'h': h, 'score': score}] ORDER BY score DESC, x, y, w, h) AS boxes FROM d GROUP BY ALL),
+k AS (SELECT clip_id, frame_idx, list_reduce(list_prepend([]::STRUCT(x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, score DOUBLE)[], boxes), lambda kept, b: CASE WHEN len(list_filter(kept, lambda o:
+  greatest(0, least(o.x + o.w, b[1].x + b[1].w) - greatest(o.x, b[1].x)) * greatest(0, least(o.y + o.h, b[1].y + b[1].h) - greatest(o.y, b[1].y))
+  > 0.3::DOUBLE * (o.w * o.h + b[1].w * b[1].h - greatest(0, least(o.x + o.w, b[1].x + b[1].w) - greatest(o.x, b[1].x)) * greatest(0, least(o.y + o.h, b[1].y + b[1].h) - greatest(o.y, b[1].y))))) > 0
+  THEN kept ELSE list_concat(kept, b) END) AS kept FROM g)
+SELECT clip_id, frame_idx, b.x AS x, b.y AS y, b.w AS w, b.h AS h, b.score AS score FROM (SELECT clip_id, frame_idx, unnest(kept) AS b FROM k)""")
 def suppress_boxes(spark, sf_dir):
     return boxes.suppress(_detections(spark, sf_dir))
 
