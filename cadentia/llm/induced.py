@@ -383,20 +383,83 @@ def _extend(text: np.ndarray, a: np.ndarray, b: np.ndarray, common: np.ndarray,
     return common
 
 
+class Least:
+    """Least of values[low..high], both included, for many ranges at once, from tables of the least of 1, 2, 4 ... values from each
+    place on, which are made as ranges ask for them."""
+
+    def __init__(self, values: np.ndarray, room: Room):
+        self.levels, self.room = [values], room
+
+    def between(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        out, span = np.full(len(low), FAR, np.int32), high - low + 1
+        k = 0
+        while (span >= 1 << k).any():
+            if k == len(self.levels):
+                self.levels.append(self._next())
+            own = np.flatnonzero((span >= 1 << k) & (span < 2 << k))
+            out[own] = np.minimum(self.levels[k][low[own]], self.levels[k][high[own] - (1 << k) + 1])
+            k += 1
+        return out
+
+    def _next(self) -> np.ndarray:
+        last, step = self.levels[-1], 1 << len(self.levels) - 1
+        level = self.room.array(max(len(last) - step, 0), np.int32)
+        for low, high in self.room.chunks(len(level)):
+            level[low:high] = np.minimum(last[low:high], last[low + step : high + step])
+        return level
+
+
 def least_between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Least of values[low..high], both included, for many ranges at once."""
-    out, span = np.full(len(low), FAR, np.int32), high - low + 1
-    level, step = np.asarray(values), 1
-    while (span > 0).any() and len(level):
-        own = np.flatnonzero((span >= step) & (span < 2 * step))
-        out[own] = np.minimum(level[low[own]], level[high[own] - step + 1])
-        if not (span >= 2 * step).any():
-            break
-        level = np.minimum(level[:-step], level[step:])
-        step *= 2
+    """As Least, for values that are in memory."""
+    return Least(np.asarray(values), Room(len(values) + 1)).between(low, high)
+
+
+def by_symbol(text: np.ndarray, seeds: np.ndarray, cuts: np.ndarray, room: Room) -> np.ndarray:
+    """The seeds in order of their symbols, else as they come: dealt to blocks of symbols chunk by chunk, and each block, which is short or
+    has one symbol, ordered by itself."""
+    out, begin = room.array(len(seeds), seeds.dtype), np.zeros(len(cuts), np.int64)
+    for low, high in room.chunks(len(seeds)):
+        begin[1:] += np.bincount(np.searchsorted(cuts, text[seeds[low:high]], "right") - 1, minlength=len(cuts) - 1)[: len(cuts) - 1]
+    begin = np.cumsum(begin)
+    free = begin.copy()
+    for low, high in room.chunks(len(seeds)):
+        own = np.asarray(seeds[low:high])
+        block = np.searchsorted(cuts, text[own], "right") - 1
+        order = np.argsort(block, kind="stable")
+        block = block[order]
+        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        many = np.diff(np.append(first, len(block)))
+        out[np.repeat(free[block[first]] - first, many) + np.arange(len(block))] = own[order]
+        free[block[first]] += many
+    for k in np.flatnonzero((np.diff(cuts) > 1) & (np.diff(begin) > 1)).tolist():
+        own = np.asarray(out[begin[k] : begin[k + 1]])
+        out[begin[k] : begin[k + 1]] = own[np.argsort(text[own], kind="stable")]
     return out
 
 
+def shared_by_names(text, seeds, ranked, slot, name, cap: int, room: Room) -> np.ndarray:
+    """For each name the common prefix of its substring with that of the name before, 0 for the first.  ranked has the seeds in order of
+    their substrings, slot the number of each, name its name."""
+    count, n = len(seeds), len(text)
+    between, before = room.array(int(name[-1]) + 1, np.int32), -1
+
+    def length(at):
+        ends = np.where(at + 1 < count, seeds[np.minimum(at + 1, count - 1)], n - 1).astype(np.int64)
+        return ends + 1 - seeds[at]
+
+    for low, high in room.chunks(count):
+        own = np.asarray(name[low:high])
+        heads = np.flatnonzero(np.r_[low == 0 or own[0] != name[low - 1], own[1:] != own[:-1]]) + low
+        if not len(heads):
+            continue
+        pairs = heads if before < 0 else np.append(before, heads)
+        a, b = ranked[pairs[:-1]].astype(np.int64), ranked[pairs[1:]].astype(np.int64)
+        most = np.minimum(length(slot[pairs[:-1]]), length(slot[pairs[1:]]))
+        between[name[pairs[1:]]] = _extend(text, a, b, np.zeros(len(a), np.int32), cap, most)
+        before = int(heads[-1])
+    return between
+
+
 def sort_suffixes(text: np.ndarray, symbols: int, cap: int = 100, in_memory: int = IN_MEMORY) -> tuple[np.ndarray, np.ndarray]:
     """Order of all suffixes of `text` (symbols 0 to symbols - 1) and the common prefix of each with the one
     before, exact up to `cap` symbols."""
@@ -416,8 +479,7 @@ def sort_suffixes(text: np.ndarray, symbols: int, cap: int = 100, in_memory: int
         found = np.flatnonzero(star[low:high]) + low
         seeds[at : at + len(found)] = found
         at += len(found)
-    loose, far = room.array(count, kind), room.array(count, np.int32)
-    loose[:] = seeds[np.argsort(text[seeds], kind="stable")]
+    loose, far = by_symbol(text, seeds, cuts, room), room.array(count, np.int32)
     far[:] = FAR
     order, equal = induce(text, smaller, run, back, loose, far, symbols, cuts, room, loose=True)
     del loose, far
@@ -439,28 +501,27 @@ def sort_suffixes(text: np.ndarray, symbols: int, cap: int = 100, in_memory: int
             least = value.min()
     del order, equal
     slot = room.array(count, np.int64)
-    slot[:] = np.searchsorted(seeds, ranked)
-    # Common prefixes of neighbouring names, within their substrings.
-    heads = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
-    length = np.append(seeds[1:], n - 1) + 1 - seeds
-    a, b = ranked[heads[:-1]].astype(np.int64), ranked[heads[1:]].astype(np.int64)
-    between = np.zeros(len(heads), np.int32)
-    between[1:] = _extend(text, a, b, np.zeros(len(a), np.int32), cap, np.minimum(length[slot[heads[:-1]]], length[slot[heads[1:]]]))
+    for low, high in room.chunks(count):
+        slot[low:high] = np.searchsorted(seeds, ranked[low:high])
+    between = shared_by_names(text, seeds, ranked, slot, name, cap, room)
     names = int(name[-1]) + 1
     if names == count:
         shared = between
     else:
         reduced = room.array(count, np.int32 if names < 1 << 31 else np.int64)
-        reduced[slot] = name
+        for low, high in room.chunks(count):
+            reduced[slot[low:high]] = name[low:high]
         again, same = sort_suffixes(reduced, names, cap, in_memory)
-        ranked[:] = seeds[again]
-        shared = room.array(count, np.int32)
+        shared, least = room.array(count, np.int32), Least(between, room)
+        for low, high in room.chunks(count):
+            ranked[low:high] = seeds[again[low:high]]
         for low, high in room.chunks(count - 1):
             p, q, k = again[low:high].astype(np.int64), again[low + 1 : high + 1].astype(np.int64), np.minimum(same[low + 1 : high + 1], cap)
             p_end, q_end = np.minimum(p + k, count - 1), np.minimum(q + k, count - 1)
             x, y = reduced[p_end].astype(np.int64), reduced[q_end].astype(np.int64)
-            own = seeds[q_end].astype(np.int64) - seeds[q] + np.where(x < y, least_between(between, x + 1, y), 0)
+            own = seeds[q_end].astype(np.int64) - seeds[q] + np.where(x < y, least.between(x + 1, y), 0)
             shared[low + 1 : high + 1] = np.minimum(own, cap)
-    a, b = ranked[:-1].astype(np.int64), ranked[1:].astype(np.int64)
-    shared[1:] = _extend(text, a, b, np.array(shared[1:]), cap)  # a run that goes on beyond a substring's end
+    for low, high in room.chunks(count - 1):  # a run that goes on beyond a substring's end
+        a, b = ranked[low:high].astype(np.int64), ranked[low + 1 : high + 1].astype(np.int64)
+        shared[low + 1 : high + 1] = _extend(text, a, b, np.array(shared[low + 1 : high + 1]), cap)
     return induce(text, smaller, run, back, ranked, shared, symbols, cuts, room)

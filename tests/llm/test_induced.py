@@ -78,5 +78,31 @@ def test_least_between():
     values = rng.integers(0, 50, 77).astype(np.int32)
     low = rng.integers(0, 77, 300)
     high = np.minimum(low + rng.integers(-1, 77, 300), 76)
-    got = induced.least_between(values, low, high)
+    got = induced.Least(values, induced.Room(5)).between(low, high)
     assert [int(v) for v in got] == [int(values[a : b + 1].min()) if a <= b else int(induced.FAR) for a, b in zip(low, high)]
+
+
+def test_seeds_by_symbol():
+    rng = np.random.default_rng(4)
+    for n, symbols in ((0, 3), (1, 1), (50, 3), (3_000, 400)):
+        text = np.minimum(rng.integers(0, symbols, n), rng.integers(0, symbols, n)).astype(np.int16)
+        seeds = np.sort(rng.choice(n, n // 2, replace=False)).astype(np.int32)
+        room = induced.Room(7)
+        got = induced.by_symbol(text, seeds, induced.blocks_of(text, symbols, room), room)
+        assert got.tolist() == seeds[np.argsort(text[seeds], kind="stable")].tolist()
+
+
+def test_memory_besides_the_files_grows_as_the_root_of_the_shard():
+    """What numpy holds at once, for shards of two sizes, with files for all that is longer than 20,000 entries."""
+    import tracemalloc
+
+    rng, peaks = np.random.default_rng(5), []
+    for n in (100_000, 400_000):
+        text = rng.integers(1, 250, n).astype(np.int16)
+        text[n // 2 :] = text[: n - n // 2]
+        tracemalloc.start()
+        order, _ = induced.sort_suffixes(text, 251, 100, 20_000)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(order) == n
+    assert peaks[1] < 2.5 * peaks[0]  # blocks of symbols grow as the root
