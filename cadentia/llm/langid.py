@@ -173,13 +173,14 @@ def predict(docs: DataFrame, blocks: Iterable[tuple[list[str], np.ndarray]], buc
 
 
 def held_out(doc_id: str = "doc_id"):
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1
+    """Whether a document teaches nothing; one without an id may teach."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
 def identify(docs: DataFrame, training: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
     """docs (or their columns `keep`) plus lang_pred and score, learned from the rows of `training` (or docs) with a language that
     are not held out."""
-    blocks = models((docs if training is None else training).filter(~F.coalesce(held_out(), F.lit(False))))
+    blocks = models((docs if training is None else training).filter(~held_out()))
     return predict(docs, blocks, keep=keep)
 
 
