@@ -641,7 +641,34 @@ def reference_offsets(spark, sf_dir):
     return offsets.reference_offsets(r, r.select("session_id", F.explode(F.array(*map(F.lit, range(4)))).alias("camera_index")))
 
 
-@query(None)
+def _tree_sql() -> str:
+    """Offsets of every spanning tree of at most four cameras (edges e1, e2, e3), its residuals over all relations, and the best."""
+    rounds, last = [], "t0"
+    for k in range(3):
+        found = []
+        for c in range(1, 4):
+            ways = [f"CASE WHEN e{e}_b = {c} THEN (CASE e{e}_a WHEN 0 THEN 0 WHEN 1 THEN o1 WHEN 2 THEN o2 ELSE o3 END) + e{e}_o WHEN e{e}_a = {c} THEN (CASE e{e}_b WHEN 0 THEN 0 WHEN 1 THEN o1 WHEN 2 THEN o2 ELSE o3 END) - e{e}_o END" for e in (1, 2, 3)]
+            found.append(f"coalesce(o{c}, {', '.join(ways)}) AS o{c}")
+        rounds.append(f"t{k + 1} AS (SELECT * EXCLUDE (o1, o2, o3), {', '.join(found)} FROM {last})")
+        last = f"t{k + 1}"
+    edge = lambda e: f"e{e}.k AS k{e}, e{e}.a AS e{e}_a, e{e}.b AS e{e}_b, e{e}.o AS e{e}_o"
+    at = lambda c: f"(CASE r.{c} WHEN 0 THEN 0 WHEN 1 THEN o1 WHEN 2 THEN o2 ELSE o3 END)"
+    return f"""WITH r AS (SELECT l_orderkey AS session_id, ([0, 0, 0, 1, 1, 2, 2])[l_linenumber] AS a, ([1, 2, 3, 2, 3, 3, 3])[l_linenumber] AS b, l_quantity::DOUBLE AS o FROM lineitem),
+n AS (SELECT session_id, greatest(max(b), 0) + 1 AS size FROM r GROUP BY session_id),
+e AS (SELECT r.*, size, row_number() OVER (PARTITION BY session_id ORDER BY a, b, o) AS k FROM r JOIN n USING (session_id)),
+t0 AS (SELECT e1.session_id, e1.size, {edge(1)}, {edge(2)}, {edge(3)}, NULL::DOUBLE AS o1, NULL::DOUBLE AS o2, NULL::DOUBLE AS o3
+  FROM e e1 LEFT JOIN e e2 ON e2.session_id = e1.session_id AND e2.k > e1.k AND e1.size >= 3 LEFT JOIN e e3 ON e3.session_id = e1.session_id AND e3.k > e2.k AND e1.size = 4
+  WHERE (e1.size < 3 OR e2.k IS NOT NULL) AND (e1.size < 4 OR e3.k IS NOT NULL)),
+{", ".join(rounds)},
+g AS (SELECT t.session_id, t.size, k1, k2, k3, o1, o2, o3, round(quantile_cont(abs({at("b")} - {at("a")} - r.o), 0.5), 9) AS md, round(avg(abs({at("b")} - {at("a")} - r.o)), 9) AS mn, round(max(abs({at("b")} - {at("a")} - r.o)), 9) AS mx
+  FROM t3 t JOIN r ON r.session_id = t.session_id WHERE (size < 2 OR o1 IS NOT NULL) AND (size < 3 OR o2 IS NOT NULL) AND (size < 4 OR o3 IS NOT NULL) GROUP BY ALL),
+w AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY md, mn, mx, k1, k2, k3) AS place FROM g),
+c AS (SELECT session_id, unnest(range(size)) AS camera_index FROM n)
+SELECT c.session_id, c.camera_index, CASE c.camera_index WHEN 0 THEN CASE WHEN w.place IS NOT NULL THEN 0 END WHEN 1 THEN o1 WHEN 2 THEN o2 ELSE o3 END::DOUBLE AS offset_sec,
+  md AS median_residual, mn AS mean_residual, mx AS max_residual, w.place IS NOT NULL AS connected FROM c LEFT JOIN w ON w.session_id = c.session_id AND place = 1"""
+
+
+@query(_tree_sql())
 def reconciled_offsets(spark, sf_dir):
     return offsets.reconciled_offsets(_relations(spark, sf_dir), unconnected="null")
 
@@ -700,11 +727,16 @@ def follow_face(spark, sf_dir):
     return boxes.follow_face(_detections(spark, sf_dir), 30.0, centred=True)
 
 
-@query(None)
+@query("""WITH d AS (SELECT o_orderkey, md5(o_orderkey::VARCHAR) || md5(o_totalprice::VARCHAR) || md5(o_orderdate::VARCHAR) AS h FROM orders),
+p AS (SELECT o_orderkey, ('0x' || substr(h, 1 + 6 * i, 2))::INT AS b, ('0x' || substr(h, 3 + 6 * i, 2))::INT AS g, ('0x' || substr(h, 5 + 6 * i, 2))::INT AS r FROM d, (SELECT unnest(range(16))::INT AS i)),
+y AS (SELECT *, b * 0.114::DOUBLE + g * 0.587::DOUBLE + r * 0.299::DOUBLE AS luma FROM p),
+s AS (SELECT *, round_even((r - luma) * 0.713::DOUBLE + 128, 0) BETWEEN 133 AND 173 AND round_even((b - luma) * 0.564::DOUBLE + 128, 0) BETWEEN 77 AND 127 AS skin FROM y),
+n AS (SELECT *, count(*) FILTER (skin) OVER (PARTITION BY o_orderkey) >= 0.15 * 16 AS enough FROM s)
+SELECT o_orderkey, round(avg(r), 6) AS r, round(avg(g), 6) AS g, round(avg(b), 6) AS b FROM n WHERE skin OR NOT enough GROUP BY o_orderkey""")
 def roi_mean_rgb(spark, sf_dir):
     """Sixteen pixels from each order's digests."""
     digests = F.concat(*(F.md5(F.col(c).cast("string")) for c in ("o_orderkey", "o_totalprice", "o_orderdate")))
-    return t.table(spark, sf_dir, "orders").select("o_orderkey", boxes.roi_mean_rgb(F.unhex(digests)).alias("c")).select("o_orderkey", "c.*")
+    return rounded(t.table(spark, sf_dir, "orders").select("o_orderkey", boxes.roi_mean_rgb(F.unhex(digests)).alias("c")).select("o_orderkey", "c.*"))
 
 
 @query("WITH " + t.SIGNALS + " SELECT session_id, ord, (us - lag(us) OVER (PARTITION BY session_id ORDER BY us, ord)) / 1000 AS rr_ms FROM signals WHERE sensor_id <> 'error'")
