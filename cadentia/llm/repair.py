@@ -37,9 +37,9 @@ NAMES = {USER: "user", ASSISTANT: "assistant"}
 SOUND, TRUNCATED, DOOMED = range(3)
 
 
-def cheapest(rows: list[tuple[str, int]], starts: tuple[int, ...], end: int) -> dict[int, tuple[int, str]]:
-    """start -> (cost, edits) of the best path over all rows (role initial, fault) from that state to `end`; starts without one
-    are left out."""
+def cheapest(rows: list[tuple[str, int]], starts: tuple[int, ...], ends: tuple[int, ...]) -> dict[int, tuple[int, str, int]]:
+    """start -> (cost, edits, end) of the best path over all rows (role initial, fault) from that state to one of `ends`; starts
+    without one are left out."""
     n = len(rows)
     least = [0] * (n + 1)
     for i in range(n - 1, -1, -1):
@@ -59,14 +59,14 @@ def cheapest(rows: list[tuple[str, int]], starts: tuple[int, ...], end: int) ->
             yield "R", RENAME + more, (i + 1, WANTED[state], 0)
 
     def descend(at, room):
-        if at[0] == n and at[1] == end:
-            return ""
+        if at[0] == n and at[1] in ends:
+            return "", at[1]
         need = inf
         for edit, cost, then in edits(*at):
             if cost + proven.get(then, least[then[0]]) <= room:
                 rest = descend(then, room - cost)
                 if rest is not None:
-                    return edit + rest
+                    return edit + rest[0], rest[1]
             need = min(need, cost + proven.get(then, least[then[0]]))
         proven[at] = need
         return None
@@ -77,7 +77,7 @@ def cheapest(rows: list[tuple[str, int]], starts: tuple[int, ...], end: int) ->
         while bound <= REMOVE * n + 2 * ADD:  # all rows deleted and two put in: what can be reached costs no more
             path = descend(at, bound)
             if path is not None:
-                found[start] = (int(bound), path)
+                found[start] = (int(bound), *path)
                 break
             bound = proven[at]
     return found
@@ -110,26 +110,27 @@ def frames(rows: Iterator[tuple], columns: list[str], most: int = 5_000) -> Iter
 
 
 def ordered(conversations: DataFrame) -> DataFrame:
-    """conv_id (as text, so that a null is no float in pandas), role, text, turn, rank, block: the rows by turn (nulls first), then
+    """conv_id (as text, so that a null is no float in pandas), role, text, turn, rank, block and last (whether that is the last): the rows by turn (nulls first), then
     role, then text; null roles and texts are one space."""
     space = F.lit(" ")
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"))
     placed = in_groups(in_order(rows, ["conv_id", "turn", "role", "text"], "repair-placed"), "conv_id", "repair")
-    return placed.select(F.col("conv_id").cast("string").alias("conv_id"), "turn", "role", "text", "rank", F.expr(f"rank div {BLOCK}").alias("block"))
+    block = lambda x: F.expr(f"{x} div {BLOCK}")
+    return placed.select(F.col("conv_id").cast("string").alias("conv_id"), "turn", "role", "text", "rank", block("rank").alias("block"), (block("rank") == block("(n - 1)")).alias("last"))
 
 
 def faults(rows: DataFrame) -> DataFrame:
-    """conv_id, block, rank, turn, initial, fault (blank, duplicate, truncated or null) of ordered rows, without their texts.
+    """conv_id, block, last, rank, turn, initial, fault (blank, duplicate, truncated or null) of ordered rows, without their texts.
 
     The first row of each (conversation, role, text) is found by a partial aggregation over digests, and matched by its rank, so
     a text that fills a conversation meets in no task."""
-    last = F.substring(F.regexp_replace("text", r"[\x20\x09-\x0D]+\z", ""), -1, 1)
+    sign = F.substring(F.regexp_replace("text", r"[\x20\x09-\x0D]+\z", ""), -1, 1)
     said = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256)
-    light = rows.select("conv_id", "block", "rank", "turn", F.substring("role", 1, 1).alias("initial"), last.alias("last"), said.alias("said"))
+    light = rows.select("conv_id", "block", "last", "rank", "turn", F.substring("role", 1, 1).alias("initial"), sign.alias("sign"), said.alias("said"))
     first = light.groupBy("conv_id", "said").agg(F.min("rank").alias("rank")).select(F.col("conv_id").alias("first_conv"), F.col("rank").alias("first_rank"))
     both = light.join(first, F.col("conv_id").eqNullSafe(F.col("first_conv")) & (F.col("rank") == F.col("first_rank")), "left")
-    fault = F.when(F.col("last") == "", "blank").when(F.col("first_rank").isNull(), "duplicate").when(~F.col("last").isin(".", "!", "?"), "truncated")
-    return both.select("conv_id", "block", "rank", "turn", "initial", fault.alias("fault"))
+    fault = F.when(F.col("sign") == "", "blank").when(F.col("first_rank").isNull(), "duplicate").when(~F.col("sign").isin(".", "!", "?"), "truncated")
+    return both.select("conv_id", "block", "last", "rank", "turn", "initial", fault.alias("fault"))
 
 
 def plan(faulty: DataFrame) -> DataFrame:
@@ -139,13 +140,14 @@ def plan(faulty: DataFrame) -> DataFrame:
     def search(batches):
         def results():
             for (conv, block), rows in ahead(batches, ["conv_id", "block"]):
-                turns = [(r[1], DOOMED if r[2] in ("blank", "duplicate") else TRUNCATED if r[2] else SOUND) for r in rows]
-                initials = [r[1] for r in rows]
+                turns = [(r[2], DOOMED if r[3] in ("blank", "duplicate") else TRUNCATED if r[3] else SOUND) for r in rows]
+                initials = [r[2] for r in rows]
                 illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
-                # in a conversation's only block, one search is enough to know; else every pair of states
+                # The first block begins with nothing kept, and after the last any complete state will do; else every pair of states.
                 starts = (NOTHING,) if block == 0 else (NOTHING, SYSTEM, USER, ASSISTANT)
-                ways = [(s, end, *way) for end in range(4) for s, way in cheapest(turns, starts, end).items()]
-                yield conv, block, illegal, initials[0], initials[-1], [{"start": a, "end": b, "cost": c, "audit": d} for a, b, c, d in ways]
+                goals = [(NOTHING, ASSISTANT)] if rows[0][0] else [(end,) for end in range(4)]
+                ways = [(s, *way) for ends in goals for s, way in cheapest(turns, starts, ends).items()]
+                yield conv, block, illegal, initials[0], initials[-1], [{"start": a, "end": d, "cost": b, "audit": c} for a, b, c, d in ways]
 
         return frames(results(), ["conv_id", "block", "illegal", "first", "last", "ways"])
 
@@ -188,7 +190,7 @@ def plan(faulty: DataFrame) -> DataFrame:
 
     ways = "conv_id string, block long, illegal long, first string, last string, ways array<struct<start:int,end:int,cost:long,audit:string>>"
     key = ["conv_id", "block"]
-    searched = faulty.select(*key, "rank", "initial", "fault").repartition(*key).sortWithinPartitions(*key, "rank").mapInPandas(search, ways)
+    searched = faulty.select(*key, "last", "rank", "initial", "fault").repartition(*key).sortWithinPartitions(*key, "rank").mapInPandas(search, ways)
     composed = written(searched, "repair-blocks").repartition("conv_id").sortWithinPartitions(*key).mapInPandas(compose, "conv_id string, block long, state int, audit string, cost long, illegal long")
     return written(composed, "repair-plan")
 
