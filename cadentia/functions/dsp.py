@@ -90,11 +90,35 @@ class _Frames(pd.api.indexers.BaseIndexer):
         return self.low, self.high
 
 
+def _mixed(a: np.ndarray, b: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """a (1 - share) + b share, the first product added without being rounded."""
+    c, p = 1 - share, b * share
+    halves = []
+    for x in (a, c):
+        big = 134_217_729.0 * x
+        high = big - (big - x)
+        halves.append((high, x - high))
+    (a_high, a_low), (c_high, c_low) = halves
+    product = a * c
+    lost = ((a_high * c_high - product) + a_high * c_low + a_low * c_high) + a_low * c_low
+    total = product + p
+    back = total - product
+    return total + (((product - (total - back)) + (p - back)) + lost)
+
+
 def sliding_quantile(x: np.ndarray, low: np.ndarray, high: np.ndarray, q: float) -> np.ndarray:
     """Quantile of x[low[k] : high[k]] for each k, between ranks by interpolation; low and high ascend.  Values enter and leave an
-    ordered list, so a step costs the logarithm of the frame."""
+    ordered list, so a step costs the logarithm of the frame.
+
+    Whether a value reaches a share of the quantile is often a tie, so it is interpolated in the way of DuckDB's quantile_cont, to the
+    last bit; x is finite or NaN."""
     frames = _Frames(low=np.asarray(low, np.int64), high=np.asarray(high, np.int64))
-    return pd.Series(x).rolling(frames, min_periods=1).quantile(q).to_numpy()
+    rolling = pd.Series(x).rolling(frames, min_periods=1)
+    below, above = (rolling.quantile(q, interpolation=way).to_numpy() for way in ("lower", "higher"))
+    known = np.append(0, np.cumsum(~np.isnan(x)))
+    rank = (known[frames.high] - known[frames.low] - 1) * q
+    share = rank - np.floor(rank)
+    return np.where(share == 0, below, _mixed(below, above, share))
 
 
 def standardise(x: np.ndarray) -> np.ndarray:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadentia.functions import dsp
+from cadentia.operators.dealing import in_groups
 from cadentia.operators.joins import asof_backward
 from cadentia.operators.running import along, quantile, with_halo
 
@@ -36,18 +37,21 @@ def strong_peaks(peaks: DataFrame, share: float = 0.25, half_us: int = 5_000_000
     """Peaks (session_id, us, prominence, ...) plus local, the 90th percentile of the prominences over (t - half, t + half], where their own is
     `share` of it at least.  A task orders a block of time and the peaks near it; the percentile moves with the frame, at a
     logarithm of its size a step."""
-    dealt = with_halo(peaks, F.col("us"), block_us, half_us, half_us)
+    near = with_halo(peaks, F.col("us"), block_us, half_us, half_us)
+    names = peaks.columns
     out = T.StructType([*peaks.schema, T.StructField("local", T.DoubleType())])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("us", kind="stable")
-        us = rows["us"].to_numpy()
-        low, high = np.searchsorted(us, us - half_us, "right"), np.searchsorted(us, us + half_us, "right")
-        local = dsp.sliding_quantile(rows["prominence"].to_numpy(float), low, high, 0.9)
-        keep = rows["__own"].to_numpy() & (rows["prominence"].to_numpy(float) >= share * local)
-        return rows.assign(local=local)[keep][[f.name for f in out]]
-
-    return dealt.groupBy("session_id", "__block").applyInPandas(run, out)
+    def run(rows: pa.Table, begins: np.ndarray) -> pa.Table:
+        us, height = rows["us"].to_numpy(), rows["prominence"].cast("double").to_numpy()
+        low, high = np.empty(len(us), np.int64), np.empty(len(us), np.int64)
+        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(us)], strict=True):
+            own = us[a:b]
+            low[a:b], high[a:b] = a + np.searchsorted(own, own - half_us, "right"), a + np.searchsorted(own, own + half_us, "right")
+        local = dsp.sliding_quantile(height, low, high, 0.9)
+        keep = np.flatnonzero(rows["__own"].to_numpy() & (height >= share * local))
+        return rows.select(names).take(keep).append_column("local", pa.array(local[keep]))
+
+    return in_groups(near, ["session_id", "__block"], ["us"], run, out)
 
 
 def hrv(ibi: DataFrame, window: int = 300, least: int = 30, block: int = 50_000) -> DataFrame:

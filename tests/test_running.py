@@ -3,13 +3,19 @@
 import random
 import time
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadentia.functions import dsp
 from cadentia.operators import beats, intervals, joins, peaks, rates, running, sync, waveforms
+from cadentia.operators.dealing import in_groups
+
+#: Number of values, one of 0.7 times their 90th percentile, and the others.
+TIES = [(4, 448, 300, 507, 697), (5, 504, 300, 300, 510, 860), (7, 392, *[300] * 4, 504, 644), (9, 392, *[300] * 6, 507, 772)]
 
 
 def rows(df):
@@ -244,3 +250,31 @@ def test_pulses_of_clips_against_whole_arrays(spark, method):
         own = [r.value for r in sorted((r for r in got if r.session_id == s), key=lambda r: r.frame_idx)]
         assert own == pytest.approx(want.tolist(), abs=1e-9) and abs(dsp.dominant_rate(np.array(own), fs) - 72) < 1.5
     assert all(r.value == 0 for r in got if r.session_id == 3)
+
+
+def test_strong_peaks_at_a_tie_as_in_sql(spark):
+    """A peak of 0.7 times a local height that is no double: it counts as with DuckDB's quantile."""
+    data = [(n, 10 * k, float(v)) for n, *values in TIES for k, v in enumerate(values)]
+    df = spark.createDataFrame(data, "session_id long, us long, prominence double")
+    got = sorted((r.session_id, r.us, r.prominence, r.local) for r in beats.strong_peaks(df, 0.7, 1_000).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE peaks (session_id BIGINT, us BIGINT, prominence DOUBLE)")
+    con.executemany("INSERT INTO peaks VALUES (?, ?, ?)", data)
+    want = con.execute("""SELECT * FROM (SELECT *, quantile_cont(prominence, 0.9) OVER (PARTITION BY session_id ORDER BY us RANGE BETWEEN 999 PRECEDING AND 1000 FOLLOWING) AS local FROM peaks)
+        WHERE prominence >= 0.7 * local ORDER BY session_id, us""").fetchall()
+    assert got == want
+
+
+def test_groups_come_whole(spark):
+    data = [(None if k == 2 else float("nan") if k == 5 else float(k), j) for k in range(9) for j in range(1 + 40 * (k == 3))]
+    df = spark.createDataFrame(data, "key double, j long").withColumn("two", F.lit("x"))
+
+    def run(rows, begins):
+        ends = np.append(begins[1:], rows.num_rows)
+        assert all(rows["j"].to_pylist()[a:b] == list(range(b - a)) for a, b in zip(begins, ends))
+        return pa.table({"n": ends - begins, "groups": np.full(len(begins), len(begins))})
+
+    for most in (1, 3, 1_000):
+        got = in_groups(df, ["key", "two"], ["j"], run, "n long, groups long", most).collect()
+        assert sorted(r.n for r in got) == [1] * 8 + [41]
+    assert in_groups(df.limit(0), ["key", "two"], ["j"], run, "n long, groups long").count() == 0
