@@ -6,13 +6,16 @@ from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadentia.operators.dealing import dealt
+from cadentia.operators.dealing import dealt, in_groups
 from cadentia.operators.running import with_halo
 
 HOP_SEC = 512 / 16_000
+#: Products of two envelopes' values that are added one by one; more go by transforms.
+SHORT = 1_024
 #: Spanning trees whose residuals are taken at once.
 BLOCK_TREES = 4_096
 
@@ -48,36 +51,60 @@ def envelope_offset_rows(envelopes: DataFrame, pairs: DataFrame, max_offset_sec:
     pairs (session_id, left, right, left_start_sec, right_start_sec).
 
     Overlap-save: the right envelope is cut into blocks, and each meets the part of the left one that it can overlap within the
-    greatest lag; the blocks' sums over products are added up by lag.  No array is longer than a block and two greatest lags."""
+    greatest lag; the blocks' sums over products are added up by lag.  No array is longer than a block and two greatest lags, and
+    only lags at which two values of a block meet have a sum, so short envelopes have few."""
     most = int(max_offset_sec / hop_sec)
     named = pairs.select("session_id", "left", "right", F.coalesce("left_start_sec", F.lit(0.0)).alias("a"), F.coalesce("right_start_sec", F.lit(0.0)).alias("b"))
     side = lambda c: envelopes.select("session_id", F.col("camera").alias(c), F.col("hop").cast("long").alias("hop"), F.col("value").cast("double").alias("value"))
-    target = with_halo(side("right"), F.col("hop"), block, 0, 0).join(named.select("session_id", "left", "right"), ["session_id", "right"])
-    reference = with_halo(side("left"), F.col("hop"), block, most, most).join(named.select("session_id", "left", "right"), ["session_id", "left"])
     keys = ["session_id", "left", "right", "__block"]
-
-    def run(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        if own.empty or other.empty:
-            return pd.DataFrame({"session_id": [], "left": [], "right": [], "lag": [], "product": []})
-        first = int(own["__block"].iloc[0]) * block
-        y, x = np.zeros(block), np.zeros(block + 2 * most)
-        y[own["hop"].to_numpy() - first] = own["value"].fillna(0.0)
-        x[other["hop"].to_numpy() - first + most] = other["value"].fillna(0.0)
-        size = 1 << (len(x) + len(y) - 1).bit_length()
-        sums = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(y, size)), size)[: 2 * most + 1]
-        whole = {k: np.repeat(own[k].iloc[0], 2 * most + 1) for k in keys[:3]}
-        return pd.DataFrame({**whole, "lag": np.arange(-most, most + 1), "product": sums})
-
-    parts = dealt(target.select(*keys, "hop", "value"), *keys).groupBy(*keys).cogroup(dealt(reference.select(*(F.col(c).alias(c) for c in (*keys, "hop", "value"))), *keys).groupBy(*keys))
-    added = parts.applyInPandas(run, "session_id long, left long, right long, lag long, product double").groupBy("session_id", "left", "right", "lag").agg(F.sum("product").alias("product"))
-    sizes = envelopes.groupBy("session_id", "camera").agg(F.count("*").alias("n"))
-    size = lambda c: sizes.select("session_id", F.col("camera").alias(c), F.col("n").alias(f"n_{c}"))
-    known = added.join(size("left"), ["session_id", "left"]).join(size("right"), ["session_id", "right"]).filter((F.col("lag") > -F.col("n_right")) & (F.col("lag") < F.col("n_left")))
-    best = known.groupBy("session_id", "left", "right").agg(F.max(F.struct(F.round("product", 9).alias("p"), (-F.col("lag")).alias("back"))).alias("best"))
+    target = with_halo(side("right"), F.col("hop"), block, 0, 0).join(named.select("session_id", "left", "right"), ["session_id", "right"])
+    reference = with_halo(side("left"), F.col("hop"), block, most, most).filter("__block >= 0").join(named.select("session_id", "left", "right"), ["session_id", "left"])
+    both = target.select(*keys, F.lit(0).alias("side"), "hop", "value").unionByName(reference.select(*keys, F.lit(1).alias("side"), "hop", "value"))
+
+    def run(rows: pa.Table, begins: np.ndarray) -> pa.Table:
+        turn, hop, value = (rows[c].to_numpy() for c in ("side", "hop", "value"))
+        value = np.where(np.isnan(value), 0.0, value)
+        ends = np.append(begins[1:], len(hop))
+        cut = begins + np.add.reduceat(turn == 0, begins)  # where a group's left side begins
+        met = (cut > begins) & (cut < ends)
+        begins, cut, ends = begins[met], cut[met], ends[met]
+        least = np.maximum(hop[cut] - hop[cut - 1], -most)
+        many = np.maximum(np.minimum(hop[ends - 1] - hop[begins], most) + 1 - least, 0)
+        at = np.cumsum(many) - many
+        sums = np.zeros(int(many.sum()))
+        short = (cut - begins) * (ends - cut) <= SHORT
+        a, b = _crossed(begins[short], cut[short], ends[short])
+        lag, own = hop[b] - hop[a], np.repeat(np.flatnonzero(short), ((cut - begins) * (ends - cut))[short])
+        within = np.abs(lag) <= most
+        np.add.at(sums, (at[own] + lag - least[own])[within], (value[a] * value[b])[within])
+        for k in np.flatnonzero(~short).tolist():
+            y, x = np.zeros(hop[cut[k] - 1] - hop[begins[k]] + 1), np.zeros(hop[ends[k] - 1] - hop[cut[k]] + 1)
+            y[hop[begins[k] : cut[k]] - hop[begins[k]]] = value[begins[k] : cut[k]]
+            x[hop[cut[k] : ends[k]] - hop[cut[k]]] = value[cut[k] : ends[k]]
+            size = 1 << (len(x) + len(y) - 1).bit_length()
+            product = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(y, size)), size)
+            lags = np.arange(least[k], least[k] + many[k])
+            sums[at[k] : at[k] + many[k]] = product[lags - (hop[cut[k]] - hop[begins[k]])]
+        whole = {c: rows[c].take(np.repeat(begins, many)) for c in keys[:3]}
+        return pa.table({**whole, "lag": np.arange(len(sums)) - np.repeat(at - least, many), "product": sums})
+
+    kinds = dict(both.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keys[:3]) + ", lag long, product double"
+    added = in_groups(both, keys, ["side", "hop"], run, schema).groupBy("session_id", "left", "right", "lag").agg(F.sum("product").alias("product"))
+    best = added.groupBy("session_id", "left", "right").agg(F.max(F.struct(F.round("product", 9).alias("p"), (-F.col("lag")).alias("back"))).alias("best"))
     lag = F.coalesce(-F.col("best.back"), F.lit(0))
     return named.join(best, ["session_id", "left", "right"], "left").select("session_id", "left", "right", (lag * hop_sec - (F.col("b") - F.col("a"))).alias("offset_sec"))
 
 
+def _crossed(begins: np.ndarray, cut: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each place of begins..cut with each of cut..ends, group by group."""
+    one, two = cut - begins, ends - cut
+    a = np.repeat(np.repeat(begins - np.cumsum(one) + one, one) + np.arange(one.sum()), np.repeat(two, one))
+    turn = np.repeat(two, one)
+    b = np.repeat(np.repeat(cut, one), turn) + np.arange(turn.sum()) - np.repeat(np.cumsum(turn) - turn, turn)
+    return a, b
+
+
 def _solve(edges: list[tuple[int, int, float]], size: int) -> list[float] | None:
     """Each camera's offset from camera 0 along the edges; None if they do not reach all of them."""
     known, open_ = {0: 0.0}, list(edges)

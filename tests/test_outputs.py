@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +147,29 @@ def test_envelopes_in_blocks_against_whole_arrays(spark, block):
     got = offsets.envelope_offset_rows(frames, spark.createDataFrame(pairs, kind), 15.0, 0.1, block).collect()
     assert {r.session_id: pytest.approx(r.offset_sec) for r in got} == want
     assert want[1] == pytest.approx(3.7 + 0.5)
+
+
+def test_short_envelopes_have_few_sums(spark):
+    """Only lags at which values meet are shuffled, not all within the greatest lag; without an overlap the lag is 0."""
+    rng = random.Random(3)
+    rows = [(s, c, k, rng.random()) for s in range(200) for c in (0, 1, 2) for k in range(1 + (s + c) % 4)]
+    kind = "session_id long, left long, right long, left_start_sec double, right_start_sec double"
+    pairs = spark.createDataFrame([(s, c, c + 1, 0.0, 0.0) for s in range(200) for c in (0, 1)], kind)
+    frames = spark.createDataFrame(rows, "session_id long, camera long, hop long, value double")
+    arrays = {}
+    for s, c, _, v in rows:
+        arrays.setdefault((s, c), []).append(v)
+    made = []
+    real = offsets.in_groups
+
+    def counted(*args):
+        made.append(real(*args))
+        return made[-1]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(offsets, "in_groups", counted)
+        got = offsets.envelope_offset_rows(frames, pairs, 60.0, 0.032, 4_096).collect()
+    for r in got:
+        a, b = np.array(arrays[r.session_id, r.left]), np.array(arrays[r.session_id, r.right])
+        assert r.offset_sec == pytest.approx(0.032 * offsets.envelope_lag(a, b, 1_875))
+    assert len(got) == 400 and made[0].count() == sum(len(arrays[s, c]) + len(arrays[s, c + 1]) - 1 for s in range(200) for c in (0, 1))
