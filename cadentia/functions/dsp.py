@@ -85,7 +85,7 @@ def find_peaks(x: np.ndarray, distance: int = 1, prominence: float = 0.0) -> tup
     return choose_peaks(*turning_points(x), distance, prominence)
 
 
-class _Frames(pd.api.indexers.BaseIndexer):
+class Frames(pd.api.indexers.BaseIndexer):
     def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
         return self.low, self.high
 
@@ -112,7 +112,7 @@ def sliding_quantile(x: np.ndarray, low: np.ndarray, high: np.ndarray, q: float)
 
     Whether a value reaches a share of the quantile is often a tie, so it is interpolated in the way of DuckDB's quantile_cont, to the
     last bit; x is finite or NaN."""
-    frames = _Frames(low=np.asarray(low, np.int64), high=np.asarray(high, np.int64))
+    frames = Frames(low=np.asarray(low, np.int64), high=np.asarray(high, np.int64))
     rolling = pd.Series(x).rolling(frames, min_periods=1)
     below, above = (rolling.quantile(q, interpolation=way).to_numpy() for way in ("lower", "higher"))
     known = np.append(0, np.cumsum(~np.isnan(x)))

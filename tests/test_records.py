@@ -138,3 +138,62 @@ def test_camera_alone_and_trees_in_blocks(spark, monkeypatch):
 def test_boxes_without_a_frame_go(spark):
     rows = spark.createDataFrame([(1, None, 0.0, 1.0, 1.0, 5.0, 5.0, 0.5), (1, 2, 0.1, 1.0, 1.0, 5.0, 5.0, 0.5)], BOXES)
     assert [r.frame_idx for r in boxes.track_boxes(rows).collect()] == [r.frame_idx for r in boxes.follow_face(rows, 30.0).collect()] == [2]
+
+
+def clips_of_all_kinds(spark):
+    """120 clips of one to 60 frames: frames of many boxes and of none, long gaps, ties and times that are unknown."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for clip in range(120):
+        for frame in np.unique(rng.integers(0, 90, 1 + clip // 2)).tolist():
+            t = None if rng.random() < 0.01 else frame / 30
+            rows += [(clip, frame, t, None, None, None, None, None)] if rng.random() < 0.2 else []
+            for _ in range(12 if rng.random() < 0.03 else rng.integers(0, 4)):
+                x, y, w, h = (float(v) for v in rng.integers([0, 0, 8, 8], [60, 40, 30, 30]))
+                rows.append((clip, frame, t, x, y, w, None if rng.random() < 0.02 else h, float(rng.integers(0, 5)) / 4))
+    return spark.createDataFrame(rows, BOXES), rows
+
+
+def by_clip(rows):
+    clips = {}
+    for r in sorted(rows, key=lambda r: (r[0], r[1], *((v is None, v or 0) for v in (None if r[7] is None else -r[7], *r[3:7], r[2])))):
+        clips.setdefault(r[0], {}).setdefault(r[1], []).append(r)
+    return clips
+
+
+def test_tracks_of_many_clips_as_one_by_one(spark):
+    df, rows = clips_of_all_kinds(spark)
+    want = []
+    for clip, frames in by_clip(rows).items():
+        tracks, made = [], 0
+        for frame, found in frames.items():
+            t = found[0][2] if found[0][2] is not None else float("nan")
+            taken = []
+            for r in found:
+                if None in r[3:7]:
+                    continue
+                new = r[3:7]
+                middle = [new[0] + new[2] / 2, new[1] + new[3] / 2]
+                best, rank = None, 0
+                for k in tracks:
+                    off = [middle[j] - (k["box"][j] + k["box"][j + 2] / 2) for j in (0, 1)]
+                    share = iou(new, k["box"])
+                    share = 0.01 if share <= 0 and np.hypot(*off) < 0.75 * max(*k["box"][2:], *new[2:]) else share
+                    if k["id"] not in taken and share > rank:
+                        best, rank, moved = k, share, off
+                if best is None:
+                    best = {"id": made, "speed": [0.0, 0.0]}
+                    tracks, made = [*tracks, best], made + 1
+                else:
+                    past = max(1e-3, t - best["seen"])
+                    best["speed"] = [(v + m / past) / 2 for v, m in zip(best["speed"], moved)]
+                best["box"], best["seen"], taken = new, t, [*taken, best["id"]]
+            tracks = [k for k in tracks if t - k["seen"] <= 0.6]
+            for k in tracks:
+                age = max(t - k["seen"], 0)
+                grown = [v * (1 + 0.5 * age / 0.6) for v in k["box"][2:]]
+                want.append((clip, frame, k["id"], *(k["box"][j] + k["box"][j + 2] / 2 + k["speed"][j] * age - grown[j] / 2 for j in (0, 1)), *grown, age))
+    got = boxes.track_boxes(df)
+    assert "InPandas" not in got._jdf.queryExecution().optimizedPlan().toString()  # no call for each clip
+    got, want = np.array(sorted(map(tuple, got.collect()))), np.array(sorted(want))
+    assert got.shape == want.shape and np.array_equal(got[:, :3], want[:, :3]) and np.allclose(got, want)
