@@ -197,3 +197,18 @@ def test_tracks_of_many_clips_as_one_by_one(spark):
     assert "InPandas" not in got._jdf.queryExecution().optimizedPlan().toString()  # no call for each clip
     got, want = np.array(sorted(map(tuple, got.collect()))), np.array(sorted(want))
     assert got.shape == want.shape and np.array_equal(got[:, :3], want[:, :3]) and np.allclose(got, want)
+
+
+def test_suppression_of_many_frames_as_one_by_one(spark):
+    df, rows = clips_of_all_kinds(spark)
+    want = []
+    for clip, frames in by_clip(rows).items():
+        for frame, found in frames.items():
+            kept = []
+            for r in found:
+                if None not in r[3:] and all(iou(r[3:7], k[3:7]) <= 0.3 for k in kept):
+                    kept.append(r)
+            want += [(clip, frame, *r[3:]) for r in kept]
+    got = boxes.suppress(df)
+    assert "InPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
