@@ -212,3 +212,33 @@ def test_suppression_of_many_frames_as_one_by_one(spark):
     got = boxes.suppress(df)
     assert "InPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("centred", [False, True])
+def test_faces_of_many_clips_as_one_by_one(spark, centred):
+    df, rows = clips_of_all_kinds(spark)
+    want = []
+    for clip, frames in by_clip(rows).items():
+        face, at, path = None, [], []
+        for frame, found in frames.items():
+            found = sorted(r[3:7] for r in found if None not in r[3:7])
+            if found and (face is None or frame % 5 == 0):
+                share = [iou(face, b) if face else 0 for b in found]
+                best = found[int(np.argmax(share))] if max(share) > 0.1 else max(found, key=lambda b: b[2] * b[3])
+                face = best if centred or face is None else tuple(0.65 * a + 0.35 * b for a, b in zip(face, best))
+                at.append((frame, face))
+            path.append(face)
+        if centred and at:
+            each = np.arange(min(frames), max(frames) + 1)
+            x, y, w, h = (np.interp(each, [f for f, _ in at], [b[k] + (b[k + 2] / 2 if k < 2 else 0) for _, b in at]) for k in range(4))
+            near = lambda v, k, f: np.array([f(v[max(j - k, 0) : j + k + 1]) for j in range(len(v))])
+            w, h = near(w, 7, np.median), near(h, 7, np.median)
+            smooth = np.stack([near(x, 1, np.mean) - w / 2, near(y, 1, np.mean) - h / 2, w, h], 1)
+            path = [p and tuple(smooth[f - each[0]]) for f, p in zip(frames, path)]
+        for frame, p in zip(frames, path):
+            seen = [f for f, _ in at if f <= frame]
+            want.append((clip, frame, *(p or (np.nan,) * 4), bool(seen) and frame - seen[-1] < 15))
+    got = boxes.follow_face(df, 30.0, centred=centred, hold_sec=0.5)
+    assert "InPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+    got = np.array(sorted(tuple(np.nan if v is None else v for v in r) for r in got.collect()), float)
+    assert np.allclose(got, np.array(sorted(want), float), equal_nan=True)
