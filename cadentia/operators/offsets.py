@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations, islice
 
 import numpy as np
@@ -10,14 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadentia.operators.dealing import dealt, in_groups
+from cadentia.operators.dealing import in_groups
 from cadentia.operators.running import with_halo
 
 HOP_SEC = 512 / 16_000
 #: Products of two envelopes' values that are added one by one; more go by transforms.
 SHORT = 1_024
-#: Spanning trees whose residuals are taken at once.
+#: Spanning trees whose residuals are taken at once, of all sessions that go side by side, and how many sessions do.
 BLOCK_TREES = 4_096
+BLOCK_SESSIONS = 512
 
 
 def envelope_lag(reference: np.ndarray, target: np.ndarray, most: int) -> int:
@@ -105,24 +107,6 @@ def _crossed(begins: np.ndarray, cut: np.ndarray, ends: np.ndarray) -> tuple[np.
     return a, b
 
 
-def _solve(edges: list[tuple[int, int, float]], size: int) -> list[float] | None:
-    """Each camera's offset from camera 0 along the edges; None if they do not reach all of them."""
-    known, open_ = {0: 0.0}, list(edges)
-    while open_:
-        rest = []
-        for a, b, off in open_:
-            if a in known:
-                known.setdefault(b, known[a] + off)
-            elif b in known:
-                known[a] = known[b] - off
-            else:
-                rest.append((a, b, off))
-        if len(rest) == len(open_):
-            break
-        open_ = rest
-    return [known[k] for k in range(size)] if len(known) == size else None
-
-
 def reference_offsets(relations: DataFrame, cameras: DataFrame) -> DataFrame:
     """session_id, camera_index, offset_sec: what relates each camera with camera 0; null where nothing does."""
     direct = relations.filter("left = 0").groupBy("session_id", F.col("right").alias("camera_index")).agg(F.min("offset_sec").alias("offset_sec"))
@@ -130,24 +114,69 @@ def reference_offsets(relations: DataFrame, cameras: DataFrame) -> DataFrame:
     return rows.select("session_id", "camera_index", F.when(F.col("camera_index") == 0, 0.0).otherwise(F.col("offset_sec")).alias("offset_sec"))
 
 
+def _trees(left: tuple[int, ...], right: tuple[int, ...], size: int) -> Iterator[tuple[list[int], list[tuple[int, int, int]]]]:
+    """Spanning trees of relations: their places, and the steps (known camera, new camera, place; negative from right to left, as ~place)
+    that lead from camera 0 to all others."""
+    for tree in combinations(range(len(left)), size - 1):
+        known, open_, steps = {0}, list(tree), []
+        while open_:
+            rest = []
+            for e in open_:
+                a, b = left[e], right[e]
+                if a in known:
+                    if b not in known:
+                        steps.append((a, b, e))
+                        known.add(b)
+                elif b in known:
+                    steps.append((b, a, ~e))
+                    known.add(a)
+                else:
+                    rest.append(e)
+            if len(rest) == len(open_):
+                break
+            open_ = rest
+        if known == set(range(size)):
+            yield list(tree), steps
+
+
+def _best_trees(left: tuple[int, ...], right: tuple[int, ...], off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Residuals (median, mean, largest; n x 3) and offsets (n x size) of the spanning tree with the least, the first of equal ones, for n
+    sessions with the same relations, ordered by left, right and off (n x relations); None if there is no tree.  A camera
+    alone, without relations, is its own tree and has no residuals."""
+    n = len(off)
+    if not len(left):
+        return (np.full((n, 3), np.nan), np.zeros((n, 1))) if size == 1 else None
+    found, best = _trees(left, right, size), None
+    while block := list(islice(found, max(1, BLOCK_TREES // n))):
+        at = np.zeros((n, len(block), size))
+        for k, (_, steps) in enumerate(block):
+            for a, b, e in steps:
+                at[:, k, b] = at[:, k, a] + off[:, e] if e >= 0 else at[:, k, a] - off[:, ~e]
+        residual = np.abs(at[:, :, list(right)] - at[:, :, list(left)] - off[:, None])
+        scores = np.stack([np.median(residual, 2), residual.mean(2), residual.max(2)], 2).round(9)
+        some = np.ones(scores.shape[:2], bool)
+        for c in range(3):
+            least = np.where(some, scores[:, :, c], np.inf).min(1)
+            some &= scores[:, :, c] == least[:, None]
+        k = some.argmax(1)
+        own = scores[np.arange(n), k], at[np.arange(n), k]
+        if best is None:
+            best = own
+        else:
+            less = np.zeros(n, bool)
+            same = np.ones(n, bool)
+            for c in range(3):
+                less |= same & (own[0][:, c] < best[0][:, c])
+                same &= own[0][:, c] == best[0][:, c]
+            best = np.where(less[:, None], own[0], best[0]), np.where(less[:, None], own[1], best[1])
+    return best
+
+
 def _best_tree(left: np.ndarray, right: np.ndarray, off: np.ndarray, size: int) -> tuple[tuple[float, ...], list[float]] | None:
-    """Residuals (median, mean, largest) and offsets of the spanning tree with the least, the first of equal ones; None if
-    there is no tree.  A camera alone, without relations, is its own tree and has no residuals."""
-    if not len(off):
-        return ((np.nan,) * 3, [0.0]) if size == 1 else None
+    """As _best_trees, for one session, whose relations come in any order."""
     order = np.lexsort((off, right, left))
-    left, right, off = left[order].astype(int), right[order].astype(int), off[order]
-    edges = list(zip(left.tolist(), right.tolist(), off.tolist(), strict=True))
-    solved = (_solve(list(tree), size) for tree in combinations(edges, size - 1))
-    found, best = (offsets for offsets in solved if offsets is not None), None
-    while block := list(islice(found, BLOCK_TREES)):
-        at = np.array(block)
-        residual = np.abs(at[:, right] - at[:, left] - off)
-        scores = np.column_stack([np.median(residual, 1), residual.mean(1), residual.max(1)]).round(9)
-        k = np.lexsort(scores.T[::-1])[0]
-        if best is None or tuple(scores[k]) < best[0]:
-            best = tuple(scores[k]), block[k]
-    return best
+    best = _best_trees(*(tuple(np.asarray(c)[order].astype(int).tolist()) for c in (left, right)), np.asarray(off, float)[order][None], size)
+    return best and (tuple(best[0][0].tolist()), best[1][0].tolist())
 
 
 def reconciled_offsets(relations: DataFrame, unconnected: str = "raise") -> DataFrame:
@@ -157,25 +186,37 @@ def reconciled_offsets(relations: DataFrame, unconnected: str = "raise") -> Data
     then mean, then largest).  A session whose relations do not connect its cameras fails the job or, if `unconnected`
     is "null", has a row per camera with nulls and connected = false; cameras are then counted from relations without an
     offset too.  The trees of a session are tried one by one, so this is for the handful of cameras that one session has;
-    a session's relations meet in one row."""
+    sessions with the same relations are tried side by side."""
     if unconnected not in ("raise", "null"):
         raise ValueError(f"unconnected: {unconnected}")
 
-    def run(batches):
-        for sessions in batches:
-            parts = []
-            for session, *own in zip(*(sessions[c] for c in ("session_id", "left", "right", "offset_sec")), strict=True):
-                left, right, off = (np.asarray(c, float) for c in own)
-                size = 1 + int(np.nanmax([0, *left, *right]))
-                whole = ~(np.isnan(left) | np.isnan(right) | np.isnan(off))
-                best = _best_tree(left[whole], right[whole], off[whole], size)
+    def run(rows: pa.Table, begins: np.ndarray) -> pa.Table:
+        left, right, off = (rows[c].cast("double").to_numpy() for c in ("left", "right", "offset_sec"))
+        whole = ~(np.isnan(left) | np.isnan(right) | np.isnan(off))
+        size = 1 + np.maximum.reduceat(np.fmax(np.fmax(left, right), 0), begins).astype(np.int64)
+        many = np.add.reduceat(whole.astype(np.int64), begins)
+        left, right, off = left[whole].astype(np.int64), right[whole].astype(np.int64), off[whole]
+        at = np.cumsum(many) - many
+        sessions = rows["session_id"].take(begins).to_numpy(zero_copy_only=False)
+        # Sessions with as many cameras and the same relations, which come in order.
+        shapes: dict[tuple[int, bytes], list[int]] = {}
+        edges = np.stack([left, right], 1)
+        for k, (a, n, cameras) in enumerate(zip(at.tolist(), many.tolist(), size.tolist(), strict=True)):
+            shapes.setdefault((cameras, edges[a : a + n].tobytes()), []).append(k)
+        parts = []
+        for (cameras, _), own in shapes.items():
+            first, n = at[own[0]], many[own[0]]
+            shape = tuple(left[first : first + n].tolist()), tuple(right[first : first + n].tolist())
+            for some in np.array_split(own, -(-len(own) // BLOCK_SESSIONS)):
+                best = _best_trees(*shape, off[at[some][:, None] + np.arange(n)], cameras)
                 if best is None and unconnected == "raise":
-                    raise ValueError(f"session {session}: relations do not connect its cameras")
-                residuals, found = best or ((np.nan,) * 3, [np.nan] * size)
-                parts += [(session, k, offset, *residuals, best is not None) for k, offset in enumerate(found)]
-            yield pd.DataFrame(parts, columns=["session_id", "camera_index", "offset_sec", "median_residual", "mean_residual", "max_residual", "connected"])
+                    raise ValueError(f"session {sessions[some[0]]}: relations do not connect its cameras")
+                residuals, found = best or (np.full((len(some), 3), np.nan), np.full((len(some), cameras), np.nan))
+                each = np.repeat(np.arange(len(some)), cameras)
+                parts.append((sessions[some][each], np.tile(np.arange(cameras), len(some)), found.reshape(-1), *residuals[each].T, np.full(len(each), best is not None)))
+        names = ["session_id", "camera_index", "offset_sec", "median_residual", "mean_residual", "max_residual", "connected"]
+        return pa.table({c: pa.array(x, from_pandas=True) for c, x in zip(names, map(np.concatenate, zip(*parts, strict=True)), strict=True)})
 
     rows = relations.select(F.col("session_id").cast("long"), F.col("left").cast("long"), F.col("right").cast("long"), F.col("offset_sec").cast("double"))
     rows = rows.dropna() if unconnected == "raise" else rows.dropna(subset=["session_id"])
-    whole = dealt(rows, "session_id").groupBy("session_id").agg(F.collect_list(F.struct("left", "right", "offset_sec")).alias("r"))
-    return whole.select("session_id", "r.left", "r.right", "r.offset_sec").mapInPandas(run, "session_id long, camera_index long, offset_sec double, median_residual double, mean_residual double, max_residual double, connected boolean")
+    return in_groups(rows, ["session_id"], ["left", "right", "offset_sec"], run, "session_id long, camera_index long, offset_sec double, median_residual double, mean_residual double, max_residual double, connected boolean")

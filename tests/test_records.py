@@ -1,4 +1,4 @@
-from itertools import product
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -242,3 +242,35 @@ def test_faces_of_many_clips_as_one_by_one(spark, centred):
     assert "InPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
     got = np.array(sorted(tuple(np.nan if v is None else v for v in r) for r in got.collect()), float)
     assert np.allclose(got, np.array(sorted(want), float), equal_nan=True)
+
+
+def test_sessions_with_the_same_relations_go_side_by_side(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    shapes = [[(0, 1)], [(0, 1), (0, 2), (1, 2)], [(0, 1), (0, 1), (2, 1), (3, 0), (2, 3)], [(0, 2), (0, 2)], [(0, 1), (1, 2), (2, 3), (0, 3), (0, 2), (1, 3), (2, 2)]]
+    rows = [(s, *e, float(rng.integers(-4, 5)) / 2) for s in range(300) for e in shapes[s % 5]]
+    want = []
+    for s in range(300):
+        own = sorted(r[1:] for r in rows if r[0] == s)
+        size, best = 1 + max(max(r[:2]) for r in own), None
+        for tree in combinations(own, size - 1):
+            at = {0: 0.0}
+            for _ in tree:
+                for a, b, off in tree:
+                    if a in at:
+                        at.setdefault(b, at[a] + off)
+                    elif b in at:
+                        at[a] = at[b] - off
+            if len(at) == size:
+                left = [abs(at[b] - at[a] - off) for a, b, off in own]
+                score = tuple(np.round([np.median(left), np.mean(left), max(left)], 9).tolist())
+                best = (score, at) if best is None or score < best[0] else best
+        want += [(s, k, best and best[1][k], *(best[0] if best else (None,) * 3), best is not None) for k in range(size)]
+    df = spark.createDataFrame(rows, "session_id long, left long, right long, offset_sec double").repartition(3)
+    got = offsets.reconciled_offsets(df, unconnected="null")
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[:2]) == want
+    # One enumeration of the trees for all sessions of a shape.
+    calls, real = [], offsets._trees
+    monkeypatch.setattr(offsets, "_trees", lambda *a: calls.append(a) or real(*a))
+    offs = rng.random((100, 3))
+    residuals, found = offsets._best_trees((0, 0, 1), (1, 2, 2), offs, 3)
+    assert len(calls) == 1 and all(offsets._best_tree(*np.array([(0, 1), (0, 2), (1, 2)]).T, o, 3) == (tuple(r.tolist()), f.tolist()) for o, r, f in zip(offs, residuals, found))
