@@ -31,6 +31,19 @@ IN_MEMORY = 4_000_000
 GROUP = 32
 
 
+def _order(keys: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of keys from 0 to most; numpy counts those of 16 bits, others it merges."""
+    return np.argsort(keys.astype(np.int16) if most < 1 << 15 else keys, kind="stable")
+
+
+def _new(x: np.ndarray) -> np.ndarray:
+    """Whether each value differs from the one before; the first does."""
+    out = np.empty(len(x), bool)
+    out[:1] = True
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
+
+
 class Room:
     """Arrays of a shard, in memory or in mapped files."""
 
@@ -140,20 +153,27 @@ class Since:
         place).  Returns the common prefixes of what is inserted."""
         got = np.zeros(0, np.int32)
         if len(at):
-            heads = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]])
-            begin = np.empty(len(at), np.int64)
-            begin[1:], begin[heads] = at[:-1] + 1, 0
-            bounds = np.stack([begin, at + 1], 1).reshape(-1)
-            least = np.minimum.reduceat(np.append(common, FAR), bounds)[::2]
+            heads = np.flatnonzero(_new(symbol))
+            bounds = np.empty(2 * len(at), np.int64)
+            bounds[1::2] = at + 1
+            bounds[2::2] = bounds[1:-1:2]
+            bounds[2 * heads] = 0
+            padded = np.empty(len(common) + 1, np.int32)
+            padded[:-1], padded[-1] = common, FAR
+            least = np.minimum.reduceat(padded, bounds)[::2]
             names = symbol[heads]
             before = self.last[names]
             slot = np.searchsorted(self.rank, before)  # what was passed from there to this batch
             least[heads] = np.minimum(least[heads], np.append(self.low, FAR)[slot])
             got = np.where(least >= FAR, FAR, least + 1).astype(np.int32)
             got[heads[before == 0]] = 0
-            self.last[names] = self.passed + at[np.append(heads[1:], len(at)) - 1] + 2
+            ends = np.empty(len(heads), np.int64)
+            ends[:-1], ends[-1] = heads[1:] - 1, len(at) - 1
+            self.last[names] = self.passed + at[ends] + 2
         tail = np.minimum.accumulate(common[::-1])[::-1]
-        keep = np.flatnonzero(np.append(common[:-1] < tail[1:], True))
+        kept = np.ones(len(common), bool)
+        np.less(common[:-1], tail[1:], out=kept[:-1])
+        keep = np.flatnonzero(kept)
         old = int(np.searchsorted(self.low, tail[0]))
         self.rank = np.append(self.rank[:old], self.passed + 1 + keep)
         self.low = np.append(self.low[:old], common[keep])
@@ -201,7 +221,7 @@ def blocks_of(text: np.ndarray, symbols: int, room: Room) -> np.ndarray:
     counts = room.array(symbols, np.int64)
     for low, high in room.chunks(len(text)):
         counts += np.bincount(text[low:high], minlength=symbols)
-    target = max(1, int(16 * len(text) ** 0.5))
+    target = max(1, int(64 * len(text) ** 0.5))
     place = np.cumsum(counts) // target
     big = np.flatnonzero(counts > target)
     cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
@@ -229,7 +249,10 @@ def _pass(text, run, back, takes, given, shared, symbols, cuts, up: bool, room:
     def into(position: np.ndarray) -> np.ndarray:
         """The symbol that the suffix before is inserted for; `symbols` if it isn't."""
         before = np.maximum(position, 1) - 1
-        return np.where(takes[before] & (position > 0), key(before), symbols)
+        own = np.flatnonzero(takes[before] & (position > 0))
+        out = np.full(len(position), symbols)
+        out[own] = key(before[own])
+        return out
 
     nothing = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
 
@@ -237,7 +260,7 @@ def _pass(text, run, back, takes, given, shared, symbols, cuts, up: bool, room:
         """Inserts what stands before (for symbols `before`); returns what goes to symbols below `high`."""
         at = np.flatnonzero(before < symbols)
         symbol = before[at]
-        order = np.argsort(symbol, kind="stable")
+        order = _order(symbol, symbols)
         at, symbol = at[order], symbol[order]
         fresh = position[at] - 1
         entries = [symbol, fresh, since.through(symbol, at, common), into(fresh)]
@@ -259,12 +282,12 @@ def _pass(text, run, back, takes, given, shared, symbols, cuts, up: bool, room:
             return position, common, before
         of = np.repeat(np.arange(len(more)), more + 1)
         turn = np.arange(len(of)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
-        order = np.argsort(turn, kind="stable")
+        order = _order(turn, int(more.max()))
         of, turn = of[order], turn[order]
         old = np.append(-1, of[:-1])
         least = least_between(common, old + 1, of)
         least = np.where(least >= FAR, FAR, least + turn).astype(np.int32)
-        heads = np.flatnonzero(np.append(True, turn[1:] != turn[:-1]))
+        heads = np.flatnonzero(_new(turn))
         least[heads[1:]] = turn[heads[1:]]
         least[0] = common[0]
         position = position[of] - turn
@@ -329,7 +352,7 @@ def _pass(text, run, back, takes, given, shared, symbols, cuts, up: bool, room:
                 order = np.argsort(batch[0], kind="stable")
                 symbol, position, common, before = (x[order] for x in batch)
                 mine = order < mine
-                new = np.append(True, symbol[1:] != symbol[:-1])
+                new = _new(symbol)
                 edge = np.flatnonzero(~mine & (new | np.append(True, mine[:-1])))
                 common[edge] = np.where(new[edge], 0, seam(position[edge - 1], position[edge]))
                 put(position, common, mine)
